@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import linededup, quality
+from sparkloom.llm import decontaminate, linededup, neardup, quality
 from sparkloom.llm._common import table
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": lambda spark, d: quality.op1(table(spark, d, "documents")),
+        "op3_minhash": lambda spark, d: neardup.op3(table(spark, d, "documents")),
         "op4_line_dedup": lambda spark, d: linededup.op4(table(spark, d, "documents")),
+        "op10_decontaminate": lambda spark, d: decontaminate.op10(table(spark, d, "documents"), table(spark, d, "benchmark")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4}
+    return {"op4_line_dedup": OP4, "op10_decontaminate": OP10}
 
 
 OP4 = r"""
@@ -34,3 +36,25 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+OP10 = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), bw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS m, list_slice(w, i, i + least(13, len(w)) - 1) AS g
+  FROM bw, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS u(i) WHERE len(w) > 0
+), dg AS (
+  SELECT doc_id, i, m, list_slice(w, i, i + m - 1) AS g
+  FROM dw, (SELECT DISTINCT m FROM win), unnest(range(1, len(w) - m + 2)) AS u(i) WHERE len(w) >= m
+), hit AS (SELECT doc_id, i, m, item_id FROM dg JOIN win USING (m, g)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + m)) AS u(p) GROUP BY doc_id),
+listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
