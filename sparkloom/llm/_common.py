@@ -50,3 +50,10 @@ def row_key(*names: str) -> Column:
 
 def drop_tmp(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith(TMP)])
+
+
+def fenced(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with the columns names behind a generator of one row: a filter on them isn't pushed below, where Catalyst would
+    put the whole expression of a column in place of each mention of it."""
+    rest = [F.col(c) for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*[F.col(c) for c in names]))))

@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import TMP, drop_tmp, durable, text_or_empty
+from sparkloom.llm._common import TMP, drop_tmp, durable, fenced, text_or_empty
 
 #: Characters are peeled off in this order; what is left last is the class "other".
 CLASSES = (r"[a-z]+", r"[\x20\x09-\x0D]+", r"\p{Lu}+", r"\p{L}+", r"\p{N}+", r"[.,;:!?'\"()\-]+")
 MAX_BROADCAST_LANGUAGES = 1000
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
 @dataclass(frozen=True)
@@ -123,7 +124,8 @@ def base_counts(docs: DataFrame, text_col: str = "text", rules: QualityRules = Q
         "n_dup_lines": (F.size(t("lines")) - F.size(F.array_distinct(t("lines")))).cast("long"),
         "n_repeat_words": F.coalesce(covered, F.lit(0).cast("long")),
     })
-    return df.withColumn("base_failed", (F.col("n_words") < rules.min_base_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
+    df = df.withColumn("base_failed", (F.col("n_words") < rules.min_base_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
+    return fenced(df, BASE)
 
 
 def judge(docs: DataFrame, references: DataFrame | None = None, text_col: str = "text", lang_col: str = "lang", rules: QualityRules = QualityRules()) -> DataFrame:
@@ -150,7 +152,7 @@ def judge(docs: DataFrame, references: DataFrame | None = None, text_col: str =
     divergence = there + _js_terms((n - F.size(idx)) / n, F.get(q, F.lit(0))) + 0.5 * F.greatest(F.lit(0.0), unseen)
     df = df.withColumn("word_distance", F.when(n >= rules.min_words, _distance(divergence)))
     apart = F.coalesce(F.col("char_distance") > rules.max_char_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > rules.max_word_distance, F.lit(False))
-    return drop_tmp(df.withColumn("kept", ~F.col("base_failed") & ~apart))
+    return drop_tmp(fenced(df.withColumn("kept", ~F.col("base_failed") & ~apart), ["char_distance", "word_distance", "kept"]))
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import decontaminate, linededup, neardup, quality
+import corpus_pipeline
+from sparkloom.llm import bpe, decontaminate, linededup, neardup, quality
 from sparkloom.llm._common import table
 
 
@@ -11,7 +12,9 @@ def queries() -> dict:
         "op1_quality_rules": lambda spark, d: quality.op1(table(spark, d, "documents")),
         "op3_minhash": lambda spark, d: neardup.op3(table(spark, d, "documents")),
         "op4_line_dedup": lambda spark, d: linededup.op4(table(spark, d, "documents")),
+        "op6_byte_bpe": lambda spark, d: bpe.op6(table(spark, d, "documents")),
         "op10_decontaminate": lambda spark, d: decontaminate.op10(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "pipeline": corpus_pipeline.run,
     }
 
 
