@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sparkloom.llm import bpe, decontaminate, linededup, neardup, quality
+from sparkloom.llm import bpe, decontaminate, linededup, neardup, pii, quality, secrets, sharding, urlfilter, warc
 from sparkloom.llm._common import table
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": lambda spark, d: quality.op1(table(spark, d, "documents")),
+        "op2_warc": lambda spark, d: warc.op2(table(spark, d, "pages")),
         "op3_minhash": lambda spark, d: neardup.op3(table(spark, d, "documents")),
         "op4_line_dedup": lambda spark, d: linededup.op4(table(spark, d, "documents")),
+        "op5_secret_scan": lambda spark, d: secrets.op5(table(spark, d, "documents")),
         "op6_byte_bpe": lambda spark, d: bpe.op6(table(spark, d, "documents")),
+        "op7_url_filter": lambda spark, d: urlfilter.op7(table(spark, d, "pages"), table(spark, d, "labels")),
+        "op8_sharding": lambda spark, d: sharding.op8(table(spark, d, "documents")),
+        "op9_pii": lambda spark, d: pii.op9(table(spark, d, "documents")),
         "op10_decontaminate": lambda spark, d: decontaminate.op10(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "pipeline": corpus_pipeline.run,
     }
