@@ -1,6 +1,4 @@
 """Registered queries and their SQL."""
 
-from __future__ import annotations
-
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from sparkloom.plans import conversations, metrics, procurement, state, text, vectors  # noqa: F401
+from sparkloom.plans._registry import ORACLE_SQL, QUERIES  # noqa: F401
