@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from sparkloom.llm._common import TMP, shared_dir
 
 
+#: About 100 bytes each.
+MAX_BROADCAST_SHARDS = 100_000
+
+
 class ConflictError(RuntimeError):
     """Another writer has committed this version."""
 
@@ -78,8 +82,15 @@ class ShardStore:
         now = self.manifest()
         return self.commit(now["version"], now["shards"] + self._written(df, rows_per_shard), df.schema.json())
 
-    def compact(self) -> dict:
-        """Merge until no tier below the target has fanout shards."""
+    def vacuum(self, keep_versions: int = 1) -> int:
+        """Delete the shards that only versions older than the newest keep_versions name. Those can't be read any more."""
+        versions = self.versions()
+        kept = {s["file"] for v in versions[-keep_versions:] for s in self.manifest(v)["shards"]}
+        gone = {s["file"] for v in versions[:-keep_versions] for s in self.manifest(v)["shards"]} - kept
+        return sum(bool(self._fs.delete(self._at(f), False)) for f in gone)
+
+    def compact(self, keep_versions: int | None = None) -> dict:
+        """Merge until no tier below the target has fanout shards; with keep_versions, vacuum after each merge."""
         now = self.manifest()
         while True:
             tiers: dict[int, list[dict]] = {}
@@ -96,6 +107,8 @@ class ShardStore:
             if len(merged) >= len(own):
                 return now
             now = self.commit(now["version"], [s for s in now["shards"] if s["file"] not in gone] + merged, now["schema"])
+            if keep_versions:
+                self.vacuum(keep_versions)
 
     def _read(self, files: list[str], schema: str) -> DataFrame:
         from pyspark.sql.types import StructType
@@ -110,7 +123,7 @@ class ShardStore:
         df = self._read([s["file"] for s in now["shards"]], now["schema"]).withColumn(f"{TMP}file", F.regexp_extract("_metadata.file_path", r"([^/]+/[^/]+)$", 1))
         known = [("/".join(s["file"].rsplit("/", 2)[1:]), i, s["tier"]) for i, s in enumerate(now["shards"])]
         shards = self.spark.createDataFrame(known, f"{TMP}file string, shard int, tier int")
-        return df.join(shards, f"{TMP}file").drop(f"{TMP}file")
+        return df.join(F.broadcast(shards) if len(known) <= MAX_BROADCAST_SHARDS else shards, f"{TMP}file").drop(f"{TMP}file")
 
 
 def op8(docs: DataFrame) -> DataFrame:
@@ -119,5 +132,5 @@ def op8(docs: DataFrame) -> DataFrame:
     store.append(docs)
     if not store.manifest()["shards"]:
         return docs.select("doc_id", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("int").alias("tier"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
-    store.compact()
+    store.compact(keep_versions=1)
     return store.read().select("doc_id", "shard", "tier", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
