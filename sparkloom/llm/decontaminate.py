@@ -245,7 +245,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         merged = hits.groupBy(f"{TMP}key").agg(F.flatten(F.collect_list(f"{TMP}spans")).alias(f"{TMP}spans"), F.flatten(F.collect_list(f"{TMP}items")).alias(f"{TMP}items"))
         merged = merged.mapInArrow(_merge_blocks, merged.schema)
         none = scan(keyed, 0).drop(f"{TMP}spans", f"{TMP}items")
-        out = none.join(merged, f"{TMP}key", "left").withColumns({c: F.coalesce(f"{TMP}{c}", F.array().cast(t)) for c, t in (("spans", "array<struct<start:int,end:int>>"), ("items", "array<bigint>"))})
+        out = none.join(merged, f"{TMP}key", "left").withColumns({f"{TMP}{c}": F.coalesce(f"{TMP}{c}", F.array().cast(t)) for c, t in (("spans", "array<struct<start:int,end:int>>"), ("items", "array<bigint>"))})
     hit = F.aggregate(f"{TMP}spans", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]))
     out = out.withColumns({"n_words": F.col(f"{TMP}n_words"), "spans": F.col(f"{TMP}spans"), "items": F.col(f"{TMP}items"), "n_hit": hit})
     return drop_tmp(out.withColumn("contaminated", (F.col("n_hit") > 0) & (rules.share * F.col("n_hit") >= F.col("n_words"))))

@@ -2,7 +2,7 @@
 
 1. Document frequencies of words, over all documents. Only words in at least common_share of them weigh less than
    the rest, so the table that goes to all tasks has at most (distinct words a document) / common_share rows.
-2. Each document's shingles of five words are weighted by (1 + ln tf) * (1 + mean idf of its words, scaled to 0..1) and
+2. Each document's shingles of five words are weighted by (1 + ln tf / 8) * (1 + mean idf of its words, scaled to 0..1) and
    sampled; the samples are hashed in bands. Documents with equal texts are one node from here on.
 3. In a bucket of a band every node meets the least one (a star, not all pairs), and each pair is verified once by
    its weighted Jaccard similarity, or that of the shingle sets, over the whole texts.
@@ -29,6 +29,8 @@ from sparkloom.llm._common import TMP, durable, row_key, text_or_empty
 from sparkloom.llm._graph import components
 
 WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b == 95 or b >= 128 else 32 for b in range(256))
+#: Keeps a text and itself twice over alike: the weights of shared shingles differ little.
+TF_DAMPING = 8
 MASK = np.uint64(0xFFFF)
 
 
@@ -81,7 +83,7 @@ class Weights:
             s ^= s >> np.uint64(29)
             w += idf[j : j + n]
         shingles, first, tf = np.unique(s, return_index=True, return_counts=True)
-        return shingles, ((1 + np.log(tf)) * (1 + w[first] / k)).astype(np.float32)
+        return shingles, ((1 + np.log(tf) / TF_DAMPING) * (1 + w[first] / k)).astype(np.float32)
 
 
 def _gamma2() -> np.ndarray:
