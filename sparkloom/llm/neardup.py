@@ -4,7 +4,7 @@
    the rest, so the table that goes to all tasks has at most (distinct words a document) / common_share rows.
 2. Each document's shingles of five words are weighted by (1 + ln tf / 8) * (1 + mean idf of its words, scaled to 0..1) and
    sampled; the samples are hashed in bands. Documents with equal texts are one node from here on.
-3. In a bucket of a band every node meets the least one (a star, not all pairs), and each pair is verified once by
+3. In a bucket of a band every node meets a few heads (stars, not all pairs), and each pair is verified once by
    its weighted Jaccard similarity, or that of the shingle sets, over the whole texts.
 4. Components; buckets that still hold several components meet again through other members, as long as this finds new
    links.
@@ -41,6 +41,7 @@ class NearDupRules:
     bands: int = 12
     rows: int = 4
     common_share: float = 0.01
+    heads: int = 4
     seed: int = 20240501
 
 
@@ -221,29 +222,33 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         both = with_v.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
         return durable(both.select("u", "v", "text_u", "text_v").mapInArrow(_verify(common, rules), "u string, v string"))
 
-    def stars(members: DataFrame, order: str) -> DataFrame:
-        """(u, v): each member of a bucket with the one that is first by order."""
-        heads = durable(members.groupBy("band", "hash").agg(F.min(F.struct(F.expr(order).alias("o"), "node"))["node"].alias("head")))
-        pairs = members.join(heads, ["band", "hash"]).where("node <> head")
+    def stars(members: DataFrame, turn: int) -> DataFrame:
+        """(u, v): each member of a bucket with the few that come first by orders of the turn."""
+        firsts = [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(i)).alias("o"), "node"))["node"] for i in range(rules.heads)]
+        heads = durable(members.groupBy("band", "hash").agg(F.array_distinct(F.array(*firsts)).alias("heads")))
+        pairs = members.join(heads, ["band", "hash"]).select("node", F.explode("heads").alias("head")).where("node <> head")
         return pairs.select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct()
 
-    tested = durable(stars(buckets, "node"))
-    edges = verified(tested)
-    turn = 0
+    def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+        """labels (node, comp) after the components that edges link have become one."""
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+        links = edges.join(of("u"), "u").join(of("v"), "v").select(F.col("comp_u").alias("u"), F.col("comp_v").alias("v")).where("u <> v").distinct()
+        new = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+        return durable(labels.join(new, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+
+    comps = durable(buckets.select("node").distinct().withColumn("comp", F.col("node")))
+    tested, members, turn = None, buckets.select("band", "hash", "node"), 0
     while True:
-        comps = components(edges)
-        turn += 1
-        own = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        chosen = own.groupBy("band", "hash", "comp").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node"))["node"].alias("node"))
-        several = durable(chosen.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hash"))
-        chosen = durable(chosen.join(several, ["band", "hash"]).select("band", "hash", "node"))
-        pairs = durable(stars(chosen, f"xxhash64(node, {turn}, 1)").join(tested, ["u", "v"], "left_anti"))
-        if not pairs.limit(1).count():
+        pairs = stars(members, turn)
+        pairs = durable(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
+        edges = verified(pairs)
+        if not edges.limit(1).count():
             break
-        more = verified(pairs)
-        if not more.limit(1).count():
-            break
-        edges, tested = durable(edges.unionByName(more)), durable(tested.unionByName(pairs))
+        comps = joined(comps, edges)
+        tested, turn = pairs if tested is None else tested.unionByName(pairs), turn + 1
+        chosen = buckets.join(comps, "node").groupBy("band", "hash", "comp").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node"))["node"].alias("node"))
+        several = durable(chosen.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hash"))
+        members = durable(chosen.join(several, ["band", "hash"]).select("band", "hash", "node"))
 
     grouped = nodes.select("node", F.col("id").alias("least")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = durable(grouped.groupBy("comp").agg(F.min("least").alias("group_id")))
