@@ -103,6 +103,20 @@ def test_near_duplicate_recall(spark):
                 assert found[i] == found[j]
 
 
+def test_near_duplicates_in_blocks(spark):
+    """A star whose leaves are linked only through its hub, which one head a bucket rarely meets."""
+    base = [f"w{i * 7919 % 1009}" for i in range(200)]
+    texts = [" ".join(base)] + [" ".join("x" if i // 5 % 8 == 0 and i % 5 == 0 and i // 40 == k % 5 or i in (3 * k + 7, 3 * k + 60) else w for i, w in enumerate(base)) for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    rules = neardup.NearDupRules(heads=1, share=0, small=1, block_rows=7, agreeing=0)
+    found = {r.id: r.group_id for r in neardup.near_duplicates(df, rules=rules).collect()}
+    own = [shingles(t) for t in texts]
+    for i, x in enumerate(own):
+        for j, y in enumerate(own):
+            if len(x & y) >= 0.8 * len(x | y):
+                assert found[i] == found[j], (i, j)
+
+
 ITEMS = [(1, " ".join(f"W{i * 7919 % 1009}" for i in range(20))), (2, "deadbeefdeadbeef"), (2, "deadbeefdeadbeef"), (3, None), (4, ""), (5, "never there"), (None, "clash")]
 
 
