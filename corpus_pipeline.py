@@ -38,7 +38,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("MinHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("byte-level BPE", byte_bpe)]
 
-#: Sampling, histograms and BPE are not expressible in SQL; tests hold run() against a brute-force version.
+#: Sampling, histograms and BPE are not expressible in SQL; tests hold each stage's operator against a brute-force version.
 ORACLE_SQL = None
 
 
