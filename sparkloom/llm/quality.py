@@ -66,7 +66,7 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     base = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text_or_empty(text_col).alias("text"))
     words = base.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''").groupBy("lang", "word").count()
     words = durable(words.where("count > 1"))  # a word seen once is in no list; totals below come from the texts
-    classes = _peel(base, "text").withColumn(f"{TMP}n", F.size(F.split("text", r"[\x20\x09-\x0D]+")))
+    classes = _peel(base, "text").withColumn(f"{TMP}n", F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")))
     classes = classes.groupBy("lang").agg(F.sum(f"{TMP}n").alias("n"), *[F.sum(F.col(f"{TMP}classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)])
     classes = durable(classes)
     frequent = words.join(F.broadcast(classes.select("lang", "n")) if classes.count() <= MAX_BROADCAST_LANGUAGES else classes.select("lang", "n"), "lang")
