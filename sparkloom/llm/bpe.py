@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -36,6 +37,8 @@ from sparkloom.llm._common import TMP, durable, text_or_empty
 CHUNK_BYTES = 32 << 20
 BUCKET_BYTES = 16 << 20
 MAX_BUCKETS = 4096
+#: Words, ids or characters that are unpacked at once.
+PIECE = 1 << 18
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -80,7 +83,7 @@ def _pre_tokens(pattern: str, buckets: int, chunk_bytes: int):
         import regex  # only where texts are cut
 
         # White space as the tokenizer's library has it, without the four separators that Python adds.
-        find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        cut = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         words, chunk, size = _Numbered(), uuid.uuid4().hex, 0
         schema = None
 
@@ -104,8 +107,8 @@ def _pre_tokens(pattern: str, buckets: int, chunk_bytes: int):
             packed: list[bytes] = []
             for b in range(batch.num_rows):
                 text = texts[b].as_py()
-                found = find(text)
-                packed.append(_pack_numbers(np.fromiter(map(words.__getitem__, found), np.uint32, len(found))))
+                found = cut.findall(text) if len(text) < PIECE else (m[0] for m in cut.finditer(text))  # no list of a long text's words
+                packed.append(_pack_numbers(np.fromiter(map(words.__getitem__, found), np.uint32)))
                 size += len(text)
                 if size >= chunk_bytes or b == batch.num_rows - 1:
                     n = len(packed)
@@ -136,13 +139,19 @@ def _encode_words(path: str, pattern: str):
                         known[w] = np.array(encode(w.decode()), "<u4").tobytes()
                 ids = [known[w] for w in words]
                 answer = _pack([_pack_numbers(np.frombuffer(order, "<u4")), _pack_numbers(np.array([len(x) // 4 for x in ids], np.uint32)), _pack_numbers(np.frombuffer(b"".join(ids), "<u4"))])
-                yield pa.RecordBatch.from_arrays([chunks.slice(i, 1), pa.array([answer], pa.binary())], [f"{TMP}chunk", f"{TMP}answer"])
+                yield pa.RecordBatch.from_arrays([chunks.slice(i, 1), pa.array([answer], pa.binary())], [f"{TMP}chunk", f"{TMP}packed"])
 
     return run
 
 
-def _reassemble(docs: pa.Table, answers: pa.Table) -> pa.Table:
-    parts = [[_unpack_numbers(x) for x in _unpack(a)] for a in answers.column(f"{TMP}answer").to_pylist()]
+def _reassemble(batches: Iterator[pa.RecordBatch], own: list[str]) -> Iterator[pa.RecordBatch]:
+    """Ids of a chunk's documents, at most about PIECE of them a batch (or one document)."""
+    docs, parts = [], []
+    for batch in batches:
+        is_doc = pa.compute.equal(batch.column(batch.schema.get_field_index(f"{TMP}bucket")), -1)
+        docs.append(batch.filter(is_doc))
+        for answer in batch.column(batch.schema.get_field_index(f"{TMP}packed")).filter(pa.compute.invert(is_doc)):
+            parts.append([_unpack_numbers(x) for x in _unpack(answer.as_py())])
     n = sum(len(p[0]) for p in parts)
     start, length = np.zeros(n, np.int64), np.zeros(n, np.int64)
     base = 0
@@ -150,15 +159,27 @@ def _reassemble(docs: pa.Table, answers: pa.Table) -> pa.Table:
         sizes = sizes.astype(np.int64)
         length[order], start[order] = sizes, base + np.cumsum(sizes) - sizes
         base += len(ids)
-    flat = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.uint32)
-    out = []
-    for packed in docs.column(f"{TMP}packed"):
-        at = _unpack_numbers(packed.as_py())
-        size, ends = length[at], np.cumsum(length[at])
-        out.append(flat[np.repeat(start[at] - (ends - size), size) + np.arange(int(size.sum()))].astype(np.int32))
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
-    return docs.select([c for c in docs.column_names if not c.startswith(TMP)]).append_column(f"{TMP}ids", ids)
+    flat = np.concatenate([p[2] for p in parts]).astype(np.int32) if parts else np.zeros(0, np.int32)
+    del parts
+
+    def ids_of(packed: bytes) -> Iterator[np.ndarray]:
+        words = _unpack_numbers(packed)
+        for a in range(0, len(words), PIECE):
+            at = words[a : a + PIECE]
+            size, ends = length[at], np.cumsum(length[at])
+            yield flat[np.repeat(start[at] - (ends - size), size) + np.arange(int(size.sum()))]
+
+    for batch in docs:
+        kept = batch.select(own)
+        first, pieces, ends = 0, [np.zeros(0, np.int32)], [0]
+        for i, packed in enumerate(batch.column(batch.schema.get_field_index(f"{TMP}packed"))):
+            found = list(ids_of(packed.as_py()))
+            pieces += found
+            ends.append(ends[-1] + sum(map(len, found)))
+            if ends[-1] >= PIECE or i == batch.num_rows - 1:
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(pieces)))
+                yield pa.RecordBatch.from_arrays([*kept.slice(first, len(ends) - 1).columns, ids], [*own, f"{TMP}ids"])
+                first, pieces, ends = i + 1, pieces[:1], [0]
 
 
 def encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN, ids_col: str = "ids", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -171,10 +192,15 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None = Non
     own = [T.StructField(f.name, f.dataType, True) for f in own]
     table = durable(base.mapInArrow(_pre_tokens(pattern, buckets, chunk_bytes), T.StructType([*own, T.StructField(f"{TMP}chunk", T.StringType()), T.StructField(f"{TMP}bucket", T.IntegerType()), T.StructField(f"{TMP}packed", T.BinaryType())])))
     lists = table.where(F.col(f"{TMP}bucket") >= 0).select(f"{TMP}chunk", f"{TMP}bucket", f"{TMP}packed")
-    answers = lists.groupBy(f"{TMP}bucket").applyInArrow(_encode_words(path, pattern), f"{TMP}chunk string, {TMP}answer binary")
-    rows = table.where(F.col(f"{TMP}bucket") < 0).drop(f"{TMP}bucket")
+    answers = lists.groupBy(f"{TMP}bucket").applyInArrow(_encode_words(path, pattern), f"{TMP}chunk string, {TMP}packed binary")
+    rows = table.where(F.col(f"{TMP}bucket") < 0).unionByName(answers.withColumn(f"{TMP}bucket", F.lit(0)), allowMissingColumns=True)
+    names = [f.name for f in own]
+
+    def reassemble(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _reassemble(batches, names)
+
     result = T.StructType([*own, T.StructField(f"{TMP}ids", T.ArrayType(T.IntegerType()))])
-    return rows.groupBy(f"{TMP}chunk").cogroup(answers.groupBy(f"{TMP}chunk")).applyInArrow(_reassemble, result).withColumnRenamed(f"{TMP}ids", ids_col)
+    return rows.groupBy(f"{TMP}chunk").applyInArrow(reassemble, result).withColumnRenamed(f"{TMP}ids", ids_col)
 
 
 def _decode(path: str, ids_col: str):
@@ -182,7 +208,7 @@ def _decode(path: str, ids_col: str):
         token = {i: b for b, i in read_ranks(path).items()}
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(ids_col))
-            out = [b"".join(map(token.__getitem__, x.values.to_pylist())) if x.is_valid else b"" for x in ids]
+            out = [b"".join(b"".join(map(token.__getitem__, x.values.slice(a, PIECE).to_pylist())) for a in range(0, len(x), PIECE)) if x.is_valid else b"" for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, f"{TMP}decoded"])
 
     return run
