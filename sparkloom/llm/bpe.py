@@ -39,6 +39,8 @@ BUCKET_BYTES = 16 << 20
 MAX_BUCKETS = 4096
 #: Words, ids or characters that are unpacked at once.
 PIECE = 1 << 18
+#: Bytes of a batch of decoded texts, or one text.
+DECODED_BYTES = 4 << 20
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -207,9 +209,13 @@ def _decode(path: str, ids_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {i: b for b, i in read_ranks(path).items()}
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(ids_col))
-            out = [b"".join(b"".join(map(token.__getitem__, x.values.slice(a, PIECE).to_pylist())) for a in range(0, len(x), PIECE)) if x.is_valid else b"" for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, f"{TMP}decoded"])
+            first, size, out = 0, 0, []
+            for i, x in enumerate(batch.column(batch.schema.get_field_index(ids_col))):
+                out.append(b"".join(b"".join(map(token.__getitem__, x.values.slice(a, PIECE).to_pylist())) for a in range(0, len(x), PIECE)) if x.is_valid else b"")
+                size += len(out[-1])
+                if size >= DECODED_BYTES or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, len(out)).columns, pa.array(out, pa.binary())], [*batch.schema.names, f"{TMP}decoded"])
+                    first, size, out = i + 1, 0, []
 
     return run
 

@@ -158,6 +158,10 @@ def test_bpe_round_trip(docs, none):
     assert sorted(tuple(r)[1:] for r in bpe.op6(docs).collect()) == sorted(want)
     assert [c for c in bpe.encode(docs, chunk_bytes=100).columns] == [c for c in docs.columns if c != "text"] + ["ids"]
     assert bpe.op6(none).count() == 0
+    long = docs.select("doc_id", F.when(F.col("doc_id") == 9, F.repeat("text", 3000)).otherwise(F.col("text")).alias("text"), F.lit(1).alias("decoded"))
+    texts = {(i, t * 3000 if i == 9 else t or "") for i, t in TEXTS}
+    back = bpe.decode(bpe.encode(long, chunk_bytes=1000)).collect()
+    assert {(r.doc_id, bytes(r.decoded).decode()) for r in back} == texts and len(back) == len(TEXTS)
 
 
 def test_secrets(docs, none):
