@@ -158,3 +158,12 @@ def test_pipeline_rows(spark):
         ids = encode(t)
         want.append((i, len(ids), sha(" ".join(map(str, ids))), sha(t)))
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).collect())) == want
+
+
+def test_line_dedup_and_quality_stages_take_odd_rows(spark):
+    rows = [(None, None, None, None, None, 1), (1, "", "en", "s", 0, 1), (1, "", "en", "s", 0, 1), (2, "word " * 30_000, None, "s", None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept int")
+    for (_, stage), n in zip(corpus_pipeline.STAGES[:2], (0, 4)):
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and out.count() == n
+        assert stage(spark, docs.where("false"), DATA).count() == 0
