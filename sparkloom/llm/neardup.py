@@ -3,14 +3,16 @@
 1. Document frequencies of words, over all documents. Only words in at least common_share of them weigh less than
    the rest, so the table that goes to all tasks has at most (distinct words a document) / common_share rows.
 2. Each document's shingles of five words are weighted by (1 + ln tf / 8) * (1 + mean idf of its words, scaled to 0..1) and
-   sampled; the samples are hashed in bands. Documents with equal texts are one node from here on.
+   sampled, and once more without weights; both kinds of samples are hashed in bands, so a pair that is similar by either
+   similarity meets with the same probability. Documents with equal texts are one node from here on.
 3. In a bucket of a band every node meets a few heads (stars, not all pairs), and each pair is verified once by
    its weighted Jaccard similarity, or that of the shingle sets, over the whole texts. Components of these links follow.
 4. In buckets that still hold several components, the nodes outside the largest one (minor nodes) meet some nodes of the
    others, and all of them in small buckets; components follow. The minor nodes that are left in large buckets are then
    held, as a query set, against all of the bucket, in blocks of bounded size. So no texts that share a bucket stay apart
-   unverified, and no pairs of a large group are listed. Here a pair is verified only if at least `agreeing` of its samples
-   agree in four bits, which at a similarity of 0.8 fails once in some thousand pairs.
+   unverified, and no pairs of a large group are listed. In small buckets only pairs are left out whose numbers of shingles
+   and whose sums of weights both rule out the similarity. Some nodes of a large bucket meet early if at least `agreeing` of
+   their weighted samples agree in four bits; the blocks, which come last, hold all of its minor nodes against all others.
 
 Defined cases: a null or empty text is never a duplicate; texts without words are duplicates only if equal; texts of
 fewer than five words are one shingle; a group's id is its least doc_id; rows repeated whole belong to one group;
@@ -44,6 +46,7 @@ class NearDupRules:
     similarity: float = 0.8
     bands: int = 12
     rows: int = 4
+    set_bands: int = 12
     common_share: float = 0.01
     heads: int = 4
     small: int = 64
@@ -136,6 +139,22 @@ class Sampler:
         return out
 
 
+class SetSampler:
+    """Samples of the set: for each of size seeds, the least hash of a shingle."""
+
+    def __init__(self, size: int, seed: int):
+        self.odd = np.random.default_rng(seed).integers(1, 1 << 63, size, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def __call__(self, shingles: np.ndarray, chunk: int = 1024) -> np.ndarray:
+        out = np.full(len(self.odd), np.iinfo(np.uint64).max)
+        for a in range(0, len(shingles), chunk):
+            z = shingles[a : a + chunk, None] * self.odd
+            z ^= z >> np.uint64(32)
+            z *= np.uint64(0xD6E8FEB86659FD93)
+            np.minimum(out, z.min(0), out=out)
+        return out
+
+
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache, count = _Words(), {}
 
@@ -184,27 +203,41 @@ def _agreeing(a: Column, b: Column, rules: NearDupRules) -> Column:
     return F.lit(n) - differing
 
 
+def _possible(a: str, b: str, rules: NearDupRules) -> Column:
+    """False only if sizes or sums a and b rule out the similarity: no Jaccard similarity is over their ratio."""
+    return F.least(a, b) >= F.greatest(a, b) * (rules.similarity - 1e-6)
+
+
+def _banded(samples: np.ndarray, rows: int) -> np.ndarray:
+    """A hash of each rows samples."""
+    bands = samples.reshape(-1, rows)
+    h = np.zeros(len(bands), np.uint64)
+    for j in range(rows):
+        h = (h ^ bands[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+    return h.view(np.int64)
+
+
 def _sketch(common, rules: NearDupRules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, weights, sampler = _Words(), Weights(common.value, rules.shingle), Sampler(rules.bands * rules.rows, rules.seed)
+        of_set = SetSampler(rules.set_bands * rules.rows, rules.seed + 1)
         for batch in batches:
-            out, signs = [], []
+            out, signs, sizes, sums = [], [], [], []
             for text in batch.column(batch.schema.get_field_index("text")):
                 shingles, w = weights.of(_hashes(text.as_py(), cache))
+                sizes.append(len(shingles))
+                sums.append(float(w.sum(dtype=np.float64)))
                 if not len(shingles):
                     out.append([])
                     signs.append([])
                     continue
                 samples = sampler(shingles, w)
                 signs.append(_signature(samples))
-                bands = samples.reshape(rules.bands, rules.rows)
-                h = np.zeros(rules.bands, np.uint64)
-                for j in range(rules.rows):
-                    h = (h ^ bands[:, j]) * np.uint64(0x9E3779B97F4A7C15)
-                    h ^= h >> np.uint64(31)
-                out.append(h.view(np.int64).tolist())
+                out.append(np.concatenate([_banded(samples, rules.rows), _banded(of_set(shingles), rules.rows)]).tolist())
             rest = [i for i, n in enumerate(batch.schema.names) if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(out, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64()))], [*(batch.schema.names[i] for i in rest), "bands", "signature"])
+            made = [pa.array(out, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), *made], [*(batch.schema.names[i] for i in rest), "bands", "signature", "size", "weight"])
 
     return run
 
@@ -240,19 +273,27 @@ def _verify_block(common, rules: NearDupRules):
             return pd.DataFrame({"u": [], "v": []}, dtype=object)
         right = right.set_axis([c[:-2] for c in right.columns], axis=1)
         a, b = ([weights.of(_hashes(t, cache)) for t in side["text"]] for side in (left, right))
-        bands, signs = np.stack(right["bands"]), np.stack(right["signature"]).view(np.uint64)
+        bands = np.stack(right["bands"])
         nodes, comps, minor = right["node"].to_numpy(str), right["comp"].to_numpy(str), right["minor"].to_numpy(bool)
+        # The right side's shingles in order, each with its row: sums over a left text's give all its intersections.
+        sizes, sums = np.array([len(s) for s, _ in b]), np.array([w.sum(dtype=np.float64) for _, w in b])
+        shingles, owner, w = np.concatenate([s for s, _ in b]), np.repeat(np.arange(len(b)), sizes), np.concatenate([w for _, w in b])
+        order = np.argsort(shingles)
+        shingles, owner, w = shingles[order], owner[order], w[order]
         found = []
-        for i, (node, comp, own, sign) in enumerate(zip(left["node"], left["comp"], left["bands"], left["signature"], strict=True)):
-            x = signs ^ np.asarray(sign).view(np.uint64)
-            x |= x >> np.uint64(1)
-            x |= x >> np.uint64(2)
-            agree = rules.bands * rules.rows - np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
+        for node, comp, own, (s, own_w) in zip(left["node"], left["comp"], left["bands"], a, strict=True):
             # A pair is verified in the first band that it shares; of two minor nodes, one meets the other.
-            once = ((bands == np.asarray(own)).argmax(1) == key[0]) & (~minor | (nodes > node))
-            for j in np.flatnonzero((agree >= rules.agreeing) & (comps != comp) & once):
-                if max(_similar(a[i], b[j])) >= rules.similarity:
-                    found.append((node, nodes[j]))
+            once = (comps != comp) & ((bands == np.asarray(own)).argmax(1) == key[0]) & (~minor | (nodes > node))
+            if not once.any():
+                continue
+            start = np.searchsorted(shingles, s)
+            n = np.searchsorted(shingles, s, "right") - start
+            at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(b))
+            least = np.bincount(owner[at], np.minimum(np.repeat(own_w, n), w[at]), minlength=len(b))
+            by_weight = least / np.maximum(own_w.sum(dtype=np.float64) + sums - least, 1e-9)
+            by_set = both / np.maximum(len(s) + sizes - both, 1)
+            found += [(node, nodes[j]) for j in np.flatnonzero(once & (np.maximum(by_weight, by_set) >= rules.similarity))]
         return pd.DataFrame(found, columns=["u", "v"], dtype=object)
 
     return run
@@ -265,8 +306,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     filled = F.col("text").isNotNull() & (F.col("text") != "")
     keyed = base.withColumn("node", F.when(filled, row_key("text"))).withColumn("key", row_key("id", "text")).withColumn("text", text_or_empty("text"))
-    sketches = durable(keyed.mapInArrow(_sketch(common, rules), "id long, node string, key string, bands array<long>, signature array<long>"))
-    nodes = durable(sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("id", "key"))["key"].alias("key"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
+    sketches = durable(keyed.mapInArrow(_sketch(common, rules), "id long, node string, key string, bands array<long>, signature array<long>, size long, weight double"))
+    nodes = durable(sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("id", "key"))["key"].alias("key"), *[F.first(c).alias(c) for c in ("bands", "signature", "size", "weight")]))
     rows = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
     sizes = rows.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = durable(rows.join(durable(sizes.select("band", "hash")), ["band", "hash"]))
@@ -294,15 +335,18 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         sizes = durable(rows.groupBy("band", "hash", "comp").agg(F.count(F.lit(1)).alias("n")))
         several = sizes.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp"))["comp"].alias("largest")).where("comps > 1")
         rows = rows.join(durable(several.select("band", "hash", "n", "largest")), ["band", "hash"]).withColumn("minor", F.expr("comp <> largest")).drop("largest")
-        return durable(rows.join(nodes.select("node", "bands", "signature"), "node"))
+        return durable(rows.join(nodes.select("node", "bands", "signature", "size", "weight"), "node"))
 
     def sampled(rows: DataFrame) -> DataFrame:
-        """(u, v): minor nodes with about share nodes of other components of their bucket; in small buckets with all."""
+        """(u, v): minor nodes with all nodes of other components of their bucket that can be similar; in large buckets, of
+        which in_blocks sees all pairs, with about share nodes that seem so."""
         place = (F.xxhash64("node", F.lit(rules.seed)) / F.lit(float(1 << 63)) + 1) / 2
         others = rows.where((F.col("n") <= rules.small) | (place * F.col("n") < rules.share))
-        others = others.select("band", "hash", F.col("node").alias("other"), F.col("comp").alias("other_comp"), F.col("signature").alias("other_signature"))
-        met = rows.where("minor").select("band", "hash", "node", "comp", "signature").join(others, ["band", "hash"])
-        met = met.where((F.col("comp") != F.col("other_comp")) & (_agreeing(F.col("signature"), F.col("other_signature"), rules) >= rules.agreeing))
+        others = others.select("band", "hash", *[F.col(c).alias(f"other_{c}" if c != "node" else "other") for c in ("node", "comp", "signature", "size", "weight")])
+        met = rows.where("minor").select("band", "hash", "n", "node", "comp", "signature", "size", "weight").join(others, ["band", "hash"])
+        possible = _possible("size", "other_size", rules) | _possible("weight", "other_weight", rules)
+        seem = (F.col("n") <= rules.small) | (_agreeing(F.col("signature"), F.col("other_signature"), rules) >= rules.agreeing)
+        met = met.where((F.col("comp") != F.col("other_comp")) & possible & seem)
         return ordered(met.select("node", "other"))
 
     def in_blocks(rows: DataFrame) -> DataFrame:
@@ -315,7 +359,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         placed = rows.join(durable(counts), ["band", "hash"])
         at = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        keys, rest = ["band", "hash", "part_u", "part_v"], ["node", "comp", "minor", "bands", "signature"]
+        keys, rest = ["band", "hash", "part_u", "part_v"], ["node", "comp", "minor", "bands"]
         left = placed.where("minor").withColumn("part_u", at("of_u", 1)).withColumn("part_v", each("of_v")).select(*keys, *rest)
         right = placed.withColumn("part_v", at("of_v", 2)).withColumn("part_u", each("of_u")).select(*keys, *rest)
         left, right = left.join(texts, "node"), right.join(texts, "node")

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import random
 import re
 
 import pytest
@@ -117,6 +118,35 @@ def test_near_duplicates_in_blocks(spark):
                 assert found[i] == found[j], (i, j)
 
 
+@pytest.mark.parametrize("small", [1, 64])
+def test_near_duplicates_need_no_agreeing_samples(spark, small):
+    """The links that one head a bucket misses are found though no two texts have 49 of 48 samples in common."""
+    base = [f"w{i * 7919 % 1009}" for i in range(200)]
+    texts = [" ".join(base)] + [" ".join("x" if i // 5 % 8 == 0 and i % 5 == 0 and i // 40 == k % 5 or i in (3 * k + 7, 3 * k + 60) else w for i, w in enumerate(base)) for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    rules = neardup.NearDupRules(heads=1, share=0, small=small, block_rows=7, agreeing=49)
+    found = {r.id: r.group_id for r in neardup.near_duplicates(df, rules=rules).collect()}
+    own = [shingles(t) for t in texts]
+    for i, x in enumerate(own):
+        for j, y in enumerate(own):
+            if len(x & y) >= 0.8 * len(x | y):
+                assert found[i] == found[j], (i, j)
+
+
+def test_near_duplicates_by_set_share_a_band(spark):
+    """A shared passage of words that most documents have, and rare words of its own in each: 0.8 by set, 0.69 by weight."""
+    rng = random.Random(5)
+    texts = []
+    for pair in range(300):
+        passage = [f"c{rng.randrange(60)}" for _ in range(160)]
+        texts += [" ".join(passage + [f"r{pair}x{side}x{i}" for i in range(19)]) for side in (0, 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    found = {r.id: r.group_id for r in neardup.near_duplicates(df).collect()}
+    x, y = shingles(texts[0]), shingles(texts[1])
+    assert len(x & y) >= 0.8 * len(x | y)
+    assert sum(found[i] != found[i + 1] for i in range(0, 600, 2)) <= 1
+
+
 ITEMS = [(1, " ".join(f"W{i * 7919 % 1009}" for i in range(20))), (2, "deadbeefdeadbeef"), (2, "deadbeefdeadbeef"), (3, None), (4, ""), (5, "never there"), (None, "clash")]
 
 
