@@ -28,7 +28,11 @@ class QualityRules:
     """Limits of the base rules and of the divergence rule.
 
     A document diverges if its Jensen-Shannon distance (0 to 1) to its language is over the limit, judged only
-    from min_chars characters or min_words words on. common_words: length of a language's list; a listed word makes up
+    from min_chars characters or min_words words on. Listed words are a quarter of a language's, so a text without any is
+    just 0.37 away; therefore a document with fewer listed words than its language also diverges if the distance of the
+    two shares (listed, not listed) is over max_absence_distance. That limit is 2 % of listed words or so, which 50 words
+    of a clean text fall below once in some ten thousand; a language of which under an eighth is listed can't reach it.
+    common_words: length of a language's list; a listed word makes up
     at least min_share of the language's words, so that 1 / min_share bounds the list before it is ranked.
     """
 
@@ -39,6 +43,7 @@ class QualityRules:
     min_words: int = 50
     max_char_distance: float = 0.28
     max_word_distance: float = 0.5
+    max_absence_distance: float = 0.25
     common_words: int = 32
     min_share: float = 0.002
 
@@ -151,7 +156,10 @@ def judge(docs: DataFrame, references: DataFrame | None = None, text_col: str =
     unseen = F.lit(1.0) - F.get(q, F.lit(0)) - _sum(F.transform(starts, share))
     divergence = there + _js_terms((n - F.size(idx)) / n, F.get(q, F.lit(0))) + 0.5 * F.greatest(F.lit(0.0), unseen)
     df = df.withColumn("word_distance", F.when(n >= rules.min_words, _distance(divergence)))
-    apart = F.coalesce(F.col("char_distance") > rules.max_char_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > rules.max_word_distance, F.lit(False))
+    listed_share, unlisted = F.size(idx) / n, F.get(q, F.lit(0))
+    absence = _distance(_js_terms(F.lit(1.0) - listed_share, unlisted) + _js_terms(listed_share, F.lit(1.0) - unlisted))
+    absent = F.when((n >= rules.min_words) & (listed_share < F.lit(1.0) - unlisted), absence > rules.max_absence_distance)
+    apart = F.coalesce(absent, F.lit(False)) | F.coalesce(F.col("char_distance") > rules.max_char_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > rules.max_word_distance, F.lit(False))
     return drop_tmp(fenced(df.withColumn("kept", ~F.col("base_failed") & ~apart), ["char_distance", "word_distance", "kept"]))
 
 

@@ -55,6 +55,17 @@ def test_quality_base_counts(spark, docs, none):
     assert quality.op1(none).count() == 0
 
 
+def test_quality_absent_words(spark):
+    """Texts of a language's letters without its common words: words spelt backwards, and another language's."""
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    good = {r.doc_id for r in quality.op1(rows).where("kept AND n_words >= 200").collect()}
+    of = {lang: min((r for r in rows.where(F.col("lang") == lang).collect() if r.doc_id in good), key=lambda r: r.doc_id).text for lang in ("en", "fr")}
+    own = [(-1, of["en"], "en"), (-2, " ".join(w[::-1] for w in of["en"].split()), "en"), (-3, of["fr"], "en")]
+    got = {r.doc_id: r for r in quality.op1(rows.unionByName(spark.createDataFrame(own, rows.schema))).where("doc_id < 0").collect()}
+    assert not got[-2].base_failed and not got[-3].base_failed
+    assert [got[i].kept for i in (-1, -2, -3)] == [True, False, False]
+
+
 def test_line_dedup(docs, none):
     keys = collections.defaultdict(list)
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\f\r"))
