@@ -3,7 +3,8 @@
 Card numbers (Luhn), telephone numbers (+1, area code from 2), IPv4 addresses and calendar dates are found, validated
 and permuted within their format: a card number stays a valid one of the same length, first digit and spacing, a date a
 date from 1900 to 2099. The permutation depends on the secret alone, so equal values stay linked over all documents and
-different ones stay apart. E-mail names keep their length and their letters' and digits' places; they are hashed, so
+different ones stay apart. Cards are looked for at each group of a run of digit groups, so a year, an expiry date or a
+security code beside one doesn't hide it. E-mail names keep their length and their letters' and digits' places; they are hashed, so
 equal ones stay linked. Values that fail validation stay.
 
 Defined cases: a null text stays null; repeated rows change alike; an empty table gives no rows; other columns stay.
@@ -20,8 +21,11 @@ from sparkloom.llm._common import TMP, drop_tmp, fenced
 
 ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", 73_049
-#: Groups of four, 4-6-5, or digits alone; not a number that happens to stand before a card's.
-CARD = r"(?<![0-9A-Za-z])(?:[0-9]{4}(?:[ -][0-9]{4}){2,3}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z])"
+#: A run of groups from one of four digits on, with 13 digits at least, or digits alone; it may hold other numbers besides cards.
+CARD = r"(?<![0-9A-Za-z])(?:(?=[0-9](?:[ -]?[0-9]){12})[0-9]{4}(?:[ -][0-9]{1,7})+|[0-9]{13,19})(?![0-9A-Za-z])"
+#: What a card can be at a group's start, longest first: groups of four with or without a last one of up to three digits, other
+#: lengths of the last group, 4-6-5, or digits alone.
+CARD_FORMS = tuple(f"^{x}(?![0-9])" for x in ("[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}", "[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}", "[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}", "[0-9]{13,19}"))
 PHONE = r"\+1[ .-]?\(?[2-9][0-9]{2}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.]*[0-9])"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -81,11 +85,23 @@ def _refill(shape: Column, digits: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
+    """Struct (s, n): the run m with its n cards permuted, each the longest valid one at the first group that begins one."""
+
     def new(d: Column) -> Column:
         body = F.concat(F.substring(d, 1, 1), permute_digits(F.substring(d, F.lit(2), F.length(d) - 2), key, "card"))
         return _let(body, lambda b: F.concat(b, ((10 - _luhn(b, 1) % 10) % 10).cast("string")))
 
-    return _let(_digits(m), lambda d: F.when(_luhn(d, 0) % 10 == 0, _refill(m, new(d))).otherwise(m))
+    def at(state: Column, i: Column) -> Column:
+        rest = F.substring(m, i, F.length(m))
+        starts = (i >= state["next"]) & ((i == 1) | F.substring(m, i - 1, F.lit(1)).isin(" ", "-"))
+        forms = F.when(starts, F.array(*[F.regexp_extract(rest, f, 0) for f in CARD_FORMS])).otherwise(F.array().cast("array<string>"))
+        valid = F.filter(forms, lambda c: (c != "") & (_luhn(_digits(c), 0) % 10 == 0))
+        same = F.struct(F.when(i >= state["next"], F.concat(state["s"], F.substring(m, i, F.lit(1)))).otherwise(state["s"]).alias("s"), state["n"].alias("n"), state["next"].alias("next"))
+        changed = lambda c: F.struct(F.concat(state["s"], _refill(c, new(_digits(c)))).alias("s"), (state["n"] + 1).alias("n"), (i + F.length(c)).alias("next"))
+        return _let(F.get(valid, F.lit(0)), lambda c: F.when(c.isNotNull(), changed(c)).otherwise(same))
+
+    start = F.struct(F.lit("").alias("s"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("next"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(m)), start, at, lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n")))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -122,10 +138,15 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.length(name)), one), ""), F.lit("@"), F.substring_index(m, "@", -1))
 
 
+def _counted(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """Struct (s, n): f of a value, and 1 if that is another."""
+    return lambda m: _let(f(m), lambda x: F.struct(x.alias("s"), (x != m).cast("long").alias("n")))
+
+
 def _kinds(key: str) -> list[tuple[str, str, Callable[[Column], Column]]]:
     in_form = lambda form: lambda m: _date(m, form, key)
-    dates = [(f"date{i}", p, in_form(f)) for i, (p, f) in enumerate(DATES)]
-    return [("email", EMAIL, lambda m: _email(m, key)), ("ip", IP, lambda m: _ip(m, key)), ("card", CARD, lambda m: _card(m, key)), ("phone", PHONE, lambda m: _phone(m, key)), *dates]
+    dates = [(f"date{i}", p, _counted(in_form(f))) for i, (p, f) in enumerate(DATES)]
+    return [("email", EMAIL, _counted(lambda m: _email(m, key))), ("ip", IP, _counted(lambda m: _ip(m, key))), ("card", CARD, lambda m: _card(m, key)), ("phone", PHONE, _counted(lambda m: _phone(m, key))), *dates]
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -135,8 +156,8 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
         text = F.col(f"{TMP}text")
         df = df.withColumn(f"{TMP}old", F.when(text.rlike(pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
         df = df.withColumn(f"{TMP}new", F.transform(f"{TMP}old", new))
-        df = df.withColumn(f"{TMP}n_{name}", F.size(F.filter(F.zip_with(f"{TMP}old", f"{TMP}new", lambda a, b: a != b), lambda x: x)).cast("long"))
-        joined = F.array_join(F.zip_with(F.split(text, pattern, -1), f"{TMP}new", lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")
+        df = df.withColumn(f"{TMP}n_{name}", F.aggregate(f"{TMP}new", F.lit(0).cast("long"), lambda n, x: n + x["n"]))
+        joined = F.array_join(F.zip_with(F.split(text, pattern, -1), f"{TMP}new", lambda gap, x: F.concat(gap, F.coalesce(x["s"], F.lit("")))), "")
         df = df.withColumn(f"{TMP}text", F.when(F.size(f"{TMP}old") > 0, joined).otherwise(text)).drop(f"{TMP}old", f"{TMP}new")
         df = fenced(df, [f"{TMP}text", f"{TMP}n_{name}"])
         names.append(name)

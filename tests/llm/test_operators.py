@@ -233,6 +233,17 @@ def test_pseudonyms(spark, none):
     assert pii.op9(none).count() == 0
 
 
+def test_cards_beside_other_numbers(spark):
+    card, amex = "4111 1111 1111 1111", "3782 822463 10005"
+    texts = [f"{card} 12/27", f"{card.replace(' ', '-')} 123", f"2024 {card}", f"2024 2025 {card} 2026", f"{card} {card}", f"1234 5678 9012 {amex}", f"{card} 12345678", "4111111111111111 123", "1234 5678 9012 3456 7890", "2024-01-05 12:30"]
+    got = [(r.text, r.n_card) for r in pii.op9(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    alone = pii.op9(spark.createDataFrame([(0, card), (1, amex)], "doc_id long, text string")).orderBy("doc_id").collect()
+    new, new_amex = alone[0].text, alone[1].text
+    assert new != card and new_amex != amex
+    assert got[:8] == [(f"{new} 12/27", 1), (f"{new.replace(' ', '-')} 123", 1), (f"2024 {new}", 1), (f"2024 2025 {new} 2026", 1), (f"{new} {new}", 2), (f"1234 5678 9012 {new_amex}", 1), (f"{new} 12345678", 1), (f"{new.replace(' ', '')} 123", 1)]
+    assert got[8] == (texts[8], 0) and got[9][1] == 0
+
+
 def test_feistel_is_a_permutation(spark):
     one = spark.range(1000).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("x"))
     assert one.distinct().count() == 1000 and one.where("length(x) <> 3").count() == 0
