@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,20 @@ from pyspark.sql import functions as F
 def hourly_counters(spark: SparkSession, path: str, retention: str = "24 hours") -> DataFrame:
     """(hour, metric, n) of all event files in path, read as a stream to its end.
 
-    Event time is cast to TIMESTAMP, which watermarks need; the state of an hour is dropped after retention.
+    Event time is cast to TIMESTAMP, which watermarks need; the state of an hour is dropped after retention. The counts of
+    each batch are written to the shared folder, and the stream is awaited without a limit; if it fails, so does this.
     """
     schema = spark.read.parquet(path).schema
     events = spark.readStream.schema(schema).parquet(path.rsplit("/", 1)[0], pathGlobFilter=path.rsplit("/", 1)[1]).withColumn("at", F.col("ts").cast("timestamp"))
     counts = events.withWatermark("at", retention).groupBy(F.window("at", "1 hour"), F.col("event_type").alias("metric")).agg(F.count(F.lit(1)).alias("n"))
-    name = f"hourly_{uuid.uuid4().hex}"
-    stream = counts.writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
-    stream.awaitTermination(300)
-    return spark.table(name).groupBy(F.col("window.start").cast("string").alias("hour"), "metric").agg(F.max("n").alias("n"))
+    counts = counts.select(F.col("window.start").cast("string").alias("hour"), "metric", "n")
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    path = f"{root.rstrip('/')}/hourly-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+
+    keep(spark.createDataFrame([], counts.schema), -1)  # a stream without events has no batch
+    stream = counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{path}/counts").groupBy("hour", "metric").agg(F.max("n").alias("n"))
