@@ -30,7 +30,7 @@ class QualityRules:
     A document diverges if its Jensen-Shannon distance (0 to 1) to its language is over the limit, judged only
     from min_chars characters or min_words words on. Listed words are a quarter of a language's, so a text without any is
     just 0.37 away; therefore a document with fewer listed words than its language also diverges if the distance of the
-    two shares (listed, not listed) is over max_absence_distance. That limit is 2 % of listed words or so, which 50 words
+    two shares (listed, not listed) is over max_absence_distance. That limit is 4 % of listed words or so, which 50 words
     of a clean text fall below once in some ten thousand; a language of which under an eighth is listed can't reach it.
     common_words: length of a language's list; a listed word makes up
     at least min_share of the language's words, so that 1 / min_share bounds the list before it is ranked.
