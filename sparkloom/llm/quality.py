@@ -19,7 +19,11 @@ from sparkloom.llm._common import TMP, drop_tmp, durable, fenced, text_or_empty
 
 #: Characters are peeled off in this order; what is left last is the class "other".
 CLASSES = (r"[a-z]+", r"[\x20\x09-\x0D]+", r"\p{Lu}+", r"\p{L}+", r"\p{N}+", r"[.,;:!?'\"()\-]+")
+#: The place of white space among the classes.
+BLANK = 1
 MAX_BROADCAST_LANGUAGES = 1000
+#: A power of two; a word's slot is the last bits of its hash.
+SLOTS = 1024
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
@@ -49,46 +53,59 @@ class QualityRules:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """A split at one character needs no regular expression, so other white space becomes blanks first."""
+    return F.array_remove(F.split(F.regexp_replace(text, r"[\x09-\x0D]", " "), " "), "")
 
 
 def _peel(df: DataFrame, text: str) -> DataFrame:
-    """Adds TMP+classes: the characters of each class, as an array."""
+    """Adds TMP+classes, the characters of each class as an array, and TMP+other, the characters of the last class."""
     names = [text]
     for i, pattern in enumerate(CLASSES):
         df = df.withColumn(f"{TMP}peel{i}", F.regexp_replace(names[-1], pattern, ""))
         names.append(f"{TMP}peel{i}")
     size = [F.length(n) for n in names] + [F.lit(0)]
     counts = F.array(*[(a - b).cast("double") for a, b in zip(size[:-1], size[1:])])
-    return df.withColumn(f"{TMP}classes", counts).drop(*names[1:])
+    return df.withColumns({f"{TMP}classes": counts, f"{TMP}other": F.col(names[-1])}).drop(*names[1:])
 
 
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rules: QualityRules = QualityRules()) -> DataFrame:
-    """(lang, words, word_shares, class_shares), a row for each language, from all documents.
+    """(lang, words, hashes, slots, word_shares, class_shares), a row for each language, from all documents.
 
-    word_shares[0] is the share of all words that are not listed; word i of the list has word_shares[i], from 1.
+    word_shares[0] is the share of all words that are not listed; word i of the list has word_shares[i], from 1, and
+    hashes[i - 1]. slots[j] tells whether a hash with the last bits j is in the list. Texts are cut into words once; all
+    but the white space of the classes is counted over the distinct words.
     """
     base = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text_or_empty(text_col).alias("text"))
-    words = base.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''").groupBy("lang", "word").count()
-    words = durable(words.where("count > 1"))  # a word seen once is in no list; totals below come from the texts
-    classes = _peel(base, "text").withColumn(f"{TMP}n", F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")))
-    classes = classes.groupBy("lang").agg(F.sum(f"{TMP}n").alias("n"), *[F.sum(F.col(f"{TMP}classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)])
+    words = durable(base.select("lang", F.explode(_words(F.col("text"))).alias("word")).groupBy("lang", "word").count())
+    chars = base.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
+    sums = [F.sum(F.col("count") * F.col(f"{TMP}classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
+    classes = _peel(words, "word").groupBy("lang").agg(F.sum("count").alias("n"), *sums)
+    number = lambda i: F.coalesce(F.col(f"c{i}"), F.lit(0.0))
+    visible = sum((number(i) for i in range(len(CLASSES) + 1)), F.lit(0.0))
+    classes = chars.join(classes, "lang", "left").select("lang", "n", "chars", *[(F.col("chars") - visible if i == BLANK else number(i)).alias(f"c{i}") for i in range(len(CLASSES) + 1)])
     classes = durable(classes)
     frequent = words.join(F.broadcast(classes.select("lang", "n")) if classes.count() <= MAX_BROADCAST_LANGUAGES else classes.select("lang", "n"), "lang")
     frequent = frequent.withColumn("share", F.col("count") / F.col("n")).where(F.col("share") >= rules.min_share)
     ranked = frequent.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= rules.common_words)
     lists = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "share"))).alias("l"))
-    total = sum((F.col(f"c{i}") for i in range(len(CLASSES) + 1)), F.lit(0.0))
     shares = F.coalesce(F.col("l.share"), F.array().cast("array<double>"))
     rest = F.greatest(F.lit(0.0), F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x))
+    listed = F.coalesce(F.col("l.word"), F.array().cast("array<string>"))
+    hashes = F.transform(listed, lambda w: F.xxhash64(w))
     return classes.join(lists, "lang", "left").select(
         "lang",
-        F.coalesce(F.col("l.word"), F.array().cast("array<string>")).alias("words"),
+        listed.alias("words"),
+        hashes.alias("hashes"),
+        F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda j: F.array_contains(F.transform(hashes, _slot), j)).alias("slots"),
         F.concat(F.array(rest), shares).alias("word_shares"),
-        F.array(*[F.when(total > 0, F.col(f"c{i}") / total).otherwise(0.0) for i in range(len(CLASSES) + 1)]).alias("class_shares"),
+        F.array(*[F.when(F.col("chars") > 0, F.col(f"c{i}") / F.col("chars")).otherwise(0.0) for i in range(len(CLASSES) + 1)]).alias("class_shares"),
     )
 
 
+def _slot(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+
+
 def _js_terms(p: Column, q: Column) -> Column:
     """The two terms of the Jensen-Shannon divergence (base 2) for one bin."""
     m = p + q
@@ -104,63 +121,75 @@ def _sum(a: Column) -> Column:
 
 
 def base_counts(docs: DataFrame, text_col: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    return drop_tmp(fenced(_counted(docs, text_col, rules), BASE))
+
+
+def _counted(docs: DataFrame, text_col: str, rules: QualityRules) -> DataFrame:
+    """docs with the columns of BASE, and TMP columns chars (how many), classes and h, the hashes of the words.
 
-    Windows are told apart by a 64-bit hash of the hashes of their words. They are sorted only in documents that have
-    a repeated one.
+    Windows are told apart by a 64-bit hash of the hashes of their words, made from those of windows half as long. They
+    are sorted only in documents that have a repeated one.
     """
     k = rules.window
     t = lambda n: f"{TMP}{n}"
     df = docs.withColumn(t("text"), text_or_empty(text_col)).withColumn(t("words"), _words(F.col(t("text"))))
-    df = df.withColumn(t("lines"), F.filter(F.split(t("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).withColumn(t("h"), F.transform(t("words"), lambda w: F.xxhash64(w)))
-    h = F.col(t("h"))
-    df = df.withColumn(t("g"), F.when(F.size(h) > k, F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))))
-    g = F.col(t("g"))
-    df = df.withColumn(t("s"), F.when(F.size(F.array_distinct(g)) < F.size(g), F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))))
+    df = _peel(df, t("text"))
+    lines = F.filter(F.split(t("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    df = df.withColumn(t("chars"), F.length(t("text"))).withColumns({
+        "n_words": F.size(t("words")).cast("long"),
+        "word_chars": (F.col(t("chars")) - F.col(t("classes"))[BLANK]).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(t("other"), r"[^#*$%&|<>]+", "")).cast("long"),
+        t("lines"): lines,
+        t("h"): F.transform(t("words"), lambda w: F.xxhash64(w)),
+    }).drop(t("words"), t("text"), t("other"))
+    df = df.withColumn("n_dup_lines", (F.size(t("lines")) - F.size(F.array_distinct(t("lines")))).cast("long")).drop(t("lines"))
+    df, width = df.withColumn(t("g1"), F.when(F.size(t("h")) > k, F.col(t("h")))), 1
+    while width < k:  # windows of up to twice as many words, from two that cover them
+        step = min(width, k - width)
+        g, more = F.col(t(f"g{width}")), F.size(t(f"g{width}")) - step
+        df = df.withColumn(t(f"g{width + step}"), F.zip_with(F.slice(g, F.lit(1), more), F.slice(g, F.lit(step + 1), more), lambda x, y: F.xxhash64(x, y))).drop(t(f"g{width}"))
+        width += step
+    g = F.col(t(f"g{k}"))
+    df = df.withColumn(t("s"), F.when(F.size(F.array_distinct(g)) < F.size(g), F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("p")))))).drop(t(f"g{k}"))
     s = F.col(t("s"))
     same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
-    df = df.withColumn(t("p"), F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1))), lambda x: x["p"])))
+    df = df.withColumn(t("p"), F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1))), lambda x: x["p"]))).drop(t("s"))
     p = F.col(t("p"))
     covered = F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(k), F.coalesce(F.get(p, i + 1) - x, F.lit(k)))), F.lit(0).cast("long"), lambda a, x: a + x)
-    df = df.withColumns({
-        "n_words": F.size(t("words")).cast("long"),
-        "word_chars": F.length(F.array_join(t("words"), "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace(t("text"), r"[^#*$%&|<>]+", "")).cast("long"),
-        "n_dup_lines": (F.size(t("lines")) - F.size(F.array_distinct(t("lines")))).cast("long"),
-        "n_repeat_words": F.coalesce(covered, F.lit(0).cast("long")),
-    })
-    df = df.withColumn("base_failed", (F.col("n_words") < rules.min_base_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
-    return fenced(df, BASE)
+    df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop(t("p"))
+    return df.withColumn("base_failed", (F.col("n_words") < rules.min_base_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
 
 
 def judge(docs: DataFrame, references: DataFrame | None = None, text_col: str = "text", lang_col: str = "lang", rules: QualityRules = QualityRules()) -> DataFrame:
     """docs with the base counts, char_distance, word_distance (null below the minimum lengths) and kept."""
     refs = durable(language_references(docs, text_col, lang_col, rules) if references is None else references)
-    refs = refs.select(*[F.col(c).alias(f"{TMP}ref_{c}") for c in ("lang", "words", "word_shares", "class_shares")])
+    refs = refs.select(*[F.col(c).alias(f"{TMP}ref_{c}") for c in ("lang", "hashes", "slots", "word_shares", "class_shares")])
     if refs.count() <= MAX_BROADCAST_LANGUAGES:  # a row has at most common_words words
         refs = F.broadcast(refs)
     t = lambda n: f"{TMP}{n}"
-    df = base_counts(docs, text_col, rules)
-    df = df.join(refs, F.coalesce(F.col(lang_col), F.lit("")) == F.col(t("ref_lang")), "left")
-    df = _peel(df, t("text"))
-    n_chars = F.length(t("text"))
-    bins = [_js_terms(F.col(t("classes"))[i] / n_chars, F.col(t("ref_class_shares"))[i]) for i in range(len(CLASSES) + 1)]
-    df = df.withColumn("char_distance", F.when(n_chars >= rules.min_chars, _distance(sum(bins, F.lit(0.0)))))
-    listed = F.filter(F.transform(t("words"), lambda w: F.array_position(t("ref_words"), w)), lambda x: x > 0)
-    df = df.withColumn(t("idx"), F.sort_array(listed))
+    df = _counted(docs, text_col, rules).withColumn(t("lang"), F.coalesce(F.col(lang_col), F.lit("")))
+    df = df.join(refs, F.col(t("lang")) == F.col(t("ref_lang")), "left")
+    n_chars = F.col(t("chars"))
+    df = df.withColumn(t("shares"), F.when(n_chars >= rules.min_chars, F.array(*[F.col(t("classes"))[i] / n_chars for i in range(len(CLASSES) + 1)]))).drop(t("classes"))
+    bins = [_js_terms(F.col(t("shares"))[i], F.col(t("ref_class_shares"))[i]) for i in range(len(CLASSES) + 1)]
+    near = F.filter(t("h"), lambda x: F.get(t("ref_slots"), _slot(x)))
+    listed = F.filter(F.transform(near, lambda x: F.array_position(t("ref_hashes"), x)), lambda x: x > 0)
+    df = df.withColumns({"char_distance": F.when(F.col(t("shares")).isNotNull(), _distance(sum(bins, F.lit(0.0)))), t("idx"): F.sort_array(listed)}).drop(t("h"), t("shares"))
     idx, q, n = F.col(t("idx")), F.col(t("ref_word_shares")), F.col("n_words")
     df = df.withColumn(t("starts"), F.when(F.size(idx) > 0, F.filter(F.sequence(F.lit(0), F.size(idx) - 1), lambda i: (i == 0) | (F.get(idx, i) != F.get(idx, i - 1)))).otherwise(F.array().cast("array<int>")))
     starts = F.col(t("starts"))
     share = lambda st: F.get(q, F.get(idx, st).cast("int"))
-    there = _sum(F.transform(starts, lambda st, j: _js_terms((F.coalesce(F.get(starts, j + 1), F.size(idx)) - st) / n, share(st))))
+    pairs = F.transform(starts, lambda st, j: F.struct(((F.coalesce(F.get(starts, j + 1), F.size(idx)) - st) / n).alias("p"), share(st).alias("q")))
+    there = _sum(F.transform(pairs, lambda x: _js_terms(x["p"], x["q"])))
     unseen = F.lit(1.0) - F.get(q, F.lit(0)) - _sum(F.transform(starts, share))
     divergence = there + _js_terms((n - F.size(idx)) / n, F.get(q, F.lit(0))) + 0.5 * F.greatest(F.lit(0.0), unseen)
-    df = df.withColumn("word_distance", F.when(n >= rules.min_words, _distance(divergence)))
     listed_share, unlisted = F.size(idx) / n, F.get(q, F.lit(0))
     absence = _distance(_js_terms(F.lit(1.0) - listed_share, unlisted) + _js_terms(listed_share, F.lit(1.0) - unlisted))
     absent = F.when((n >= rules.min_words) & (listed_share < F.lit(1.0) - unlisted), absence > rules.max_absence_distance)
-    apart = F.coalesce(absent, F.lit(False)) | F.coalesce(F.col("char_distance") > rules.max_char_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > rules.max_word_distance, F.lit(False))
-    return drop_tmp(fenced(df.withColumn("kept", ~F.col("base_failed") & ~apart), ["char_distance", "word_distance", "kept"]))
+    df = df.withColumns({"word_distance": F.when(n >= rules.min_words, _distance(divergence)), t("absent"): F.coalesce(absent, F.lit(False))})
+    apart = F.col(t("absent")) | F.coalesce(F.col("char_distance") > rules.max_char_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > rules.max_word_distance, F.lit(False))
+    return drop_tmp(fenced(df.withColumn("kept", ~F.col("base_failed") & ~apart), ["base_failed", "char_distance", "word_distance", "kept"]))
 
 
 def op1(docs: DataFrame) -> DataFrame:
