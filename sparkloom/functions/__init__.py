@@ -1 +1 @@
-
+"""Column functions: text, JSON, numbers, policies and scores."""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.sources.folders import shared_root
+
 
 def cascade(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node): all transitive dependents of each root over edges (key, dependent), the root included.
@@ -15,7 +15,7 @@ def cascade(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     found = new = roots.select(F.col("key").alias("root"), F.col("key").alias("node"))
     while True:
         new = new.join(edges, F.col("node") == F.col("key")).select("root", F.col("dependent").alias("node")).distinct()

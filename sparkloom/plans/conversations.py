@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.functions.policies import compliance_cost, importance, quality
 from sparkloom.plans._registry import query, sql_query
 
 LEN = "CAST(floor(length(text) / 4) AS BIGINT)"
@@ -34,10 +35,63 @@ sql_query("conversation_summary", "SELECT conv_id, count(CASE WHEN role = 'user'
 sql_query("response_gaps", "SELECT conv_id, turn, nxt - turn AS gap FROM (SELECT conv_id, turn, role, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM {conversations}) WHERE role = 'user' AND nxt IS NOT NULL")
 sql_query("status_transitions", "SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS from_role, role AS to_role FROM {conversations}")
 sql_query("escalation_flags", "SELECT conv_id, turn, MATCHES(lower(text), '(^|[^a-z0-9_])(supervisor|escalate|escalation)($|[^a-z0-9_])') AS asks, MATCHES(lower(text), '(speak|talk|transfer|connect)[^.]{0,20}(human|agent|manager|person)') AS wants_human FROM {conversations}")
-sql_query("importance_score", f"SELECT conv_id, turn, round(greatest(CAST(0.0 AS DOUBLE), least(CAST(1.0 AS DOUBLE), CAST(0.5 AS DOUBLE) + CASE WHEN MATCHES(lower(text), 'important|must|decid|error|order|account') THEN CAST(0.2 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END - CASE WHEN MATCHES(lower(text), '^(hi|hello|thanks|ok)') THEN CAST(0.3 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END + CASE WHEN {LEN} > 100 THEN CAST(0.1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)), 6) AS importance FROM {{conversations}}")
-sql_query("quality_score", "SELECT conv_id, round(CAST(0.3 AS DOUBLE) * 50 + CAST(0.25 AS DOUBLE) * greatest(0, 100 - 5 * greatest(n - 10, 0)) + CAST(0.15 AS DOUBLE) * greatest(0, 100 - 20 * empties) + CAST(0.15 AS DOUBLE) * greatest(0, 100 - 50 * runs) + CAST(0.15 AS DOUBLE) * CASE WHEN last_role = 'assistant' THEN 100 ELSE 50 END, 4) AS score FROM (SELECT conv_id, count(*) AS n, count(CASE WHEN length(trim(text)) = 0 THEN 1 END) AS empties, count(CASE WHEN MATCHES(text, '[0-9]{13,16}') THEN 1 END) AS runs, max(CASE WHEN back = 1 THEN role END) AS last_role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM {conversations}) GROUP BY conv_id)")
+REFERENCES = """
+p AS (SELECT conv_id, turn, string_split(trim(lower(text)), ' ') AS w, lower(text) AS low FROM conversations),
+ph AS (SELECT DISTINCT conv_id, turn, array_to_string(w[i:i + 2], ' ') AS phrase FROM p, unnest(range(1, len(w) - 1, 3)) AS u(i) WHERE len(w) >= 3),
+referenced AS (SELECT DISTINCT ph.conv_id, ph.turn FROM ph JOIN p ON p.conv_id = ph.conv_id AND p.turn > ph.turn AND contains(p.low, ph.phrase))
+"""
+
+
+@query(f"""
+WITH {REFERENCES}
+SELECT c.conv_id, c.turn, round(greatest(0, least(1, 0.5::DOUBLE
+  + 0.2 * (regexp_matches(text, 'important', 'i')::INT + regexp_matches(text, 'remember', 'i')::INT + regexp_matches(text, 'critical', 'i')::INT
+    + regexp_matches(text, 'must[ \\t\\n\\r\\f\\v]+(have|do|be)', 'i')::INT + regexp_matches(text, 'requirement', 'i')::INT)
+  - 0.3 * (regexp_matches(text, '^(ok|okay|thanks|thank you|got it)[.]?$', 'i')::INT + regexp_matches(text, '^(yes|no|sure)[.]?$', 'i')::INT)
+  + CASE WHEN length(text) // 4 > 100 THEN 0.1 ELSE 0 END + CASE WHEN r.turn IS NOT NULL THEN 0.25 ELSE 0 END)), 6) AS importance
+FROM conversations c LEFT JOIN referenced r ON r.conv_id = c.conv_id AND r.turn = c.turn
+""")
+def importance_score(t):
+    """The tables have no tool calls."""
+    referenced = message_references(t).withColumn("referenced", F.lit(True))
+    m = t("conversations").join(referenced, ["conv_id", "turn"], "left")
+    score = importance(F.col("text"), F.floor(F.length("text") / 4), F.lit(False), F.coalesce("referenced", F.lit(False)))
+    return m.select("conv_id", "turn", F.round(score, 6).alias("importance"))
+
+
+@query("""
+WITH m AS (
+  SELECT conv_id, turn, role, lower(text) AS low,
+    regexp_extract_all(text, '\\b[0-9]{13,16}\\b') AS runs FROM conversations
+), cost AS (
+  SELECT conv_id, turn, role, low,
+    CASE WHEN len(list_filter(runs, lambda x: list_sum(list_transform(range(1, len(x) + 1), lambda i: CASE WHEN (len(x) - i) % 2 = 1 THEN (x[i]::INT * 2) // 10 + (x[i]::INT * 2) % 10 ELSE x[i]::INT END)) % 10 = 0)) > 0 THEN 50 ELSE 0 END
+    + 10 * (contains(low, 'i promise')::INT + contains(low, 'definitely')::INT + contains(low, 'always')::INT + contains(low, 'never fails')::INT) AS cost
+  FROM m
+), c AS (
+  SELECT conv_id, count(*) AS n, (max(turn) - min(turn)) * 60 AS seconds, sum(cost) AS cost, max_by(role, turn) = 'assistant' AS resolved,
+    bool_or(contains(low, 'supervisor') OR contains(low, 'escalat')) AS escalated FROM cost GROUP BY conv_id
+)
+SELECT conv_id, round(0.3 * greatest(0, 100.0::DOUBLE - CASE WHEN escalated THEN 30 ELSE 0 END - CASE WHEN resolved THEN 0 ELSE 50 END) + 0.25 * 50
+  + 0.15 * greatest(0, 100.0::DOUBLE - CASE WHEN seconds > 600 THEN 20 ELSE 0 END - CASE WHEN seconds > 900 THEN 20 ELSE 0 END - least(100, 2 * greatest(0, n - 15)))
+  + 0.15 * 50 + 0.15 * greatest(0, 100.0::DOUBLE - cost), 4) AS score
+FROM c
+""")
+def quality_score(t):
+    """A conversation that the assistant ends counts as resolved, a turn as a minute, its mood as even; the tables have no transfers."""
+    low = F.lower("text")
+    m = t("conversations").select("conv_id", "turn", "role", compliance_cost(F.col("text")).alias("cost"), (F.contains(low, F.lit("supervisor")) | F.contains(low, F.lit("escalat"))).alias("escalated"))
+    c = m.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), ((F.max("turn") - F.min("turn")) * 60).alias("seconds"), F.sum("cost").alias("cost"), (F.max_by("role", "turn") == "assistant").alias("resolved"), F.bool_or("escalated").alias("escalated"))
+    score = quality(F.col("resolved"), F.col("escalated"), F.lit(0), F.col("seconds"), F.col("n"), F.lit(0.0), F.col("cost"))
+    return c.select("conv_id", F.round(score, 4).alias("score"))
+
+
 sql_query("intent_route", "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'refund') OR contains(lower(text), 'bill') THEN 'billing' WHEN contains(lower(text), 'order') THEN 'orders' WHEN contains(lower(text), 'error') THEN 'technical' ELSE 'triage' END AS agent FROM {conversations} WHERE role = 'user'")
 sql_query("required_skills", "SELECT conv_id, concat_ws(',', CASE WHEN max(CASE WHEN contains(lower(text), 'refund') THEN 1 ELSE 0 END) = 1 THEN 'billing' END, CASE WHEN max(CASE WHEN contains(lower(text), 'error') THEN 1 ELSE 0 END) = 1 THEN 'technical' END, CASE WHEN count(*) > 8 THEN 'senior' END) AS skills FROM {conversations} GROUP BY conv_id")
 sql_query("validate_state", "SELECT conv_id, min(CASE WHEN role IN ('user', 'assistant', 'system') AND text IS NOT NULL AND turn >= 0 THEN 1 ELSE 0 END) = 1 AS valid, count(*) = max(turn) - min(turn) + 1 AS gapless FROM {conversations} GROUP BY conv_id")
 sql_query("context_budget", "SELECT doc_id, tokens, used FROM (SELECT doc_id, source, tokens, sum(tokens) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM (SELECT doc_id, source, n_chars, CAST(floor(length(text) / 4) AS BIGINT) AS tokens FROM {documents})) WHERE used <= 2000", "SELECT doc_id, tokens, used FROM (SELECT doc_id, source, tokens, (sum(tokens) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS used FROM (SELECT doc_id, source, n_chars, CAST(floor(length(text) / 4) AS BIGINT) AS tokens FROM documents)) WHERE used <= 2000")
-sql_query("format_context", "SELECT conv_id, listagg(concat('[', CAST(turn AS STRING), '] (', role, '): ', substr(text, 1, 40)), '|') WITHIN GROUP (ORDER BY turn) AS context FROM {conversations} GROUP BY conv_id", "SELECT conv_id, string_agg(concat('[', turn::VARCHAR, '] (', role, '): ', substr(text, 1, 40)), '|' ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
+sql_query(
+    "format_context",
+    "SELECT conv_id, listagg(concat('[', CAST(turn AS STRING), '] (', role, '): ', text), '|') WITHIN GROUP (ORDER BY turn) AS context FROM {conversations} GROUP BY conv_id",
+    "SELECT conv_id, string_agg(concat('[', turn::VARCHAR, '] (', role, '): ', text), '|' ORDER BY turn) AS context FROM conversations GROUP BY conv_id",
+)

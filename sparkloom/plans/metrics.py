@@ -4,32 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.operators.percentiles import kth
+from sparkloom.operators.rules import tune_threshold
 from sparkloom.plans._registry import query, sql_query
 
 HOUR = "CAST(date_trunc('hour', ts) AS STRING)"
 SORTED = "SELECT event_type, list_sort(list(value)) AS s, count(*) AS n FROM events GROUP BY event_type"
 
 
-def _sorted(t):
-    """Values of a type in order, numbered from 0: no list of a whole type is built in one row."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("event_type")
-    return t("events").select("event_type", "value", (F.row_number().over(w.orderBy("value")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-
-
 @query(f"SELECT event_type, n, s[least(floor(n * 0.95::DOUBLE)::BIGINT, n - 1) + 1] AS p95, s[n // 2 + 1] AS p50 FROM ({SORTED})")
 def pctl_floor(t):
-    p95 = F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)
-    return _sorted(t).groupBy("event_type", "n").agg(F.max(F.when(F.col("i") == p95, F.col("value"))).alias("p95"), F.max(F.when(F.col("i") == F.floor(F.col("n") / 2), F.col("value"))).alias("p50"))
+    p95 = lambda n: F.least(F.floor(n * 0.95), n - 1)
+    return kth(t("events"), "event_type", "value", {"p95": (0.95, p95), "p50": (0.5, lambda n: F.floor(n / 2))})
 
 
 @query(f"SELECT event_type, n, s[round_even(0.95::DOUBLE * (n - 1), 0)::BIGINT + 1] AS p95 FROM ({SORTED})")
 def pctl_nearest(t):
-    return _sorted(t).groupBy("event_type", "n").agg(F.max(F.when(F.col("i") == F.bround(0.95 * (F.col("n") - 1), 0).cast("long"), F.col("value"))).alias("p95"))
+    return kth(t("events"), "event_type", "value", {"p95": (0.95, lambda n: F.bround(0.95 * (n - 1), 0).cast("long"))})
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
+def pctl_linear(t):
+    at = lambda n: F.lit(0.99) * (n - 1)
+    both = kth(t("events"), "event_type", "value", {"low": (0.99, lambda n: F.floor(at(n))), "high": (0.99, lambda n: F.ceil(at(n)))})
+    part = at(F.col("n")) - F.floor(at(F.col("n")))
+    return both.select("event_type", F.round(F.col("low") + (F.col("high") - F.col("low")) * part, 6).alias("p99"))
 
 
-sql_query("pctl_linear", "SELECT event_type, round(percentile(value, CAST(0.99 AS DOUBLE)), 6) AS p99 FROM {events} GROUP BY event_type", "SELECT event_type, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 sql_query("hourly_counters", f"SELECT {HOUR} AS hour, event_type AS metric, count(*) AS n FROM {{events}} GROUP BY 1, 2")
 sql_query("platform_report", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS most FROM {events} WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00' GROUP BY event_type")
 sql_query("sla_report", "SELECT day, failures * 100 <= n * 25 AS failures_ok, mean <= 50 AS latency_ok, CASE WHEN failures * 10 > n THEN 'review failing tools' ELSE 'none' END AS advice FROM (SELECT CAST(date_trunc('day', ts) AS STRING) AS day, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS failures, avg(value) AS mean FROM {events} GROUP BY 1)", "SELECT day, failures * 100 <= n * 25 AS failures_ok, mean <= 50 AS latency_ok, CASE WHEN failures * 10 > n THEN 'review failing tools' ELSE 'none' END AS advice FROM (SELECT CAST(CAST(date_trunc('day', ts) AS TIMESTAMP) AS STRING) AS day, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS failures, avg(value) AS mean FROM events GROUP BY 1)")
@@ -52,5 +53,20 @@ sql_query("latest_checkpoint", "SELECT user_id, event_id, event_type FROM (SELEC
 sql_query("checkpoint_every_n", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM {events}) WHERE nth % 10 = 0")
 sql_query("props_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM {events}", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 sql_query("decisions_today", "SELECT event_type, count(*) AS n FROM {events} WHERE date_trunc('day', ts) = (SELECT date_trunc('day', max(ts)) FROM {events}) GROUP BY event_type")
-sql_query("should_reindex", "SELECT user_id, CASE WHEN errors * CAST(1 AS DOUBLE) / n > CAST(0.3 AS DOUBLE) THEN 'fragmentation' WHEN most > 500 THEN 'latency' ELSE 'none' END AS reason FROM (SELECT user_id, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors, max(value) AS most FROM {events} GROUP BY user_id)")
-sql_query("threshold_tuning", "SELECT bucket, round(2 * tp / (tp + fp + total), 6) AS f1 FROM (SELECT bucket, sum(good) OVER (ORDER BY bucket DESC) AS tp, sum(n - good) OVER (ORDER BY bucket DESC) AS fp, sum(good) OVER () AS total FROM (SELECT CAST(floor(value) AS BIGINT) AS bucket, count(*) AS n, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS good FROM {events} GROUP BY 1))")
+sql_query("should_reindex", "SELECT user_id, CASE WHEN isnan(most) THEN 'latency' WHEN errors * CAST(1 AS DOUBLE) / n > CAST(0.3 AS DOUBLE) THEN 'fragmentation' WHEN most > 500 THEN 'latency' ELSE 'none' END AS reason FROM (SELECT user_id, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors, max(value) AS most FROM {events} GROUP BY user_id)")
+
+
+@query("""
+WITH b AS (
+  SELECT round_even(value / 100, 2) AS bucket, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS good FROM events GROUP BY 1
+), c AS (
+  SELECT a.bucket, sum(o.n) AS hits, sum(o.good) AS hit_good, (SELECT sum(good) FROM b) AS total FROM b a JOIN b o ON o.bucket >= a.bucket GROUP BY a.bucket
+), f AS (
+  SELECT bucket, CASE WHEN hit_good > 0 THEN 2 * (hit_good / hits) * (hit_good / total) / (hit_good / hits + hit_good / total) ELSE 0 END AS f1 FROM c
+)
+SELECT bucket AS recommended, round(f1, 9) AS f1, (SELECT sum(n)::BIGINT FROM b) AS n, NULL::VARCHAR AS note FROM f ORDER BY round(f1, 12) DESC, bucket DESC LIMIT 1
+""")
+def threshold_tuning(t):
+    """The value of an event, in hundredths, as a similarity; a purchase as a right answer."""
+    e = t("events").select((F.col("value") / 100).alias("similarity"), (F.col("event_type") == "purchase").alias("correct"))
+    return tune_threshold(e, "similarity", "correct")

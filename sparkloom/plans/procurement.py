@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from sparkloom.plans._registry import sql_query
+from pyspark.sql import functions as F
+
+from sparkloom.functions import policies as P
+from sparkloom.operators.rules import Rule, delegate, evaluate
+from sparkloom.plans._registry import query, sql_query
 
 LEVEL = "CASE WHEN {0} > 1000000 THEN 'board' WHEN {0} > 100000 THEN 'executive' WHEN {0} > 25000 THEN 'vp' WHEN {0} > 5000 THEN 'director' WHEN {0} > 500 THEN 'manager' ELSE 'auto' END"
 RANK = "CASE {0} WHEN 'auto' THEN 0 WHEN 'manager' THEN 1 WHEN 'director' THEN 2 WHEN 'vp' THEN 3 WHEN 'executive' THEN 4 ELSE 5 END"
@@ -11,12 +15,39 @@ ASOF = "(SELECT max(o_orderdate) FROM {orders})"
 sql_query("approval_level", f"SELECT o_orderkey, {LEVEL.format('o_totalprice')} AS level FROM {{orders}}")
 sql_query("request_totals", "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS total, count(*) AS n_items, sum(CASE WHEN l_discount > 0 THEN 1 ELSE 0 END) AS discounted FROM {lineitem} GROUP BY l_orderkey", "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS total, count(*) AS n_items, sum(CASE WHEN l_discount > 0 THEN 1 ELSE 0 END)::BIGINT AS discounted FROM lineitem GROUP BY l_orderkey")
 sql_query("procurement_summary", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, count(CASE WHEN o_totalprice > 100000 THEN 1 END) AS large FROM {orders} GROUP BY o_orderstatus")
-sql_query("risk_score", "SELECT k, least(100, score) AS score, CASE WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level FROM (SELECT o_orderkey AS k, max(CASE WHEN o_totalprice > 300000 THEN 30 WHEN o_totalprice > 100000 THEN 15 ELSE 0 END) + 20 * count(CASE WHEN s_acctbal < 0 THEN 1 END) + max(CASE WHEN o_orderpriority = '1-URGENT' THEN 10 ELSE 0 END) AS score FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey LEFT JOIN {supplier} ON s_suppkey = l_suppkey GROUP BY o_orderkey)")
+@query("""
+SELECT k, score, CASE WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level FROM (
+  SELECT o_orderkey AS k, least(100, CASE WHEN o_totalprice > 300000 THEN 30 WHEN o_totalprice > 100000 THEN 15 ELSE 0 END
+    + 25 * ((count(l_orderkey) = 0)::BIGINT + count(*) FILTER (l_discount > 0.09)) + 20 * count(*) FILTER (s_acctbal < 0)
+    + CASE WHEN o_orderpriority = '1-URGENT' THEN 10 ELSE 0 END) AS score
+  FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN supplier ON s_suppkey = l_suppkey
+  GROUP BY o_orderkey, o_totalprice, o_orderpriority)
+""")
+def risk_score(t):
+    """Issues of high severity: a request without items, and each discount above 9 %."""
+    items = t("lineitem").join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    items = items.groupBy("l_orderkey").agg(F.count_if(F.col("l_discount") > 0.09).alias("issues"), F.count_if(F.col("s_acctbal") < 0).alias("risky"))
+    o = t("orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    issues = F.coalesce("issues", F.lit(1).cast("long"))
+    policy = P.RiskPolicy(high_amount=300_000.0, some_amount=100_000.0)
+    score = P.risk_score(F.col("o_totalprice"), issues, F.coalesce("risky", F.lit(0).cast("long")), F.col("o_orderpriority") == "1-URGENT", policy)
+    return o.select(F.col("o_orderkey").alias("k"), score.alias("score"), P.risk_level(score, policy).alias("level"))
 sql_query("auto_approval", "SELECT o_orderkey, o_totalprice <= 50000 AND min(CASE WHEN s_suppkey IS NULL OR s_acctbal >= 0 THEN 1 ELSE 0 END) = 1 AS automatic FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey LEFT JOIN {supplier} ON s_suppkey = l_suppkey GROUP BY o_orderkey, o_totalprice")
 APPROVERS = "(VALUES (1, 'manager', 5000), (2, 'director', 25000), (3, 'vp', 100000), (4, 'vp', 60000), (5, 'executive', 0)) AS a(reg, lvl, most)"
 sql_query("approver_candidates", f"SELECT o_orderkey, count(*) AS candidates, min(reg) AS first FROM (SELECT o_orderkey, o_totalprice, {LEVEL.format('o_totalprice')} AS level FROM {{orders}}) o JOIN {APPROVERS} ON {RANK.format('lvl')} >= {RANK.format('level')} AND (most = 0 OR o_totalprice <= most) GROUP BY o_orderkey")
 sql_query("approval_routing", f"SELECT o_orderkey, level, reg FROM (SELECT o_orderkey, level, reg, row_number() OVER (PARTITION BY o_orderkey ORDER BY CASE WHEN lvl = level THEN 0 ELSE 1 END, reg) AS nth FROM (SELECT o_orderkey, o_totalprice, {LEVEL.format('o_totalprice')} AS level FROM {{orders}}) o JOIN {APPROVERS} ON {RANK.format('lvl')} >= {RANK.format('level')} AND (most = 0 OR o_totalprice <= most)) WHERE nth = 1")
-sql_query("delegations", "SELECT o_orderkey, coalesce(d.delegate, o.approver) AS approver FROM (SELECT o_orderkey, o_orderdate, o_orderkey % 5 + 1 AS approver FROM {orders}) o LEFT JOIN (VALUES (1, 4, DATE '1996-01-01'), (3, 5, DATE '1999-01-01')) AS d(approver, delegate, until) ON d.approver = o.approver AND o.o_orderdate <= d.until")
+@query("""
+WITH o AS (SELECT o_orderkey, o_orderdate, (o_orderkey % 5 + 1)::INT AS approver FROM orders),
+d(pos, approver, delegate, until) AS (VALUES (0, 1, 99, NULL), (1, 1, 4, TIMESTAMP '1996-01-01'), (2, 1, 2, NULL), (3, 3, 5, TIMESTAMP '1999-01-01'), (4, 3, 1, TIMESTAMP '1997-01-01'))
+SELECT o_orderkey, coalesce((SELECT min_by(delegate, pos) FROM d WHERE d.approver = o.approver AND delegate BETWEEN 1 AND 5 AND (until IS NULL OR until >= o_orderdate)), approver)::INT AS approver FROM o
+""")
+def delegations(t):
+    """The first delegate of approver 1 isn't registered, two rules of one approver overlap, and one ends."""
+    spark = t("orders").sparkSession
+    rows = [(0, 1, 99, None), (1, 1, 4, "1996-01-01"), (2, 1, 2, None), (3, 3, 5, "1999-01-01"), (4, 3, 1, "1997-01-01")]
+    rules = spark.createDataFrame(rows, "pos int, approver int, delegate int, until string").withColumn("until", F.col("until").cast("timestamp_ntz"))
+    chain = t("orders").select("o_orderkey", F.col("o_orderdate").alias("at"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("approver"))
+    return delegate(chain, rules, spark.range(1, 6).select(F.col("id").cast("int").alias("id"))).select("o_orderkey", F.col("acting").alias("approver"))
 sql_query("budget_running", "SELECT o_orderkey, c_mktsegment, round(sum(o_totalprice) OVER (PARTITION BY c_mktsegment, date_trunc('month', o_orderdate) ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS spent FROM {orders} JOIN {customer} ON o_custkey = c_custkey")
 sql_query("contract_join", "SELECT l_orderkey, l_linenumber, CASE WHEN p_retailprice < l_extendedprice / l_quantity THEN p_retailprice END AS contract_price FROM {lineitem} LEFT JOIN {part} ON l_partkey = p_partkey")
 sql_query("contract_savings", "SELECT l_orderkey, round(sum(greatest(CAST(0 AS DOUBLE), l_extendedprice - p_retailprice * l_quantity)), 2) AS savings FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY l_orderkey")
@@ -36,5 +67,14 @@ sql_query("top_requesters", "SELECT o_custkey, count(*) AS n FROM {orders} GROUP
 sql_query("top_categories", "SELECT p_type, count(DISTINCT l_orderkey) AS n FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_type ORDER BY n DESC, p_type LIMIT 5")
 sql_query("approval_state", "SELECT l_orderkey, 4 * greatest(1, count(*)) AS hours, min(CASE WHEN l_linestatus = 'O' THEN l_linenumber END) AS first_pending, count(CASE WHEN l_linestatus = 'O' THEN 1 END) = 0 AS complete FROM {lineitem} GROUP BY l_orderkey")
 sql_query("purchase_orders", "SELECT l_orderkey, concat('PO-', CAST(l_orderkey AS STRING)) AS po, listagg(concat(CAST(l_linenumber AS STRING), ':', CAST(l_partkey AS STRING)), ',') WITHIN GROUP (ORDER BY l_linenumber, l_partkey) AS items FROM {lineitem} GROUP BY l_orderkey", "SELECT l_orderkey, concat('PO-', l_orderkey::VARCHAR) AS po, string_agg(concat(l_linenumber::VARCHAR, ':', l_partkey::VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS items FROM lineitem GROUP BY l_orderkey")
-sql_query("rule_engine", "SELECT o_orderkey, rule, holds FROM (SELECT o_orderkey, 'positive' AS rule, o_totalprice > 0 AS holds FROM {orders} UNION ALL SELECT o_orderkey, 'known_status', o_orderstatus IN ('O', 'F', 'P') FROM {orders} UNION ALL SELECT o_orderkey, 'below_cap', o_totalprice < 400000 FROM {orders})")
+RULES = [Rule("positive", "o_totalprice > 0"), Rule("known_status", "o_orderstatus IN ('O', 'F', 'P')"), Rule("below_cap", "o_totalprice < 400000", "medium"), Rule("urgent_small", "o_orderpriority <> '1-URGENT' OR o_totalprice < 250000", "low")]
+
+
+@query("""
+SELECT o_orderkey, u.r.rule AS rule, u.r.severity AS severity, u.r.holds AS holds FROM orders, unnest([
+  {'rule': 'positive', 'severity': 'high', 'holds': o_totalprice > 0}, {'rule': 'known_status', 'severity': 'high', 'holds': o_orderstatus IN ('O', 'F', 'P')},
+  {'rule': 'below_cap', 'severity': 'medium', 'holds': o_totalprice < 400000}, {'rule': 'urgent_small', 'severity': 'low', 'holds': NOT (o_orderpriority = '1-URGENT' AND o_totalprice >= 250000)}]) AS u(r)
+""")
+def rule_engine(t):
+    return evaluate(t("orders"), RULES, ["o_orderkey"])
 sql_query("diagnostic_findings", "SELECT l_orderkey, count(CASE WHEN l_tax > CAST(0.07 AS DOUBLE) THEN 1 END) AS critical, count(*) AS findings FROM {lineitem} GROUP BY l_orderkey")

@@ -1,28 +1,115 @@
-"""Queries that need Python or a stream; SQL says the one that it can."""
+"""Queries that need Python or a stream; SQL says those that it can."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions.embedding import hash_embed as embed
+from sparkloom.operators import chunking as C
 from sparkloom.operators import sequential as S
+from sparkloom.operators.ingest import ingest
 from sparkloom.plans._registry import ORACLE_SQL, QUERIES, query
+from sparkloom.sources.folders import new_folder
 from sparkloom.streaming.counters import hourly_counters
 
+SENTENCES = r"""
+string_split(
+  regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+([A-Z])', '\1' || chr(1) || '\2', 'g'), '(\n)\n+', '\1' || chr(1), 'g'),
+  chr(1))
+"""
+
 
 @query()
 def chunk_fixed(t):
-    return S.fixed_chunks(t("documents"))
+    return C.fixed_chunks(t("documents"))
+
+
+@query(f"""
+SELECT doc_id, len(s) AS n_sentences, list_sum(list_transform(s, lambda x: length(x)))::BIGINT AS chars FROM (
+  SELECT doc_id, list_filter(list_transform({SENTENCES}, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS s FROM documents)
+WHERE len(s) > 0
+""")
+def split_sentences(t):
+    s = t("documents").select("doc_id", C.sentences(F.col("text")).alias("s")).where("size(s) > 0")
+    return s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.expr("aggregate(s, 0L, (a, x) -> a + length(x))").alias("chars"))
+
+
+@query()
+def chunk_sentence(t):
+    return C.sentence_chunks(t("documents"))
+
+
+@query()
+def chunk_semantic(t):
+    """Sentences are embedded by hashing; a document's sentences and vectors are one row."""
+    s = t("documents").select("doc_id", F.posexplode(C.sentences(F.col("text"), C.ANY_SENTENCE_END)).alias("pos", "text"))
+    vectors = embed(s).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "text", "embedding"))).alias("s"))
+    return C.semantic_chunks(vectors.select("doc_id", F.col("s.text").alias("sentences"), F.col("s.embedding").alias("vectors")))
+
+
+@query()
+def chunk_hierarchical(t):
+    return C.hierarchical_chunks(t("documents"))
+
+
+@query()
+def chunk_parents(t):
+    return C.with_children(C.hierarchical_chunks(t("documents"))).select("doc_id", "chunk_id", "place", "child_ids")
 
 
 @query()
 def hash_embed(t):
-    return S.hash_embed(t("documents"))
+    return embed(t("documents").select("doc_id", "text")).select("doc_id", "embedding")
+
+
+QUERIES["kb_ingest"] = lambda spark, sf_dir: ingest(spark.read.parquet(f"{sf_dir}/documents.parquet"), new_folder(spark, "store"))
 
 
 @query()
 def budget_admission(t):
     o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return S.admit(o.select(F.col("c_mktsegment").alias("cost_center"), F.date_format("o_orderdate", "yyyy-MM").alias("period"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount")), 5_000_000.0)
+    own = o.select(F.col("c_mktsegment").alias("cost_center"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"))
+    return S.admit(own, 1_000_000.0, 5_000_000.0).select("cost_center", "id", "admitted", F.round("spent_day", 2).alias("spent_day"), F.round("spent_month", 2).alias("spent_month"))
+
+
+def _seconds(name: str = "ts"):
+    return F.unix_micros(F.col(name).cast("timestamp")) / 1e6
+
+
+@query()
+def task_lifecycle(t):
+    """A user's events drive a task: views claim it, errors fail it, purchases complete it, clicks pause and signups resume it."""
+    names = F.create_map(*[F.lit(x) for x in ("view", "claim", "error", "fail", "purchase", "complete", "click", "pause", "signup", "resume")])
+    e = t("events").select(F.col("user_id").alias("task_id"), _seconds().alias("at"), F.col("event_id").alias("id"), names[F.col("event_type")].alias("event"))
+    return S.life_cycle(e).select("task_id", "id", "event", "status", "attempt", "accepted")
+
+
+@query()
+def scaling_replay(t):
+    """Hours of events as readings of one pool."""
+    h = t("events").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).cast("int").alias("depth"), (F.avg("value") * 40).alias("latency_ms"), F.count_if(F.col("value") < 10).cast("int").alias("idle"))
+    m = h.select(F.lit("all").alias("pool"), _seconds("hour").alias("at"), "depth", "latency_ms", "idle")
+    return S.autoscale(m, S.Scaling(up_depth=8, per_worker=3)).select("at", "change", "workers")
+
+
+@query()
+def circuit_replay(t):
+    e = t("events").select(F.col("user_id").alias("provider"), _seconds().alias("at"), F.col("event_id").alias("id"), (F.col("event_type") == "error").alias("failed"))
+    return S.circuit_breaker(e, threshold=2, open_seconds=86_400.0).select("id", "allowed", "failures")
+
+
+@query()
+def checkpoint_adaptive(t):
+    e = t("events").select(F.col("user_id").alias("task_id"), _seconds().alias("at"), F.col("event_id").alias("id"), F.col("value").alias("cost"))
+    return S.checkpoints(e, 3600.0, 86_400.0, 50.0).select("id", "checkpoint")
+
+
+@query()
+def semantic_cache_replay(t):
+    """Vectors come in order of their number, a second apart, to one cache for each label."""
+    e = t("embeddings").select(F.col("label").alias("shard"), F.col("vec_id").cast("double").alias("at"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    found = S.replay_semantic_cache(e, S.CacheRules(threshold=0.4, same=0.9, near_miss=0.3, ttl=1e9, entries=40))
+    return found.select("id", "hit", F.round("similarity", 6).alias("similarity"), "matched", "near_miss")
 
 
 QUERIES["stream_hourly_counters"] = lambda spark, sf_dir: hourly_counters(spark, f"{sf_dir}/events.parquet")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.operators import retrieval as R
+from sparkloom.operators.merge import apply_changes
 from sparkloom.plans._registry import query, sql_query
-from sparkloom.plans.text import BM25, bm25
+from sparkloom.plans.text import BM25, bm25, searches
 
 V = "list_transform(embedding, lambda x: x::DOUBLE)"
 NEAR = f"e AS (SELECT vec_id, label, {V} AS v FROM embeddings), near AS (SELECT a.vec_id AS query, b.vec_id AS id, b.label, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id % 100 = 0)"
@@ -14,42 +15,44 @@ RANKED = "SELECT query, id, score, label, rank FROM (SELECT *, row_number() OVER
 FUSE = BM25.rstrip() + f", {NEAR}, kw AS (SELECT query, doc AS id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM bm), ve AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM near WHERE query IN (SELECT query FROM bm)), both_sides AS (SELECT 'k' AS side, * FROM kw WHERE rank <= 20 UNION ALL SELECT 'v', * FROM ve WHERE rank <= 20)"
 
 
-def near(t, where: str = "true"):
-    queries = t("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), R.doubles(F.col("embedding")).alias("q"))
-    return R.nearest(t("embeddings").where(where), queries)
+def asked(t):
+    return t("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), R.doubles(F.col("embedding")).alias("q"))
+
+
+def best(t, k: int, where: str = "true", others_only: bool = False):
+    found = R.nearest_k(t("embeddings").where(where), asked(t), k, others_only=others_only)
+    return found.select("query", "id", "score", "label", "rank")
 
 
 @query(f"WITH {NEAR} " + RANKED.format(where="", k=10))
 def vector_topk(t):
-    return R.top_k(near(t), 10, "query", "score", "id").select("query", "id", "score", "label", "rank")
+    return best(t, 10)
 
 
 @query(f"WITH {NEAR} " + RANKED.format(where=" WHERE label = 3", k=5))
 def vector_topk_filtered(t):
-    return R.top_k(near(t, "label = 3"), 5, "query", "score", "id").select("query", "id", "score", "label", "rank")
+    return best(t, 5, "label = 3")
 
 
 @query(f"WITH {NEAR} " + RANKED.format(where=" WHERE label >= 5 AND id >= 100", k=5))
 def vector_topk_range_filter(t):
-    return R.top_k(near(t, "label >= 5 AND vec_id >= 100"), 5, "query", "score", "id").select("query", "id", "score", "label", "rank")
+    return best(t, 5, "label >= 5 AND vec_id >= 100")
 
 
 @query(f"WITH e AS (SELECT vec_id, label, {V} AS v FROM embeddings) SELECT b.vec_id, round(1 - (1 - list_cosine_similarity(a.v, b.v)), 6) AS similarity FROM e a, e b WHERE a.vec_id = 0 AND b.label = 2 ORDER BY 2 DESC, 1 LIMIT 5")
 def pgvector_topk(t):
     one = t("embeddings").where("vec_id = 0").select(F.col("vec_id").alias("query"), R.doubles(F.col("embedding")).alias("q"))
-    return R.nearest(t("embeddings").where("label = 2"), one).select(F.col("id").alias("vec_id"), F.col("score").alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(5)
+    return R.nearest_k(t("embeddings").where("label = 2"), one, 5).select(F.col("id").alias("vec_id"), F.col("score").alias("similarity"))
 
 
 @query(f"WITH {NEAR} SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM near WHERE id <> query) WHERE rank = 1 AND score >= 0.35")
 def semantic_cache_lookup(t):
-    best = R.top_k(near(t).where("id <> query"), 1, "query", "score", "id")
-    return best.where("score >= 0.35D").select("query", "id", "score")
+    return best(t, 1, others_only=True).where("score >= 0.35D").select("query", "id", "score")
 
 
 @query(f"WITH {NEAR} SELECT query, CASE WHEN score >= 0.95 THEN id END AS id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM near WHERE id <> query) WHERE rank = 1")
 def semantic_lookup_quality(t):
-    best = R.top_k(near(t).where("id <> query"), 1, "query", "score", "id")
-    return best.select("query", F.when(F.col("score") >= 0.95, F.col("id")).alias("id"), "score")
+    return best(t, 1, others_only=True).select("query", F.when(F.col("score") >= 0.95, F.col("id")).alias("id"), "score")
 
 
 @query(f"WITH {NEAR} SELECT id, score, query FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY query, rank) AS first FROM ({RANKED.format(where='', k=10)})) WHERE first = 1) WHERE r2 <= 20")
@@ -57,14 +60,16 @@ def multi_query_merge(t):
     """The first hit of each id over the queries in order, then the 20 best."""
     from pyspark.sql import Window as W
 
-    hits = R.top_k(near(t), 10, "query", "score", "id").withColumn("first", F.row_number().over(W.partitionBy("id").orderBy("query", "rank"))).where("first = 1")
+    hits = best(t, 10).withColumn("first", F.row_number().over(W.partitionBy("id").orderBy("query", "rank"))).where("first = 1")
     return hits.select("id", "score", "query").orderBy(F.desc("score"), "id").limit(20)
 
 
 def sides(t):
-    kw = bm25(t).select("query", F.col("doc").alias("id"), "score")
-    ve = near(t).join(F.broadcast(t("benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query"))), "query").select("query", "id", "score")
-    return R.top_k(kw, 20, "query", "score", "id").withColumn("side", F.lit("k")).unionByName(R.top_k(ve, 20, "query", "score", "id").withColumn("side", F.lit("v")))
+    """The 20 best of each side, for the queries that have a text and a vector."""
+    queries = asked(t).join(F.broadcast(t("benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query"))), "query", "left_semi")
+    kw = R.top_k(bm25(t).select("query", F.col("doc").alias("id"), "score"), 20, "query", "score", "id")
+    ve = R.nearest_k(t("embeddings"), queries, 20).select("query", "id", "score", "rank")
+    return kw.withColumn("side", F.lit("k")).unionByName(ve.withColumn("side", F.lit("v")))
 
 
 @query(FUSE + " SELECT query, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (SELECT query, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM both_sides GROUP BY query, id)) WHERE rank <= 10")
@@ -93,9 +98,62 @@ def matryoshka_truncate(t):
 
 @query(f"WITH {NEAR} SELECT query, label, round(least(avg(score), 1.0), 5) AS confidence FROM near GROUP BY query, label")
 def rag_confidence(t):
-    return near(t).groupBy("query", "label").agg(F.round(F.least(F.avg("score"), F.lit(1.0)), 5).alias("confidence"))
+    return R.nearest(t("embeddings"), asked(t)).groupBy("query", "label").agg(F.round(F.least(F.avg("score"), F.lit(1.0)), 5).alias("confidence"))
 
 
 sql_query("lsh_bucket", "SELECT vec_id, sha2(array_join(transform(slice(embedding, 1, 64), x -> CASE WHEN x > 0 THEN '1' ELSE '0' END), ''), 256) AS bucket FROM {embeddings}", "SELECT vec_id, sha256(array_to_string(list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')) AS bucket FROM embeddings")
 sql_query("embedding_preview", "SELECT vec_id, size(embedding) AS dim, transform(slice(embedding, 1, 8), x -> round(CAST(x AS DOUBLE), 4)) AS head FROM {embeddings}", "SELECT vec_id, len(embedding)::INT AS dim, list_transform(embedding[1:8], lambda x: round(x::DOUBLE, 4)) AS head FROM embeddings")
-sql_query("vector_upsert", "SELECT vec_id, label, CAST(0 AS INT) AS version FROM {embeddings} a WHERE NOT vec_id % 10 = 0 UNION ALL SELECT vec_id, label + 100, CAST(1 AS INT) FROM {embeddings} WHERE vec_id % 10 = 0")
+
+
+@query("""
+SELECT coalesce(b.vec_id, c.vec_id) AS vec_id, CASE WHEN c.vec_id IS NULL THEN b.label ELSE c.label END AS label,
+  CASE WHEN c.vec_id IS NULL THEN 0 ELSE 1 END AS version
+FROM (SELECT vec_id, label FROM embeddings WHERE label < 7) b
+FULL JOIN (SELECT vec_id, label + 100 AS label FROM embeddings WHERE label >= 5) c ON b.vec_id = c.vec_id
+""")
+def vector_upsert(t):
+    """A store of the vectors of seven labels takes in those of five: two are replaced, three are new."""
+    e = t("embeddings")
+    base = e.where("label < 7").select("vec_id", "label", F.lit(0).alias("version"))
+    changes = e.where("label >= 5").select("vec_id", F.lit("upsert").alias("op"), F.lit(1).alias("seq"), (F.col("label") + 100).alias("label"), F.lit(1).alias("version"))
+    return apply_changes(base, changes, "vec_id")
+
+
+@query()
+def ann_search(t):
+    return ann_search_of(t)
+
+
+def ann_search_of(t):
+    """The ten nearest by sign codes; every vector is in the index."""
+    index = R.sign_codes(t("embeddings"))
+    queries = R.sign_codes(asked(t), id_col="query", vec_col="q")
+    return R.approximate_k(index, queries, 10)
+
+
+@query()
+def ann_recall(t):
+    """How many of each query's ten nearest the search by sign codes finds."""
+    exact = best(t, 10).select("query", "id")
+    found = exact.join(ann_search_of(t).select("query", "id", F.lit(1).alias("hit")), ["query", "id"], "left")
+    return found.groupBy("query").agg(F.count("hit").alias("found"), F.count(F.lit(1)).alias("wanted"))
+
+
+@query(BM25.rstrip() + """,
+first AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM bm),
+sets AS (SELECT query, list(term) AS terms FROM q GROUP BY query),
+again AS (
+  SELECT query, doc AS id, score AS original_score,
+    round(len(list_filter(terms, lambda x: list_contains(w, x))) / len(terms)::DOUBLE, 6) AS score
+  FROM first JOIN w USING (doc) JOIN sets USING (query) WHERE rank <= 200)
+SELECT query, id, score, original_score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, original_score DESC, id) AS rank FROM again) WHERE rank <= 10
+""")
+def rerank(t):
+    """The 200 best by BM25, ordered anew by the share of the query's words that are in the text."""
+    first = R.top_k(bm25(t), 200, "query", "score", "doc").withColumnRenamed("doc", "id")
+    texts = t("documents").select(F.col("doc_id").alias("id"), F.array_distinct(R.tokens(F.col("text"))).alias("own"))
+    asked_words = searches(t).select("query", F.array_distinct(R.tokens(F.col("text"))).alias("terms"))
+    both = first.join(texts, "id").join(F.broadcast(asked_words), "query")
+    share = F.round(F.size(F.array_intersect("terms", "own")) / F.size("terms"), 6)
+    return R.rerank(both, share, 10).select("query", "id", "score", "original_score", "rank")

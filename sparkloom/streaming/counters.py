@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.sources.folders import new_folder
+
 
 def hourly_counters(spark: SparkSession, path: str, retention: str = "24 hours") -> DataFrame:
     """(hour, metric, n) of all event files in path, read as a stream to its end.
@@ -19,8 +18,7 @@ def hourly_counters(spark: SparkSession, path: str, retention: str = "24 hours")
     events = spark.readStream.schema(schema).parquet(path.rsplit("/", 1)[0], pathGlobFilter=path.rsplit("/", 1)[1]).withColumn("at", F.col("ts").cast("timestamp"))
     counts = events.withWatermark("at", retention).groupBy(F.window("at", "1 hour"), F.col("event_type").alias("metric")).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select(F.col("window.start").cast("string").alias("hour"), "metric", "n")
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{root.rstrip('/')}/hourly-{uuid.uuid4().hex}"
+    path = new_folder(spark, "hourly")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/counts/batch={number}")

@@ -42,4 +42,5 @@ def test_against_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
 def test_runs(spark, name):
-    assert plans.QUERIES[name](spark, DATA).columns
+    """These are held against plain Python in test_library."""
+    assert plans.QUERIES[name](spark, DATA).count() > 0
