@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that this process has made and not removed.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir; a local one is made only where that is unset (tests)."""
+    """A new folder in spark.checkpoint.dir. Only a local session without that setting (tests) gets a local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/sl-{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/sl-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -32,10 +41,17 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared file system."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """The folders made inside are removed at the end: nothing that reads them may be left to run."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        del _made[before:]
 
 
 def text_or_empty(name: str) -> Column:
