@@ -21,6 +21,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +38,6 @@ from sparkloom.llm._graph import components
 WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b == 95 or b >= 128 else 32 for b in range(256))
 #: Keeps a text and itself twice over alike: the weights of shared shingles differ little.
 TF_DAMPING = 8
-MASK = np.uint64(0xFFFF)
 
 
 @dataclass(frozen=True)
@@ -67,8 +67,12 @@ class _Words(dict):
         return h
 
 
+def _split(text: str) -> list[bytes]:
+    return text.lower().encode().translate(WORD_BYTES).split()
+
+
 def _hashes(text: str, cache: _Words) -> np.ndarray:
-    words = text.lower().encode().translate(WORD_BYTES).split()
+    words = _split(text)
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
@@ -109,65 +113,57 @@ def _gamma2() -> np.ndarray:
 
 
 class Sampler:
-    """Consistent weighted samples: for each of size seeds, a shingle and its quantised weight."""
+    """Consistent weighted samples, and samples of the set: for each of the seeds, a shingle and its quantised weight, and the
+    least hash of a shingle. Both kinds come from one hash of the shingle and the seed."""
 
-    def __init__(self, size: int, seed: int):
-        self.odd = np.random.default_rng(seed).integers(1, 1 << 63, size, np.uint64) * np.uint64(2) + np.uint64(1)
+    def __init__(self, weighted: int, of_set: int, seed: int):
+        self.weighted, self.of_set = weighted, of_set
+        self.odd = np.random.default_rng(seed).integers(1, 1 << 63, max(weighted, of_set), np.uint64) * np.uint64(2) + np.uint64(1)
         self.r = _gamma2()
-        self.inverse, self.ln_c = (1 / self.r).astype(np.float32), np.log(self.r)
+        self.ln_c = np.log(self.r)
 
-    def __call__(self, shingles: np.ndarray, weights: np.ndarray, chunk: int = 1024) -> np.ndarray:
-        best = np.full(len(self.odd), np.inf, np.float32)
-        out = np.zeros(len(self.odd), np.uint64)
-        ln_w, cols = np.log(weights), np.arange(len(self.odd))
+    def __call__(self, shingles: np.ndarray, weights: np.ndarray, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+        n = self.weighted
+        best, out = np.full(n, np.inf, np.float32), np.zeros(n, np.uint64)
+        least_hash = np.full(self.of_set, np.iinfo(np.uint64).max)
+        ln_w, cols = np.log(weights), np.arange(n)
         for a in range(0, len(shingles), chunk):
             x = shingles[a : a + chunk]
             z = x[:, None] * self.odd
             z ^= z >> np.uint64(32)
             z *= np.uint64(0xD6E8FEB86659FD93)
-            z ^= z >> np.uint64(32)
-            i = (z & MASK).astype(np.int32)
-            beta = ((z >> np.uint64(32)) & MASK).astype(np.float32) * np.float32(1 / 65536)
-            t = np.floor(ln_w[a : a + chunk, None] * self.inverse[i] + beta)
-            ln_a = self.ln_c[((z >> np.uint64(16)) & MASK).astype(np.int32)] - self.r[i] * (t - beta + 1)
-            at = ln_a.argmin(0)
-            least = ln_a[at, cols]
+            np.minimum(least_hash, z[:, : self.of_set].min(0), out=least_hash)
+            lanes = z[:, :n].view(np.uint16).reshape(len(x), n, 4)  # the three higher ones are independent
+            r = self.r.take(lanes[..., 1])
+            beta = lanes[..., 3] * np.float32(1 / 65536)
+            t = ln_w[a : a + chunk, None] / r
+            t += beta
+            np.floor(t, out=t)
+            beta -= t
+            beta -= np.float32(1)
+            beta *= r
+            beta += self.ln_c.take(lanes[..., 2])  # ln a = ln c - r (t - beta + 1)
+            at = beta.argmin(0)
+            least = beta[at, cols]
             better = least < best
             best[better] = least[better]
             sample = (x[at] ^ (t[at, cols].astype(np.int64).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x9E3779B97F4A7C15)
             out[better] = sample[better]
-        return out
-
-
-class SetSampler:
-    """Samples of the set: for each of size seeds, the least hash of a shingle."""
-
-    def __init__(self, size: int, seed: int):
-        self.odd = np.random.default_rng(seed).integers(1, 1 << 63, size, np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def __call__(self, shingles: np.ndarray, chunk: int = 1024) -> np.ndarray:
-        out = np.full(len(self.odd), np.iinfo(np.uint64).max)
-        for a in range(0, len(shingles), chunk):
-            z = shingles[a : a + chunk, None] * self.odd
-            z ^= z >> np.uint64(32)
-            z *= np.uint64(0xD6E8FEB86659FD93)
-            np.minimum(out, z.min(0), out=out)
-        return out
+        return out, least_hash
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache, count = _Words(), {}
+    count: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
-        keys = np.fromiter(count.keys(), np.uint64, len(count)).view(np.int64)
+        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, count), np.uint64, len(count)).view(np.int64)
         values = np.fromiter(count.values(), np.int64, len(count))
         count.clear()
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values)], ["word", "n"])
 
     for batch in batches:
         for text in batch.column(0):
-            for h in set(_hashes(text.as_py(), cache).tolist()):
-                count[h] = count.get(h, 0) + 1
+            count.update(set(_split(text.as_py())))
             if len(count) > 1 << 20:
                 yield flush()
     if count:
@@ -220,8 +216,8 @@ def _banded(samples: np.ndarray, rows: int) -> np.ndarray:
 
 def _sketch(common, rules: NearDupRules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, weights, sampler = _Words(), Weights(common.value, rules.shingle), Sampler(rules.bands * rules.rows, rules.seed)
-        of_set = SetSampler(rules.set_bands * rules.rows, rules.seed + 1)
+        cache, weights = _Words(), Weights(common.value, rules.shingle)
+        sampler = Sampler(rules.bands * rules.rows, rules.set_bands * rules.rows, rules.seed)
         for batch in batches:
             out, signs, sizes, sums = [], [], [], []
             for text in batch.column(batch.schema.get_field_index("text")):
@@ -232,9 +228,9 @@ def _sketch(common, rules: NearDupRules):
                     out.append([])
                     signs.append([])
                     continue
-                samples = sampler(shingles, w)
+                samples, of_set = sampler(shingles, w)
                 signs.append(_signature(samples))
-                out.append(np.concatenate([_banded(samples, rules.rows), _banded(of_set(shingles), rules.rows)]).tolist())
+                out.append(np.concatenate([_banded(samples, rules.rows), _banded(of_set, rules.rows)]).tolist())
             rest = [i for i, n in enumerate(batch.schema.names) if n != "text"]
             made = [pa.array(out, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), *made], [*(batch.schema.names[i] for i in rest), "bands", "signature", "size", "weight"])
@@ -303,10 +299,10 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """(id, key, node, group_id) for each row of docs: key identifies id and text, node the text, group_id the group."""
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(common_words(docs, text_col, rules))
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base, kind = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), docs.schema[id_col].dataType.simpleString()
     filled = F.col("text").isNotNull() & (F.col("text") != "")
     keyed = base.withColumn("node", F.when(filled, row_key("text"))).withColumn("key", row_key("id", "text")).withColumn("text", text_or_empty("text"))
-    sketches = durable(keyed.mapInArrow(_sketch(common, rules), "id long, node string, key string, bands array<long>, signature array<long>, size long, weight double"))
+    sketches = durable(keyed.mapInArrow(_sketch(common, rules), f"id {kind}, node string, key string, bands array<long>, signature array<long>, size long, weight double"))
     nodes = durable(sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("id", "key"))["key"].alias("key"), *[F.first(c).alias(c) for c in ("bands", "signature", "size", "weight")]))
     rows = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
     sizes = rows.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -392,7 +388,7 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ru
     found = near_duplicates(docs, text_col, id_col, rules)
     heads = found.where(F.col("id").eqNullSafe(F.col("group_id"))).groupBy("key").agg(F.count(F.lit(1)).alias(f"{TMP}n"), F.first("node").alias(f"{TMP}node"), F.first("group_id").alias(f"{TMP}group"))
     # Rows of one group with the same id but other texts: the least key stays.
-    first = heads.groupBy(F.coalesce(f"{TMP}group", F.xxhash64("key")).alias("g"), F.when(F.col(f"{TMP}node").isNull(), F.col("key")).alias("alone")).agg(F.min("key").alias("key"))
+    first = heads.groupBy(F.col(f"{TMP}group").alias("g"), F.when(F.col(f"{TMP}node").isNull() | F.col(f"{TMP}group").isNull(), F.col("key")).alias("alone")).agg(F.min("key").alias("key"))
     heads = durable(heads.join(durable(first.select("key")), "key").select(F.col("key").alias(f"{TMP}key"), f"{TMP}n", f"{TMP}node"))
     rows = docs.withColumn(f"{TMP}key", row_key(id_col, text_col)).join(heads, f"{TMP}key")
     repeated = (F.col(f"{TMP}n") > 1) & F.col(f"{TMP}node").isNotNull()
