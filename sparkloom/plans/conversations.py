@@ -30,11 +30,39 @@ def message_references(t):
 
 
 sql_query("last_n_messages", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM {conversations}) WHERE back <= 10")
-sql_query("compaction_split", "SELECT conv_id, turn, CASE WHEN back <= greatest(10, CAST(floor(n / 3) AS BIGINT)) THEN 'keep' ELSE 'compact' END AS part FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM {conversations})")
-sql_query("conversation_summary", "SELECT conv_id, count(CASE WHEN role = 'user' THEN 1 END) AS customer_messages, count(*) AS messages, count(DISTINCT role) AS n_roles, max(turn) - min(turn) AS duration FROM {conversations} GROUP BY conv_id")
-sql_query("response_gaps", "SELECT conv_id, turn, nxt - turn AS gap FROM (SELECT conv_id, turn, role, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM {conversations}) WHERE role = 'user' AND nxt IS NOT NULL")
+sql_query(
+    "compaction_split",
+    """
+    SELECT conv_id, turn, CASE WHEN back <= greatest(10, CAST(floor(n / 3) AS BIGINT)) THEN 'keep' ELSE 'compact' END AS part
+    FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n
+      FROM {conversations})
+    """,
+)
+sql_query(
+    "conversation_summary",
+    """
+    SELECT conv_id, count(CASE WHEN role = 'user' THEN 1 END) AS customer_messages, count(*) AS messages, count(DISTINCT role) AS n_roles, max(turn) - min(turn) AS duration
+    FROM {conversations}
+    GROUP BY conv_id
+    """,
+)
+sql_query(
+    "response_gaps",
+    """
+    SELECT conv_id, turn, nxt - turn AS gap
+    FROM (SELECT conv_id, turn, role, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt
+      FROM {conversations})
+    WHERE role = 'user' AND nxt IS NOT NULL
+    """,
+)
 sql_query("status_transitions", "SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS from_role, role AS to_role FROM {conversations}")
-sql_query("escalation_flags", "SELECT conv_id, turn, MATCHES(lower(text), '(^|[^a-z0-9_])(supervisor|escalate|escalation)($|[^a-z0-9_])') AS asks, MATCHES(lower(text), '(speak|talk|transfer|connect)[^.]{0,20}(human|agent|manager|person)') AS wants_human FROM {conversations}")
+sql_query(
+    "escalation_flags",
+    """
+    SELECT conv_id, turn, MATCHES(lower(text), '(^|[^a-z0-9_])(supervisor|escalate|escalation)($|[^a-z0-9_])') AS asks, MATCHES(lower(text), '(speak|talk|transfer|connect)[^.]{0,20}(human|agent|manager|person)') AS wants_human
+    FROM {conversations}
+    """,
+)
 REFERENCES = """
 p AS (SELECT conv_id, turn, string_split(trim(lower(text)), ' ') AS w, lower(text) AS low FROM conversations),
 ph AS (SELECT DISTINCT conv_id, turn, array_to_string(w[i:i + 2], ' ') AS phrase FROM p, unnest(range(1, len(w) - 1, 3)) AS u(i) WHERE len(w) >= 3),
@@ -86,12 +114,53 @@ def quality_score(t):
     return c.select("conv_id", F.round(score, 4).alias("score"))
 
 
-sql_query("intent_route", "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'refund') OR contains(lower(text), 'bill') THEN 'billing' WHEN contains(lower(text), 'order') THEN 'orders' WHEN contains(lower(text), 'error') THEN 'technical' ELSE 'triage' END AS agent FROM {conversations} WHERE role = 'user'")
-sql_query("required_skills", "SELECT conv_id, concat_ws(',', CASE WHEN max(CASE WHEN contains(lower(text), 'refund') THEN 1 ELSE 0 END) = 1 THEN 'billing' END, CASE WHEN max(CASE WHEN contains(lower(text), 'error') THEN 1 ELSE 0 END) = 1 THEN 'technical' END, CASE WHEN count(*) > 8 THEN 'senior' END) AS skills FROM {conversations} GROUP BY conv_id")
-sql_query("validate_state", "SELECT conv_id, min(CASE WHEN role IN ('user', 'assistant', 'system') AND text IS NOT NULL AND turn >= 0 THEN 1 ELSE 0 END) = 1 AS valid, count(*) = max(turn) - min(turn) + 1 AS gapless FROM {conversations} GROUP BY conv_id")
-sql_query("context_budget", "SELECT doc_id, tokens, used FROM (SELECT doc_id, source, tokens, sum(tokens) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM (SELECT doc_id, source, n_chars, CAST(floor(length(text) / 4) AS BIGINT) AS tokens FROM {documents})) WHERE used <= 2000", "SELECT doc_id, tokens, used FROM (SELECT doc_id, source, tokens, (sum(tokens) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS used FROM (SELECT doc_id, source, n_chars, CAST(floor(length(text) / 4) AS BIGINT) AS tokens FROM documents)) WHERE used <= 2000")
+sql_query(
+    "intent_route",
+    """
+    SELECT conv_id, turn, CASE WHEN contains(lower(text), 'refund') OR contains(lower(text), 'bill') THEN 'billing' WHEN contains(lower(text), 'order') THEN 'orders' WHEN contains(lower(text), 'error') THEN 'technical' ELSE 'triage' END AS agent
+    FROM {conversations}
+    WHERE role = 'user'
+    """,
+)
+sql_query(
+    "required_skills",
+    """
+    SELECT conv_id, concat_ws(',', CASE WHEN max(CASE WHEN contains(lower(text), 'refund') THEN 1 ELSE 0 END) = 1 THEN 'billing' END, CASE WHEN max(CASE WHEN contains(lower(text), 'error') THEN 1 ELSE 0 END) = 1 THEN 'technical' END, CASE WHEN count(*) > 8 THEN 'senior' END) AS skills
+    FROM {conversations}
+    GROUP BY conv_id
+    """,
+)
+sql_query(
+    "validate_state",
+    """
+    SELECT conv_id, min(CASE WHEN role IN ('user', 'assistant', 'system') AND text IS NOT NULL AND turn >= 0 THEN 1 ELSE 0 END) = 1 AS valid, count(*) = max(turn) - min(turn) + 1 AS gapless
+    FROM {conversations}
+    GROUP BY conv_id
+    """,
+)
+sql_query(
+    "context_budget",
+    """
+    SELECT doc_id, tokens, used
+    FROM (SELECT doc_id, source, tokens, sum(tokens) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used
+      FROM (SELECT doc_id, source, n_chars, CAST(floor(length(text) / 4) AS BIGINT) AS tokens
+        FROM {documents}))
+    WHERE used <= 2000
+    """,
+    """
+    SELECT doc_id, tokens, used
+    FROM (SELECT doc_id, source, tokens, (sum(tokens) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS used
+      FROM (SELECT doc_id, source, n_chars, CAST(floor(length(text) / 4) AS BIGINT) AS tokens
+        FROM documents))
+    WHERE used <= 2000
+    """,
+)
 sql_query(
     "format_context",
-    "SELECT conv_id, listagg(concat('[', CAST(turn AS STRING), '] (', role, '): ', text), '|') WITHIN GROUP (ORDER BY turn) AS context FROM {conversations} GROUP BY conv_id",
+    """
+    SELECT conv_id, listagg(concat('[', CAST(turn AS STRING), '] (', role, '): ', text), '|') WITHIN GROUP ( ORDER BY turn) AS context
+    FROM {conversations}
+    GROUP BY conv_id
+    """,
     "SELECT conv_id, string_agg(concat('[', turn::VARCHAR, '] (', role, '): ', text), '|' ORDER BY turn) AS context FROM conversations GROUP BY conv_id",
 )

@@ -32,28 +32,151 @@ def pctl_linear(t):
 
 
 sql_query("hourly_counters", f"SELECT {HOUR} AS hour, event_type AS metric, count(*) AS n FROM {{events}} GROUP BY 1, 2")
-sql_query("platform_report", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS most FROM {events} WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00' GROUP BY event_type")
-sql_query("sla_report", "SELECT day, failures * 100 <= n * 25 AS failures_ok, mean <= 50 AS latency_ok, CASE WHEN failures * 10 > n THEN 'review failing tools' ELSE 'none' END AS advice FROM (SELECT CAST(date_trunc('day', ts) AS STRING) AS day, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS failures, avg(value) AS mean FROM {events} GROUP BY 1)", "SELECT day, failures * 100 <= n * 25 AS failures_ok, mean <= 50 AS latency_ok, CASE WHEN failures * 10 > n THEN 'review failing tools' ELSE 'none' END AS advice FROM (SELECT CAST(CAST(date_trunc('day', ts) AS TIMESTAMP) AS STRING) AS day, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS failures, avg(value) AS mean FROM events GROUP BY 1)")
-sql_query("realtime_stats", "SELECT count(*) AS total, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS resolved, round(count(CASE WHEN event_type = 'purchase' THEN 1 END) * CAST(100 AS DOUBLE) / greatest(count(*), 1), 6) AS automation FROM {events} WHERE ts >= (SELECT date_trunc('hour', max(ts)) FROM {events})")
-sql_query("hit_rates", "SELECT user_id, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS hits, count(CASE WHEN event_type = 'view' THEN 1 END) AS misses, round(coalesce(count(CASE WHEN event_type = 'purchase' THEN 1 END) * CAST(1 AS DOUBLE) / nullif(count(CASE WHEN event_type IN ('purchase', 'view') THEN 1 END), 0), 0), 6) AS hit_rate FROM {events} GROUP BY user_id")
-sql_query("savings_report", "SELECT user_id, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 4) AS saved, round(sum(CASE WHEN event_type = 'view' THEN value ELSE 0 END), 4) AS incurred FROM {events} GROUP BY user_id")
+sql_query(
+    "platform_report",
+    """
+    SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS most
+    FROM {events}
+    WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'
+    GROUP BY event_type
+    """,
+)
+sql_query(
+    "sla_report",
+    """
+    SELECT day, failures * 100 <= n * 25 AS failures_ok, mean <= 50 AS latency_ok, CASE WHEN failures * 10 > n THEN 'review failing tools' ELSE 'none' END AS advice
+    FROM (SELECT CAST(date_trunc('day', ts) AS STRING) AS day, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS failures, avg(value) AS mean
+      FROM {events}
+      GROUP BY 1)
+    """,
+    """
+    SELECT day, failures * 100 <= n * 25 AS failures_ok, mean <= 50 AS latency_ok, CASE WHEN failures * 10 > n THEN 'review failing tools' ELSE 'none' END AS advice
+    FROM (SELECT CAST(CAST(date_trunc('day', ts) AS TIMESTAMP) AS STRING) AS day, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS failures, avg(value) AS mean
+      FROM events
+      GROUP BY 1)
+    """,
+)
+sql_query(
+    "realtime_stats",
+    """
+    SELECT count(*) AS total, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS resolved, round(count(CASE WHEN event_type = 'purchase' THEN 1 END) * CAST(100 AS DOUBLE) / greatest(count(*), 1), 6) AS automation
+    FROM {events}
+    WHERE ts >= (SELECT date_trunc('hour', max(ts))
+      FROM {events})
+    """,
+)
+sql_query(
+    "hit_rates",
+    """
+    SELECT user_id, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS hits, count(CASE WHEN event_type = 'view' THEN 1 END) AS misses, round(coalesce(count(CASE WHEN event_type = 'purchase' THEN 1 END) * CAST(1 AS DOUBLE) / nullif(count(CASE WHEN event_type IN ('purchase', 'view') THEN 1 END), 0), 0), 6) AS hit_rate
+    FROM {events}
+    GROUP BY user_id
+    """,
+)
+sql_query(
+    "savings_report",
+    """
+    SELECT user_id, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 4) AS saved, round(sum(CASE WHEN event_type = 'view' THEN value ELSE 0 END), 4) AS incurred
+    FROM {events}
+    GROUP BY user_id
+    """,
+)
 sql_query("prometheus_lines", "SELECT concat('events_total{type=\"', event_type, '\"} ', CAST(count(*) AS STRING)) AS line FROM {events} GROUP BY event_type")
 sql_query("low_csat_alerts", "SELECT event_id, user_id FROM {events} WHERE event_type = 'click' AND value <= 2")
-sql_query("sliding_latency", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS mean_100 FROM {events}")
+sql_query(
+    "sliding_latency",
+    """
+    SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS mean_100
+    FROM {events}
+    """,
+)
 sql_query("incoming_rate", f"SELECT user_id, round(greatest(CAST(0 AS DOUBLE), avg(n - before)), 6) AS rate FROM (SELECT user_id, n, lag(n) OVER (PARTITION BY user_id ORDER BY hour) AS before, row_number() OVER (PARTITION BY user_id ORDER BY hour DESC) AS back FROM (SELECT user_id, {HOUR} AS hour, count(*) AS n FROM {{events}} GROUP BY 1, 2)) WHERE back <= 10 GROUP BY user_id")
-sql_query("failure_streaks", "SELECT user_id, max(len) AS longest FROM (SELECT user_id, grp, count(*) AS len FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS grp FROM {events}) WHERE event_type = 'error' GROUP BY user_id, grp) GROUP BY user_id")
-sql_query("adaptive_ttl", "SELECT user_id, round(greatest(CAST(30 AS DOUBLE), least(CAST(86400 AS DOUBLE), 3600 * least(CAST(2 AS DOUBLE), 1 + n * CAST(1 AS DOUBLE) / 100) * greatest(CAST(0.25 AS DOUBLE), 1 - CAST(0.5 AS DOUBLE) * errors / n))), 6) AS ttl FROM (SELECT user_id, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM {events} GROUP BY user_id)")
-sql_query("ttl_expired", "SELECT event_id, SECONDS(ts, (SELECT max(ts) FROM {events})) > 86400 AS expired, greatest(0, 86400 - SECONDS(ts, (SELECT max(ts) FROM {events}))) AS remaining FROM {events}")
-sql_query("stale_workers", "SELECT user_id, SECONDS(max(ts), (SELECT max(ts) FROM {events})) AS silent FROM {events} GROUP BY user_id HAVING SECONDS(max(ts), (SELECT max(ts) FROM {events})) > 3600")
-sql_query("scaling_metrics", "SELECT user_id, round(avg(CASE WHEN value > 0 THEN value * 1000 END), 4) AS mean_ms, count(CASE WHEN value <= 1 THEN 1 END) AS idle FROM {events} GROUP BY user_id", "SELECT user_id, round(avg(CASE WHEN value > 0 THEN value * 1000 END), 4) AS mean_ms, count(CASE WHEN value <= 1 THEN 1 END) AS idle FROM events GROUP BY user_id")
+sql_query(
+    "failure_streaks",
+    """
+    SELECT user_id, max(len) AS longest
+    FROM (SELECT user_id, grp, count(*) AS len
+      FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS grp
+        FROM {events})
+      WHERE event_type = 'error'
+      GROUP BY user_id, grp)
+    GROUP BY user_id
+    """,
+)
+sql_query(
+    "adaptive_ttl",
+    """
+    SELECT user_id, round(greatest(CAST(30 AS DOUBLE), least(CAST(86400 AS DOUBLE), 3600 * least(CAST(2 AS DOUBLE), 1 + n * CAST(1 AS DOUBLE) / 100) * greatest(CAST(0.25 AS DOUBLE), 1 - CAST(0.5 AS DOUBLE) * errors / n))), 6) AS ttl
+    FROM (SELECT user_id, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors
+      FROM {events}
+      GROUP BY user_id)
+    """,
+)
+sql_query(
+    "ttl_expired",
+    """
+    SELECT event_id, SECONDS(ts, (SELECT max(ts)
+        FROM {events})) > 86400 AS expired, greatest(0, 86400 - SECONDS(ts, (SELECT max(ts)
+          FROM {events}))) AS remaining
+    FROM {events}
+    """,
+)
+sql_query(
+    "stale_workers",
+    """
+    SELECT user_id, SECONDS(max(ts), (SELECT max(ts)
+        FROM {events})) AS silent
+    FROM {events}
+    GROUP BY user_id
+    HAVING SECONDS(max(ts), (SELECT max(ts)
+        FROM {events})) > 3600
+    """,
+)
+sql_query(
+    "scaling_metrics",
+    """
+    SELECT user_id, round(avg(CASE WHEN value > 0 THEN value * 1000 END), 4) AS mean_ms, count(CASE WHEN value <= 1 THEN 1 END) AS idle
+    FROM {events}
+    GROUP BY user_id
+    """,
+    """
+    SELECT user_id, round(avg(CASE WHEN value > 0 THEN value * 1000 END), 4) AS mean_ms, count(CASE WHEN value <= 1 THEN 1 END) AS idle
+    FROM events
+    GROUP BY user_id
+    """,
+)
 sql_query("scaling_decision", f"SELECT hour, n, CASE WHEN n > 20 OR mean > 80 THEN 'up' WHEN n < 5 THEN 'down' ELSE 'stay' END AS decision FROM (SELECT {HOUR} AS hour, count(*) AS n, avg(value) AS mean FROM {{events}} GROUP BY 1)")
 sql_query("workers_needed", f"SELECT hour, CAST(floor((n + n * 5) / CAST(50 AS DOUBLE)) AS BIGINT) + 1 AS workers FROM (SELECT {HOUR} AS hour, count(*) AS n FROM {{events}} GROUP BY 1)")
-sql_query("idempotent_submit", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nth FROM {events}) WHERE nth = 1")
-sql_query("latest_checkpoint", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM {events}) WHERE nth = 1")
+sql_query(
+    "idempotent_submit",
+    """
+    SELECT user_id, event_type, event_id
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nth
+      FROM {events})
+    WHERE nth = 1
+    """,
+)
+sql_query(
+    "latest_checkpoint",
+    """
+    SELECT user_id, event_id, event_type
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth
+      FROM {events})
+    WHERE nth = 1
+    """,
+)
 sql_query("checkpoint_every_n", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM {events}) WHERE nth % 10 = 0")
 sql_query("props_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM {events}", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 sql_query("decisions_today", "SELECT event_type, count(*) AS n FROM {events} WHERE date_trunc('day', ts) = (SELECT date_trunc('day', max(ts)) FROM {events}) GROUP BY event_type")
-sql_query("should_reindex", "SELECT user_id, CASE WHEN isnan(most) THEN 'latency' WHEN errors * CAST(1 AS DOUBLE) / n > CAST(0.3 AS DOUBLE) THEN 'fragmentation' WHEN most > 500 THEN 'latency' ELSE 'none' END AS reason FROM (SELECT user_id, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors, max(value) AS most FROM {events} GROUP BY user_id)")
+sql_query(
+    "should_reindex",
+    """
+    SELECT user_id, CASE WHEN isnan(most) THEN 'latency' WHEN errors * CAST(1 AS DOUBLE) / n > CAST(0.3 AS DOUBLE) THEN 'fragmentation' WHEN most > 500 THEN 'latency' ELSE 'none' END AS reason
+    FROM (SELECT user_id, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors, max(value) AS most
+      FROM {events}
+      GROUP BY user_id)
+    """,
+)
 
 
 @query("""

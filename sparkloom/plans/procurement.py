@@ -13,8 +13,27 @@ RANK = "CASE {0} WHEN 'auto' THEN 0 WHEN 'manager' THEN 1 WHEN 'director' THEN 2
 ASOF = "(SELECT max(o_orderdate) FROM {orders})"
 
 sql_query("approval_level", f"SELECT o_orderkey, {LEVEL.format('o_totalprice')} AS level FROM {{orders}}")
-sql_query("request_totals", "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS total, count(*) AS n_items, sum(CASE WHEN l_discount > 0 THEN 1 ELSE 0 END) AS discounted FROM {lineitem} GROUP BY l_orderkey", "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS total, count(*) AS n_items, sum(CASE WHEN l_discount > 0 THEN 1 ELSE 0 END)::BIGINT AS discounted FROM lineitem GROUP BY l_orderkey")
-sql_query("procurement_summary", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, count(CASE WHEN o_totalprice > 100000 THEN 1 END) AS large FROM {orders} GROUP BY o_orderstatus")
+sql_query(
+    "request_totals",
+    """
+    SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS total, count(*) AS n_items, sum(CASE WHEN l_discount > 0 THEN 1 ELSE 0 END) AS discounted
+    FROM {lineitem}
+    GROUP BY l_orderkey
+    """,
+    """
+    SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS total, count(*) AS n_items, sum(CASE WHEN l_discount > 0 THEN 1 ELSE 0 END)::BIGINT AS discounted
+    FROM lineitem
+    GROUP BY l_orderkey
+    """,
+)
+sql_query(
+    "procurement_summary",
+    """
+    SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, count(CASE WHEN o_totalprice > 100000 THEN 1 END) AS large
+    FROM {orders}
+    GROUP BY o_orderstatus
+    """,
+)
 @query("""
 SELECT k, score, CASE WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level FROM (
   SELECT o_orderkey AS k, least(100, CASE WHEN o_totalprice > 300000 THEN 30 WHEN o_totalprice > 100000 THEN 15 ELSE 0 END
@@ -32,7 +51,16 @@ def risk_score(t):
     policy = P.RiskPolicy(high_amount=300_000.0, some_amount=100_000.0)
     score = P.risk_score(F.col("o_totalprice"), issues, F.coalesce("risky", F.lit(0).cast("long")), F.col("o_orderpriority") == "1-URGENT", policy)
     return o.select(F.col("o_orderkey").alias("k"), score.alias("score"), P.risk_level(score, policy).alias("level"))
-sql_query("auto_approval", "SELECT o_orderkey, o_totalprice <= 50000 AND min(CASE WHEN s_suppkey IS NULL OR s_acctbal >= 0 THEN 1 ELSE 0 END) = 1 AS automatic FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey LEFT JOIN {supplier} ON s_suppkey = l_suppkey GROUP BY o_orderkey, o_totalprice")
+sql_query(
+    "auto_approval",
+    """
+    SELECT o_orderkey, o_totalprice <= 50000 AND min(CASE WHEN s_suppkey IS NULL OR s_acctbal >= 0 THEN 1 ELSE 0 END) = 1 AS automatic
+    FROM {orders}
+    JOIN {lineitem} ON o_orderkey = l_orderkey
+    LEFT JOIN {supplier} ON s_suppkey = l_suppkey
+    GROUP BY o_orderkey, o_totalprice
+    """,
+)
 APPROVERS = "(VALUES (1, 'manager', 5000), (2, 'director', 25000), (3, 'vp', 100000), (4, 'vp', 60000), (5, 'executive', 0)) AS a(reg, lvl, most)"
 sql_query("approver_candidates", f"SELECT o_orderkey, count(*) AS candidates, min(reg) AS first FROM (SELECT o_orderkey, o_totalprice, {LEVEL.format('o_totalprice')} AS level FROM {{orders}}) o JOIN {APPROVERS} ON {RANK.format('lvl')} >= {RANK.format('level')} AND (most = 0 OR o_totalprice <= most) GROUP BY o_orderkey")
 sql_query("approval_routing", f"SELECT o_orderkey, level, reg FROM (SELECT o_orderkey, level, reg, row_number() OVER (PARTITION BY o_orderkey ORDER BY CASE WHEN lvl = level THEN 0 ELSE 1 END, reg) AS nth FROM (SELECT o_orderkey, o_totalprice, {LEVEL.format('o_totalprice')} AS level FROM {{orders}}) o JOIN {APPROVERS} ON {RANK.format('lvl')} >= {RANK.format('level')} AND (most = 0 OR o_totalprice <= most)) WHERE nth = 1")
@@ -48,25 +76,131 @@ def delegations(t):
     rules = spark.createDataFrame(rows, "pos int, approver int, delegate int, until string").withColumn("until", F.col("until").cast("timestamp_ntz"))
     chain = t("orders").select("o_orderkey", F.col("o_orderdate").alias("at"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("approver"))
     return delegate(chain, rules, spark.range(1, 6).select(F.col("id").cast("int").alias("id"))).select("o_orderkey", F.col("acting").alias("approver"))
-sql_query("budget_running", "SELECT o_orderkey, c_mktsegment, round(sum(o_totalprice) OVER (PARTITION BY c_mktsegment, date_trunc('month', o_orderdate) ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS spent FROM {orders} JOIN {customer} ON o_custkey = c_custkey")
-sql_query("contract_join", "SELECT l_orderkey, l_linenumber, CASE WHEN p_retailprice < l_extendedprice / l_quantity THEN p_retailprice END AS contract_price FROM {lineitem} LEFT JOIN {part} ON l_partkey = p_partkey")
-sql_query("contract_savings", "SELECT l_orderkey, round(sum(greatest(CAST(0 AS DOUBLE), l_extendedprice - p_retailprice * l_quantity)), 2) AS savings FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY l_orderkey")
-sql_query("best_vendor", "SELECT n_name, s_suppkey, s_acctbal FROM (SELECT n_name, s_suppkey, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS nth FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey) WHERE nth = 1")
-sql_query("duplicate_requests", "SELECT a.o_orderkey, min(b.o_orderkey) AS duplicate_of FROM {orders} a JOIN {orders} b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND a.o_orderstatus = b.o_orderstatus AND b.o_orderkey < a.o_orderkey AND abs(a.o_totalprice - b.o_totalprice) < 500 GROUP BY a.o_orderkey")
-sql_query("customer_priority", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' AND c_acctbal > 9000 THEN 'CRITICAL' WHEN coalesce(sum(o_totalprice), 0) > 3000000 OR c_acctbal > 8000 THEN 'HIGH' WHEN count(CASE WHEN o_orderstatus = 'O' THEN 1 END) > 10 THEN 'HIGH' ELSE 'NORMAL' END AS priority FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment, c_acctbal")
-sql_query("order_status_desc", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'Order is open' WHEN 'F' THEN 'Order was filled' ELSE o_orderstatus END AS description FROM {orders}")
+sql_query(
+    "budget_running",
+    """
+    SELECT o_orderkey, c_mktsegment, round(sum(o_totalprice) OVER (PARTITION BY c_mktsegment, date_trunc('month', o_orderdate) ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS spent
+    FROM {orders}
+    JOIN {customer} ON o_custkey = c_custkey
+    """,
+)
+sql_query(
+    "contract_join",
+    """
+    SELECT l_orderkey, l_linenumber, CASE WHEN p_retailprice < l_extendedprice / l_quantity THEN p_retailprice END AS contract_price
+    FROM {lineitem}
+    LEFT JOIN {part} ON l_partkey = p_partkey
+    """,
+)
+sql_query(
+    "contract_savings",
+    """
+    SELECT l_orderkey, round(sum(greatest(CAST(0 AS DOUBLE), l_extendedprice - p_retailprice * l_quantity)), 2) AS savings
+    FROM {lineitem}
+    JOIN {part} ON l_partkey = p_partkey
+    GROUP BY l_orderkey
+    """,
+)
+sql_query(
+    "best_vendor",
+    """
+    SELECT n_name, s_suppkey, s_acctbal
+    FROM (SELECT n_name, s_suppkey, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS nth
+      FROM {supplier}
+      JOIN {nation} ON s_nationkey = n_nationkey)
+    WHERE nth = 1
+    """,
+)
+sql_query(
+    "duplicate_requests",
+    """
+    SELECT a.o_orderkey, min(b.o_orderkey) AS duplicate_of
+    FROM {orders} a
+    JOIN {orders} b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND a.o_orderstatus = b.o_orderstatus AND b.o_orderkey < a.o_orderkey AND abs(a.o_totalprice - b.o_totalprice) < 500
+    GROUP BY a.o_orderkey
+    """,
+)
+sql_query(
+    "customer_priority",
+    """
+    SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' AND c_acctbal > 9000 THEN 'CRITICAL' WHEN coalesce(sum(o_totalprice), 0) > 3000000 OR c_acctbal > 8000 THEN 'HIGH' WHEN count(CASE WHEN o_orderstatus = 'O' THEN 1 END) > 10 THEN 'HIGH' ELSE 'NORMAL' END AS priority
+    FROM {customer}
+    LEFT JOIN {orders} ON o_custkey = c_custkey
+    GROUP BY c_custkey, c_mktsegment, c_acctbal
+    """,
+)
+sql_query(
+    "order_status_desc",
+    """
+    SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'Order is open' WHEN 'F' THEN 'Order was filled' ELSE o_orderstatus END AS description
+    FROM {orders}
+    """,
+)
 sql_query("mask_payment", "SELECT c_custkey, CASE WHEN c_name IS NOT NULL AND c_name <> '' THEN concat('****', right(c_name, 4)) ELSE c_mktsegment END AS card FROM {customer}")
 sql_query("account_balance", "SELECT c_custkey, 10000 - c_acctbal AS credit_available, CASE WHEN c_acctbal <= 0 THEN 'current' ELSE 'due' END AS payment_status FROM {customer}")
-sql_query("refund_check", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'missing idempotency key' WHEN o_totalprice * CAST(0.4 AS DOUBLE) > o_totalprice - coalesce(refunded, 0) THEN 'amount exceeds balance' END AS error FROM {orders} LEFT JOIN (SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END) AS refunded FROM {lineitem} GROUP BY l_orderkey) r ON l_orderkey = o_orderkey")
+sql_query(
+    "refund_check",
+    """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'missing idempotency key' WHEN o_totalprice * CAST(0.4 AS DOUBLE) > o_totalprice - coalesce(refunded, 0) THEN 'amount exceeds balance' END AS error
+    FROM {orders}
+    LEFT JOIN (SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END) AS refunded
+      FROM {lineitem}
+      GROUP BY l_orderkey) r ON l_orderkey = o_orderkey
+    """,
+)
 sql_query("return_window", f"SELECT o_orderkey, o_orderstatus = 'F' AND SECONDS(o_orderdate, {ASOF}) <= 30 * 86400 AS returnable FROM {{orders}}")
-sql_query("intake_validation", "SELECT o_orderkey, concat_ws('; ', CASE WHEN o_totalprice <= 0 THEN 'total must be positive' END, CASE WHEN n IS NULL THEN 'no items' END, CASE WHEN worst > 45 THEN 'quantity is large' END) AS messages FROM {orders} LEFT JOIN (SELECT l_orderkey, count(*) AS n, max(l_quantity) AS worst FROM {lineitem} GROUP BY l_orderkey) l ON l_orderkey = o_orderkey")
-sql_query("authz_check", "SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'unknown user' WHEN c_mktsegment = 'MACHINERY' THEN 'no permission' WHEN o_totalprice > 300000 THEN 'over spending limit' ELSE 'ok' END AS reason FROM {orders} LEFT JOIN {customer} ON o_custkey = c_custkey")
-sql_query("pending_approvals", "SELECT o_orderkey, place FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END, o_orderdate, o_orderkey) AS place, o_orderstatus FROM {orders}) WHERE o_orderstatus = 'P'")
+sql_query(
+    "intake_validation",
+    """
+    SELECT o_orderkey, concat_ws('; ', CASE WHEN o_totalprice <= 0 THEN 'total must be positive' END, CASE WHEN n IS NULL THEN 'no items' END, CASE WHEN worst > 45 THEN 'quantity is large' END) AS messages
+    FROM {orders}
+    LEFT JOIN (SELECT l_orderkey, count(*) AS n, max(l_quantity) AS worst
+      FROM {lineitem}
+      GROUP BY l_orderkey) l ON l_orderkey = o_orderkey
+    """,
+)
+sql_query(
+    "authz_check",
+    """
+    SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'unknown user' WHEN c_mktsegment = 'MACHINERY' THEN 'no permission' WHEN o_totalprice > 300000 THEN 'over spending limit' ELSE 'ok' END AS reason
+    FROM {orders}
+    LEFT JOIN {customer} ON o_custkey = c_custkey
+    """,
+)
+sql_query(
+    "pending_approvals",
+    """
+    SELECT o_orderkey, place
+    FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END, o_orderdate, o_orderkey) AS place, o_orderstatus
+      FROM {orders})
+    WHERE o_orderstatus = 'P'
+    """,
+)
 sql_query("priority_order", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS place FROM {orders}")
 sql_query("top_requesters", "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 5")
 sql_query("top_categories", "SELECT p_type, count(DISTINCT l_orderkey) AS n FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_type ORDER BY n DESC, p_type LIMIT 5")
-sql_query("approval_state", "SELECT l_orderkey, 4 * greatest(1, count(*)) AS hours, min(CASE WHEN l_linestatus = 'O' THEN l_linenumber END) AS first_pending, count(CASE WHEN l_linestatus = 'O' THEN 1 END) = 0 AS complete FROM {lineitem} GROUP BY l_orderkey")
-sql_query("purchase_orders", "SELECT l_orderkey, concat('PO-', CAST(l_orderkey AS STRING)) AS po, listagg(concat(CAST(l_linenumber AS STRING), ':', CAST(l_partkey AS STRING)), ',') WITHIN GROUP (ORDER BY l_linenumber, l_partkey) AS items FROM {lineitem} GROUP BY l_orderkey", "SELECT l_orderkey, concat('PO-', l_orderkey::VARCHAR) AS po, string_agg(concat(l_linenumber::VARCHAR, ':', l_partkey::VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS items FROM lineitem GROUP BY l_orderkey")
+sql_query(
+    "approval_state",
+    """
+    SELECT l_orderkey, 4 * greatest(1, count(*)) AS hours, min(CASE WHEN l_linestatus = 'O' THEN l_linenumber END) AS first_pending, count(CASE WHEN l_linestatus = 'O' THEN 1 END) = 0 AS complete
+    FROM {lineitem}
+    GROUP BY l_orderkey
+    """,
+)
+sql_query(
+    "purchase_orders",
+    """
+    SELECT l_orderkey, concat('PO-', CAST(l_orderkey AS STRING)) AS po, listagg(concat(CAST(l_linenumber AS STRING), ':', CAST(l_partkey AS STRING)), ',') WITHIN GROUP ( ORDER BY l_linenumber, l_partkey) AS items
+    FROM {lineitem}
+    GROUP BY l_orderkey
+    """,
+    """
+    SELECT l_orderkey, concat('PO-', l_orderkey::VARCHAR) AS po, string_agg(concat(l_linenumber::VARCHAR, ':', l_partkey::VARCHAR), ','
+      ORDER BY l_linenumber, l_partkey) AS items
+    FROM lineitem
+    GROUP BY l_orderkey
+    """,
+)
 RULES = [Rule("positive", "o_totalprice > 0"), Rule("known_status", "o_orderstatus IN ('O', 'F', 'P')"), Rule("below_cap", "o_totalprice < 400000", "medium"), Rule("urgent_small", "o_orderpriority <> '1-URGENT' OR o_totalprice < 250000", "low")]
 
 

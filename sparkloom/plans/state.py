@@ -13,7 +13,19 @@ from sparkloom.plans._registry import query, sql_query
 from sparkloom.sources import task_state
 
 sql_query("kv_lookup", "SELECT c_custkey, c_name, c_acctbal FROM {customer} WHERE c_custkey = 42")
-sql_query("kv_versions", "SELECT user_id, event_type, count(*) AS version, CAST(min(ts) AS STRING) AS created_at, CAST(max(ts) + INTERVAL 1 HOUR AS STRING) AS expires_at FROM {events} GROUP BY user_id, event_type", "SELECT user_id, event_type, count(*) AS version, CAST(min(ts) AS STRING) AS created_at, CAST(max(ts) + INTERVAL 1 HOUR AS STRING) AS expires_at FROM events GROUP BY user_id, event_type")
+sql_query(
+    "kv_versions",
+    """
+    SELECT user_id, event_type, count(*) AS version, CAST(min(ts) AS STRING) AS created_at, CAST(max(ts) + INTERVAL 1 HOUR AS STRING) AS expires_at
+    FROM {events}
+    GROUP BY user_id, event_type
+    """,
+    """
+    SELECT user_id, event_type, count(*) AS version, CAST(min(ts) AS STRING) AS created_at, CAST(max(ts) + INTERVAL 1 HOUR AS STRING) AS expires_at
+    FROM events
+    GROUP BY user_id, event_type
+    """,
+)
 sql_query("outbox_pending", "SELECT e.event_id FROM {events} e LEFT ANTI JOIN (SELECT event_id FROM {events} WHERE event_type <> 'error') d ON e.event_id = d.event_id", "SELECT event_id FROM events WHERE event_type = 'error'")
 @query("""
 WITH v(namespace, current) AS (VALUES ('src0', 2), ('src1', 1), ('src2', 3), ('default', 1))
@@ -25,9 +37,39 @@ def version_invalidation(t):
     d = t("documents").select("doc_id", F.when(F.col("doc_id") % 11 == 0, F.col("doc_id").cast("string")).otherwise(F.concat_ws(":", "source", F.col("doc_id").cast("string"))).alias("key"), F.when(F.col("doc_id") % 7 != 0, F.col("doc_id") % 3).alias("version"))
     versions = d.sparkSession.createDataFrame([("src0", 2), ("src1", 1), ("src2", 3), ("default", 1)], "namespace string, current long")
     return d.withColumn("namespace", P.namespace(F.col("key"))).join(F.broadcast(versions), "namespace", "left").select("doc_id", P.stale(F.col("key"), F.col("version"), F.col("current")).alias("stale"))
-sql_query("version_compare", "SELECT DISTINCT major, minor, major > 2 OR (major = 2 AND minor >= 5) AS at_least_2_5 FROM (SELECT CAST(split_part(v, '.', 1) AS INT) AS major, CAST(split_part(v, '.', 2) AS INT) AS minor FROM (SELECT concat(CAST(p_size % 5 AS STRING), '.', CAST(p_partkey % 10 AS STRING)) AS v FROM {part}))")
-sql_query("tiered_lookup", "SELECT d.doc_id, CASE WHEN l.quality IS NOT NULL THEN 'l1' WHEN e.vec_id IS NOT NULL THEN 'l2' ELSE 'miss' END AS tier, coalesce(l.quality, e.label) AS value FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id LEFT JOIN {embeddings} e ON d.doc_id = e.vec_id")
-sql_query("topic_routing", "SELECT event_type, subscriber FROM (SELECT DISTINCT event_type, concat('app.', event_type) AS topic FROM {events}) t JOIN (VALUES ('audit', 'app.*'), ('billing', 'app.purchase'), ('ops', 'app.error.*'), ('web', 'app.view')) AS s(subscriber, pattern) ON topic = pattern OR (right(pattern, 2) = '.*' AND (topic = left(pattern, length(pattern) - 2) OR startswith(topic, left(pattern, length(pattern) - 1))))", "SELECT event_type, subscriber FROM (SELECT DISTINCT event_type, concat('app.', event_type) AS topic FROM events) t JOIN (VALUES ('audit', 'app.*'), ('billing', 'app.purchase'), ('ops', 'app.error.*'), ('web', 'app.view')) AS s(subscriber, pattern) ON topic = pattern OR (right(pattern, 2) = '.*' AND (topic = left(pattern, length(pattern) - 2) OR starts_with(topic, left(pattern, length(pattern) - 1))))")
+sql_query(
+    "version_compare",
+    """
+    SELECT DISTINCT major, minor, major > 2 OR (major = 2 AND minor >= 5) AS at_least_2_5
+    FROM (SELECT CAST(split_part(v, '.', 1) AS INT) AS major, CAST(split_part(v, '.', 2) AS INT) AS minor
+      FROM (SELECT concat(CAST(p_size % 5 AS STRING), '.', CAST(p_partkey % 10 AS STRING)) AS v
+        FROM {part}))
+    """,
+)
+sql_query(
+    "tiered_lookup",
+    """
+    SELECT d.doc_id, CASE WHEN l.quality IS NOT NULL THEN 'l1' WHEN e.vec_id IS NOT NULL THEN 'l2' ELSE 'miss' END AS tier, coalesce(l.quality, e.label) AS value
+    FROM {documents} d
+    LEFT JOIN {labels} l ON d.doc_id = l.doc_id
+    LEFT JOIN {embeddings} e ON d.doc_id = e.vec_id
+    """,
+)
+sql_query(
+    "topic_routing",
+    """
+    SELECT event_type, subscriber
+    FROM (SELECT DISTINCT event_type, concat('app.', event_type) AS topic
+      FROM {events}) t
+    JOIN (VALUES ('audit', 'app.*'), ('billing', 'app.purchase'), ('ops', 'app.error.*'), ('web', 'app.view')) AS s(subscriber, pattern) ON topic = pattern OR (right(pattern, 2) = '.*' AND (topic = left(pattern, length(pattern) - 2) OR startswith(topic, left(pattern, length(pattern) - 1))))
+    """,
+    """
+    SELECT event_type, subscriber
+    FROM (SELECT DISTINCT event_type, concat('app.', event_type) AS topic
+      FROM events) t
+    JOIN (VALUES ('audit', 'app.*'), ('billing', 'app.purchase'), ('ops', 'app.error.*'), ('web', 'app.view')) AS s(subscriber, pattern) ON topic = pattern OR (right(pattern, 2) = '.*' AND (topic = left(pattern, length(pattern) - 2) OR starts_with(topic, left(pattern, length(pattern) - 1))))
+    """,
+)
 @query("""
 SELECT event_id, CASE event_type WHEN 'view' THEN 2592000 WHEN 'click' THEN (CASE WHEN value >= 50 THEN 0 ELSE 86400 END) WHEN 'signup' THEN 600 ELSE 3600 END AS ttl FROM events
 """)
@@ -39,9 +81,38 @@ def ttl_policy(t):
 sql_query("queue_depth", "SELECT o_orderstatus, o_orderpriority, count(*) AS depth FROM {orders} GROUP BY o_orderstatus, o_orderpriority")
 sql_query("stale_tasks", "SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'P' AND SECONDS(o_orderdate, (SELECT max(o_orderdate) FROM {orders})) > 300")
 sql_query("claim_batch", "SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 100")
-sql_query("least_connections", "SELECT s_nationkey, s_suppkey FROM (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY n / greatest(s_acctbal, CAST(1 AS DOUBLE)), s_suppkey) AS nth FROM (SELECT s_nationkey, s_suppkey, s_acctbal, count(l_orderkey) AS n FROM {supplier} LEFT JOIN {lineitem} ON l_suppkey = s_suppkey GROUP BY s_nationkey, s_suppkey, s_acctbal)) WHERE nth = 1")
-sql_query("lfu_evict", "SELECT user_id FROM (SELECT user_id, row_number() OVER (ORDER BY n, first) AS place, count(*) OVER () AS total FROM (SELECT user_id, count(*) AS n, min(event_id) AS first FROM {events} GROUP BY user_id)) WHERE place > greatest(1, CAST(floor(total / 10) AS BIGINT))")
-sql_query("cas_replay", "SELECT user_id, event_type, version, event_id FROM (SELECT user_id, event_type, event_id, event_id % 4 AS version, row_number() OVER (PARTITION BY user_id, event_type, event_id % 4 ORDER BY event_id) AS nth FROM {events}) WHERE nth = 1")
+sql_query(
+    "least_connections",
+    """
+    SELECT s_nationkey, s_suppkey
+    FROM (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY n / greatest(s_acctbal, CAST(1 AS DOUBLE)), s_suppkey) AS nth
+      FROM (SELECT s_nationkey, s_suppkey, s_acctbal, count(l_orderkey) AS n
+        FROM {supplier}
+        LEFT JOIN {lineitem} ON l_suppkey = s_suppkey
+        GROUP BY s_nationkey, s_suppkey, s_acctbal))
+    WHERE nth = 1
+    """,
+)
+sql_query(
+    "lfu_evict",
+    """
+    SELECT user_id
+    FROM (SELECT user_id, row_number() OVER ( ORDER BY n, first) AS place, count(*) OVER () AS total
+      FROM (SELECT user_id, count(*) AS n, min(event_id) AS first
+        FROM {events}
+        GROUP BY user_id))
+    WHERE place > greatest(1, CAST(floor(total / 10) AS BIGINT))
+    """,
+)
+sql_query(
+    "cas_replay",
+    """
+    SELECT user_id, event_type, version, event_id
+    FROM (SELECT user_id, event_type, event_id, event_id % 4 AS version, row_number() OVER (PARTITION BY user_id, event_type, event_id % 4 ORDER BY event_id) AS nth
+      FROM {events})
+    WHERE nth = 1
+    """,
+)
 @query("""
 WITH last AS (
   SELECT l_orderkey, max_by(CASE WHEN l_returnflag = 'R' THEN 'delete' ELSE 'upsert' END, seq) AS op, max_by(l_linestatus, seq) AS status FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS seq FROM lineitem) WHERE l_orderkey % 3 = 0 GROUP BY 1
@@ -55,7 +126,20 @@ def apply_changes(t):
     lines = t("lineitem").where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_returnflag") == "R", "delete").otherwise("upsert").alias("op"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").alias("seq"), F.col("l_linestatus").alias("status"))
     new = t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select((-F.col("c_custkey")).alias("o_orderkey"), F.lit("upsert").alias("op"), F.lit(None).cast("struct<l_linenumber:int,l_partkey:bigint,l_suppkey:bigint,l_extendedprice:double,l_quantity:double>").alias("seq"), F.lit("N").alias("status"))
     return M.apply_changes(base, lines.unionByName(new), "o_orderkey")
-sql_query("lww_merge", "SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.at IS NULL OR b.at >= a.at THEN b.v ELSE a.v END AS value FROM (SELECT user_id, max(event_id) AS at, max(event_id) % 7 AS v FROM {events} WHERE event_type = 'click' GROUP BY user_id) a FULL OUTER JOIN (SELECT user_id, max(event_id) AS at, max(event_id) % 5 AS v FROM {events} WHERE event_type = 'view' GROUP BY user_id) b ON a.user_id = b.user_id")
+sql_query(
+    "lww_merge",
+    """
+    SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.at IS NULL OR b.at >= a.at THEN b.v ELSE a.v END AS value
+    FROM (SELECT user_id, max(event_id) AS at, max(event_id) % 7 AS v
+      FROM {events}
+      WHERE event_type = 'click'
+      GROUP BY user_id) a
+    FULL OUTER JOIN (SELECT user_id, max(event_id) AS at, max(event_id) % 5 AS v
+      FROM {events}
+      WHERE event_type = 'view'
+      GROUP BY user_id) b ON a.user_id = b.user_id
+    """,
+)
 @query("""
 WITH c AS (
   SELECT user_id, event_type, count(*) FILTER (day(ts) % 2 = 0) AS a, count(*) FILTER (day(ts) % 3 <> 0 AND event_type <> 'signup') AS b FROM events WHERE user_id % 4 <> 1 OR event_type IN ('click', 'view') GROUP BY 1, 2
@@ -74,10 +158,26 @@ def vclock_merge(t):
     pairs = counts.groupBy("user_id").agg(side("a").alias("clock_a"), side("b").alias("clock_b")).withColumns({"state_a": F.col("clock_a"), "state_b": F.col("clock_b")})
     total = lambda c: F.aggregate(F.map_values(c), F.lit(0).cast("long"), lambda s, x: s + x)
     return M.merge_states(pairs).select("user_id", "relation", total("clock").alias("clock"), total("state").alias("state"))
-sql_query("merge_additive", "SELECT user_id, round(sum(value), 4) AS total, listagg(DISTINCT event_type, ',') WITHIN GROUP (ORDER BY event_type) AS kinds FROM {events} GROUP BY user_id", "SELECT user_id, round(sum(value), 4) AS total, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY user_id")
+sql_query(
+    "merge_additive",
+    """
+    SELECT user_id, round(sum(value), 4) AS total, listagg(DISTINCT event_type, ',') WITHIN GROUP ( ORDER BY event_type) AS kinds
+    FROM {events}
+    GROUP BY user_id
+    """,
+    "SELECT user_id, round(sum(value), 4) AS total, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY user_id",
+)
 sql_query("required_fields", "SELECT page_id, url IS NOT NULL AND html IS NOT NULL AND length(html) > 0 AS complete FROM {pages}")
 sql_query("checkpoint_verify", "SELECT event_id, substr(sha2(concat(event_type, ':', CAST(user_id AS STRING)), 256), 1, 16) AS checksum FROM {events}", "SELECT event_id, substr(sha256(concat(event_type, ':', user_id::VARCHAR)), 1, 16) AS checksum FROM events")
-sql_query("recovery_result", "SELECT user_id, CASE WHEN errors >= 15 THEN 'failed' WHEN errors > 8 AND purchases = 0 THEN 'data_loss' ELSE 'pending' END AS result FROM (SELECT user_id, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS purchases FROM {events} GROUP BY user_id)")
+sql_query(
+    "recovery_result",
+    """
+    SELECT user_id, CASE WHEN errors >= 15 THEN 'failed' WHEN errors > 8 AND purchases = 0 THEN 'data_loss' ELSE 'pending' END AS result
+    FROM (SELECT user_id, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS purchases
+      FROM {events}
+      GROUP BY user_id)
+    """,
+)
 @query(r"""
 WITH b AS (
   SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN substr(props, 1, length(props) - 1) WHEN 2 THEN '{"m": ["' || event_type
@@ -93,8 +193,27 @@ def json_repair(t):
     cut = cut.when(F.col("event_id") % 4 == 2, F.concat(F.lit('{"m": ["'), F.col("event_type"))).otherwise(F.concat(F.lit('{"c": "x\\ud800y", "k": '), k, F.lit("} ")))
     fixed = t("events").select("event_id", J.repair(cut).alias("repaired"))
     return fixed.select("event_id", "repaired", F.get_json_object("repaired", "$.k").cast("long").alias("k"), J.json_valid(F.col("repaired")).alias("valid"))
-sql_query("migrate_stats", "SELECT CASE WHEN version = 3 THEN 'already' WHEN version > 3 OR version = 0 THEN 'failed' ELSE 'migrated' END AS outcome, count(*) AS n FROM (SELECT p_size % 5 AS version FROM {part}) GROUP BY 1")
-sql_query("migration_path", "WITH RECURSIVE step(origin, node, hops) AS (SELECT f, f, 0 FROM (VALUES (1), (2), (3), (5)) AS s(f) UNION ALL SELECT origin, e.t, hops + 1 FROM step JOIN (VALUES (1, 2), (2, 3), (3, 4), (5, 6)) AS e(f, t) ON node = e.f) SELECT origin, max(CASE WHEN node = 4 THEN hops END) AS hops FROM step GROUP BY origin")
+sql_query(
+    "migrate_stats",
+    """
+    SELECT CASE WHEN version = 3 THEN 'already' WHEN version > 3 OR version = 0 THEN 'failed' ELSE 'migrated' END AS outcome, count(*) AS n
+    FROM (SELECT p_size % 5 AS version
+      FROM {part})
+    GROUP BY 1
+    """,
+)
+sql_query(
+    "migration_path",
+    """
+    WITH RECURSIVE step(origin, node, hops) AS (SELECT f, f, 0
+      FROM (VALUES (1), (2), (3), (5)) AS s(f)
+      UNION ALL SELECT origin, e.t, hops + 1
+      FROM step
+      JOIN (VALUES (1, 2), (2, 3), (3, 4), (5, 6)) AS e(f, t) ON node = e.f) SELECT origin, max(CASE WHEN node = 4 THEN hops END) AS hops
+    FROM step
+    GROUP BY origin
+    """,
+)
 
 
 @query("""

@@ -66,18 +66,62 @@ def chunk_fixed_simple(t):
 
 
 sql_query("extract_email", r"SELECT doc_id, nullif(regexp_extract(text, '[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+\\.[A-Za-z0-9_]+', 0), '') AS email FROM {documents}", r"SELECT doc_id, nullif(regexp_extract(text, '[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+\.[A-Za-z0-9_]+', 0), '') AS email FROM documents")
-sql_query("identifier_type", r"SELECT c_custkey, CASE WHEN contains(id, '@') THEN 'email' WHEN regexp_replace(id, '[-+]', '') RLIKE '^[0-9]+$' THEN 'phone' ELSE 'account_number' END AS kind FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN concat(c_name, '@x.y') WHEN c_custkey % 3 = 1 THEN concat('+1-', CAST(c_custkey AS STRING)) ELSE c_name END AS id FROM {customer})", r"SELECT c_custkey, CASE WHEN contains(id, '@') THEN 'email' WHEN regexp_matches(regexp_replace(id, '[-+]', '', 'g'), '^[0-9]+$') THEN 'phone' ELSE 'account_number' END AS kind FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN concat(c_name, '@x.y') WHEN c_custkey % 3 = 1 THEN concat('+1-', CAST(c_custkey AS VARCHAR)) ELSE c_name END AS id FROM customer)")
+sql_query(
+    "identifier_type",
+    """
+    SELECT c_custkey, CASE WHEN contains(id, '@') THEN 'email' WHEN regexp_replace(id, '[-+]', '') RLIKE '^[0-9]+$' THEN 'phone' ELSE 'account_number' END AS kind
+    FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN concat(c_name, '@x.y') WHEN c_custkey % 3 = 1 THEN concat('+1-', CAST(c_custkey AS STRING)) ELSE c_name END AS id
+      FROM {customer})
+    """,
+    """
+    SELECT c_custkey, CASE WHEN contains(id, '@') THEN 'email' WHEN regexp_matches(regexp_replace(id, '[-+]', '', 'g'), '^[0-9]+$') THEN 'phone' ELSE 'account_number' END AS kind
+    FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN concat(c_name, '@x.y') WHEN c_custkey % 3 = 1 THEN concat('+1-', CAST(c_custkey AS VARCHAR)) ELSE c_name END AS id
+      FROM customer)
+    """,
+)
 sql_query("token_estimate", "SELECT doc_id, CAST(length(text) div 4 AS BIGINT) AS by_chars, CAST(floor(size(filter(split(text, '[ \\\\t\\\\n\\\\r]+'), x -> x <> '')) * 1.3D) AS BIGINT) AS by_words FROM {documents}", r"SELECT doc_id, (length(text) // 4)::BIGINT AS by_chars, floor(len(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '')) * 1.3::DOUBLE)::BIGINT AS by_words FROM documents")
 sql_query("snippet", "SELECT doc_id, CASE WHEN length(text) > 200 THEN concat(substr(text, 1, 200), '...') ELSE text END AS snippet FROM {documents}")
 sql_query("cache_key", r"SELECT doc_id, concat('llm:', sha2(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ')), 256)) AS cache_key, substr(sha2(concat('lang=', lang, '|source=', source), 256), 1, 16) AS tool_key FROM {documents}", r"SELECT doc_id, concat('llm:', sha256(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')))) AS cache_key, substr(sha256(concat('lang=', lang, '|source=', source)), 1, 16) AS tool_key FROM documents")
 LIMBS = [f"CAST(conv(substr(h, {i}, 8), 16, 10) AS BIGINT)" for i in (1, 9, 17, 25)]
 FOLD = "(({0} % 7 * (4294967296 % 7) + {1}) % 7 * (4294967296 % 7) + {2}) % 7 * (4294967296 % 7) + {3}".format(*LIMBS)
 sql_query("shard_route", f"SELECT c_custkey, ({FOLD}) % 7 AS shard FROM (SELECT c_custkey, md5(CAST(c_custkey AS STRING)) AS h FROM {{customer}})", "SELECT c_custkey, ((({0} % 7 * (4294967296 % 7) + {1}) % 7 * (4294967296 % 7) + {2}) % 7 * (4294967296 % 7) + {3}) % 7 AS shard FROM (SELECT c_custkey, md5(c_custkey::VARCHAR) AS h FROM customer)".format(*[f"('0x' || substr(h, {i}, 8))::BIGINT" for i in (1, 9, 17, 25)]))
-sql_query("metric_component", r"SELECT DISTINCT name, CASE WHEN name = '' THEN 'unknown' ELSE left(regexp_replace(name, '[^A-Za-z0-9_.-]', '_'), 80) END AS component FROM (SELECT concat(p_type, '/', p_brand, ' ', p_name) AS name FROM {part})", r"SELECT DISTINCT name, CASE WHEN name = '' THEN 'unknown' ELSE left(regexp_replace(name, '[^A-Za-z0-9_.-]', '_', 'g'), 80) END AS component FROM (SELECT concat(p_type, '/', p_brand, ' ', p_name) AS name FROM part)")
+sql_query(
+    "metric_component",
+    """
+    SELECT DISTINCT name, CASE WHEN name = '' THEN 'unknown' ELSE left(regexp_replace(name, '[^A-Za-z0-9_.-]', '_'), 80) END AS component
+    FROM (SELECT concat(p_type, '/', p_brand, ' ', p_name) AS name
+      FROM {part})
+    """,
+    """
+    SELECT DISTINCT name, CASE WHEN name = '' THEN 'unknown' ELSE left(regexp_replace(name, '[^A-Za-z0-9_.-]', '_', 'g'), 80) END AS component
+    FROM (SELECT concat(p_type, '/', p_brand, ' ', p_name) AS name
+      FROM part)
+    """,
+)
 sql_query("kb_stats", "SELECT source, lang, count(*) AS n_documents, sum(n_chars) AS n_chars FROM {documents} GROUP BY source, lang", "SELECT source, lang, count(*) AS n_documents, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY source, lang")
 sql_query("ids_by_metadata", "SELECT doc_id FROM {documents} WHERE lang = 'en' AND source = 'src3'")
 sql_query("kv_glob_scan", r"SELECT DISTINCT source AS name FROM {documents} WHERE source RLIKE '^src1.*$'", "SELECT DISTINCT source AS name FROM documents WHERE regexp_matches(source, '^src1.*$')")
 sql_query("glob_delete", r"SELECT doc_id, source FROM {documents} WHERE NOT source RLIKE '^src1.$'", "SELECT doc_id, source FROM documents WHERE NOT regexp_matches(source, '^src1.$')")
-sql_query("index_sync", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'deleted' WHEN a.doc_id IS NULL THEN 'added' WHEN a.h <> b.h THEN 'updated' ELSE 'unchanged' END AS change FROM (SELECT doc_id, sha2(CASE WHEN doc_id % 7 = 0 THEN concat(text, '!') ELSE text END, 256) AS h FROM {documents} WHERE doc_id % 5 <> 0) a FULL OUTER JOIN (SELECT doc_id, sha2(text, 256) AS h FROM {documents} WHERE doc_id % 11 <> 0) b ON a.doc_id = b.doc_id", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'deleted' WHEN a.doc_id IS NULL THEN 'added' WHEN a.h <> b.h THEN 'updated' ELSE 'unchanged' END AS change FROM (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN concat(text, '!') ELSE text END) AS h FROM documents WHERE doc_id % 5 <> 0) a FULL OUTER JOIN (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 11 <> 0) b ON a.doc_id = b.doc_id")
+sql_query(
+    "index_sync",
+    """
+    SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'deleted' WHEN a.doc_id IS NULL THEN 'added' WHEN a.h <> b.h THEN 'updated' ELSE 'unchanged' END AS change
+    FROM (SELECT doc_id, sha2(CASE WHEN doc_id % 7 = 0 THEN concat(text, '!') ELSE text END, 256) AS h
+      FROM {documents}
+      WHERE doc_id % 5 <> 0) a
+    FULL OUTER JOIN (SELECT doc_id, sha2(text, 256) AS h
+      FROM {documents}
+      WHERE doc_id % 11 <> 0) b ON a.doc_id = b.doc_id
+    """,
+    """
+    SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'deleted' WHEN a.doc_id IS NULL THEN 'added' WHEN a.h <> b.h THEN 'updated' ELSE 'unchanged' END AS change
+    FROM (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN concat(text, '!') ELSE text END) AS h
+      FROM documents
+      WHERE doc_id % 5 <> 0) a
+    FULL OUTER JOIN (SELECT doc_id, sha256(text) AS h
+      FROM documents
+      WHERE doc_id % 11 <> 0) b ON a.doc_id = b.doc_id
+    """,
+)
 sql_query("cache_warm_missing", "SELECT d.doc_id FROM {documents} d LEFT ANTI JOIN {labels} l ON d.doc_id = l.doc_id", "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 sql_query("cache_multi_get", "SELECT d.doc_id, l.quality, l.toxic FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id")
