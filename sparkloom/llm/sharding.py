@@ -1,27 +1,35 @@
 """Size-tiered compaction of immutable shards under a versioned manifest.
 
 Arrivals are appended as small shards. A tier holds shards of similar size (a power of fanout apart); a tier with
-fanout shards or more is merged into files of the target size at most, and so on until none is left. A merge is one job
-that reads the shards and writes fewer files; no row is shuffled. A version is committed by creating its claim file
-(which only one writer can) and renaming the finished manifest into place. Readers see the newest manifest alone; shards that
-failed or lost writers left behind are in none.
+fanout shards or more is merged into runs of the target size at most, these count in their own tier, and so on until no tier is
+full. The cascade is worked out on the sizes in the manifest, then each shard that it touches is read and written once, a job for
+each tier of the outcome; Spark packs the shards of a job into files of the outcome's size at most. No row is shuffled.
+
+A version is committed by renaming its finished manifest to the version's name, which fails if that exists (the file system's
+rename must be atomic, as in HDFS). A writer that dies before has committed nothing and blocks nobody. Readers see the newest
+manifest or any older one whose shards aren't vacuumed; shards that failed or lost writers left behind are in none, and
+vacuum deletes them once they are old.
 
 Defined cases: rows are kept as they are, nulls and repeated rows too; an empty table commits a version without
-shards; a lost race raises ConflictError and leaves the other's version.
+shards; a lost race raises ConflictError and leaves the other's version; shards keep the schema that they were written with,
+and columns that a newer arrival adds are null in older shards; a column of another type is an error of the append.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparkloom.llm._common import TMP, shared_dir
 
-
 #: About 100 bytes each.
 MAX_BROADCAST_SHARDS = 100_000
 
@@ -30,6 +38,20 @@ class ConflictError(RuntimeError):
     """Another writer has committed this version."""
 
 
+@contextmanager
+def _packed(spark: SparkSession, size: int):
+    """Files are read in partitions of size bytes at most, and as few as that takes."""
+    names = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n, v in names.items():
+            spark.conf.set(n, v)
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
 class ShardStore:
     """Folder of shards and manifests on a file system that driver and executors share."""
 
@@ -41,6 +63,9 @@ class ShardStore:
     def _at(self, path: str):
         return self._hadoop.Path(path)
 
+    def _name(self, version: int) -> str:
+        return f"{self.path}/manifests/v{version:08d}.json"
+
     def versions(self) -> list[int]:
         folder = self._at(f"{self.path}/manifests")
         if not self._fs.exists(folder):
@@ -51,22 +76,29 @@ class ShardStore:
     def manifest(self, version: int | None = None) -> dict:
         versions = self.versions()
         if not versions:
-            return {"version": 0, "shards": []}
-        text = self.spark.read.option("wholetext", True).text(f"{self.path}/manifests/v{version or versions[-1]:08d}.json").first()[0]
-        return json.loads(text)
+            return {"version": 0, "shards": [], "schema": StructType([]).json()}
+        stream = self._fs.open(self._at(self._name(version or versions[-1])))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def commit(self, parent: int, shards: list[dict], schema: str) -> dict:
         """Version parent + 1, unless someone else has it."""
         new = {"version": parent + 1, "parent": parent, "schema": schema, "shards": shards}
-        name = f"{self.path}/manifests/v{parent + 1:08d}"
-        if not self._fs.createNewFile(self._at(f"{name}.claim")):
-            raise ConflictError(f"version {parent + 1}")
-        part = self._at(f"{name}.{uuid.uuid4().hex}.part")
+        part = self._at(f"{self.path}/manifests/{uuid.uuid4().hex}.part")
         out = self._fs.create(part, False)
         out.write(bytearray(json.dumps(new).encode()))
         out.close()
-        if not self._fs.rename(part, self._at(f"{name}.json")):
-            raise ConflictError(f"version {parent + 1}")
+        context = self._hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 0)
+        try:
+            context.rename(part, self._at(self._name(parent + 1)), options)
+        except Py4JJavaError as e:
+            self._fs.delete(part, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise ConflictError(f"version {parent + 1}") from e
+            raise
         return new
 
     def _written(self, df: DataFrame, per_file: int | None = None) -> list[dict]:
@@ -80,39 +112,69 @@ class ShardStore:
 
     def append(self, df: DataFrame, rows_per_shard: int = 2000) -> dict:
         now = self.manifest()
-        return self.commit(now["version"], now["shards"] + self._written(df, rows_per_shard), df.schema.json())
-
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete the shards that only versions older than the newest keep_versions name. Those can't be read any more."""
+        fields = {f.name: f for f in StructType.fromJson(json.loads(now["schema"]))}
+        for f in df.schema:
+            if f.name in fields and fields[f.name].dataType != f.dataType:
+                raise ValueError(f"column {f.name} has another type in the store")
+            fields.setdefault(f.name, f)
+        return self.commit(now["version"], now["shards"] + self._written(df, rows_per_shard), StructType([*fields.values()]).json())
+
+    def vacuum(self, keep_versions: int = 1, orphan_seconds: float = 86_400.0) -> int:
+        """Delete the shards that no manifest of the newest keep_versions names: those of older versions, which can't be read
+        any more, and those of writers that committed nothing for orphan_seconds. Returns how many."""
         versions = self.versions()
         kept = {s["file"] for v in versions[-keep_versions:] for s in self.manifest(v)["shards"]}
         gone = {s["file"] for v in versions[:-keep_versions] for s in self.manifest(v)["shards"]} - kept
+        known, now = kept | gone, time.time()
+        data = self._at(f"{self.path}/data")
+        for folder in self._fs.listStatus(data) if self._fs.exists(data) else []:
+            if now - folder.getModificationTime() / 1000 >= orphan_seconds:
+                inside = [f"{self.path}/data/{folder.getPath().getName()}/{s.getPath().getName()}" for s in self._fs.listStatus(folder.getPath())]
+                gone |= {f for f in inside if "/part-" in f and f not in known}
         return sum(bool(self._fs.delete(self._at(f), False)) for f in gone)
 
-    def compact(self, keep_versions: int | None = None) -> dict:
-        """Merge until no tier below the target has fanout shards; with keep_versions, vacuum after each merge."""
-        now = self.manifest()
+    def plan(self, shards: list[dict]) -> list[tuple[int, list[dict]]]:
+        """(size of a file, shards to be merged) of each merge that leaves no tier below half the target with fanout shards."""
+        runs = [(s["bytes"], [s]) for s in shards if s["bytes"] < self.target // 2]
         while True:
-            tiers: dict[int, list[dict]] = {}
-            for s in now["shards"]:
-                if s["bytes"] < self.target // 2:
-                    tiers.setdefault(s["tier"], []).append(s)
+            tiers: dict[int, list[tuple[int, list[dict]]]] = {}
+            for r in runs:
+                if r[0] < self.target // 2:
+                    tiers.setdefault(self.tier(r[0]), []).append(r)
             full = [t for t, own in tiers.items() if len(own) >= self.fanout]
             if not full:
-                return now
+                break
             own = tiers[min(full)]
-            files = max(1, math.ceil(sum(s["bytes"] for s in own) / self.target), math.ceil(len(own) / (4 * self.fanout)))
-            merged = self._written(self._read([s["file"] for s in own], now["schema"]).coalesce(files))
+            taken = set(map(id, own))
+            runs = [r for r in runs if id(r) not in taken]
+            size, merged = 0, []
+            for r in own:
+                if merged and size + r[0] > self.target:
+                    runs.append((size, merged))
+                    size, merged = 0, []
+                size, merged = size + r[0], merged + r[1]
+            runs.append((size, merged))
+        jobs: dict[int, tuple[int, list[dict]]] = {}
+        for size, merged in runs:
+            if len(merged) > 1:
+                most, own = jobs.get(self.tier(size), (0, []))
+                jobs[self.tier(size)] = max(most, size), own + merged
+        return [jobs[t] for t in sorted(jobs)]
+
+    def compact(self) -> dict:
+        """Commit a version of which no tier below half the target has fanout shards, as far as the sizes in the manifest tell."""
+        now = self.manifest()
+        shards, jobs = now["shards"], self.plan(now["shards"])
+        if not jobs:
+            return now
+        for size, own in jobs:
+            with _packed(self.spark, size):
+                merged = self._written(self._read([s["file"] for s in own], now["schema"]))
             gone = {s["file"] for s in own}
-            if len(merged) >= len(own):
-                return now
-            now = self.commit(now["version"], [s for s in now["shards"] if s["file"] not in gone] + merged, now["schema"])
-            if keep_versions:
-                self.vacuum(keep_versions)
+            shards = [s for s in shards if s["file"] not in gone] + merged
+        return self.commit(now["version"], shards, now["schema"])
 
     def _read(self, files: list[str], schema: str) -> DataFrame:
-        from pyspark.sql.types import StructType
-
         return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*files)
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -132,5 +194,5 @@ def op8(docs: DataFrame) -> DataFrame:
     store.append(docs)
     if not store.manifest()["shards"]:
         return docs.select("doc_id", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("int").alias("tier"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
-    store.compact(keep_versions=1)
+    store.compact()
     return store.read().select("doc_id", "shard", "tier", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
