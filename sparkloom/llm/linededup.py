@@ -3,14 +3,16 @@
 1. Every task hashes the lines of its documents and sends its distinct 64-bit hashes, packed by filter segment. A
    task's hashes that it saw in two documents itself are sent apart.
 2. One group per segment puts them into its slice of the two filters: a hash found in the once-seen filter goes into
-   the twice-seen filter too. Segments are sized by the count of lines, so no group grows with the table.
-3. The twice-seen filter goes to all tasks. Its size is bounded by max_filter_bytes; beyond that it is denser
-   and more lines are suspected, but the result is the same.
-4. Only lines suspected by it are shuffled, as digests, for the exact count and the choice of the document to keep.
-5. Documents without a suspected line are passed through; the others meet their list of lines to drop.
-
-Defined cases: a null or empty text is one empty line; rows that share a doc_id each count as a document and each keep
-the line if theirs is the largest doc_id; a null doc_id is less than any other; an empty table gives no rows.
+   the twice-seen filter too. Segments are sized by the count of lines, up to max_filter_bytes in all.
+3. The twice-seen filter goes to all tasks. Where max_filter_bytes is reached (at some 90 million lines by default) it is denser, a
+   segment gets more hashes, and more lines are suspected, in the end all of them; the result is the same.
+4. Only lines suspected by it are shuffled, as digests, for the exact count of documents and the choice of the one to keep.
+5. If at most max_broadcast_lines lines are to be dropped somewhere, their digests go to all tasks and no text is
+   shuffled. Else documents without a suspected line are passed through, and the others meet their list of lines to drop.
+
+Defined cases: a null or empty text is one empty line; rows that share a doc_id are one document, and all of them keep
+the line if theirs is the largest doc_id; rows without doc_id don't count as documents and keep no repeated line; n_lines and
+n_dropped of the input are replaced, other columns stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ class LineRules:
     bits_per_line: int = 12
     max_filter_bytes: int = 128 << 20
     salts: int = 16
+    max_broadcast_lines: int = 1 << 20
 
 
 def _key(line: bytes, min_chars: int) -> bytes | None:
@@ -139,6 +142,38 @@ def _suspected(filter_bits, segments: int, min_chars: int):
     return run
 
 
+def _cleaned(filter_bits, segments: int, repeated, min_chars: int):
+    """Adds what is left of each text, its number of lines and how many were dropped. repeated: the digests of lines to drop in
+    order, as two halves, and the document that keeps each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(filter_bits.value, np.uint8)
+        high, low, keep = repeated.value
+        for batch in batches:
+            at = batch.schema.get_field_index
+            out, lines, dropped = [], [], []
+            for text, own in zip(batch.column(at(f"{TMP}bytes")), batch.column(at(f"{TMP}id"))):
+                raw = text.as_py()
+                parts = raw.split(b"\n")
+                lines.append(len(parts))
+                keys = list({k for x in parts if (k := _key(x, min_chars)) is not None})
+                h = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+                hit = np.flatnonzero(_in_filter(bits, h, _segment(h, segments).astype(np.int64) * SEGMENT_BITS)) if keys and len(high) else ()
+                gone = set()
+                for i in hit:
+                    a, b = np.frombuffer(_digest(keys[i]), ">u8").astype(np.uint64)
+                    j, end = np.searchsorted(high, a), np.searchsorted(high, a, "right")
+                    j += np.searchsorted(low[j:end], b)
+                    if j < end and low[j] == b and keep[int(j)].as_py() != own.as_py():
+                        gone.add(keys[i])
+                left = [x for x in parts if _key(x, min_chars) not in gone] if gone else parts
+                out.append((b"\n".join(left) if gone else raw).decode())
+                dropped.append(len(parts) - len(left))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*batch.schema.names, f"{TMP}kept", f"{TMP}lines", f"{TMP}dropped"])
+
+    return run
+
+
 def _rebuild(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +209,19 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     with_suspects = lambda df: df.mapInArrow(_suspected(filter_bits, segments, rules.min_chars), T.StructType([*df.schema.fields, T.StructField(f"{TMP}suspects", T.ArrayType(T.BinaryType()))]))
     rows = with_suspects(narrow).select(f"{TMP}id", f"{TMP}key", F.explode(f"{TMP}suspects").alias(f"{TMP}line"))
     suspects = durable(rows.select(F.col(f"{TMP}id").alias("id"), F.col(f"{TMP}key").alias("key"), F.col(f"{TMP}line").alias("line")))
-    repeated = durable(suspects.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep")).where(F.col("n") >= rules.min_documents))
+    repeated = durable(suspects.groupBy("line").agg(F.countDistinct("id").alias("n"), F.max("id").alias("keep")).where(F.col("n") >= rules.min_documents))
+    added = [T.StructField(f"{TMP}kept", T.StringType()), T.StructField(f"{TMP}lines", T.LongType()), T.StructField(f"{TMP}dropped", T.LongType())]
+
+    def finished(out: DataFrame) -> DataFrame:
+        return drop_tmp(out.withColumns({text_col: F.col(f"{TMP}kept"), "n_lines": F.col(f"{TMP}lines"), "n_dropped": F.col(f"{TMP}dropped")}))
+
+    if repeated.count() <= rules.max_broadcast_lines:
+        known = repeated.select("line", "keep").orderBy("line").toArrow()  # max_broadcast_lines rows at most
+        halves = np.frombuffer(b"".join(known.column("line").to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2)
+        sorted_lines = spark.sparkContext.broadcast((halves[:, 0].copy(), halves[:, 1].copy(), known.column("keep").combine_chunks()))
+        marked = base.withColumn(f"{TMP}id", F.col(id_col)).drop(f"{TMP}key", text_col)
+        return finished(marked.mapInArrow(_cleaned(filter_bits, segments, sorted_lines, rules.min_chars), T.StructType([*marked.schema.fields, *added])))
+
     # A line of a third of all documents is one key of this join: it is salted.
     salted = suspects.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(rules.salts)).cast("int"))
     spread = repeated.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(rules.salts)])))
@@ -185,10 +232,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     clean = marked.where(F.size(f"{TMP}suspects") == 0).withColumn(f"{TMP}drops", F.lit(None).cast("array<binary>"))
     other = marked.where(F.size(f"{TMP}suspects") > 0).join(drops, F.col(f"{TMP}key") == F.col(f"{TMP}drop_key"), "left").drop(f"{TMP}drop_key")
     both = clean.unionByName(other).drop(f"{TMP}suspects", f"{TMP}key", text_col)
-    schema = T.StructType([*both.schema.fields, T.StructField(f"{TMP}kept", T.StringType()), T.StructField(f"{TMP}lines", T.LongType()), T.StructField(f"{TMP}dropped", T.LongType())])
-    out = both.mapInArrow(_rebuild(rules.min_chars), schema)
-    out = out.withColumns({text_col: F.col(f"{TMP}kept"), "n_lines": F.col(f"{TMP}lines"), "n_dropped": F.col(f"{TMP}dropped")})
-    return drop_tmp(out)
+    return finished(both.mapInArrow(_rebuild(rules.min_chars), T.StructType([*both.schema.fields, *added])))
 
 
 def op4(docs: DataFrame) -> DataFrame:

@@ -28,21 +28,20 @@ def oracle_sql() -> dict[str, str]:
 
 
 OP4 = r"""
-WITH lines AS (
-  SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
-  FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS u(i)
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
 ), keyed AS (
-  SELECT doc_id, i, line,
-    translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM lines
+  SELECT rid, doc_id, i, parts[i] AS line,
+    translate(trim(parts[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM texts, unnest(range(1, len(parts) + 1)) AS u(i)
 ), repeated AS (
   SELECT k, max(doc_id) AS keep FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
 ), judged AS (
-  SELECT doc_id, i, line, (r.k IS NOT NULL AND doc_id <> keep) AS gone FROM keyed LEFT JOIN repeated r USING (k)
+  SELECT rid, doc_id, i, line, (r.k IS NOT NULL AND doc_id IS DISTINCT FROM keep) AS gone FROM keyed LEFT JOIN repeated r USING (k)
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
+FROM judged GROUP BY rid, doc_id
 """
 
 OP10 = r"""
