@@ -71,17 +71,37 @@ def test_line_dedup(docs, none):
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\f\r"))
     for i, t in TEXTS:
         for k in {key(x) for x in (t or "").split("\n") if len(key(x)) >= 40}:
-            keys[k].append(-1 if i is None else i)
-    last = {k: max(v) for k, v in keys.items() if len(v) >= 5}
+            keys[k].append(i)
+    last = {k: max(set(v) - {None}) for k, v in keys.items() if len(set(v) - {None}) >= 5}
     want = []
     for i, t in TEXTS:
         lines = (t or "").split("\n")
-        keep = [x for x in lines if last.get(key(x), -1 if i is None else i) == (-1 if i is None else i)]
+        keep = [x for x in lines if last.get(key(x), i) == i]
         want.append((len(lines), len(lines) - len(keep), sha("\n".join(keep))))
     assert sorted(tuple(r)[1:] for r in linededup.op4(docs).collect()) == sorted(want)
     assert linededup.op4(none).count() == 0
-    tight = linededup.dedup_lines(docs, rules=linededup.LineRules(max_filter_bytes=1 << 20, salts=2))
-    assert tight.agg(F.sum("n_dropped")).first()[0] == sum(w[1] for w in want)
+    for most in (0, 1000):  # by a join, and by a broadcast list
+        tight = linededup.dedup_lines(docs, rules=linededup.LineRules(max_filter_bytes=1 << 20, salts=2, max_broadcast_lines=most))
+        assert set(docs.columns) | {"n_lines", "n_dropped"} == set(tight.columns)
+        assert sorted((r.n_lines, r.n_dropped, sha(r.text)) for r in tight.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_line_dedup_counts_documents(spark, most):
+    """Rows of one document count once; the SQL of the query says the same."""
+    import duckdb
+
+    from sparkloom.llm.queries import OP4
+
+    other = LINE + " more"
+    rows = [(i, f"{LINE}\n{other}") for i in (1, 1, 1, 2, 3)] + [(i, f"{other}\nx") for i in (4, 5, 5)] + [(None, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = linededup.dedup_lines(docs, rules=linededup.LineRules(max_broadcast_lines=most)).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256)).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(OP4).fetchall()))
+    assert sum(r.n_dropped for r in got) == 7
 
 
 def shingles(t):
@@ -205,6 +225,32 @@ def test_bpe_round_trip(docs, none):
     assert {(r.doc_id, bytes(r.decoded).decode()) for r in back} == texts and len(back) == len(TEXTS)
 
 
+def test_bpe_fuzz(spark):
+    """Random texts of marks, separators, digits, contractions and line ends, and a word of a megabyte, against the library."""
+    import public_tokenizers as P
+    import tiktoken
+
+    rng = random.Random(11)
+    parts = ["a", "é", "e\u0301", "\u0300", "ß", "漢字", "٣", "7", "²", "'s", "'LL", "'ve", "\u2019t", " ", "  ", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u200b", "\u2028", "🙂", "\U000e0001", "_", "-", "...", "<|endoftext|>", "\x00", "word", " the"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 60))) for _ in range(1500)] + ["ab" * 500_000, " " * 300_000 + "x"]
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path(bpe.VOCABULARY)), special_tokens={})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = bpe.decode(bpe.encode(docs, chunk_bytes=20_000)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.ids == enc.encode_ordinary(texts[r.doc_id]) and bytes(r.decoded).decode() == texts[r.doc_id], r.doc_id
+
+
+def test_bpe_odd_rows(spark):
+    """Null arrays and ids, extra columns of nested types, and repeated rows."""
+    ids = spark.createDataFrame([(1, None, {"a": 1}), (2, [], None), (3, [0, None, 1], {"b": 2})], "k int, ids array<int>, m map<string,int>")
+    assert [bytes(r.decoded) for r in bpe.decode(ids).orderBy("k").collect()] == [b"", b"", b'!"']
+    assert bpe.decode(ids.where("false")).count() == 0
+    docs = spark.createDataFrame([(None, "same text", [1, 2], 5), (None, "same text", [1, 2], 5)], "doc_id long, text string, ids array<int>, size int")
+    got = bpe.encode(docs).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0].size == 5 and got[0].ids != [1, 2]
+
+
 def test_secrets(docs, none):
     assign = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -249,6 +295,74 @@ def test_feistel_is_a_permutation(spark):
     assert one.distinct().count() == 1000 and one.where("length(x) <> 3").count() == 0
 
 
+def test_secret_spans(spark):
+    """All kinds, counts and positions against plain regular expressions, and rules behind the index as without it."""
+    pem, forge, chat = "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "aB3" * 12, "xoxb-1234567890-abc"
+    texts = [None, "", "é " + pem + "\n" + forge + "\n" + chat + "🙂" + pem, "PASSWORD: 'abcdefghijkl' passwd=short token=abcdefghijklm", "AKIA" + "A" * 14 + " akia" + "b" * 20, "f" * 15 + " " + "0" * 40, "gh_p" + "x" * 50, ("filler é " * 20_000) + chat, chat * 3, "-----BEGIN PUBLIC KEY-----", "ſecret=abcdefghijklmnop to\u212aen=abcdefghijklmnop"]
+    docs = spark.createDataFrame([(i, t, "kept", 1) for i, t in enumerate(texts)] * 2, "doc_id int, text string, kinds string, full int").repartition(3)
+    patterns = {"assign": r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+", "pem": "-----BEGIN [A-Z ]*PRIVATE KEY-----", "forge": "gh[pousr]_[A-Za-z0-9]{36,}", "chat": "xox[abprs]-[A-Za-z0-9-]{10,}"}
+    least = {"assign": 12, "access": 18, "hex": 16}
+    want = {}
+    for i, t in enumerate(texts):
+        found = [(m.start(), n, m.end(), k) for n, (k, p) in enumerate(patterns.items()) for m in re.finditer(p, t or "", re.A) if len(m[2] if k == "assign" else m[0]) >= least.get(k, 0)]
+        want[i] = [(a, e, k) for a, _, e, k in sorted(found)]
+    got = secrets.scan(docs).collect()
+    assert len(got) == 2 * len(texts) and {"doc_id", "kinds", "full", "spans"} == set(got[0].asDict())
+    for r in got:
+        assert [(x.start, x.end, x.kind) for x in r.spans] == want[r.doc_id], r.doc_id
+    for r in secrets.op5(docs.dropDuplicates(["doc_id"])).collect():
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x[2] for x in want[r.doc_id]) for k in ("assign", "access", "hex")]
+        assert r.spans == ",".join(f"{k}:{a}:{e}" for a, e, k in want[r.doc_id])
+
+
+def test_feistel_inverse(spark):
+    """The permutation of digits as plain Python computes it, and undone."""
+    sizes = lambda n: (10 ** (n // 2), 10 ** (n - n // 2))
+
+    def turned(digits, key, kind, back):
+        n = len(digits)
+        size = sizes(n)
+        half = [int(digits[: n // 2]), int(digits[n // 2 :])]
+        for i in range(8, 0, -1) if back else range(1, 9):
+            own = 0 if i % 2 else 1
+            mix = int(hashlib.sha256(f"{key}|{kind}|{i}|{size[0]}|{size[1]}|{half[1 - own]}".encode()).hexdigest()[:14], 16)
+            half[own] = (half[own] + (-mix if back else mix)) % size[own]
+        return f"{half[0]:0{n // 2}d}{half[1]:0{n - n // 2}d}"
+
+    rng = random.Random(3)
+    values = ["".join(rng.choice("0123456789") for _ in range(rng.randrange(2, 19))) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for v, new in df.select("v", pii.permute_digits(F.col("v"), "k", "t")).collect():
+        assert new == turned(v, "k", "t", False) and turned(new, "k", "t", True) == v
+
+
+def test_pseudonym_counts_and_links(spark):
+    """Equal values stay linked over documents, different ones apart; counts are of changed values; text around them stays."""
+    rng = random.Random(4)
+
+    def card():
+        body = [rng.randrange(10) for _ in range(15)]
+        body[0] = 4
+        return "".join(map(str, body)) + str(-sum(sum(divmod(2 * d, 10)) if i % 2 == 0 else d for i, d in enumerate(body)) % 10)
+
+    cards = [card() for _ in range(60)]
+    dates = [f"{rng.randrange(1900, 2100)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}" for _ in range(60)]
+    rows = [(i, f"a {c} b {d} c {c}", 7, "x") for i, (c, d) in enumerate(zip(cards, dates))] * 2 + [(99, "filler " * 50_000 + cards[0], 7, "x"), (100, None, 7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_card long, other string").repartition(4)
+    got = pii.pseudonymize(docs, "k").collect()
+    assert len(got) == len(rows)
+    new_card, new_date = {}, {}
+    for r in got:
+        if r.doc_id < 60:
+            a, d, b = re.fullmatch(r"a (\d{16}) b (\d{4}-\d\d-\d\d) c (\d{16})", r.text).groups()
+            assert a == b and new_card.setdefault(cards[r.doc_id], a) == a and new_date.setdefault(dates[r.doc_id], d) == d
+            assert r.n_card == 2 * (a != cards[r.doc_id]) and r.n_date == (d != dates[r.doc_id]) and r.n_email == r.n_ip == r.n_phone == 0 and r.other == "x"
+    assert len(set(new_card.values())) == len(set(cards)) and len(set(new_date.values())) == len(set(dates))
+    long = next(r for r in got if r.doc_id == 99)
+    assert long.text == "filler " * 50_000 + new_card[cards[0]]
+    assert next(r for r in got if r.doc_id == 100).text is None
+
+
 def test_url_filter(spark):
     urls = ["https://a.example.net/en/1", "http://NET/x?y", "ftp://b.example.com/de/#z", "http://example.com/den", "http://q.org/fr/", None, "nothing", "http://bad.test/1", "http://bad.test/2", "://", "http://sub.net"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -260,22 +374,93 @@ def test_url_filter(spark):
     assert urlfilter.op7(pages.where("false"), labels).count() == 0 and urlfilter.op7(pages, labels.where("false")).where("verdict = 'block'").count() == 2
 
 
+def test_registered_domains(spark):
+    hosts = {"a.b.example.com": ("example.com", "com"), "shop.example.co.uk": ("example.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "com": ("com", "com"), "": ("", ""), "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "www.x.org:8080": ("x.org", "org"), "[::1]": ("[::1]", "[::1]")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r[0]: (r[1], r[2]) for r in df.select("host", *urlfilter.registered(F.col("host"))).collect()} == hosts
+
+
+def test_host_reputation(spark):
+    """Posteriors against plain Python, bounds against a sampled quantile, and bad hosts blocked; repeated rows count once."""
+    import numpy as np
+
+    rng = random.Random(9)
+    rate = {f"h{h}.d{h % 7}.{('com', 'co.uk', 'org')[h % 3]}": (0.9 if h % 5 == 0 else 0.05) for h in range(40)}
+    pages, outcomes = [], []
+    for i in range(3000):
+        h = rng.choice(list(rate))
+        pages.append((i, h))
+        if i % 3:
+            outcomes.append((i, float(rng.random() < rate[h])))
+    outcomes += outcomes[:50]
+    rep = urlfilter.Reputation()
+    frame = spark.createDataFrame(pages + pages[:100], "page_id long, host string")
+    found, mean = urlfilter.host_reputation(frame, spark.createDataFrame(outcomes, "page_id long, bad double"), rep)
+    got = {r.host: r for r in found.collect()}
+    bad = dict(outcomes)
+    level = [collections.defaultdict(lambda: [0, 0.0]) for _ in range(3)]
+    for i, h in pages:
+        suffix = "co.uk" if h.endswith("co.uk") else h.rsplit(".", 1)[1]
+        for groups, k in zip(level, (h, h.split(".", 1)[1], suffix)):
+            groups[k][0] += i in bad
+            groups[k][1] += bad.get(i, 0.0)
+
+    def strength(groups):
+        n, k, m = sum(g[0] for g in groups), sum(g[1] for g in groups), len(groups)
+        mu = k / n
+        rho = (sum(g[1] ** 2 / g[0] for g in groups) / n - mu**2 - mu * (1 - mu) * m / n) / (mu * (1 - mu) * (1 - m / n))
+        return mu, min(1000, max(0.5, 1 / rho - 1 if rho > 0 else 1000))
+
+    (_, s2), (_, s1), (mu, s0) = (strength(list(g.values())) for g in level)
+    assert abs(mean - mu) < 1e-9 and set(got) == {h for _, h in pages}
+    draw = np.random.default_rng(1)
+    for h, r in got.items():
+        d = h.split(".", 1)[1]
+        x = "co.uk" if h.endswith("co.uk") else h.rsplit(".", 1)[1]
+        suffix = (mu * s0 + level[2][x][1]) / (s0 + level[2][x][0])
+        domain = (suffix * s1 + level[1][d][1]) / (s1 + level[1][d][0])
+        a, total = domain * s2 + level[0][h][1], s2 + level[0][h][0]
+        assert abs(r.a - a) < 1e-6 and abs(r.b - (total - a)) < 1e-6
+        assert abs(r.lower - np.quantile(draw.beta(a, total - a, 100_000), 0.05)) < 0.01
+        assert (r.lower > mean) == (rate[h] == 0.9)
+    judged = urlfilter.judge(frame.select("page_id", F.concat(F.lit("http://"), "host", F.lit("/x")).alias("url"), F.lit(1).alias("lower"), F.lit("z").alias("rule")), spark.createDataFrame(outcomes, "page_id long, bad double"), rules=())
+    assert judged.count() == 3100 and all((r.verdict == "block") == (rate[r.host] == 0.9) for r in judged.collect())
+
+
 def test_warc(spark):
-    pages = [(1, "http://b.x/1", "same\r\n\r\né"), (5, "http://a.x/2?q", "same\r\n\r\né"), (3, None, None), (4, "http://a.x/", ""), (9, "http://a.x/", "WARC/1.1\r\n"), (9, "http://a.x/", "WARC/1.1\r\n"), (None, "http://c/\n", "alone")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    pages = [(1, "http://b.x/1", "same\r\n\r\né"), (5, "http://a.x/2?q", "same\r\n\r\né"), (3, None, None), (4, "http://a.x/", ""), (9, "http://a.x/", "WARC/1.1\r\n"), (9, "http://a.x/", "WARC/1.1\r\n"), (None, "http://c/\n", "alone"), (10**12, "http://z.x/", "large"), (2**63 - 1, "http://z.x/", "x" * 300_000), (-(2**63), "http://z.x/" + "q" * 100_000, "least")]
+    df = spark.createDataFrame([(*p, "clash", 1) for p in pages], "page_id long, url string, html string, digest string, response int").repartition(2)
     dig = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
-    top = collections.defaultdict(lambda: -1)
+    holders = collections.defaultdict(list)
     for p, _, h in pages:
-        top[dig(h)] = max(top[dig(h)], -1 if p is None else p)
-    want = [(p, len((h or "").encode()), dig(h), *(("response", None) if top[dig(h)] in (p, -1) else ("revisit", top[dig(h)]))) for p, _, h in pages]
+        holders[dig(h)].append(p)
+    top = {k: max([p for p in v if p is not None], default=None) for k, v in holders.items()}
+    want = [(p, len((h or "").encode()), dig(h), *(("response", None) if top[dig(h)] in (p, None) else ("revisit", top[dig(h)]))) for p, _, h in pages]
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in warc.op2(df).collect())
-    path = shared_dir(spark)
-    warc.write_archives(df, path)
-    order = [(r.url_key, r.timestamp) for r in warc.capture_history(spark, path).collect()]
-    assert order == sorted(order) and len(order) == len(pages)
+    for file_bytes in (1, 1000, 1 << 20):
+        path = shared_dir(spark)
+        warc.write_archives(df, path, file_bytes)
+        sizes = [(r.length, r.n) for r in spark.read.format("binaryFile").load(path).select("length", F.expr("size(split(decode(content, 'UTF-8'), 'WARC-Type: ')) - 1").alias("n")).collect()]
+        assert all(length <= file_bytes or n == 1 for length, n in sizes) and sum(n for _, n in sizes) == len(pages)
+        order = [(r.url_key, r.timestamp, r.page_id or 0) for r in warc.capture_history(spark, path, merge_bytes=1000).collect()]
+        assert order == sorted(order) and len(order) == len(pages)
     assert warc.op2(df.where("false")).count() == 0
 
 
+def test_merge_of_runs_that_came_apart():
+    """Blocks of one run in the wrong order become runs of their own; the merge is in order all the same."""
+    import pyarrow as pa
+
+    rows = [(f"k{i:03d}", 0, i, "", "response", None, 0, "", str(i % 3), i, 1, str(i % 3)) for i in range(60)]
+    types = [pa.string() if " string" in c else pa.int64() for c in warc.CAPTURES.split(", ")]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], warc.NAMES)
+    of = [[r for r in rows if r[-1] == str(k)] for k in range(3)]
+    batches = [batch(of[0][10:] + of[1][:5]), batch(of[2]), batch(of[0][:10] + of[1][5:])]
+    assert sorted(len(r) for r in warc._split_runs(iter(batches))) == [1, 1, 1, 2]
+    assert [r for b in warc._merge(iter(batches)) for r in b.column(0).to_pylist()] == [r[0] for r in rows]
+    assert list(warc._merge(iter([]))) == []
+
+
 def test_loser_tree():
     runs = [[(c, 0, i, "", "", None, 0, "", str(n), 0) for i, c in enumerate(sorted(s))] for n, s in enumerate(("adgj", "", "bbbz", "c", "aay"))]
     assert "".join(r[0] for r in warc.LoserTree(runs)) == "".join(sorted("adgjbbbzcaay"))
@@ -283,19 +468,48 @@ def test_loser_tree():
 
 def test_sharding(spark, docs, none):
     store = sharding.ShardStore(spark, shared_dir(spark), target_bytes=1 << 20, fanout=2)
+    rows = sorted(map(repr, docs.collect()))
+    contents = lambda version=None: sorted(repr(r) for r in store.read(version).select(*docs.columns).collect())
     for _ in range(3):
         store.append(docs, rows_per_shard=4)
-    before = len(store.manifest()["shards"])
+    before = store.manifest()["shards"]
     now = store.compact()
-    assert len(now["shards"]) < before and store.read().count() == 3 * len(TEXTS) and store.read(1).count() == len(TEXTS)
+    assert len(now["shards"]) < len(before) and contents() == sorted(3 * rows) and contents(1) == rows and contents(3) == sorted(3 * rows)
+    tiers = collections.Counter(s["tier"] for s in now["shards"] if s["bytes"] < store.target // 2)
+    assert all(n < store.fanout for n in tiers.values()) and all(s["tier"] == store.tier(s["bytes"]) for s in now["shards"])
+    assert store.compact() == now  # nothing left to merge
     with pytest.raises(sharding.ConflictError):
         store.commit(now["version"] - 1, [], now["schema"])
-    store.vacuum()
-    assert store.read().count() == 3 * len(TEXTS)
-    assert sorted(str(r.doc_id) for r in sharding.op8(docs).collect()) == sorted(str(i) for i, _ in TEXTS)
+    assert store.manifest() == now
+    assert store.vacuum() == len({s["file"] for s in before} - {s["file"] for s in now["shards"]}) and contents() == sorted(3 * rows)
+    assert sorted((str(r.doc_id), r.text_sha256) for r in sharding.op8(docs).collect()) == sorted((str(i), sha(t) if t is not None else None) for i, t in TEXTS)
     assert sharding.op8(none).count() == 0
 
 
+def test_sharding_after_a_dead_writer(spark, docs):
+    """A manifest that was not renamed blocks nobody, and its shards go once they are old; an older reader's columns stay."""
+    path = shared_dir(spark)
+    store, dead = sharding.ShardStore(spark, path), sharding.ShardStore(spark, path)
+    store.append(docs)
+    dead._written(docs)
+    out = dead._fs.create(dead._at(f"{path}/manifests/dead.part"), False)
+    out.close()
+    store.append(docs.withColumn("added", F.lit(5)))
+    assert store.versions() == [1, 2] and store.read().where("added = 5").count() == len(TEXTS) == store.read().where("added IS NULL").count()
+    assert store.vacuum(2) == 0 and store.vacuum(2, orphan_seconds=0) > 0 and store.read().count() == 2 * len(TEXTS)
+    with pytest.raises(ValueError):
+        store.append(docs.withColumn("doc_id", F.lit("x")))
+
+
+def test_sharding_files_hold_to_the_target(spark):
+    store = sharding.ShardStore(spark, shared_dir(spark), target_bytes=40_000, fanout=3, smallest_bytes=2000)
+    df = spark.range(3000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x")).repartition(30)
+    store.append(df, rows_per_shard=100)
+    now = store.compact()
+    assert store.read().select("id", "x").exceptAll(df).count() == 0 and store.read().count() == 3000
+    assert len(now["shards"]) < 30 and max(s["bytes"] for s in now["shards"]) <= 1.1 * store.target
+
+
 def test_pipeline(spark):
     from sparkloom.llm._common import table
 

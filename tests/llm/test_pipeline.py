@@ -46,7 +46,7 @@ def judged(docs):
     lists = {}
     for lang, count in words.items():
         n = sum(count.values())
-        top = sorted((-c, w) for w, c in count.items() if c > 1 and c / n >= rules.min_share)[: rules.common_words]
+        top = sorted((-c, w) for w, c in count.items() if c / n >= rules.min_share)[: rules.common_words]
         lists[lang] = [w for _, w in top], [-c / n for c, _ in top]
     out = {}
     for i, t, lang in docs:
@@ -57,6 +57,7 @@ def judged(docs):
         repeated = {b for at in seen.values() if len(at) > 1 for a in at for b in range(a, a + 8)}
         failed = len(w) < 20 or 100 * len(repeated) > 30 * len(w)
         by_char = by_word = None
+        absent = False
         if len(t) >= rules.min_chars:
             by_char = distance([c[k] / len(t) for k in range(7)], [chars[lang][k] / sum(chars[lang].values()) for k in range(7)])
         if len(w) >= rules.min_words:
@@ -64,7 +65,8 @@ def judged(docs):
             count = collections.Counter(w)
             own = [count[x] / len(w) for x in listed]
             by_word = distance([*own, 1 - sum(own)], [*shares, 1 - sum(shares)])
-        apart = (by_char or 0) > rules.max_char_distance or (by_word or 0) > rules.max_word_distance
+            absent = sum(own) < sum(shares) and distance([sum(own), 1 - sum(own)], [sum(shares), 1 - sum(shares)]) > rules.max_absence_distance
+        apart = absent or (by_char or 0) > rules.max_char_distance or (by_word or 0) > rules.max_word_distance
         out[i] = by_char, by_word, not failed and not apart
     return out
 
@@ -160,10 +162,17 @@ def test_pipeline_rows(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).collect())) == want
 
 
-def test_line_dedup_and_quality_stages_take_odd_rows(spark):
-    rows = [(None, None, None, None, None, 1), (1, "", "en", "s", 0, 1), (1, "", "en", "s", 0, 1), (2, "word " * 30_000, None, "s", None, 2)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept int")
-    for (_, stage), n in zip(corpus_pipeline.STAGES[:2], (0, 4)):
-        out = stage(spark, docs, DATA)
-        assert out.columns == docs.columns and out.count() == n
+def test_stages_take_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, clashing columns and empty tables; a table without n_chars too."""
+    prose = " ".join(f"w{i * 7919 % 1009}" for i in range(300))
+    rows = [(None, None, None, None, None, 1), (1, "", "en", "s", 0, 1), (1, "", "en", "s", 0, 1), (2, "word " * 30_000, None, "s", None, 2), (3, prose, "en", "s", 9, 3), (4, prose, "en", "s", 9, 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept int"
+    docs = spark.createDataFrame(rows, schema)
+    clashing = docs.withColumnsRenamed({"kept": "ids"}).withColumns({"bands": docs.doc_id, "n_words": docs.text, "size": docs.doc_id})
+    for (_, stage), n in zip(corpus_pipeline.STAGES[:4], (2, 6, 5, 6)):
+        for own in (docs, clashing, docs.drop("n_chars")):
+            out = stage(spark, own, DATA)
+            assert out.columns == own.columns and out.count() == n
         assert stage(spark, docs.where("false"), DATA).count() == 0
+    last = corpus_pipeline.STAGES[4][1]
+    assert last(spark, clashing, DATA).count() == 6 and last(spark, docs.where("false"), DATA).count() == 0
