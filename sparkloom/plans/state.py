@@ -256,7 +256,7 @@ def param_errors(t):
 
 
 @query("""
-SELECT o_orderkey, o_totalprice::DECIMAL(38, 18) AS exact, CASE WHEN o_totalprice % 1 = 0 THEN o_totalprice::BIGINT END AS whole, CASE WHEN o_totalprice % 1 <> 0 THEN o_totalprice END AS real FROM orders
+SELECT o_orderkey, o_totalprice::VARCHAR::DECIMAL(38, 18) AS exact, CASE WHEN o_totalprice % 1 = 0 THEN o_totalprice::BIGINT END AS whole, CASE WHEN o_totalprice % 1 <> 0 THEN o_totalprice END AS real FROM orders
 """)
 def decimal_numbers(t):
     """Prices as the decimals that they are written as, and back."""
