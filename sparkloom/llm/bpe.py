@@ -91,8 +91,8 @@ class _Numbered(dict):
 
 
 def _listed(words: list[bytes], counts: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
-    """The final number of each word, and (bucket, packed list) rows. A list holds the numbers of its frequent words, the
-    number of its first other word, and all its words."""
+    """The final number of each word, and (bucket, packed list) rows. A list holds the steps between the numbers of its frequent
+    words, the number of its first other word, and all its words."""
     n = len(words)
     frequent = np.argsort(-counts, kind="stable")[:FREQUENT]
     bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, n)
@@ -109,7 +109,7 @@ def _listed(words: list[bytes], counts: np.ndarray, buckets: int) -> tuple[np.nd
     for b in np.unique(bucket).tolist():
         own = first[slice(*np.searchsorted(bucket[first], [b, b + 1]))]
         lo, hi = np.searchsorted(bucket[rest], [b, b + 1]).tolist()
-        head = [number[own].astype("<u4").tobytes(), np.uint32(len(frequent) + lo).tobytes()]
+        head = [_planes(np.diff(number[own], prepend=np.uint32(0))), np.uint32(len(frequent) + lo).tobytes()]
         rows.append((b, _pack([*head, *(words[i] for i in own.tolist()), *(words[i] for i in rest[lo:hi].tolist())])))
     return number, rows
 
@@ -127,20 +127,23 @@ def _pre_tokens(pattern: str, buckets: int, chunk_bytes: int, schema: pa.Schema)
 
         def rows(columns: list | None, bucket: list[int], at: np.ndarray, size: np.ndarray, packed: list, chunk: int) -> pa.RecordBatch:
             n = len(bucket)
-            columns = columns or [pa.nulls(n, schema.field(c).type) for c in own]
+            columns = [pa.nulls(n, schema.field(c).type) for c in own] if columns is None else columns
             part = (task + chunks * 7919) % (1 << 31)  # the chunks of one number come to different partitions
             new = [pa.array([chunk] * n, pa.int64()), pa.array([part] * n, pa.int32()), pa.array(bucket, pa.int32()), pa.array(at, pa.int64()), pa.array(size, pa.int64()), pa.array(packed, pa.binary())]
             return pa.RecordBatch.from_arrays([*columns, *new], [*own, *(f"{TMP}{c}" for c in ("chunk", "part", "bucket", "at", "size", "packed"))])
 
         def finished() -> Iterator[pa.RecordBatch]:
             chunk, at = uuid.uuid4().int >> 65, 0
-            flat = np.concatenate(numbers)
-            number, lists = _listed([w.encode() for w in words], np.bincount(flat, minlength=len(words)), buckets)
-            for columns in held:
-                n = len(columns[0])
-                size = np.fromiter(map(len, numbers[at : at + n]), np.int64, n)
-                yield rows(columns[1:], [DOCUMENT] * n, np.arange(at, at + n), size, [None] * n, chunk)
+            sizes = np.fromiter(map(len, numbers), np.int64, len(numbers))
+            for n, columns in held:
+                yield rows(columns, [DOCUMENT] * n, np.arange(at, at + n), sizes[at : at + n], [None] * n, chunk)
                 at += n
+            held.clear()
+            flat = np.concatenate(numbers)
+            numbers.clear()
+            encoded = [w.encode() for w in words]
+            words.clear()
+            number, lists = _listed(encoded, np.bincount(flat, minlength=len(encoded)), buckets)
             flat = number[flat]
             none = np.full(1, -1)
             for i, a in enumerate(range(0, len(flat), PIECE)):
@@ -151,7 +154,8 @@ def _pre_tokens(pattern: str, buckets: int, chunk_bytes: int, schema: pa.Schema)
         words, held, numbers, size = _Numbered(), [], [], 0
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(f"{TMP}text"))
-            columns = [texts, *(batch.column(batch.schema.get_field_index(c)) for c in own)]
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in own]
+            part = lambda a, n: (n, [c.take(pa.array(np.arange(a, a + n))) for c in columns])  # noqa: B023, E731  a copy, so that the texts can go
             a = 0
             for b in range(batch.num_rows):
                 text = texts[b].as_py()
@@ -159,11 +163,11 @@ def _pre_tokens(pattern: str, buckets: int, chunk_bytes: int, schema: pa.Schema)
                 numbers.append(np.fromiter(map(words.__getitem__, found), np.uint32))
                 size += len(text)
                 if size >= chunk_bytes:
-                    held.append([c.slice(a, b + 1 - a) for c in columns])
+                    held.append(part(a, b + 1 - a))
                     yield from finished()
-                    words, held, numbers, size, a, chunks = _Numbered(), [], [], 0, b + 1, chunks + 1
+                    size, a, chunks = 0, b + 1, chunks + 1
             if a < batch.num_rows:
-                held.append([c.slice(a) for c in columns])
+                held.append(part(a, batch.num_rows - a))
         if held:
             yield from finished()
 
@@ -207,7 +211,7 @@ def _chunk(rows: list[pa.RecordBatch], own: list[str]) -> Iterator[pa.RecordBatc
                 pieces[-bucket[i]] = _unpack_numbers(packed)
             else:
                 frequent, base, sizes, ids = _unpack(packed)
-                frequent, sizes = np.frombuffer(frequent, "<u4"), _unpack_numbers(sizes)
+                frequent, sizes = np.cumsum(_numbers(frequent)), _unpack_numbers(sizes)
                 others = np.frombuffer(base, "<u4")[0] + np.arange(len(sizes) - len(frequent))
                 parts.append((np.concatenate([frequent, others]).astype(np.int64), sizes.astype(np.int64), _unpack_numbers(ids).astype(np.int32)))
     n = sum(len(p[0]) for p in parts)
