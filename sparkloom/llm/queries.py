@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sparkloom.llm import bpe, decontaminate, linededup, neardup, pii, quality, secrets, sharding, urlfilter, warc
+from sparkloom.llm import align, bpe, decontaminate, linededup, neardup, periodic, pii, qda, quality, secrets, sharding, urlfilter, warc
 from sparkloom.llm._common import table
 
 
@@ -19,6 +19,9 @@ def queries() -> dict:
         "op8_sharding": lambda spark, d: sharding.op8(table(spark, d, "documents")),
         "op9_pii": lambda spark, d: pii.op9(table(spark, d, "documents")),
         "op10_decontaminate": lambda spark, d: decontaminate.op10(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op11_align_tokens": lambda spark, d: align.op11(table(spark, d, "documents")),
+        "op12_periodic_runs": lambda spark, d: periodic.op12(table(spark, d, "documents")),
+        "op13_quality_discriminant": lambda spark, d: qda.op13(table(spark, d, "documents"), table(spark, d, "labels")),
         "pipeline": corpus_pipeline.run,
     }
 
