@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -18,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders that this process has made and not removed.
-_made: list[str] = []
+#: Of each thread the scopes that it is in (scratch), each with the folders made there.
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,8 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    _made.append(f"{root.rstrip('/')}/sl-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{root.rstrip('/')}/sl-{uuid.uuid4().hex}"
+    for made in getattr(_scopes, "open", [])[-1:]:
+        made.append(path)
+    return path
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -41,17 +44,23 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """The folders made inside are removed at the end: nothing that reads them may be left to run."""
-    before = len(_made)
+    """The folders that this thread makes inside are removed at the end: nothing that reads them may be left to run. Scopes of other threads,
+    and those around or inside this one, keep theirs."""
+    made: list[str] = []
+    _scopes.open = [*getattr(_scopes, "open", []), made]
     try:
         yield
     finally:
-        for path in _made[before:]:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        del _made[before:]
+        _scopes.open = _scopes.open[:-1]
+        for path in made:
+            remove(spark, path)
 
 
 def text_or_empty(name: str) -> Column:

@@ -168,11 +168,42 @@ def test_stages_take_odd_rows(spark):
     rows = [(None, None, None, None, None, 1), (1, "", "en", "s", 0, 1), (1, "", "en", "s", 0, 1), (2, "word " * 30_000, None, "s", None, 2), (3, prose, "en", "s", 9, 3), (4, prose, "en", "s", 9, 3)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, kept int"
     docs = spark.createDataFrame(rows, schema)
-    clashing = docs.withColumnsRenamed({"kept": "ids"}).withColumns({"bands": docs.doc_id, "n_words": docs.text, "size": docs.doc_id})
+    clashing = docs.withColumnsRenamed({"kept": "ids"}).withColumns({"bands": docs.doc_id, "n_words": docs.text, "size": docs.doc_id, "n_lines": docs.text, "spans": docs.source, "items": docs.doc_id, "base_failed": docs.source})
     for (_, stage), n in zip(corpus_pipeline.STAGES[:4], (2, 6, 5, 6)):
         for own in (docs, clashing, docs.drop("n_chars")):
             out = stage(spark, own, DATA)
             assert out.columns == own.columns and out.count() == n
+            # Columns that a stage doesn't change come back as they were, whatever their names.
+            rest = [c for c in own.columns if c not in ("text", "n_chars")]
+            before = collections.Counter(tuple(r[c] for c in rest) for r in own.collect())
+            after = collections.Counter(tuple(r[c] for c in rest) for r in out.collect())
+            assert out.select(rest).schema == own.select(rest).schema and not after - before
         assert stage(spark, docs.where("false"), DATA).count() == 0
     last = corpus_pipeline.STAGES[4][1]
     assert last(spark, clashing, DATA).count() == 6 and last(spark, docs.where("false"), DATA).count() == 0
+
+
+def test_scratch_of_two_threads(spark):
+    """A pipeline's folders aren't removed by another one of the same driver."""
+    import threading
+
+    from sparkloom.llm._common import durable, scratch
+
+    first, second, seen = threading.Event(), threading.Event(), []
+
+    def one():
+        with scratch(spark):
+            df = durable(spark.range(3).toDF("x"))
+            first.set()
+            second.wait(60)
+            seen.append(df.count())
+
+    t = threading.Thread(target=one)
+    t.start()
+    first.wait(60)
+    with scratch(spark):
+        inner = durable(spark.range(5).toDF("x"))
+        assert inner.count() == 5
+    second.set()
+    t.join()
+    assert seen == [3]
