@@ -24,6 +24,8 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -46,6 +48,19 @@ FIELDS = ("chunk", "kind", "stripe", "at", "n_a", "n_b", "n_groups", "packed")
 TYPES = "chunk bigint, kind int, stripe int, at bigint, n_a bigint, n_b bigint, n_groups bigint, packed binary"
 
 
+@dataclass
+class Aligned:
+    """Some units: whether both tokenizers keep their bytes, how many tokens and groups they have, the linked pairs (B's id above A's) and the text of
+    their groups. A unit that isn't good has none."""
+
+    good: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    groups: np.ndarray
+    pairs: np.ndarray
+    text: list[bytes]
+
+
 class Pair:
     """Both tokenizers and the bytes of their tokens."""
 
@@ -64,37 +79,60 @@ class Pair:
             self.a_bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(len(self.b))]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
+        self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        # A token's number and what follows it in the text of groups: inside a group, at the end of its side, at the end of the unit.
+        table = lambda n, ends: np.array([[f"{i}{e}".encode() for i in range(n)] for e in ends], object)
+        self.a_text, self.b_text = table(len(self.a_bytes), ",|"), table(len(self.b_bytes), ",;\n")
 
-    def align(self, units: list[str]) -> Iterator[tuple[list[int], list[int], list[tuple[int, int]]] | None]:
-        """For each unit (which begins with the space) the ids of both, and how many of either are in each group; None where bytes differ."""
+    def align(self, units: list[str]) -> Iterator[Aligned]:
+        """The units (each without the space before it), some at a time."""
         for at in range(0, len(units), UNITS):
             some = units[at : at + UNITS]
-            for unit, a, b in zip(some, self.a.encode_batch_fast(some, add_special_tokens=False), self.b.encode([u[1:] for u in some], num_threads=1)):
-                a, raw = a.ids, unit.encode()
-                own, other = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-                if b"".join(own) != raw or b"".join(other) != raw:
-                    yield None
-                    continue
-                groups, i, j, end_a, end_b, from_a, from_b = [], 0, 0, 0, 0, 0, 0
-                while i < len(own):
-                    end_a += len(own[i])
-                    i += 1
-                    while end_b < end_a:
-                        end_b += len(other[j])
-                        j += 1
-                    if end_a == end_b:
-                        groups.append((i - from_a, j - from_b))
-                        from_a, from_b = i, j
-                yield a, b, groups
+            spaced = [f" {u}" for u in some]
+            a, b = [x.ids for x in self.a.encode_batch_fast(spaced, add_special_tokens=False)], self.b.encode(some, num_threads=1)
+            raw = [u.encode() for u in spaced]
+            whole = b"".join(raw)
+            good = np.ones(len(some), bool)
+            if any(b"".join([table[i] for i in chain.from_iterable(ids)]) != whole for table, ids in ((self.a_bytes, a), (self.b_bytes, b))):
+                for u, own in enumerate(raw):
+                    good[u] = b"".join([self.a_bytes[i] for i in a[u]]) == own == b"".join([self.b_bytes[i] for i in b[u]])
+                a, b = [x if g else [] for x, g in zip(a, good)], [x if g else [] for x, g in zip(b, good)]
+            yield self._grouped(a, b, good)
+
+    def _grouped(self, a: list[list[int]], b: list[list[int]], good: np.ndarray) -> Aligned:
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
+        end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        at = np.searchsorted(end_b, end_a)
+        last_a = np.flatnonzero(end_b[at] == end_a) if len(b) else np.zeros(0, np.int64)
+        last_b = at[last_a]
+        ends = end_a[last_a]
+        unit = np.repeat(np.arange(len(n_a)), n_a)[last_a]
+        groups = np.bincount(unit, minlength=len(n_a))
+        # Text of all units: every token with what follows it, in the order of groups, A's before B's.
+        kind_a, kind_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        kind_a[last_a], kind_b[last_b] = 1, 1
+        kind_b[np.cumsum(n_b)[n_b > 0] - 1] = 2
+        pieces = np.concatenate([self.a_text[kind_a, a], self.b_text[kind_b, b]])
+        place = np.concatenate([2 * np.searchsorted(ends, end_a), 2 * np.searchsorted(ends, end_b) + 1])
+        lines = b"".join(pieces[np.argsort(place, kind="stable")].tolist()).split(b"\n")[:-1]
+        text = [b""] * len(n_a)
+        for u, line in zip(np.flatnonzero(groups).tolist(), lines):
+            text[u] = line
+        return Aligned(good, n_a, n_b, groups, b[last_b] << 32 | a[last_a], text)
 
 
 #: A space between two characters of which neither is white space, for Python or for either tokenizer.
 CUT = re.compile(r"(?<=\S) (?=\S)")
+WHITE = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+BESIDE = [*(f"{w} " for w in WHITE), *(f" {w}" for w in WHITE)]
 
 
 def units_of(text: str) -> list[str]:
-    """Space + text in units; joined they are that again."""
-    return [f" {u}" for u in CUT.split(text)]
+    """The text in units; joined by spaces they are that again."""
+    if text[0] == " " or text[-1] == " " or any(x in text for x in BESIDE):
+        return CUT.split(text)
+    return text.split(" ")
 
 
 class _Numbered(dict):
@@ -119,29 +157,17 @@ class _Chunk:
         units = list(self.numbers)
         self.numbers = _Numbered()
         n = len(units)
-        good, n_a, n_b, links = np.ones(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        text, pairs = [], []
-        for u, found in enumerate(pair.align(units)):
-            if found is None:
-                good[u] = False
-                text.append(b"")
-                continue
-            a, b, groups = found
-            n_a[u], n_b[u], links[u] = len(a), len(b), len(groups)
-            i = j = 0
-            parts = []
-            for x, y in groups:
-                parts.append(f"{','.join(map(str, a[i : i + x]))}|{','.join(map(str, b[j : j + y]))}")
-                i, j = i + x, j + y
-                pairs.append(b[j - 1] << 32 | a[i - 1])
-            text.append(";".join(parts).encode())
+        parts = list(pair.align(units))
         del units
+        good, n_a, n_b, links, pairs = (np.concatenate([getattr(p, c) for p in parts]) if parts else np.zeros(0, np.int64) for c in ("good", "n_a", "n_b", "groups", "pairs"))
+        text = [x for p in parts for x in p.text]
+        del parts
         whole = [bool(good[d].all()) for d in self.docs]
         times = np.zeros(n, np.int64)
         for d, ok in zip(self.docs, whole):
             if ok:
                 np.add.at(times, d, 1)
-        keys, index = np.unique(np.array(pairs, np.int64), return_inverse=True)
+        keys, index = np.unique(pairs, return_inverse=True)
         counts = np.zeros(len(keys), np.int64)
         np.add.at(counts, index, np.repeat(times, links))
         yield row([pa.nulls(1, self.ids[0].type)], [(chunk, UNIT_ROWS, None, 0, None, None, None, _pack([_planes(links), _planes(index), *text]))])
