@@ -20,11 +20,13 @@ def fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], A
 
     Rows are dealt out by key and sorted by key and order in each partition, by Spark, which spills; a task reads them as a stream and
     holds one state and one batch, so memory doesn't grow with a key's rows. The rows of one key come one after another in
-    one task, as the fold demands. Rows that tie in order come in no defined order, so order should end in an identity.
+    one task, as the fold demands. Rows that tie in order come in no defined order, so order should end in an identity. Rows
+    whose first order column is null have no place: they are no step, and their new columns are null.
     """
     new = T.DataType.fromDDL(added)
     schema = T.StructType([*df.schema.fields, *new.fields])
     arrow, names = to_arrow_schema(schema), df.columns
+    unplaced = dict.fromkeys(new.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
@@ -32,6 +34,9 @@ def fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], A
             for a in range(0, batch.num_rows, BATCH):
                 rows = batch.slice(a, BATCH).select(names).to_pylist()
                 for row in rows:
+                    if row[order[0]] is None:
+                        row.update(unplaced)
+                        continue
                     key = tuple(row[k] for k in keys)
                     if key != now:
                         now, state = key, start()

@@ -36,21 +36,23 @@ LIFE = {
 }
 
 
+def next_state(status: str, attempt: int, event: str, max_attempts: int) -> tuple[str, int] | None:
+    """Status and attempt after an event; None if it is refused."""
+    if status == "running" and event == "fail":
+        new = "retrying" if attempt < max_attempts else "failed"
+    else:
+        new = LIFE.get((status, event))
+    return None if new is None else (new, attempt + (event == "claim") - (event == "return"))
+
+
 def life_cycle(events: DataFrame, max_attempts: int = 3, key: str = "task_id", at: str = "at", identity: str = "id", event: str = "event") -> DataFrame:
     """events with status (after the event), attempt and accepted. A task is pending at first; each claim is an attempt; a failure is
     retried until max_attempts are used up, then the task has failed. A task that was returned gets its attempt back."""
 
     def step(state: tuple, row: dict) -> tuple[tuple, dict]:
-        status, attempt = state
-        name = row[event]
-        if status == "running" and name == "fail":
-            new = "retrying" if attempt < max_attempts else "failed"
-        else:
-            new = LIFE.get((status, name))
-        if new is not None:
-            attempt += (name == "claim") - (name == "return")
-            status = new
-        return (status, attempt), {"status": status, "attempt": attempt, "accepted": new is not None}
+        new = next_state(*state, row[event], max_attempts)
+        now = new or state
+        return now, {"status": now[0], "attempt": now[1], "accepted": new is not None}
 
     return fold(events, [key], [at, identity], lambda: ("pending", 0), step, "status string, attempt int, accepted boolean")
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from sparkloom.functions.embedding import hash_embed as embed
 from sparkloom.operators import chunking as C
 from sparkloom.operators import sequential as S
-from sparkloom.operators.ingest import ingest
+from sparkloom.operators.ingest import ChunkStore
 from sparkloom.plans._registry import ORACLE_SQL, QUERIES, query
 from sparkloom.sources.folders import new_folder
 from sparkloom.streaming.counters import hourly_counters
 
+#: Time of writing of the queries that write.
+NOW = datetime(2024, 1, 1)
+
 SENTENCES = r"""
 string_split(
   regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+([A-Z])', '\1' || chr(1) || '\2', 'g'), '(\n)\n+', '\1' || chr(1), 'g'),
@@ -41,9 +46,11 @@ def chunk_sentence(t):
 
 @query()
 def chunk_semantic(t):
-    """Sentences are embedded by hashing; a document's sentences and vectors are one row."""
-    s = t("documents").select("doc_id", F.posexplode(C.sentences(F.col("text"), C.ANY_SENTENCE_END)).alias("pos", "text"))
-    vectors = embed(s).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "text", "embedding"))).alias("s"))
+    """Sentences are embedded by hashing; a document's sentences and vectors are one row. Rows are told apart by their place, so documents
+    without an id, or with the same one, stay apart."""
+    rows = t("documents").withColumn("row", F.monotonically_increasing_id())
+    s = rows.select("row", "doc_id", F.posexplode(C.sentences(F.col("text"), C.ANY_SENTENCE_END)).alias("pos", "text"))
+    vectors = embed(s).groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "text", "embedding"))).alias("s"))
     return C.semantic_chunks(vectors.select("doc_id", F.col("s.text").alias("sentences"), F.col("s.embedding").alias("vectors")))
 
 
@@ -62,7 +69,11 @@ def hash_embed(t):
     return embed(t("documents").select("doc_id", "text")).select("doc_id", "embedding")
 
 
-QUERIES["kb_ingest"] = lambda spark, sf_dir: ingest(spark.read.parquet(f"{sf_dir}/documents.parquet"), new_folder(spark, "store"))
+@query()
+def kb_ingest(t):
+    """All documents are loaded into a new store."""
+    docs = t("documents")
+    return ChunkStore(docs.sparkSession, new_folder(docs.sparkSession, "kb")).load(docs, NOW)
 
 
 @query()

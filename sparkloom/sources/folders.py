@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -21,3 +21,10 @@ def shared_root(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, prefix: str) -> str:
     return f"{shared_root(spark)}/{prefix}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, prefix: str = "step") -> DataFrame:
+    """df as Parquet in a new shared folder, read back: it is computed once, and no executor's disk is needed later."""
+    path = new_folder(df.sparkSession, prefix)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

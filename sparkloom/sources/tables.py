@@ -12,3 +12,10 @@ NAMES = "region nation customer supplier part orders lineitem events documents e
 def tables(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
     """Name to DataFrame, read when asked for."""
     return lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df with its rows dealt out if it is read in fewer partitions than there are cores, as a table of one row group is; such a table is
+    small. All others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -18,7 +18,6 @@ from sparkloom.operators import merge as M
 from sparkloom.operators import retrieval as R
 from sparkloom.operators import sequential as S
 from sparkloom.operators.graph import cascade
-from sparkloom.operators.ingest import current, ingest
 from sparkloom.operators.percentiles import kth
 from sparkloom.operators.rules import Rule, delegate, evaluate, tune_threshold, within_limit
 from sparkloom.plans.procurement import LEVEL
@@ -127,16 +126,6 @@ def test_semantic_chunks(spark, docs):
     assert sorted(map(tuple, got)) == sorted(want) and len(got) > len(rows)
 
 
-def test_ingest(spark, docs, tmp_path):
-    path = str(tmp_path / "store")
-    first = {r.doc_id: (r.chunks, r.status) for r in ingest(docs, path, most=100, max_chars=3500).collect()}
-    again = {r.doc_id: (r.chunks, r.status) for r in ingest(docs, path, most=100, max_chars=3500).collect()}
-    want = {i: ((n := len(packed(sentences(t), 100, 1)) if len(t or "") <= 3500 else 0), "failed" if len(t or "") > 3500 else "loaded" if n else "empty") for i, t in enumerate(TEXTS)}
-    assert first == again == want
-    store = spark.read.parquet(path)
-    assert current(store).count() == sum(n for n, _ in want.values()) == store.count() / 2
-
-
 def test_admission(spark):
     rng = random.Random(2)
     rows = [(f"c{rng.randrange(3)}", datetime.datetime(2024, 1, 30) + datetime.timedelta(hours=rng.randrange(200)), i, float(rng.randrange(1, 60)) if i % 50 else None) for i in range(400)]
