@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.operators.retrieval import _units, in_blocks, nearest_k, top_k
+from sparkloom.operators.retrieval import _best, _units, in_blocks, nearest_k, top_k
 from sparkloom.sources.folders import written
 from sparkloom.sources.tables import spread
 from sparkloom.sources.versions import VersionedFolder
@@ -131,8 +131,7 @@ class CellIndex:
                         asked = np.arange(len(names)) if c == NOWHERE else np.flatnonzero(mask[:, c])
                         ids = some.column(0).to_numpy(zero_copy_only=False)
                         score = np.round(_units(some.column(1), dim) @ q[:, asked], 6)
-                        by_id = np.argsort(ids, kind="stable")
-                        best = by_id[np.argsort(-score[by_id], axis=0, kind="stable")[:k]]
+                        best = _best(score, ids, k)
                         row, column = best.ravel("F"), np.repeat(np.arange(len(asked)), len(best))
                         yield pa.RecordBatch.from_arrays([pa.array(names[asked[column]]), some.column(0).take(pa.array(row)), pa.array(score[row, column])], schema.names)
 

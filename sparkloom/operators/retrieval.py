@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,11 +12,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.sources.folders import written
+from sparkloom.sources.tables import spread
+
 K1, B = 1.5, 0.75
 #: Queries, and bytes of their vectors, that are sent to all tasks at once.
 MAX_BLOCK, MAX_BLOCK_BYTES = 4096, 16 << 20
-#: Query terms that are sent to all tasks; more are met by a join.
-MAX_TERMS = 100_000
+#: Query terms that are sent to all tasks; more are met by a join. Terms that a task counts before it hands them on.
+MAX_TERMS, HELD_TERMS = 100_000, 500_000
 
 
 def tokens(text: Column) -> Column:
@@ -40,31 +44,72 @@ def top_k(scored: DataFrame, k: int, by: str, score: str, tie: str) -> DataFrame
 
 
 def term_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, df, cf): documents with the term, and how often it is there. Texts are cut once; only counts by term are shuffled."""
-    words = docs.select(tokens(F.col(text_col)).alias("w"))
-    sets = F.array(F.struct(F.array_distinct("w").alias("w"), F.lit(1).alias("d"), F.lit(0).alias("c")), F.struct(F.col("w").alias("w"), F.lit(0).alias("d"), F.lit(1).alias("c")))
-    each = words.select(F.inline(sets)).select(F.explode("w").alias("term"), "d", "c")
-    return each.groupBy("term").agg(F.sum("d").alias("df"), F.sum("c").alias("cf"))
+    """(term, df, cf): documents with the term, and how often it is there. Texts are cut once in the JVM; tasks count up to HELD_TERMS different
+    terms before they hand them on, so only counts by term are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: Counter = Counter()
+        cf: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(cf.keys(), pa.string()), pa.array([df[t] for t in cf], pa.int64()), pa.array(cf.values(), pa.int64())], ["term", "df", "cf"])
+
+        for batch in batches:
+            for words in batch.column(0).to_pylist():
+                own = Counter(words or ())
+                df.update(own.keys())
+                cf.update(own)
+                if len(cf) > HELD_TERMS:
+                    yield out()
+                    df.clear()
+                    cf.clear()
+        yield out()
+
+    each = spread(docs).select(tokens(F.col(text_col)).alias("w")).mapInArrow(run, "term string, df bigint, cf bigint")
+    return each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def _asked_counts(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc, dl, term, tf) of each of terms in each document of words (doc, dl, w), and a row with a null term for each document."""
+    n = terms.count()
+    schema = T.StructType([words.schema["doc"], T.StructField("dl", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    if n > MAX_TERMS:
+        every = words.select("doc", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), "w")).alias("term"))
+        kept = every.join(terms.withColumn("asked", F.lit(True)), "term", "left").where("asked OR term IS NULL")
+        return kept.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select(*schema.names)
+    sent = words.sparkSession.sparkContext.broadcast({r["term"] for r in terms.collect()})  # MAX_TERMS at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = sent.value
+        for batch in batches:
+            at, term, tf = [], [], []
+            for i, own in enumerate(batch.column(2).to_pylist()):
+                found = Counter([w for w in own or () if w in asked])
+                at.extend([i] * (len(found) + 1))
+                term.extend([None, *found])
+                tf.extend([1, *found.values()])
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(term, pa.string()), pa.array(tf, pa.int64())], schema.names)
+
+    return words.select("doc", "dl", "w").mapInArrow(run, schema)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query, doc, score) of all documents that share a term with a query (query, text). A term that a query repeats counts as
-    often. Texts are cut once: what is kept of a document is a row with its length and a row for each asked term."""
-    asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times")).persist()
-    terms = asked.select("term").distinct().withColumn("asked", F.lit(True))
-    if terms.count() <= MAX_TERMS:
-        terms = F.broadcast(terms)
-    words = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("w"))
-    each = words.select("doc", F.size("w").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "w")).alias("term"))
-    kept = each.join(terms, "term", "left").where("asked OR term IS NULL").groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).persist()
+    often. Texts are cut once; of a document only its length and the asked terms leave its task. For many searches of the same documents
+    operators.postings keeps an index."""
+    asked = written(queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times")))
+    words = spread(docs).select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("w")).withColumn("dl", F.size("w"))
+    kept = written(_asked_counts(words, asked.select("term").distinct()))
     size = kept.where("term IS NULL").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = size.n, size.avgdl or 1.0
     hits = kept.where("term IS NOT NULL")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    weights = asked.join(df, "term").select("query", "term", (F.col("times") * idf).alias("weight"))
     tf = F.col("tf").cast("double")
-    score = F.col("times") * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return hits.join(df, "term").join(asked, "term").groupBy("query", "doc").agg(F.round(F.sum(score), 6).alias("score"))
+    score = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
+    return hits.join(weights, "term").groupBy("query", "doc").agg(F.round(F.sum(score), 6).alias("score"))
 
 
 def doubles(v: Column) -> Column:
@@ -102,6 +147,21 @@ def _units(lists: pa.ListArray, dim: int) -> np.ndarray:
     return out / np.where(size < 1e-12, 1, size)
 
 
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the k highest scores of each column; ties go to the lesser id. Only what reaches the k-th score is sorted."""
+    n = len(ids)
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(ids, kind="stable")] = np.arange(n)
+    if n <= 4 * k:
+        return np.lexsort((np.broadcast_to(rank[:, None], score.shape), -score), axis=0)[:k]
+    floor = np.partition(score, n - k, axis=0)[n - k]
+    out = np.empty((k, score.shape[1]), np.int64)
+    for c in range(score.shape[1]):
+        near = np.flatnonzero(score[:, c] >= floor[c])
+        out[:, c] = near[np.lexsort((rank[near], -score[near, c]))[:k]]
+    return out
+
+
 def nearest_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", others_only: bool = False) -> DataFrame:
     """(query, id, score, the other columns, rank) of the k vectors with the best cosine to each query (query, q); ties go to the
     lesser id. others_only: a query's own id doesn't count. A task multiplies a batch of vectors with a block of queries and
@@ -129,8 +189,7 @@ def nearest_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
                     score = np.round(_units(part.column(part.num_columns - 1), dim) @ q, 6)
                     if others_only:
                         score[ids[:, None] == own[None, :]] = -np.inf
-                    by_id = np.argsort(ids, kind="stable")
-                    best = by_id[np.argsort(-score[by_id], axis=0, kind="stable")[:k]]
+                    best = _best(score, ids, k)
                     row, column = best.ravel("F"), np.repeat(np.arange(len(own)), len(best))
                     found = score[row, column]
                     keep = found > -np.inf
@@ -143,36 +202,6 @@ def nearest_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
     return top_k(in_blocks(queries, "query", search, 8 * 1024), k, "query", "score", "id")
 
 
-def sign_codes(vectors: DataFrame, bits: int = 512, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding", dim: int = 64) -> DataFrame:
-    """vectors with code: on which side of each of bits random planes through 0 the vector lies, 64 to a long. The planes come from
-    seed, so an index of codes can be written once and used by every later search with the same seed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(seed).normal(size=(dim, bits))
-        for batch in batches:
-            v = _units(batch.column(batch.schema.get_field_index(vec_col)), dim)
-            packed = np.packbits(v @ planes > 0, axis=1).view(np.int64)
-            code = pa.ListArray.from_arrays(pa.array(np.arange(0, packed.size + 1, bits // 64), pa.int32()), pa.array(packed.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, code], [*batch.schema.names, "code"])
-
-    return vectors.mapInArrow(run, T.StructType([*vectors.schema.fields, T.StructField("code", T.ArrayType(T.LongType()))]))
-
-
-def approximate_k(index: DataFrame, queries: DataFrame, k: int, most_differing: int = 230, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query, id, score, rank): the k best of those whose codes differ from the query's (query, q, code) in at most most_differing
-    bits; only these are scored. index has the columns of sign_codes. Every row's code is looked at, 64 bytes by default, in compiled
-    integer operations. With 512 planes, 230 bits differ at a cosine of 0.16; of vectors with a cosine of 0.27 the search finds 95 %."""
-    words = len(index.select("code").head()["code"]) if not index.isEmpty() else 0
-    differing = sum((F.bit_count(F.col("code")[i].bitwiseXOR(F.col("__code")[i])) for i in range(words)), F.lit(0))
-
-    def search(block: DataFrame) -> DataFrame:
-        asked = block.select("query", unit(F.col("q")).alias("q"), F.col("code").alias("__code"))
-        near = index.select(F.col(id_col).alias("id"), vec_col, "code").join(F.broadcast(asked), differing <= most_differing)
-        return near.select("query", "id", F.round(dot(unit(doubles(F.col(vec_col))), F.col("q")), 6).alias("score"))
-
-    return top_k(in_blocks(queries, "query", search, 1024), k, "query", "score", "id")
-
-
 def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of (query, id, rank from 1) of several lists."""
     return lists.groupBy("query", "id").agg(F.round(F.sum(F.lit(1.0) / (k + F.col("rank"))), 6).alias("score"))

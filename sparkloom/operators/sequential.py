@@ -57,6 +57,17 @@ def life_cycle(events: DataFrame, max_attempts: int = 3, key: str = "task_id", a
     return fold(events, [key], [at, identity], lambda: ("pending", 0), step, "status string, attempt int, accepted boolean")
 
 
+def compare_and_set(writes: DataFrame, key: str = "key", at: str = "at", identity: str = "id", expected: str = "expected") -> DataFrame:
+    """writes with version (after the write) and written: a write counts if it expects the version that is there; a null one expects that
+    nothing is. Each write that counts makes the next version, the first is 1."""
+
+    def step(version: int, row: dict) -> tuple[int, dict]:
+        fits = (row[expected] or 0) == version
+        return version + fits, {"version": version + fits, "written": fits}
+
+    return fold(writes, [key], [at, identity], lambda: 0, step, "version bigint, written boolean")
+
+
 @dataclass(frozen=True)
 class Scaling:
     least: int = 2

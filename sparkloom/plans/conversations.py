@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.functions import desk
 from sparkloom.functions.policies import compliance_cost, importance, quality
+from sparkloom.operators.scan import running
 from sparkloom.plans._registry import query, sql_query
 
 LEN = "CAST(floor(length(text) / 4) AS BIGINT)"
@@ -114,22 +116,6 @@ def quality_score(t):
     return c.select("conv_id", F.round(score, 4).alias("score"))
 
 
-sql_query(
-    "intent_route",
-    """
-    SELECT conv_id, turn, CASE WHEN contains(lower(text), 'refund') OR contains(lower(text), 'bill') THEN 'billing' WHEN contains(lower(text), 'order') THEN 'orders' WHEN contains(lower(text), 'error') THEN 'technical' ELSE 'triage' END AS agent
-    FROM {conversations}
-    WHERE role = 'user'
-    """,
-)
-sql_query(
-    "required_skills",
-    """
-    SELECT conv_id, concat_ws(',', CASE WHEN max(CASE WHEN contains(lower(text), 'refund') THEN 1 ELSE 0 END) = 1 THEN 'billing' END, CASE WHEN max(CASE WHEN contains(lower(text), 'error') THEN 1 ELSE 0 END) = 1 THEN 'technical' END, CASE WHEN count(*) > 8 THEN 'senior' END) AS skills
-    FROM {conversations}
-    GROUP BY conv_id
-    """,
-)
 sql_query(
     "validate_state",
     """
@@ -138,23 +124,6 @@ sql_query(
     GROUP BY conv_id
     """,
 )
-sql_query(
-    "context_budget",
-    """
-    SELECT doc_id, tokens, used
-    FROM (SELECT doc_id, source, tokens, sum(tokens) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used
-      FROM (SELECT doc_id, source, n_chars, CAST(floor(length(text) / 4) AS BIGINT) AS tokens
-        FROM {documents}))
-    WHERE used <= 2000
-    """,
-    """
-    SELECT doc_id, tokens, used
-    FROM (SELECT doc_id, source, tokens, (sum(tokens) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS used
-      FROM (SELECT doc_id, source, n_chars, CAST(floor(length(text) / 4) AS BIGINT) AS tokens
-        FROM documents))
-    WHERE used <= 2000
-    """,
-)
 sql_query(
     "format_context",
     """
@@ -164,3 +133,48 @@ sql_query(
     """,
     "SELECT conv_id, string_agg(concat('[', turn::VARCHAR, '] (', role, '): ', text), '|' ORDER BY turn) AS context FROM conversations GROUP BY conv_id",
 )
+
+
+@query("""
+SELECT doc_id, tokens, used FROM (
+  SELECT doc_id, tokens, (sum(tokens) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS used
+  FROM (SELECT doc_id, source, n_chars, length(text) // 4 AS tokens FROM documents)) WHERE used <= 2000
+""")
+def context_budget(t):
+    """Documents of a source, short ones first, while their tokens fit; the prefix grows, so the first that doesn't fit ends it."""
+    sized = t("documents").select("doc_id", "source", "n_chars", F.floor(F.length("text") / 4).alias("tokens"))
+    return running(sized, ["source"], ["n_chars", "doc_id"], {"used": F.col("tokens")}).where("used <= 2000").select("doc_id", "tokens", "used")
+
+
+INTENT = """CASE WHEN contains(low, 'refund') THEN 'return_refund' WHEN contains(low, 'charge') THEN 'billing_dispute' WHEN contains(low, 'bill') THEN 'billing_inquiry' WHEN contains(low, 'order') THEN 'order_status'
+  WHEN contains(low, 'error') THEN 'technical_support' WHEN contains(low, 'password') THEN 'account_management' WHEN contains(low, 'supervisor') THEN 'complaint' WHEN contains(low, 'suggest') THEN 'feedback' WHEN contains(low, 'the') THEN 'general_inquiry' ELSE 'other' END"""
+
+
+@query(f"""
+SELECT conv_id, turn, CASE {INTENT} WHEN 'return_refund' THEN 'order' WHEN 'order_status' THEN 'order' WHEN 'billing_dispute' THEN 'billing' WHEN 'billing_inquiry' THEN 'billing' WHEN 'account_management' THEN 'billing'
+  WHEN 'technical_support' THEN 'technical' WHEN 'complaint' THEN 'escalation' ELSE 'triage' END AS agent
+FROM (SELECT *, lower(text) AS low FROM conversations) WHERE role = 'user'
+""")
+def intent_route(t):
+    """Words stand for the classifier of intents; its intents are routed by the map."""
+    low = t("conversations").where("role = 'user'").withColumn("low", F.lower("text"))
+    return low.select("conv_id", "turn", desk.agent(F.expr(INTENT)).alias("agent"))
+
+
+@query(f"""
+WITH c AS (SELECT conv_id, max_by({INTENT}, turn) AS intent, CASE WHEN count(*) > 4 THEN 'enterprise' ELSE 'basic' END AS tier, avg(CASE WHEN role = 'user' THEN -0.6 ELSE -0.3 END) AS mood,
+  CASE count(*) % 6 WHEN 0 THEN 'critical' WHEN 1 THEN 'urgent' WHEN 2 THEN 'high' WHEN 3 THEN 'normal' WHEN 4 THEN 'low' END AS priority
+  FROM (SELECT *, lower(text) AS low FROM conversations) GROUP BY conv_id),
+s AS (SELECT *, list_filter([CASE WHEN intent IN ('billing_dispute', 'billing_inquiry') THEN 'billing_specialist' END, CASE WHEN intent = 'technical_support' THEN 'technical_specialist' END,
+  CASE WHEN intent = 'order_status' THEN 'order_specialist' END, CASE WHEN tier = 'enterprise' THEN 'enterprise_support' END, CASE WHEN mood < -0.5 THEN 'de_escalation' END], lambda x: x IS NOT NULL) AS found FROM c)
+SELECT conv_id, CASE WHEN len(found) = 0 THEN 'general_support' ELSE array_to_string(found, ',') END AS skills,
+  CASE priority WHEN 'critical' THEN 'Less than 1 minute' WHEN 'urgent' THEN '1-2 minutes' WHEN 'high' THEN '2-5 minutes' WHEN 'low' THEN '10-15 minutes' ELSE '5-10 minutes' END AS wait
+FROM s
+""")
+def required_skills(t):
+    """A conversation's last intent, a tier by its length, a mood by how much the user says, a priority by its number of turns."""
+    c = t("conversations").withColumn("low", F.lower("text")).groupBy("conv_id").agg(
+        F.max_by(F.expr(INTENT), "turn").alias("intent"), F.when(F.count(F.lit(1)) > 4, "enterprise").otherwise("basic").alias("tier"), F.avg(F.when(F.col("role") == "user", -0.6).otherwise(-0.3)).alias("mood"), F.count(F.lit(1)).alias("n")
+    )
+    priority = F.get(F.array(*[F.lit(p) for p in ("critical", "urgent", "high", "normal", "low")]), (F.col("n") % 6).cast("int"))
+    return c.select("conv_id", F.array_join(desk.skills(F.col("intent"), F.col("tier"), F.col("mood")), ",").alias("skills"), desk.wait_time(priority).alias("wait"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import desk
 from sparkloom.operators.percentiles import kth
 from sparkloom.operators.rules import tune_threshold
 from sparkloom.plans._registry import query, sql_query
@@ -41,21 +42,6 @@ sql_query(
     GROUP BY event_type
     """,
 )
-sql_query(
-    "sla_report",
-    """
-    SELECT day, failures * 100 <= n * 25 AS failures_ok, mean <= 50 AS latency_ok, CASE WHEN failures * 10 > n THEN 'review failing tools' ELSE 'none' END AS advice
-    FROM (SELECT CAST(date_trunc('day', ts) AS STRING) AS day, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS failures, avg(value) AS mean
-      FROM {events}
-      GROUP BY 1)
-    """,
-    """
-    SELECT day, failures * 100 <= n * 25 AS failures_ok, mean <= 50 AS latency_ok, CASE WHEN failures * 10 > n THEN 'review failing tools' ELSE 'none' END AS advice
-    FROM (SELECT CAST(CAST(date_trunc('day', ts) AS TIMESTAMP) AS STRING) AS day, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS failures, avg(value) AS mean
-      FROM events
-      GROUP BY 1)
-    """,
-)
 sql_query(
     "realtime_stats",
     """
@@ -103,15 +89,6 @@ sql_query(
     GROUP BY user_id
     """,
 )
-sql_query(
-    "adaptive_ttl",
-    """
-    SELECT user_id, round(greatest(CAST(30 AS DOUBLE), least(CAST(86400 AS DOUBLE), 3600 * least(CAST(2 AS DOUBLE), 1 + n * CAST(1 AS DOUBLE) / 100) * greatest(CAST(0.25 AS DOUBLE), 1 - CAST(0.5 AS DOUBLE) * errors / n))), 6) AS ttl
-    FROM (SELECT user_id, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors
-      FROM {events}
-      GROUP BY user_id)
-    """,
-)
 sql_query(
     "ttl_expired",
     """
@@ -193,3 +170,38 @@ def threshold_tuning(t):
     """The value of an event, in hundredths, as a similarity; a purchase as a right answer."""
     e = t("events").select((F.col("value") / 100).alias("similarity"), (F.col("event_type") == "purchase").alias("correct"))
     return tune_threshold(e, "similarity", "correct")
+
+
+@query("""
+WITH s AS (SELECT user_id, count(*)::DOUBLE AS n, count(*) FILTER (event_type = 'error')::DOUBLE AS bad, date_sub('second', min(ts), max(ts))::DOUBLE AS age FROM events GROUP BY user_id)
+SELECT user_id, round(CASE WHEN age < 60 THEN 3600 ELSE greatest(30, least(86400, 3600 * least(2, 1 + n / age * 36) * greatest(0.25, 1 - bad / age * 1800))) END, 6) AS ttl FROM s
+""")
+def adaptive_ttl(t):
+    """Events are accesses of a user's entry, errors invalidations; its age is the time between the first and the last."""
+    s = t("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("bad"), F.expr("timestampdiff(SECOND, min(ts), max(ts))").alias("age"))
+    return s.select("user_id", F.round(desk.adaptive_ttl(F.col("n"), F.col("bad"), F.col("age")), 6).alias("ttl"))
+
+
+@query("""
+WITH d AS (SELECT date_trunc('day', ts)::DATE::VARCHAR AS day, avg(value) FILTER (event_type = 'view') * 600 AS first_ms, avg(value) FILTER (event_type = 'purchase') * 10 AS seconds,
+  100.0::DOUBLE * count(*) FILTER (event_type IN ('view', 'click')) / count(*) AS automation, 100.0::DOUBLE * count(*) FILTER (event_type = 'signup') / count(*) AS escalation FROM events GROUP BY 1),
+f AS (SELECT day, list(tool ORDER BY tool) AS failing FROM (
+  SELECT date_trunc('day', ts)::DATE::VARCHAR AS day, 'tool' || (user_id % 3) AS tool FROM events GROUP BY 1, 2 HAVING count(*) FILTER (event_type = 'error') / count(*)::DOUBLE > 0.1) GROUP BY day)
+SELECT d.day, coalesce(first_ms < 30000, FALSE) AS first_response, automation >= 70 AS resolution_rate, escalation <= 15 AS escalation_rate, coalesce(seconds < 480, FALSE) AS handle_time,
+  array_to_string(list_concat(list_filter([CASE WHEN NOT coalesce(first_ms < 30000, FALSE) THEN 'scale triage' END, CASE WHEN automation < 70 THEN 'review escalation reasons' END, CASE WHEN escalation > 15 THEN 'train for escalations' END], lambda x: x IS NOT NULL),
+    list_transform(coalesce(failing, []), lambda x: 'review ' || x)), '; ') AS advice
+FROM d LEFT JOIN f ON f.day = d.day
+""")
+def sla_report(t):
+    """Days of events: views are first responses, purchases handled conversations, views and clicks automated ones, signups escalations; a user's calls are one of three tools'."""
+    e = t("events").withColumn("day", F.date_trunc("day", "ts").cast("date").cast("string"))
+    kind = F.col("event_type")
+    tool = F.concat(F.lit("tool"), (F.col("user_id") % 3).cast("string"))
+    failing = e.groupBy("day", tool.alias("tool")).agg((F.count_if(kind == "error") / F.count(F.lit(1))).alias("share")).where("share > 0.1").groupBy("day").agg(F.sort_array(F.collect_list("tool")).alias("failing"))
+    share = lambda *names: 100 * F.count_if(kind.isin(*names)) / F.count(F.lit(1))
+    mean = lambda name: F.avg(F.when(kind == name, F.col("value")))
+    d = e.groupBy("day").agg((mean("view") * 600).alias("first_ms"), (mean("purchase") * 10).alias("seconds"), share("view", "click").alias("automation"), share("signup").alias("escalation")).join(failing, "day", "left")
+    met = desk.service_level(*[F.col(c) for c in ("first_ms", "seconds", "automation", "escalation")])
+    met = {k: F.coalesce(v, F.lit(False)) for k, v in met.items()}
+    texts = desk.advice(met, F.coalesce("failing", F.array().cast("array<string>")))
+    return d.select("day", *[v.alias(k) for k, v in met.items()], F.array_join(texts, "; ").alias("advice"))

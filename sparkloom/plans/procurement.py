@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import policies as P
 from sparkloom.operators.rules import Rule, delegate, evaluate
+from sparkloom.operators.routing import best_members
+from sparkloom.operators.scan import position, running
+from sparkloom.operators.sets import duplicate_requests as duplicates
 from sparkloom.plans._registry import query, sql_query
 
 LEVEL = "CASE WHEN {0} > 1000000 THEN 'board' WHEN {0} > 100000 THEN 'executive' WHEN {0} > 25000 THEN 'vp' WHEN {0} > 5000 THEN 'director' WHEN {0} > 500 THEN 'manager' ELSE 'auto' END"
@@ -76,14 +79,6 @@ def delegations(t):
     rules = spark.createDataFrame(rows, "pos int, approver int, delegate int, until string").withColumn("until", F.col("until").cast("timestamp_ntz"))
     chain = t("orders").select("o_orderkey", F.col("o_orderdate").alias("at"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("approver"))
     return delegate(chain, rules, spark.range(1, 6).select(F.col("id").cast("int").alias("id"))).select("o_orderkey", F.col("acting").alias("approver"))
-sql_query(
-    "budget_running",
-    """
-    SELECT o_orderkey, c_mktsegment, round(sum(o_totalprice) OVER (PARTITION BY c_mktsegment, date_trunc('month', o_orderdate) ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS spent
-    FROM {orders}
-    JOIN {customer} ON o_custkey = c_custkey
-    """,
-)
 sql_query(
     "contract_join",
     """
@@ -101,25 +96,6 @@ sql_query(
     GROUP BY l_orderkey
     """,
 )
-sql_query(
-    "best_vendor",
-    """
-    SELECT n_name, s_suppkey, s_acctbal
-    FROM (SELECT n_name, s_suppkey, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS nth
-      FROM {supplier}
-      JOIN {nation} ON s_nationkey = n_nationkey)
-    WHERE nth = 1
-    """,
-)
-sql_query(
-    "duplicate_requests",
-    """
-    SELECT a.o_orderkey, min(b.o_orderkey) AS duplicate_of
-    FROM {orders} a
-    JOIN {orders} b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND a.o_orderstatus = b.o_orderstatus AND b.o_orderkey < a.o_orderkey AND abs(a.o_totalprice - b.o_totalprice) < 500
-    GROUP BY a.o_orderkey
-    """,
-)
 sql_query(
     "customer_priority",
     """
@@ -138,16 +114,6 @@ sql_query(
 )
 sql_query("mask_payment", "SELECT c_custkey, CASE WHEN c_name IS NOT NULL AND c_name <> '' THEN concat('****', right(c_name, 4)) ELSE c_mktsegment END AS card FROM {customer}")
 sql_query("account_balance", "SELECT c_custkey, 10000 - c_acctbal AS credit_available, CASE WHEN c_acctbal <= 0 THEN 'current' ELSE 'due' END AS payment_status FROM {customer}")
-sql_query(
-    "refund_check",
-    """
-    SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'missing idempotency key' WHEN o_totalprice * CAST(0.4 AS DOUBLE) > o_totalprice - coalesce(refunded, 0) THEN 'amount exceeds balance' END AS error
-    FROM {orders}
-    LEFT JOIN (SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END) AS refunded
-      FROM {lineitem}
-      GROUP BY l_orderkey) r ON l_orderkey = o_orderkey
-    """,
-)
 sql_query("return_window", f"SELECT o_orderkey, o_orderstatus = 'F' AND SECONDS(o_orderdate, {ASOF}) <= 30 * 86400 AS returnable FROM {{orders}}")
 sql_query(
     "intake_validation",
@@ -167,16 +133,6 @@ sql_query(
     LEFT JOIN {customer} ON o_custkey = c_custkey
     """,
 )
-sql_query(
-    "pending_approvals",
-    """
-    SELECT o_orderkey, place
-    FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END, o_orderdate, o_orderkey) AS place, o_orderstatus
-      FROM {orders})
-    WHERE o_orderstatus = 'P'
-    """,
-)
-sql_query("priority_order", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS place FROM {orders}")
 sql_query("top_requesters", "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 5")
 sql_query("top_categories", "SELECT p_type, count(DISTINCT l_orderkey) AS n FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_type ORDER BY n DESC, p_type LIMIT 5")
 sql_query(
@@ -212,3 +168,87 @@ SELECT o_orderkey, u.r.rule AS rule, u.r.severity AS severity, u.r.holds AS hold
 def rule_engine(t):
     return evaluate(t("orders"), RULES, ["o_orderkey"])
 sql_query("diagnostic_findings", "SELECT l_orderkey, count(CASE WHEN l_tax > CAST(0.07 AS DOUBLE) THEN 1 END) AS critical, count(*) AS findings FROM {lineitem} GROUP BY l_orderkey")
+
+
+@query("""
+SELECT o_orderkey, c_mktsegment, round(sum(o_totalprice) OVER (PARTITION BY c_mktsegment, date_trunc('month', o_orderdate) ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS spent
+FROM orders JOIN customer ON o_custkey = c_custkey
+""")
+def budget_running(t):
+    o = t("orders").join(t("customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.select("o_orderkey", "c_mktsegment", "o_orderdate", "o_totalprice", F.date_trunc("month", "o_orderdate").alias("month"))
+    return running(o, ["c_mktsegment", "month"], ["o_orderdate", "o_orderkey"], {"spent": F.col("o_totalprice")}).select("o_orderkey", "c_mktsegment", F.round("spent", 2).alias("spent"))
+
+
+URGENCY = "CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END"
+
+
+@query(f"SELECT o_orderkey, row_number() OVER (ORDER BY {URGENCY}, o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'P'")
+def pending_approvals(t):
+    waiting = t("orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_orderdate", F.expr(URGENCY).alias("urgency"))
+    return position(waiting, [], ["urgency", "o_orderdate", "o_orderkey"], "place").select("o_orderkey", "place")
+
+
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS place FROM orders")
+def priority_order(t):
+    return position(t("orders").select("o_orderkey", "o_orderpriority", "o_orderdate"), ["o_orderpriority"], ["o_orderdate", "o_orderkey"], "place").select("o_orderkey", "place")
+
+
+@query("""
+WITH parts AS (SELECT s_suppkey, s_name, s_acctbal, list_distinct(list(split_part(p_type, ' ', 1))) AS categories
+  FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+asked AS (SELECT DISTINCT split_part(p_type, ' ', 1) AS category FROM part),
+known AS (SELECT category, v.*, row_number() OVER (PARTITION BY category ORDER BY s_suppkey) AS n FROM asked JOIN parts v ON list_contains(v.categories, category))
+SELECT a.category, s_suppkey, rating FROM asked a LEFT JOIN (
+  SELECT category, s_suppkey, floor(s_acctbal / 1000) AS rating, row_number() OVER (PARTITION BY category ORDER BY floor(s_acctbal / 1000) DESC, s_suppkey) AS nth
+  FROM known WHERE n <= 1000 AND s_acctbal > 0 AND s_suppkey % 3 <> 0) b ON b.category = a.category AND nth = 1
+""")
+def best_vendor(t):
+    """Suppliers' categories are the kinds of parts that they deliver, their rating is the balance in thousands; they are preferred if it is over 0, and two of three are certified."""
+    kind = F.split_part("p_type", F.lit(" "), F.lit(1))
+    parts = t("part").select("p_partkey", kind.alias("category"))
+    sold = t("lineitem").select("l_suppkey", "l_partkey").distinct().join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey").agg(F.collect_set("category").alias("categories"))
+    vendors = t("supplier").join(sold, F.col("s_suppkey") == F.col("l_suppkey")).select("s_suppkey", "categories", "s_acctbal", F.floor(F.col("s_acctbal") / 1000).cast("double").alias("rating"))
+    eligible = (F.col("s_acctbal") > 0) & (F.col("s_suppkey") % 3 != 0)
+    return best_members(parts, vendors, "category", "categories", eligible, F.col("rating"), "s_suppkey").select("category", "s_suppkey", "rating")
+
+
+@query("""
+WITH lines AS (
+  SELECT l_orderkey AS id, l_partkey, l_suppkey FROM lineitem
+  UNION ALL SELECT -l_orderkey, l_partkey, CASE WHEN l_orderkey % 7 = 0 THEN -1 ELSE l_suppkey END FROM lineitem WHERE l_orderkey % 4 = 0
+  UNION ALL SELECT -l_orderkey, l_partkey, CASE WHEN l_orderkey % 7 = 0 THEN -1 ELSE l_suppkey END FROM lineitem WHERE l_orderkey % 8 = 0
+), r AS (
+  SELECT o_orderkey AS id, o_custkey, round(o_totalprice * 10000)::BIGINT AS total FROM orders
+  UNION ALL SELECT -o_orderkey, o_custkey, round((o_totalprice + CASE o_orderkey % 12 WHEN 0 THEN 0.02 WHEN 4 THEN 0.0099 ELSE 0 END) * 10000)::BIGINT FROM orders WHERE o_orderkey % 4 = 0
+), s AS (
+  SELECT r.*, items FROM r LEFT JOIN (SELECT id, list_sort(list_distinct(list((l_partkey, l_suppkey)))) AS items FROM lines GROUP BY id) USING (id)
+)
+SELECT a.id, min(b.id) AS duplicate_of FROM s a JOIN s b ON a.o_custkey = b.o_custkey AND a.items IS NOT DISTINCT FROM b.items AND a.id <> b.id AND abs(a.total - b.total) < 100 GROUP BY a.id
+""")
+def duplicate_requests(t):
+    """Every fourth order is sent again under its negative number, half of these with each line twice; some with other suppliers, some with a total that differs by 0.0099, some by 0.02."""
+    again = t("orders").where("o_orderkey % 4 = 0")
+    more = F.when(F.col("o_orderkey") % 12 == 0, 0.02).when(F.col("o_orderkey") % 12 == 4, 0.0099).otherwise(0.0)
+    request = lambda df, sign, total: df.select((sign * F.col("o_orderkey")).alias("id"), F.col("o_custkey").alias("requester"), total.alias("total"), (sign * F.col("o_orderkey")).alias("place"))
+    requests = request(t("orders"), 1, F.col("o_totalprice")).unionByName(request(again, -1, F.col("o_totalprice") + more))
+    items = t("lineitem").select(F.col("l_orderkey").alias("id"), "l_partkey", "l_suppkey")
+    other = F.when(F.col("id") % 7 == 0, F.lit(-1).cast("long")).otherwise(F.col("l_suppkey"))
+    copies = items.where("id % 4 = 0").unionByName(items.where("id % 8 = 0")).select((-F.col("id")).alias("id"), "l_partkey", other.alias("l_suppkey"))
+    return duplicates(requests, items.unionByName(copies), ["l_partkey", "l_suppkey"])
+
+
+@query("""
+WITH paid AS (SELECT l_orderkey, sum(l_extendedprice) FILTER (l_returnflag = 'R') AS refunded FROM lineitem GROUP BY l_orderkey)
+SELECT c_custkey, o_orderkey, CASE WHEN o_orderkey IS NULL THEN 'order not found' WHEN o_totalprice * 0.4::DOUBLE > o_totalprice - coalesce(refunded, 0) THEN 'amount exceeds balance'
+  WHEN c_mktsegment = 'MACHINERY' THEN 'idempotency key required' END AS error
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN paid ON l_orderkey = o_orderkey
+""")
+def refund_check(t):
+    """Customers ask for 40 % of each order back. The key of a request is made of its customer and order; machinery customers send none."""
+    paid = t("lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("refunded"))
+    r = t("customer").join(t("orders"), F.col("o_custkey") == F.col("c_custkey"), "left").join(paid, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    key = F.when(F.col("c_mktsegment") != "MACHINERY", F.sha2(F.concat_ws(":", "c_custkey", "o_orderkey"), 256))
+    left = F.col("o_totalprice") - F.coalesce("refunded", F.lit(0.0))
+    error = F.when(F.col("o_orderkey").isNull(), "order not found").when(F.col("o_totalprice") * 0.4 > left, "amount exceeds balance").when(F.coalesce(key, F.lit("")) == "", "idempotency key required")
+    return r.select("c_custkey", "o_orderkey", error.alias("error"))

@@ -12,7 +12,9 @@ from sparkloom.operators import sequential as S
 from sparkloom.operators.ingest import ChunkStore
 from sparkloom.plans._registry import ORACLE_SQL, QUERIES, query
 from sparkloom.sources.folders import new_folder
+from sparkloom.sources.tables import tables
 from sparkloom.streaming.counters import hourly_counters
+from sparkloom.streaming.lifecycle import life_cycle_stream
 
 #: Time of writing of the queries that write.
 NOW = datetime(2024, 1, 1)
@@ -87,12 +89,15 @@ def _seconds(name: str = "ts"):
     return F.unix_micros(F.col(name).cast("timestamp")) / 1e6
 
 
-@query()
-def task_lifecycle(t):
+def task_events(t):
     """A user's events drive a task: views claim it, errors fail it, purchases complete it, clicks pause and signups resume it."""
     names = F.create_map(*[F.lit(x) for x in ("view", "claim", "error", "fail", "purchase", "complete", "click", "pause", "signup", "resume")])
-    e = t("events").select(F.col("user_id").alias("task_id"), _seconds().alias("at"), F.col("event_id").alias("id"), names[F.col("event_type")].alias("event"))
-    return S.life_cycle(e).select("task_id", "id", "event", "status", "attempt", "accepted")
+    return t("events").select(F.col("user_id").alias("task_id"), _seconds().alias("at"), F.col("event_id").alias("id"), names[F.col("event_type")].alias("event"))
+
+
+@query()
+def task_lifecycle(t):
+    return S.life_cycle(task_events(t)).select("task_id", "id", "event", "status", "attempt", "accepted")
 
 
 @query()
@@ -125,3 +130,23 @@ def semantic_cache_replay(t):
 
 QUERIES["stream_hourly_counters"] = lambda spark, sf_dir: hourly_counters(spark, f"{sf_dir}/events.parquet")
 ORACLE_SQL["stream_hourly_counters"] = "SELECT CAST(date_trunc('hour', ts) AS STRING) AS hour, event_type AS metric, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+def task_lifecycle_stream(spark, sf_dir):
+    """task_lifecycle's events as a stream: their files are read in batches, and a state is kept for each task."""
+    name, path = "spark.sql.streaming.stateStore.providerClass", new_folder(spark, "tasks")
+    events = task_events(tables(spark, sf_dir))
+    events.select("task_id", "at", "id", "event").where("event IS NOT NULL").repartitionByRange(3, "at", "id").sortWithinPartitions("at", "id").write.parquet(f"{path}/in")
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        source = spark.readStream.schema("task_id bigint, at double, id bigint, event string").option("maxFilesPerTrigger", 3).parquet(f"{path}/in")
+        out = life_cycle_stream(source).writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{path}/out/batch={i}"))
+        out.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    schema = "task_id bigint, at double, id bigint, event string, status string, attempt int, accepted boolean, late boolean"
+    return spark.read.schema(schema).parquet(f"{path}/out").select("task_id", "id", "event", "status", "attempt", "accepted")
+
+
+QUERIES["task_lifecycle_stream"] = task_lifecycle_stream

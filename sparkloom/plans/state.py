@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import desk
 from sparkloom.functions import json as J
 from sparkloom.functions import policies as P
 from sparkloom.functions.numbers import decimals_to_numbers, floats_to_decimals
 from sparkloom.operators import merge as M
 from sparkloom.operators.graph import cascade
+from sparkloom.operators.routing import deliveries
+from sparkloom.operators.scan import keep_all_but_lowest, running
+from sparkloom.operators.sequential import compare_and_set
 from sparkloom.plans._registry import query, sql_query
 from sparkloom.sources import task_state
 
@@ -26,7 +30,6 @@ sql_query(
     GROUP BY user_id, event_type
     """,
 )
-sql_query("outbox_pending", "SELECT e.event_id FROM {events} e LEFT ANTI JOIN (SELECT event_id FROM {events} WHERE event_type <> 'error') d ON e.event_id = d.event_id", "SELECT event_id FROM events WHERE event_type = 'error'")
 @query("""
 WITH v(namespace, current) AS (VALUES ('src0', 2), ('src1', 1), ('src2', 3), ('default', 1))
 SELECT doc_id, coalesce(CASE WHEN doc_id % 7 <> 0 THEN doc_id % 3 END, 0) < coalesce(current, 0) AS stale
@@ -55,64 +58,9 @@ sql_query(
     LEFT JOIN {embeddings} e ON d.doc_id = e.vec_id
     """,
 )
-sql_query(
-    "topic_routing",
-    """
-    SELECT event_type, subscriber
-    FROM (SELECT DISTINCT event_type, concat('app.', event_type) AS topic
-      FROM {events}) t
-    JOIN (VALUES ('audit', 'app.*'), ('billing', 'app.purchase'), ('ops', 'app.error.*'), ('web', 'app.view')) AS s(subscriber, pattern) ON topic = pattern OR (right(pattern, 2) = '.*' AND (topic = left(pattern, length(pattern) - 2) OR startswith(topic, left(pattern, length(pattern) - 1))))
-    """,
-    """
-    SELECT event_type, subscriber
-    FROM (SELECT DISTINCT event_type, concat('app.', event_type) AS topic
-      FROM events) t
-    JOIN (VALUES ('audit', 'app.*'), ('billing', 'app.purchase'), ('ops', 'app.error.*'), ('web', 'app.view')) AS s(subscriber, pattern) ON topic = pattern OR (right(pattern, 2) = '.*' AND (topic = left(pattern, length(pattern) - 2) OR starts_with(topic, left(pattern, length(pattern) - 1))))
-    """,
-)
-@query("""
-SELECT event_id, CASE event_type WHEN 'view' THEN 2592000 WHEN 'click' THEN (CASE WHEN value >= 50 THEN 0 ELSE 86400 END) WHEN 'signup' THEN 600 ELSE 3600 END AS ttl FROM events
-""")
-def ttl_policy(t):
-    """Views are embeddings, clicks answers of a model, signups tools; half of the answers aren't deterministic."""
-    prefix = F.create_map(*[F.lit(x) for x in ("view", "emb:", "click", "llm:", "signup", "tool:")])
-    key = F.concat(F.coalesce(F.try_element_at(prefix, F.col("event_type")), F.lit("other:")), F.col("event_id").cast("string"))
-    return t("events").select("event_id", P.ttl(key, F.when(F.col("value") >= 50, 0.7).otherwise(0.0)).alias("ttl"))
 sql_query("queue_depth", "SELECT o_orderstatus, o_orderpriority, count(*) AS depth FROM {orders} GROUP BY o_orderstatus, o_orderpriority")
 sql_query("stale_tasks", "SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'P' AND SECONDS(o_orderdate, (SELECT max(o_orderdate) FROM {orders})) > 300")
 sql_query("claim_batch", "SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 100")
-sql_query(
-    "least_connections",
-    """
-    SELECT s_nationkey, s_suppkey
-    FROM (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY n / greatest(s_acctbal, CAST(1 AS DOUBLE)), s_suppkey) AS nth
-      FROM (SELECT s_nationkey, s_suppkey, s_acctbal, count(l_orderkey) AS n
-        FROM {supplier}
-        LEFT JOIN {lineitem} ON l_suppkey = s_suppkey
-        GROUP BY s_nationkey, s_suppkey, s_acctbal))
-    WHERE nth = 1
-    """,
-)
-sql_query(
-    "lfu_evict",
-    """
-    SELECT user_id
-    FROM (SELECT user_id, row_number() OVER ( ORDER BY n, first) AS place, count(*) OVER () AS total
-      FROM (SELECT user_id, count(*) AS n, min(event_id) AS first
-        FROM {events}
-        GROUP BY user_id))
-    WHERE place > greatest(1, CAST(floor(total / 10) AS BIGINT))
-    """,
-)
-sql_query(
-    "cas_replay",
-    """
-    SELECT user_id, event_type, version, event_id
-    FROM (SELECT user_id, event_type, event_id, event_id % 4 AS version, row_number() OVER (PARTITION BY user_id, event_type, event_id % 4 ORDER BY event_id) AS nth
-      FROM {events})
-    WHERE nth = 1
-    """,
-)
 @query("""
 WITH last AS (
   SELECT l_orderkey, max_by(CASE WHEN l_returnflag = 'R' THEN 'delete' ELSE 'upsert' END, seq) AS op, max_by(l_linestatus, seq) AS status FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS seq FROM lineitem) WHERE l_orderkey % 3 = 0 GROUP BY 1
@@ -169,15 +117,6 @@ sql_query(
 )
 sql_query("required_fields", "SELECT page_id, url IS NOT NULL AND html IS NOT NULL AND length(html) > 0 AS complete FROM {pages}")
 sql_query("checkpoint_verify", "SELECT event_id, substr(sha2(concat(event_type, ':', CAST(user_id AS STRING)), 256), 1, 16) AS checksum FROM {events}", "SELECT event_id, substr(sha256(concat(event_type, ':', user_id::VARCHAR)), 1, 16) AS checksum FROM events")
-sql_query(
-    "recovery_result",
-    """
-    SELECT user_id, CASE WHEN errors >= 15 THEN 'failed' WHEN errors > 8 AND purchases = 0 THEN 'data_loss' ELSE 'pending' END AS result
-    FROM (SELECT user_id, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS purchases
-      FROM {events}
-      GROUP BY user_id)
-    """,
-)
 @query(r"""
 WITH b AS (
   SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN substr(props, 1, length(props) - 1) WHEN 2 THEN '{"m": ["' || event_type
@@ -193,15 +132,6 @@ def json_repair(t):
     cut = cut.when(F.col("event_id") % 4 == 2, F.concat(F.lit('{"m": ["'), F.col("event_type"))).otherwise(F.concat(F.lit('{"c": "x\\ud800y", "k": '), k, F.lit("} ")))
     fixed = t("events").select("event_id", J.repair(cut).alias("repaired"))
     return fixed.select("event_id", "repaired", F.get_json_object("repaired", "$.k").cast("long").alias("k"), J.json_valid(F.col("repaired")).alias("valid"))
-sql_query(
-    "migrate_stats",
-    """
-    SELECT CASE WHEN version = 3 THEN 'already' WHEN version > 3 OR version = 0 THEN 'failed' ELSE 'migrated' END AS outcome, count(*) AS n
-    FROM (SELECT p_size % 5 AS version
-      FROM {part})
-    GROUP BY 1
-    """,
-)
 sql_query(
     "migration_path",
     """
@@ -255,11 +185,144 @@ def param_errors(t):
     return t("events").select("event_id", J.first_error(text, params).alias("error"))
 
 
+@query("""
+SELECT event_id FROM events e WHERE event_type IN ('purchase', 'error') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = e.event_id AND o_orderstatus = 'F')
+""")
+def outbox_pending(t):
+    """Purchases and errors are events to send; a finished order with an event's number is the mark that it was sent."""
+    sent = t("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("event_id"))
+    return t("events").where("event_type IN ('purchase', 'error')").join(sent, "event_id", "left_anti").select("event_id")
+
+
+@query("""
+WITH topics AS (
+  SELECT c_custkey, lower(r_name) AS region, lower(n_name) AS nation, lower(c_mktsegment) AS segment
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+), subs AS (
+  SELECT s_suppkey, lower(r_name) AS region, lower(n_name) AS nation, s_suppkey % 4 AS kind
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+)
+SELECT s_suppkey AS subscriber, CASE kind WHEN 2 THEN 'exact' ELSE 'wildcard' END AS kind, count(*) AS n
+FROM topics t JOIN subs s ON t.region = s.region AND (kind = 0 OR t.nation = s.nation) AND (kind < 2 OR t.segment = 'building') GROUP BY 1, 2
+""")
+def topic_routing(t):
+    """A customer's news has the topic region.nation.segment. Suppliers subscribe to their region, their nation, a segment of it exactly, or that
+    segment and what is below it; counted by subscriber."""
+    places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.lower("r_name").alias("region"), F.lower("n_name").alias("nation"))
+    news = t("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat_ws(".", "region", "nation", F.lower("c_mktsegment")).alias("topic"))
+    own = t("supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey"))
+    kind, nation = F.col("s_suppkey") % 4, F.concat_ws(".", "region", "nation")
+    pattern = F.when(kind == 0, F.concat("region", F.lit(".*"))).when(kind == 1, F.concat(nation, F.lit(".*"))).when(kind == 2, F.concat(nation, F.lit(".building"))).otherwise(F.concat(nation, F.lit(".building.*")))
+    return deliveries(news, own.select(F.col("s_suppkey").alias("subscriber"), pattern.alias("pattern"))).groupBy("subscriber", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH RECURSIVE a AS (
+  SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN NULL ELSE (SELECT count(*) FROM events b WHERE b.user_id = e.user_id AND b.event_type <> 'error' AND (b.ts, b.event_id) < (e.ts, e.event_id)) END AS expected,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events e
+), r(user_id, i, version) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, 0::BIGINT FROM events
+  UNION ALL SELECT a.user_id, a.i, r.version + (coalesce(a.expected, 0) = r.version)::BIGINT FROM r JOIN a ON a.user_id = r.user_id AND a.i = r.i + 1
+)
+SELECT a.event_id, r.version, r.version > p.version AS written FROM a JOIN r ON r.user_id = a.user_id AND r.i = a.i JOIN r p ON p.user_id = a.user_id AND p.i = a.i - 1
+""")
+def cas_replay(t):
+    """Each event is a write that expects the version which its user's events before it, errors aside, would have made; a signup expects that nothing is there.
+    One write that fails makes others fail."""
+    counted = t("events").withColumn("counts", (F.col("event_type") != "error").cast("long"))
+    before = running(counted, ["user_id"], ["ts", "event_id"], {"seen": F.col("counts")})
+    expected = F.when(F.col("event_type") != "signup", F.col("seen") - F.col("counts"))
+    log = before.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), expected.alias("expected"))
+    return compare_and_set(log, "user_id", "at", "event_id").select("event_id", "version", "written")
+
+
+@query("""
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 45 WHEN 2 THEN 600 WHEN 3 THEN 14400 WHEN 4 THEN 31536000 ELSE 0 END::BIGINT AS tool,
+  CASE event_type WHEN 'view' THEN 2592000 WHEN 'click' THEN (CASE WHEN value >= 50 THEN 0 ELSE 86400 END) WHEN 'signup' THEN 600 ELSE 3600 END AS ttl FROM events
+""")
+def ttl_policy(t):
+    """Views are embeddings, clicks answers of a model, signups tools; half of the answers aren't deterministic. Each event calls one of the
+    fifteen tools, or one that no policy names."""
+    names = list(desk.TOOL_POLICIES)
+    tools = F.array(*[F.lit(n) for n in names])
+    tool = F.when(F.col("event_id") % 6 < 5, F.get(tools, ((F.col("event_id") % 6) * 3 + F.col("event_id") % 3).cast("int"))).otherwise("other_tool")
+    prefix = F.create_map(*[F.lit(x) for x in ("view", "emb:", "click", "llm:", "signup", "tool:")])
+    key = F.concat(F.coalesce(F.try_element_at(prefix, F.col("event_type")), F.lit("other:")), F.col("event_id").cast("string"))
+    return t("events").select("event_id", desk.tool_ttl(tool).cast("long").alias("tool"), P.ttl(key, F.when(F.col("value") >= 50, 0.7).otherwise(0.0)).alias("ttl"))
+
+
+WORKERS = """
+SELECT s_suppkey, s_nationkey, s_acctbal, count(l_orderkey) AS n, avg(l_quantity) AS ms FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey
+  WHERE s_acctbal >= 0 GROUP BY s_suppkey, s_nationkey, s_acctbal
+"""
+
+
+def workers(t):
+    """Suppliers as workers of a nation's pool: lines are connections, the balance is the weight, quantities are latencies; who is in debt is unhealthy."""
+    lines = t("lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("l_orderkey").alias("n"), F.avg("l_quantity").alias("ms"))
+    return t("supplier").where("s_acctbal >= 0").join(lines, "s_suppkey", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+@query(f"SELECT s_nationkey, min_by(s_suppkey, (n / greatest(s_acctbal, 1e-9), s_suppkey)) AS s_suppkey FROM ({WORKERS}) GROUP BY s_nationkey")
+def least_connections(t):
+    """The healthy worker of each pool with the least load."""
+    load = desk.worker_load(F.col("n"), F.col("s_acctbal"))
+    return workers(t).groupBy("s_nationkey").agg(F.min_by("s_suppkey", F.struct(load, "s_suppkey")).alias("s_suppkey"))
+
+
+@query(f"SELECT s_nationkey, min_by(s_suppkey, ((n + 1) / greatest(s_acctbal, 1e-9) * (1 + coalesce(ms, 0) / 1000), s_suppkey)) AS s_suppkey FROM ({WORKERS}) GROUP BY s_nationkey")
+def weighted_connections(t):
+    """The same with latencies."""
+    load = desk.weighted_load(F.col("n"), F.col("s_acctbal"), F.col("ms"))
+    return workers(t).groupBy("s_nationkey").agg(F.min_by("s_suppkey", F.struct(load, "s_suppkey")).alias("s_suppkey"))
+
+
+@query("""
+SELECT user_id FROM (SELECT user_id, row_number() OVER (ORDER BY n, first) AS place, count(*) OVER () AS total
+  FROM (SELECT user_id, count(*) AS n, min(event_id) AS first FROM events GROUP BY user_id)) WHERE place > greatest(1, total // 10)
+""")
+def lfu_evict(t):
+    """Users stay but the tenth with the fewest events, those that came first before others."""
+    use = t("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
+    return keep_all_but_lowest(use, ["n", "first"]).select("user_id")
+
+
+@query("""
+SELECT user_id FROM (SELECT user_id, row_number() OVER (ORDER BY last, user_id) AS place, count(*) OVER () AS total
+  FROM (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id)) WHERE place > greatest(1, total // 10)
+""")
+def lru_evict(t):
+    """Users stay but the tenth that was away longest."""
+    use = t("events").groupBy("user_id").agg(F.max("ts").alias("last"))
+    return keep_all_but_lowest(use, ["last", "user_id"]).select("user_id")
+
+
+@query("""
+WITH s AS (
+  SELECT user_id, count(*) FILTER (event_type = 'error') AS attempts, max_by(event_id, (ts, event_id)) FILTER (event_type = 'click') AS step, max_by(event_id, (ts, event_id)) FILTER (event_type = 'signup') AS backup FROM events GROUP BY user_id
+)
+SELECT user_id, attempts < 3 AND NOT (step IS NOT NULL AND step % 4 = 0 AND backup IS NULL) AS recovered,
+  CASE WHEN attempts >= 3 THEN NULL WHEN step IS NOT NULL AND step % 4 = 0 THEN backup ELSE step END AS resume,
+  CASE WHEN attempts >= 3 THEN 'attempts exceeded' WHEN step IS NOT NULL AND step % 4 = 0 AND backup IS NULL THEN 'checkpoint corrupted, no backup' END AS error
+FROM s
+""")
+def recovery_result(t):
+    """A user's task: errors are attempts, the last click is its checkpoint, the last signup a backup; a checksum stands for each, which is wrong for every fourth click."""
+    at = F.struct("ts", "event_id")
+    last = lambda kind: F.max_by(F.when(F.col("event_type") == kind, F.col("event_id")), F.when(F.col("event_type") == kind, at))
+    s = t("events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("attempts"), last("click").alias("step"), last("signup").alias("backup"))
+    checksum = F.sha2(F.col("step").cast("string"), 256)
+    stored = F.when(F.col("step") % 4 == 0, F.lit("?")).otherwise(checksum)
+    out = desk.recovery(F.col("attempts"), F.col("step"), stored == checksum, F.col("backup"))
+    return s.select("user_id", out["recovered"].alias("recovered"), out["resume"].alias("resume"), out["error"].alias("error"))
+
+
 @query("""
 SELECT o_orderkey, o_totalprice::VARCHAR::DECIMAL(38, 18) AS exact, CASE WHEN o_totalprice % 1 = 0 THEN o_totalprice::BIGINT END AS whole, CASE WHEN o_totalprice % 1 <> 0 THEN o_totalprice END AS real FROM orders
 """)
 def decimal_numbers(t):
     """Prices as the decimals that they are written as, and back."""
-    d = floats_to_decimals(t("orders").select("o_orderkey", F.col("o_totalprice").alias("exact")))
-    back = decimals_to_numbers(d.withColumn("number", F.col("exact")).select("o_orderkey", "number")).select(F.col("o_orderkey").alias("key"), "number")
-    return d.join(back, F.col("o_orderkey") == F.col("key")).select("o_orderkey", "exact", "number.whole", "number.real")
+    d = floats_to_decimals(t("orders").select("o_orderkey", F.col("o_totalprice").alias("number")))
+    kept = F.col("number").cast("string").alias("kept")  # text, so that only the other column is turned back
+    back = decimals_to_numbers(d.select("o_orderkey", "number", kept))
+    return back.select("o_orderkey", F.col("kept").cast(d.schema["number"].dataType).alias("exact"), "number.whole", "number.real")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import retrieval as R
 from sparkloom.plans._registry import query, sql_query
+from sparkloom.sources.tables import spread
 
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
@@ -30,7 +31,7 @@ def bm25(t):
 
 @query(rf"SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct FROM (SELECT doc_id, {WORDS} AS w FROM documents)")
 def tokenize(t):
-    w = t("documents").select("doc_id", R.tokens(F.col("text")).alias("w"))
+    w = spread(t("documents")).select("doc_id", R.tokens(F.col("text")).alias("w"))
     return w.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.operators import retrieval as R
-from sparkloom.operators.merge import apply_changes
+from sparkloom.operators.cells import CellIndex
 from sparkloom.plans._registry import query, sql_query
 from sparkloom.plans.text import BM25, bm25, searches
+from sparkloom.sources.folders import new_folder, written
 
 V = "list_transform(embedding, lambda x: x::DOUBLE)"
 NEAR = f"e AS (SELECT vec_id, label, {V} AS v FROM embeddings), near AS (SELECT a.vec_id AS query, b.vec_id AS id, b.label, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id % 100 = 0)"
@@ -105,18 +106,12 @@ sql_query("lsh_bucket", "SELECT vec_id, sha2(array_join(transform(slice(embeddin
 sql_query("embedding_preview", "SELECT vec_id, size(embedding) AS dim, transform(slice(embedding, 1, 8), x -> round(CAST(x AS DOUBLE), 4)) AS head FROM {embeddings}", "SELECT vec_id, len(embedding)::INT AS dim, list_transform(embedding[1:8], lambda x: round(x::DOUBLE, 4)) AS head FROM embeddings")
 
 
-@query("""
-SELECT coalesce(b.vec_id, c.vec_id) AS vec_id, CASE WHEN c.vec_id IS NULL THEN b.label ELSE c.label END AS label,
-  CASE WHEN c.vec_id IS NULL THEN 0 ELSE 1 END AS version
-FROM (SELECT vec_id, label FROM embeddings WHERE label < 7) b
-FULL JOIN (SELECT vec_id, label + 100 AS label FROM embeddings WHERE label >= 5) c ON b.vec_id = c.vec_id
-""")
-def vector_upsert(t):
-    """A store of the vectors of seven labels takes in those of five: two are replaced, three are new."""
+def ann_search_of(t):
+    """The ten nearest by an index of cells that is made of all vectors first."""
     e = t("embeddings")
-    base = e.where("label < 7").select("vec_id", "label", F.lit(0).alias("version"))
-    changes = e.where("label >= 5").select("vec_id", F.lit("upsert").alias("op"), F.lit(1).alias("seq"), (F.col("label") + 100).alias("label"), F.lit(1).alias("version"))
-    return apply_changes(base, changes, "vec_id")
+    index = CellIndex(e.sparkSession, new_folder(e.sparkSession, "cells"))
+    index.build(e)
+    return index.search(asked(t), 10)
 
 
 @query()
@@ -124,16 +119,9 @@ def ann_search(t):
     return ann_search_of(t)
 
 
-def ann_search_of(t):
-    """The ten nearest by sign codes; every vector is in the index."""
-    index = R.sign_codes(t("embeddings"))
-    queries = R.sign_codes(asked(t), id_col="query", vec_col="q")
-    return R.approximate_k(index, queries, 10)
-
-
 @query()
 def ann_recall(t):
-    """How many of each query's ten nearest the search by sign codes finds."""
+    """How many of each query's ten nearest the index finds."""
     exact = best(t, 10).select("query", "id")
     found = exact.join(ann_search_of(t).select("query", "id", F.lit(1).alias("hit")), ["query", "id"], "left")
     return found.groupBy("query").agg(F.count("hit").alias("found"), F.count(F.lit(1)).alias("wanted"))
@@ -152,7 +140,9 @@ SELECT query, id, score, original_score, rank FROM (
 def rerank(t):
     """The 200 best by BM25, ordered anew by the share of the query's words that are in the text."""
     first = R.top_k(bm25(t), 200, "query", "score", "doc").withColumnRenamed("doc", "id")
-    texts = t("documents").select(F.col("doc_id").alias("id"), F.array_distinct(R.tokens(F.col("text"))).alias("own"))
+    first = written(first)  # at most 200 rows a query: their documents are picked before texts are cut
+    picked = t("documents").join(F.broadcast(first.select(F.col("id").alias("doc_id")).distinct()) if first.count() <= 100_000 else first.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = picked.select(F.col("doc_id").alias("id"), F.array_distinct(R.tokens(F.col("text"))).alias("own"))
     asked_words = searches(t).select("query", F.array_distinct(R.tokens(F.col("text"))).alias("terms"))
     both = first.join(texts, "id").join(F.broadcast(asked_words), "query")
     share = F.round(F.size(F.array_intersect("terms", "own")) / F.size("terms"), 6)
