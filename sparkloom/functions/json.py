@@ -58,3 +58,18 @@ def first_error(text: Column, params: list[Param]) -> Column:
             here = here.when(~F.try_variant_get(v, f"$.{p.name}", "string").isin(*p.choices), F.lit(f"{p.name} is none of its choices"))
         error = here.otherwise(error)
     return error
+
+
+def checked_record(text: Column) -> dict[str, Column]:
+    """Of a conversation's record in JSON its first error (no object, id is missing, messages is no list; null for none), and how many messages it
+    has and how many are sound: objects with a role and a text. A list among sound parts is kept whatever the rest is."""
+    value = F.try_parse_json(text)
+    kind = F.schema_of_variant(value)
+    whole = F.startswith(kind, F.lit("OBJECT"))
+    listed = F.try_variant_get(value, "$.messages", "array<variant>")
+    own = F.when(whole, F.coalesce(listed, F.array().cast("array<variant>"))).otherwise(F.array().cast("array<variant>"))
+    part = lambda m, name: F.try_variant_get(m, f"$.{name}", "string").isNotNull()
+    sound = F.filter(own, lambda m: part(m, "role") & part(m, "text"))
+    missing = F.try_variant_get(value, "$.id", "string").isNull()
+    error = F.when(~F.coalesce(whole, F.lit(False)), "no object").when(missing, "id is missing").when(listed.isNull(), "messages is no list")
+    return {"error": error, "n_messages": F.size(own).cast("long"), "n_kept": F.size(sound).cast("long")}

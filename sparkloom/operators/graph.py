@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.sources.folders import shared_root
+from sparkloom.sources.folders import written
 
 
 def cascade(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node): all transitive dependents of each root over edges (key, dependent), the root included.
 
-    Each round joins only the nodes that the last one found, so a cycle ends; checkpoint() cuts the lineage.
+    Each round joins only the nodes that the last one found, so a cycle ends. What a round finds is written once, to the shared
+    folder, and is not written again: all pairs so far are the union of the rounds.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
-    found = new = roots.select(F.col("key").alias("root"), F.col("key").alias("node"))
+    edges = written(edges.select("key", "dependent"))
+    new = written(roots.select(F.col("key").alias("root"), F.col("key").alias("node")).distinct())
+    rounds = [new]
     while True:
-        new = new.join(edges, F.col("node") == F.col("key")).select("root", F.col("dependent").alias("node")).distinct()
-        new = new.join(found, ["root", "node"], "left_anti").checkpoint()
-        if not new.limit(1).count():
+        near = new.join(edges, F.col("node") == F.col("key")).select("root", F.col("dependent").alias("node")).distinct()
+        found = reduce(DataFrame.unionByName, rounds)
+        new = written(near.join(found, ["root", "node"], "left_anti"))
+        if new.isEmpty():
             return found
-        found = found.unionByName(new).checkpoint()
+        rounds.append(new)

@@ -126,6 +126,13 @@ def unit(v: Column) -> Column:
     return F.transform(F.array(size), lambda n: F.when(n < 1e-12, F.transform(v, lambda _: F.lit(0.0))).otherwise(F.transform(v, lambda x: x / n)))[0]
 
 
+def truncated(v: Column, dim: int) -> tuple[Column, Column]:
+    """The first dim values at length 1, and why there are none: the vector is null, too short, or zero in these dimensions."""
+    head = F.slice(v, 1, dim)
+    error = F.when(v.isNull(), "no vector").when(F.size(v) < dim, "vector is too short").when(dot(head, head) < 1e-24, "vector is zero")
+    return F.when(error.isNull(), unit(head)), error
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query, id, score, and the other columns): the cosine of every vector with every query (query, q), 0 where one is zero. For the k
     best of each query nearest_k doesn't make all these rows."""

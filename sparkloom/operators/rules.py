@@ -57,3 +57,27 @@ def within_limit(df: DataFrame, limit: int) -> DataFrame:
     if df.limit(limit + 1).count() > limit:
         raise RuntimeError(f"more than {limit} rows")
     return df
+
+
+def multi_get(values: DataFrame, keys: DataFrame, key: str, most: int = 100_000) -> DataFrame:
+    """A row for each of keys with its columns of values, null where there are none. More than most keys are refused."""
+    return within_limit(keys, most).join(values, key, "left")
+
+
+def matching(must: dict[str, object]) -> Column:
+    """Whether a row meets all conditions: a column's value, one of a list, or (least, most) with None for no bound; None is null. No
+    conditions are met by all."""
+    out = F.lit(True)
+    for name, want in must.items():
+        c = F.col(name)
+        if want is None:
+            one = c.isNull()
+        elif isinstance(want, (list, set, frozenset)):
+            one = c.isin(list(want))
+        elif isinstance(want, tuple):
+            least, most = want
+            one = (F.lit(True) if least is None else c >= least) & (F.lit(True) if most is None else c <= most)
+        else:
+            one = c == want
+        out = out & F.coalesce(one, F.lit(False))
+    return out

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.functions import desk
+from sparkloom.functions.json import checked_record
 from sparkloom.functions.policies import compliance_cost, importance, quality
 from sparkloom.operators.scan import running
 from sparkloom.plans._registry import query, sql_query
@@ -22,13 +23,15 @@ def conversation_window(t):
 
 @query("WITH p AS (SELECT conv_id, turn, string_split(trim(lower(text)), ' ') AS w, lower(text) AS low FROM conversations), ph AS (SELECT DISTINCT conv_id, turn, array_to_string(w[i:i + 2], ' ') AS phrase FROM p, unnest(range(1, len(w) - 1, 3)) AS u(i) WHERE len(w) >= 3) SELECT DISTINCT ph.conv_id, ph.turn FROM ph JOIN p ON p.conv_id = ph.conv_id AND p.turn > ph.turn AND contains(p.low, ph.phrase)")
 def message_references(t):
-    """Messages of which a later one of the conversation holds three words in a row (every third start)."""
+    """Messages of which a later one of the conversation holds three words in a row (every third start). The middle word of such a
+    phrase stands between blanks wherever the phrase is, so phrases and later messages meet by it, and are compared then."""
     m = t("conversations").select("conv_id", "turn", F.split(F.trim(F.lower("text")), " ").alias("w"), F.lower("text").alias("low"))
     starts = F.when(F.size("w") >= 3, F.sequence(F.lit(1), F.size("w") - 2, F.lit(3))).otherwise(F.array().cast("array<int>"))
-    own = m.select("conv_id", "turn", F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("phrases")).alias("a")
-    later = m.select("conv_id", "turn", "low").alias("b")
-    found = F.exists("a.phrases", lambda x: F.contains(F.col("b.low"), x))
-    return own.join(later, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("b.turn") > F.col("a.turn")) & found, "left_semi").select("conv_id", "turn")
+    phrases = F.array_distinct(F.transform(starts, lambda i: F.struct(F.element_at("w", i + 1).alias("middle"), F.array_join(F.slice("w", i, 3), " ").alias("phrase"))))
+    own = m.select("conv_id", F.col("turn").alias("said"), F.inline(phrases))
+    later = m.select("conv_id", "turn", "low", F.explode(F.array_distinct(F.split("low", " "))).alias("middle"))
+    met = own.join(later, ["conv_id", "middle"]).where((F.col("turn") > F.col("said")) & F.contains("low", F.col("phrase")))
+    return met.select("conv_id", F.col("said").alias("turn")).distinct()
 
 
 sql_query("last_n_messages", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM {conversations}) WHERE back <= 10")
@@ -116,14 +119,6 @@ def quality_score(t):
     return c.select("conv_id", F.round(score, 4).alias("score"))
 
 
-sql_query(
-    "validate_state",
-    """
-    SELECT conv_id, min(CASE WHEN role IN ('user', 'assistant', 'system') AND text IS NOT NULL AND turn >= 0 THEN 1 ELSE 0 END) = 1 AS valid, count(*) = max(turn) - min(turn) + 1 AS gapless
-    FROM {conversations}
-    GROUP BY conv_id
-    """,
-)
 sql_query(
     "format_context",
     """
@@ -178,3 +173,20 @@ def required_skills(t):
     )
     priority = F.get(F.array(*[F.lit(p) for p in ("critical", "urgent", "high", "normal", "low")]), (F.col("n") % 6).cast("int"))
     return c.select("conv_id", F.array_join(desk.skills(F.col("intent"), F.col("tier"), F.col("mood")), ",").alias("skills"), desk.wait_time(priority).alias("wait"))
+
+
+@query("""
+SELECT conv_id, CASE WHEN conv_id % 7 = 0 THEN 'messages is no list' WHEN conv_id % 7 = 1 THEN 'id is missing' WHEN conv_id % 7 = 2 THEN 'no object' END AS error,
+  CASE WHEN conv_id % 7 IN (0, 2) THEN 0 ELSE count(*) END AS n_messages, CASE WHEN conv_id % 7 IN (0, 2) THEN 0 ELSE count(*) FILTER (turn % 5 <> 3 AND text IS NOT NULL AND role IS NOT NULL) END AS n_kept
+FROM conversations GROUP BY conv_id
+""")
+def validate_state(t):
+    """Conversations as records in JSON, some without a list of messages, without an id, or cut off; every fifth message has no role. Of a
+    record what is sound is kept."""
+    n = F.col("conv_id") % 7
+    message = F.when(F.col("turn") % 5 == 3, F.to_json(F.struct("turn", "text"))).otherwise(F.to_json(F.struct("turn", "role", "text")))
+    c = t("conversations").groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(message)), ",").alias("list"))
+    id_part = F.when(n == 1, F.lit("{")).otherwise(F.concat(F.lit('{"id": '), F.col("conv_id").cast("string"), F.lit(", ")))
+    body = F.when(n == 0, F.lit('"messages": 5}')).otherwise(F.concat(F.lit('"messages": ['), "list", F.lit("]}")))
+    text = F.when(n == 2, F.lit('{"id": 1, "mess')).otherwise(F.concat(id_part, body))
+    return c.select("conv_id", *[v.alias(k) for k, v in checked_record(text).items()])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import desk
 from sparkloom.operators.percentiles import kth
 from sparkloom.operators.rules import tune_threshold
+from sparkloom.operators.scan import position
 from sparkloom.plans._registry import query, sql_query
 
 HOUR = "CAST(date_trunc('hour', ts) AS STRING)"
@@ -143,7 +144,6 @@ sql_query(
     """,
 )
 sql_query("checkpoint_every_n", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM {events}) WHERE nth % 10 = 0")
-sql_query("props_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM {events}", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 sql_query("decisions_today", "SELECT event_type, count(*) AS n FROM {events} WHERE date_trunc('day', ts) = (SELECT date_trunc('day', max(ts)) FROM {events}) GROUP BY event_type")
 sql_query(
     "should_reindex",
@@ -205,3 +205,22 @@ def sla_report(t):
     met = {k: F.coalesce(v, F.lit(False)) for k, v in met.items()}
     texts = desk.advice(met, F.coalesce("failing", F.array().cast("array<string>")))
     return d.select("day", *[v.alias(k) for k, v in met.items()], F.array_join(texts, "; ").alias("advice"))
+
+
+@query("""
+SELECT event_id, (props->>'$.k')::BIGINT AS k, '{"user":' || user_id || ',"props":' || '{"k":' || (props->>'$.k') || '},"tags":["' || event_type || '"]}' AS again,
+  event_type AS tag FROM events
+""")
+def props_json(t):
+    """Properties are read with a type, put into a record, written as JSON and read back."""
+    typed = t("events").withColumn("props", F.from_json("props", "k bigint"))
+    text = F.to_json(F.struct(F.col("user_id").alias("user"), "props", F.array("event_type").alias("tags")))
+    out = typed.select("event_id", text.alias("again")).withColumn("back", F.from_json("again", "user bigint, props struct<k:bigint>, tags array<string>"))
+    return out.select("event_id", F.col("back.props.k").alias("k"), "again", F.col("back.tags")[0].alias("tag"))
+
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS back FROM events) WHERE back <= 100")
+def metrics_ring(t):
+    """The last hundred values of each metric, as a ring buffer keeps them."""
+    back = position(t("events").select("event_id", "event_type", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")), ["event_type"], [-F.col("at"), -F.col("event_id")], "back")
+    return back.where("back <= 100").select("event_id")

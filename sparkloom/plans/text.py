@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.operators import retrieval as R
+from sparkloom.operators.rules import matching, multi_get, within_limit
 from sparkloom.plans._registry import query, sql_query
 from sparkloom.sources.tables import spread
 
@@ -100,7 +101,6 @@ sql_query(
     """,
 )
 sql_query("kb_stats", "SELECT source, lang, count(*) AS n_documents, sum(n_chars) AS n_chars FROM {documents} GROUP BY source, lang", "SELECT source, lang, count(*) AS n_documents, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY source, lang")
-sql_query("ids_by_metadata", "SELECT doc_id FROM {documents} WHERE lang = 'en' AND source = 'src3'")
 sql_query("kv_glob_scan", r"SELECT DISTINCT source AS name FROM {documents} WHERE source RLIKE '^src1.*$'", "SELECT DISTINCT source AS name FROM documents WHERE regexp_matches(source, '^src1.*$')")
 sql_query("glob_delete", r"SELECT doc_id, source FROM {documents} WHERE NOT source RLIKE '^src1.$'", "SELECT doc_id, source FROM documents WHERE NOT regexp_matches(source, '^src1.$')")
 sql_query(
@@ -125,4 +125,16 @@ sql_query(
     """,
 )
 sql_query("cache_warm_missing", "SELECT d.doc_id FROM {documents} d LEFT ANTI JOIN {labels} l ON d.doc_id = l.doc_id", "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
-sql_query("cache_multi_get", "SELECT d.doc_id, l.quality, l.toxic FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src3'")
+def ids_by_metadata(t):
+    """A scan by metadata that would give over a million ids is refused, not cut."""
+    found = t("documents").where(matching({"lang": "en", "source": "src3"})).select("doc_id")
+    return within_limit(found, 1_000_000)
+
+
+@query("SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def cache_multi_get(t):
+    """Values of all documents' keys in bulk; null for those that aren't there."""
+    return multi_get(t("labels").select("doc_id", "quality", "toxic"), t("documents").select("doc_id"), "doc_id", 1_000_000_000)

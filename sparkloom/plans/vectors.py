@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import retrieval as R
 from sparkloom.operators.cells import CellIndex
+from sparkloom.operators.rules import matching
 from sparkloom.plans._registry import query, sql_query
 from sparkloom.plans.text import BM25, bm25, searches
 from sparkloom.sources.folders import new_folder, written
@@ -20,8 +21,8 @@ def asked(t):
     return t("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), R.doubles(F.col("embedding")).alias("q"))
 
 
-def best(t, k: int, where: str = "true", others_only: bool = False):
-    found = R.nearest_k(t("embeddings").where(where), asked(t), k, others_only=others_only)
+def best(t, k: int, must: dict | None = None, others_only: bool = False):
+    found = R.nearest_k(t("embeddings").where(matching(must or {})), asked(t), k, others_only=others_only)
     return found.select("query", "id", "score", "label", "rank")
 
 
@@ -32,12 +33,12 @@ def vector_topk(t):
 
 @query(f"WITH {NEAR} " + RANKED.format(where=" WHERE label = 3", k=5))
 def vector_topk_filtered(t):
-    return best(t, 5, "label = 3")
+    return best(t, 5, {"label": 3})
 
 
 @query(f"WITH {NEAR} " + RANKED.format(where=" WHERE label >= 5 AND id >= 100", k=5))
 def vector_topk_range_filter(t):
-    return best(t, 5, "label >= 5 AND vec_id >= 100")
+    return best(t, 5, {"label": (5, None), "vec_id": (100, None)})
 
 
 @query(f"WITH e AS (SELECT vec_id, label, {V} AS v FROM embeddings) SELECT b.vec_id, round(1 - (1 - list_cosine_similarity(a.v, b.v)), 6) AS similarity FROM e a, e b WHERE a.vec_id = 0 AND b.label = 2 ORDER BY 2 DESC, 1 LIMIT 5")
@@ -90,13 +91,6 @@ def vector_centroid(t):
     return t("embeddings").select("label", F.posexplode(R.doubles(F.col("embedding")))).groupBy("label", (F.col("pos") + 1).alias("pos")).agg(F.round(F.avg("col"), 6).alias("mean"))
 
 
-@query(f"SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS norm, round(list_sum(list_transform(v[1:32], lambda x: x * x)), 5) AS kept FROM (SELECT vec_id, {V} AS v FROM embeddings)")
-def matryoshka_truncate(t):
-    v = R.doubles(F.col("embedding"))
-    half = F.slice(v, 1, 32)
-    return t("embeddings").select("vec_id", F.round(F.sqrt(R.dot(v, v)), 5).alias("norm"), F.round(R.dot(half, half), 5).alias("kept"))
-
-
 @query(f"WITH {NEAR} SELECT query, label, round(least(avg(score), 1.0), 5) AS confidence FROM near GROUP BY query, label")
 def rag_confidence(t):
     return R.nearest(t("embeddings"), asked(t)).groupBy("query", "label").agg(F.round(F.least(F.avg("score"), F.lit(1.0)), 5).alias("confidence"))
@@ -147,3 +141,16 @@ def rerank(t):
     both = first.join(texts, "id").join(F.broadcast(asked_words), "query")
     share = F.round(F.size(F.array_intersect("terms", "own")) / F.size("terms"), 6)
     return R.rerank(both, share, 10).select("query", "id", "score", "original_score", "rank")
+
+
+@query(f"""
+SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS norm, round(v[1] / sqrt(list_sum(list_transform(v[1:32], lambda x: x * x))), 5) AS first,
+  CASE WHEN vec_id % 10 = 3 THEN 'vector is too short' WHEN vec_id % 10 = 4 THEN 'vector is zero' END AS error
+FROM (SELECT vec_id, {V} AS v FROM embeddings)
+""")
+def matryoshka_truncate(t):
+    """The first 32 dimensions at length 1; of some vectors a cut one and a zeroed one are tried as well."""
+    v = R.doubles(F.col("embedding"))
+    tried = F.when(F.col("vec_id") % 10 == 3, F.slice(v, 1, 31)).when(F.col("vec_id") % 10 == 4, F.transform(v, lambda x: x * 0)).otherwise(v)
+    half, error = R.truncated(v, 32)[0], R.truncated(tried, 32)[1]
+    return t("embeddings").select("vec_id", F.round(F.sqrt(R.dot(v, v)), 5).alias("norm"), F.round(half[0], 5).alias("first"), error.alias("error"))

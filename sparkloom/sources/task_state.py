@@ -28,8 +28,15 @@ def read_tasks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return tasks(spark.read.schema(SCHEMA).parquet(path))
 
 
-def read_tasks_jdbc(spark: SparkSession, url: str, table: str = "task_state", partitions: int = 16, **options: str) -> tuple[DataFrame, DataFrame]:
-    """The same from a database, read in ranges of a hash of the task's id."""
-    ranges = [f"mod(abs(hashtext(task_id)), {partitions}) = {i}" for i in range(partitions)]
-    df = spark.read.jdbc(url, table, predicates=ranges, properties=options)
+def key_ranges(column: str, bounds: str = "123456789abcdef") -> list[str]:
+    """Conditions that share out the rows of a table by the first character of a text key, in standard SQL: each row, also one with a null key, meets exactly one
+    of them, whatever the database's collation is."""
+    cuts = list(bounds)
+    parts = [f"{column} < '{cuts[0]}' OR {column} IS NULL", *(f"{column} >= '{a}' AND {column} < '{b}'" for a, b in zip(cuts[:-1], cuts[1:])), f"{column} >= '{cuts[-1]}'"]
+    return [f"({p})" for p in parts]
+
+
+def read_tasks_jdbc(spark: SparkSession, url: str, table: str = "task_state", key: str = "task_id", **options: str) -> tuple[DataFrame, DataFrame]:
+    """The same from a database, read in ranges of the task's id. key is its name in the database's SQL."""
+    df = spark.read.jdbc(url, table, predicates=key_ranges(key), properties=options)
     return tasks(df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMA.fields]))

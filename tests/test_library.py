@@ -16,6 +16,7 @@ from sparkloom.functions.numbers import decimals_to_numbers, floats_to_decimals
 from sparkloom.operators import chunking as C
 from sparkloom.operators import merge as M
 from sparkloom.operators import retrieval as R
+from sparkloom.operators import rules as RU
 from sparkloom.operators import sequential as S
 from sparkloom.operators.graph import cascade
 from sparkloom.operators.percentiles import kth
@@ -304,3 +305,63 @@ def test_task_state(spark):
     df = spark.createDataFrame(rows, "task_id string, status string, payload string").withColumn("checkpoint", F.lit(None).cast("string"))
     ok, bad = task_state.tasks(df)
     assert {r.task_id for r in ok.collect()} == {"a", "e"} and bad.count() == 4
+
+
+def test_task_sources(spark, tmp_path):
+    """Tasks from Parquet, and from a database in ranges of their ids, null ids among them."""
+    ids = ["0a", "7f3", "9", "abc", "f0", "zz", "", "A1", "é", None]
+    rows = [(i, "t", "pending" if n % 3 else "gone", '{"x": 1}' if n % 4 else "{", None, 1) for n, i in enumerate(ids)]
+    own = spark.createDataFrame(rows, "task_id string, task_type string, status string, payload string, checkpoint string, attempt_count int")
+    whole = own.withColumns({c: F.lit(None).cast("timestamp") for c in ("created_at", "updated_at", "completed_at")}).withColumn("error_message", F.lit(None).cast("string")).select(task_state.SCHEMA.names)
+    whole.write.parquet(str(tmp_path / "tasks"))
+    want = {r[0] for r in rows if r[0] is not None and r[2] == "pending" and r[3] != "{"}
+    ok, bad = task_state.read_tasks(spark, str(tmp_path / "tasks"))
+    assert {r["task_id"] for r in ok.collect()} == want and bad.count() == len(rows) - len(want)
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark._jvm.java.lang.Class.forName("org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    run = connection.createStatement().execute
+    run("CREATE TABLE task_state (task_id VARCHAR(40), task_type VARCHAR(40), status VARCHAR(20), payload VARCHAR(99), checkpoint VARCHAR(99), attempt_count INT, created_at TIMESTAMP, updated_at TIMESTAMP, completed_at TIMESTAMP, error_message VARCHAR(99))")
+    for i, kind, status, payload, _, n in rows:
+        own = "NULL" if i is None else f"'{i}'"
+        run(f"INSERT INTO task_state VALUES ({own}, '{kind}', '{status}', '{payload}', NULL, {n}, NULL, NULL, NULL, NULL)")
+    connection.close()
+    ok, bad = task_state.read_tasks_jdbc(spark, url, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert {r["task_id"] for r in ok.collect()} == want and bad.count() == len(rows) - len(want)
+
+
+def test_limits_and_filters(spark):
+    rows = [(1, "a", 5), (2, "b", None), (3, None, 7), (4, "a", 9)]
+    df = spark.createDataFrame(rows, "id int, kind string, n int")
+    ids = lambda must: sorted(r["id"] for r in df.where(RU.matching(must)).collect())
+    assert ids({}) == [1, 2, 3, 4] and ids({"kind": "a"}) == [1, 4] and ids({"kind": ["a", "b"]}) == [1, 2, 4] and ids({"kind": None}) == [3]
+    assert ids({"n": (6, None)}) == [3, 4] and ids({"kind": "a", "n": (None, 6)}) == [1]
+    with pytest.raises(RuntimeError):
+        RU.within_limit(df, 3)
+    got = RU.multi_get(df, spark.createDataFrame([(1,), (9,)], "id int"), "id", 2)
+    assert {(r["id"], r["n"]) for r in got.collect()} == {(1, 5), (9, None)}
+    with pytest.raises(RuntimeError):
+        RU.multi_get(df, df.select("id"), "id", 3)
+
+
+def test_truncated(spark):
+    df = spark.createDataFrame([([3.0, 4.0, 9.0],), ([1.0],), ([0.0, 0.0, 1.0],), (None,)], "v array<double>")
+    short, error = R.truncated(F.col("v"), 2)
+    assert [(r[0], r[1]) for r in df.select(short, error).collect()] == [([0.6, 0.8], None), (None, "vector is too short"), (None, "vector is zero"), (None, "no vector")]
+
+
+def test_desk_rules(spark):
+    from sparkloom.functions import desk
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(desk.tool_ttl(F.lit(n))) for n in ("get_stock_price", "get_weather", "search_products", "get_documentation", "get_country_codes", "none")] == [0, 45, 600, 14400, 31536000, 0]
+    ttl = lambda n, bad, age: one(desk.adaptive_ttl(F.lit(n), F.lit(bad), F.lit(age).cast("double")))
+    assert [ttl(5, 0, 59), ttl(1000, 0, 3600), ttl(1, 1000, 3600), ttl(50, 1, 3600), ttl(1, 1, None)] == [3600, 7200, 3600 * 1.01 * 0.25, 3600 * 1.5 * 0.5, 3600]
+    skills = lambda i, tier, mood: one(desk.skills(F.lit(i).cast("string"), F.lit(tier), F.lit(mood)))
+    assert skills("billing_dispute", "enterprise", -0.9) == ["billing_specialist", "enterprise_support", "de_escalation"] and skills(None, "basic", 0.0) == ["general_support"]
+    assert one(desk.agent(F.lit("complaint"))) == "escalation" and one(desk.agent(F.lit("x"))) == "triage" and one(desk.wait_time(F.lit(None).cast("string"))) == "5-10 minutes"
+    out = desk.recovery(F.lit(1), F.lit("c"), F.lit(False), F.lit(None).cast("string"))
+    assert [one(v) for v in out.values()] == [False, None, True, "checkpoint corrupted, no backup"]
+    out = desk.recovery(F.lit(1), F.lit("c"), F.lit(False), F.lit("b"))
+    assert [one(v) for v in out.values()] == [True, "b", False, None]
+    assert [one(v) for v in desk.recovery(F.lit(3), F.lit("c"), F.lit(True), F.lit("b")).values()] == [False, None, True, "attempts exceeded"]
