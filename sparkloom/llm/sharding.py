@@ -177,14 +177,16 @@ class ShardStore:
     def _read(self, files: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*files)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with the number of their shard in its manifest and the shard's tier."""
+    def read(self, version: int | None = None, shard_col: str = "shard", tier_col: str = "tier") -> DataFrame:
+        """The rows of a version, with the number of their shard in its manifest and the shard's tier. Columns of the rows that have one of these names
+        are left out; under other names both are there."""
         now = self.manifest(version)
         if not now["shards"]:
             raise ValueError("no shards")
-        df = self._read([s["file"] for s in now["shards"]], now["schema"]).withColumn(f"{TMP}file", F.regexp_extract("_metadata.file_path", r"([^/]+/[^/]+)$", 1))
+        df = self._read([s["file"] for s in now["shards"]], now["schema"])
+        df = df.drop(shard_col, tier_col).withColumn(f"{TMP}file", F.regexp_extract("_metadata.file_path", r"([^/]+/[^/]+)$", 1))
         known = [("/".join(s["file"].rsplit("/", 2)[1:]), i, s["tier"]) for i, s in enumerate(now["shards"])]
-        shards = self.spark.createDataFrame(known, f"{TMP}file string, shard int, tier int")
+        shards = self.spark.createDataFrame(known, f"{TMP}file string, `{shard_col}` int, `{tier_col}` int")
         return df.join(F.broadcast(shards) if len(known) <= MAX_BROADCAST_SHARDS else shards, f"{TMP}file").drop(f"{TMP}file")
 
 
