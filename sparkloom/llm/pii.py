@@ -4,10 +4,11 @@ Card numbers (Luhn), telephone numbers (+1, area code from 2), IPv4 addresses an
 and permuted within their format: a card number stays a valid one of the same length, first digit and spacing, a date a
 date from 1900 to 2099. The permutation depends on the secret alone, so equal values stay linked over all documents and
 different ones stay apart. Cards are looked for at each group of a run of digit groups, so a year, an expiry date or a
-security code beside one doesn't hide it. E-mail names keep their length and their letters' and digits' places; they are hashed, so
-equal ones stay linked. Values that fail validation stay.
+security code beside one doesn't hide it. E-mail names are permuted among those with letters, digits and capitals in the same places; the
+domain stays. Values that fail validation stay.
 
-Defined cases: a null text stays null; repeated rows change alike; an empty table gives no rows; other columns stay.
+Defined cases: a null text stays null; repeated rows change alike; an empty table gives no rows; other columns stay, but for those named as the counts, which
+are replaced.
 """
 
 from __future__ import annotations
@@ -126,16 +127,28 @@ def _date(m: Column, form: str, key: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    name = F.substring_index(m, "@", 1)
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 512)
-    value = lambda i: F.conv(F.substring(digest, (i * 2) % 126 + 1, F.lit(2)), 16, 10).cast("int")
-    letter = lambda i: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), value(i) % 26 + 1, F.lit(1))
-
-    def one(i: Column) -> Column:
-        c = F.substring(name, i, F.lit(1))
-        return F.when(c.rlike("[0-9]"), (value(i) % 10).cast("string")).when(c.rlike("[a-z]"), letter(i)).when(c.rlike("[A-Z]"), F.upper(letter(i))).otherwise(c)
-
-    return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.length(name)), one), ""), F.lit("@"), F.substring_index(m, "@", -1))
+    """The name permuted within its shape: a Feistel network on its two halves, in which each letter or digit of one half is moved on by a hash of
+    the other half. So two names of one shape never meet, and names that differ in case alone stay alike. Other characters and the domain stay."""
+    name, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+    low, up, ten = (F.lit(x) for x in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"))
+
+    def moved(half: Column, by: Column) -> Column:
+        def one(i: Column, digest: Column) -> Column:
+            c, step = F.substring(half, i, F.lit(1)), F.conv(F.substring(digest, (i * 2) % 126 + 1, F.lit(2)), 16, 10).cast("int")
+            at = lambda alphabet, n: F.substring(alphabet, (F.instr(alphabet, c) - 1 + step) % n + 1, F.lit(1))
+            return F.when(F.instr(low, c) > 0, at(low, 26)).when(F.instr(up, c) > 0, at(up, 26)).when(F.instr(ten, c) > 0, at(ten, 10)).otherwise(c)
+
+        each = _let(by, lambda d: F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), lambda i: one(i, d)), ""))
+        return F.when(F.length(half) > 0, each).otherwise("")
+
+    def turn(state: Column, i: Column) -> Column:
+        other = F.when(i % 2 == 0, state["l"]).otherwise(state["r"])
+        by = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), i.cast("string"), F.lower(other), F.lower(domain)), 512)
+        return F.struct(F.when(i % 2 == 0, state["l"]).otherwise(moved(state["l"], by)).alias("l"), F.when(i % 2 == 0, moved(state["r"], by)).otherwise(state["r"]).alias("r"))
+
+    cut = F.floor(F.length(name) / 2).cast("int")
+    start = F.struct(F.substring(name, F.lit(1), cut).alias("l"), F.substring(name, cut + 1, F.length(name)).alias("r"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda x: F.concat(x["l"], x["r"], F.lit("@"), domain))
 
 
 def _counted(f: Callable[[Column], Column]) -> Callable[[Column], Column]:

@@ -520,3 +520,73 @@ def test_pipeline(spark):
     assert kept <= good and len(kept) > 0.6 * docs.count() and out.count() == len(kept)
     tables = [c for _, c in corpus_pipeline.STAGES]
     assert len(tables) == 5
+
+
+def test_sharding_keeps_clashing_columns(spark, docs):
+    """Documents with columns named as the store's."""
+    own = docs.withColumns({"shard": F.col("doc_id"), "tier": F.lit("x")})
+    store = sharding.ShardStore(spark, shared_dir(spark))
+    store.append(own)
+    both = store.read(shard_col="in_shard", tier_col="in_tier")
+    assert {r["tier"] for r in both.collect()} == {"x"} and all(r["shard"] == r["doc_id"] for r in both.collect())
+    assert dict(store.read().dtypes)["shard"] == "int" and store.read().count() == own.count()
+    assert sharding.op8(own).count() == own.count()
+
+
+def feistel_plain(left, right, left_size, right_size, key, kind):
+    for i in range(1, pii.ROUNDS + 1):
+        half = right if i % 2 else left
+        mix = int(sha(f"{key}|{kind}|{i}|{left_size}|{right_size}|{half}")[:14], 16)
+        left, right = ((left + mix) % left_size, right) if i % 2 else (left, (right + mix) % right_size)
+    return left, right
+
+
+def email_plain(m, key):
+    name, domain = m.split("@")
+    halves = [name[: len(name) // 2], name[len(name) // 2 :]]
+    for i in range(pii.ROUNDS):
+        own, other = (1, 0) if i % 2 == 0 else (0, 1)
+        digest = hashlib.sha512(f"{key}|email|{i}|{halves[other].lower()}|{domain.lower()}".encode()).hexdigest()
+        out = ""
+        for at, c in enumerate(halves[own], 1):
+            step = int(digest[(at * 2) % 126 : (at * 2) % 126 + 2], 16)
+            for alphabet in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"):
+                if c in alphabet:
+                    c = alphabet[(alphabet.index(c) + step) % len(alphabet)]
+                    break
+            out += c
+        halves[own] = out
+    return "".join(halves) + "@" + domain
+
+
+def test_pseudonyms_of_addresses(spark):
+    """E-mail names, IPv4 addresses and telephone numbers against plain Python; different values stay apart, equal ones together."""
+    key, rng = "k", random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}{b}@mail.example.org" for a in letters for b in letters] + ["J.Doe_7@Ex.com", "j.doe_7@ex.com", "x@y.de", "a1%b-c+d@z.co.uk"]
+    ips = ["0.0.0.0", "255.255.255.255", "10.1.2.3"] + [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(50)]
+    phones = [f"+1 ({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(10000):04d}" for _ in range(50)]
+    rows = [("email", x) for x in mails] + [("ip", x) for x in ips] + [("phone", x) for x in phones] + [("ip", "300.1.1.1")]
+    got = pii.pseudonymize(spark.createDataFrame([(i, k, f"see {x}, and {x}") for i, (k, x) in enumerate(rows)], "doc_id long, kind string, text string"), key).collect()
+    new = {}
+    for r in got:
+        kind, x = rows[r["doc_id"]]
+        out, again = r["text"].removeprefix("see ").split(", and ")
+        assert out == again
+        if kind == "email":
+            want = email_plain(x, key)
+        elif kind == "phone":
+            d = re.sub("[^0-9]", "", x)
+            a, b = feistel_plain(int(d[2:6]), int(d[6:]), 10**4, 10**5, key, "phone")
+            d = iter(d[:2] + f"{a:04d}{b:05d}")
+            want = "".join(next(d) if c.isdigit() else c for c in x)
+        elif all(int(o) < 256 for o in x.split(".")):
+            o = list(map(int, x.split(".")))
+            a, b = feistel_plain(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip")
+            want = f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+        else:
+            want = x
+        assert out == want, (kind, x)
+        assert r[f"n_{kind}"] == 2 * (want != x)
+        new.setdefault(kind, {})[x.lower()] = out.lower()
+    assert all(len(set(v.values())) == len(v) for v in new.values()) and len(new["email"]) == 679
