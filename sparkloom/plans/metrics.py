@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.functions import desk
+from sparkloom.operators.merge import latest
 from sparkloom.operators.percentiles import kth
 from sparkloom.operators.rules import tune_threshold
-from sparkloom.operators.scan import position
+from sparkloom.operators.scan import position, running
 from sparkloom.plans._registry import query, sql_query
+from sparkloom.sources.folders import written
 
 HOUR = "CAST(date_trunc('hour', ts) AS STRING)"
 SORTED = "SELECT event_type, list_sort(list(value)) AS s, count(*) AS n FROM events GROUP BY event_type"
@@ -34,41 +37,6 @@ def pctl_linear(t):
 
 
 sql_query("hourly_counters", f"SELECT {HOUR} AS hour, event_type AS metric, count(*) AS n FROM {{events}} GROUP BY 1, 2")
-sql_query(
-    "platform_report",
-    """
-    SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS most
-    FROM {events}
-    WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'
-    GROUP BY event_type
-    """,
-)
-sql_query(
-    "realtime_stats",
-    """
-    SELECT count(*) AS total, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS resolved, round(count(CASE WHEN event_type = 'purchase' THEN 1 END) * CAST(100 AS DOUBLE) / greatest(count(*), 1), 6) AS automation
-    FROM {events}
-    WHERE ts >= (SELECT date_trunc('hour', max(ts))
-      FROM {events})
-    """,
-)
-sql_query(
-    "hit_rates",
-    """
-    SELECT user_id, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS hits, count(CASE WHEN event_type = 'view' THEN 1 END) AS misses, round(coalesce(count(CASE WHEN event_type = 'purchase' THEN 1 END) * CAST(1 AS DOUBLE) / nullif(count(CASE WHEN event_type IN ('purchase', 'view') THEN 1 END), 0), 0), 6) AS hit_rate
-    FROM {events}
-    GROUP BY user_id
-    """,
-)
-sql_query(
-    "savings_report",
-    """
-    SELECT user_id, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 4) AS saved, round(sum(CASE WHEN event_type = 'view' THEN value ELSE 0 END), 4) AS incurred
-    FROM {events}
-    GROUP BY user_id
-    """,
-)
-sql_query("prometheus_lines", "SELECT concat('events_total{type=\"', event_type, '\"} ', CAST(count(*) AS STRING)) AS line FROM {events} GROUP BY event_type")
 sql_query("low_csat_alerts", "SELECT event_id, user_id FROM {events} WHERE event_type = 'click' AND value <= 2")
 sql_query(
     "sliding_latency",
@@ -77,19 +45,6 @@ sql_query(
     FROM {events}
     """,
 )
-sql_query("incoming_rate", f"SELECT user_id, round(greatest(CAST(0 AS DOUBLE), avg(n - before)), 6) AS rate FROM (SELECT user_id, n, lag(n) OVER (PARTITION BY user_id ORDER BY hour) AS before, row_number() OVER (PARTITION BY user_id ORDER BY hour DESC) AS back FROM (SELECT user_id, {HOUR} AS hour, count(*) AS n FROM {{events}} GROUP BY 1, 2)) WHERE back <= 10 GROUP BY user_id")
-sql_query(
-    "failure_streaks",
-    """
-    SELECT user_id, max(len) AS longest
-    FROM (SELECT user_id, grp, count(*) AS len
-      FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS grp
-        FROM {events})
-      WHERE event_type = 'error'
-      GROUP BY user_id, grp)
-    GROUP BY user_id
-    """,
-)
 sql_query(
     "ttl_expired",
     """
@@ -99,61 +54,8 @@ sql_query(
     FROM {events}
     """,
 )
-sql_query(
-    "stale_workers",
-    """
-    SELECT user_id, SECONDS(max(ts), (SELECT max(ts)
-        FROM {events})) AS silent
-    FROM {events}
-    GROUP BY user_id
-    HAVING SECONDS(max(ts), (SELECT max(ts)
-        FROM {events})) > 3600
-    """,
-)
-sql_query(
-    "scaling_metrics",
-    """
-    SELECT user_id, round(avg(CASE WHEN value > 0 THEN value * 1000 END), 4) AS mean_ms, count(CASE WHEN value <= 1 THEN 1 END) AS idle
-    FROM {events}
-    GROUP BY user_id
-    """,
-    """
-    SELECT user_id, round(avg(CASE WHEN value > 0 THEN value * 1000 END), 4) AS mean_ms, count(CASE WHEN value <= 1 THEN 1 END) AS idle
-    FROM events
-    GROUP BY user_id
-    """,
-)
 sql_query("scaling_decision", f"SELECT hour, n, CASE WHEN n > 20 OR mean > 80 THEN 'up' WHEN n < 5 THEN 'down' ELSE 'stay' END AS decision FROM (SELECT {HOUR} AS hour, count(*) AS n, avg(value) AS mean FROM {{events}} GROUP BY 1)")
 sql_query("workers_needed", f"SELECT hour, CAST(floor((n + n * 5) / CAST(50 AS DOUBLE)) AS BIGINT) + 1 AS workers FROM (SELECT {HOUR} AS hour, count(*) AS n FROM {{events}} GROUP BY 1)")
-sql_query(
-    "idempotent_submit",
-    """
-    SELECT user_id, event_type, event_id
-    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nth
-      FROM {events})
-    WHERE nth = 1
-    """,
-)
-sql_query(
-    "latest_checkpoint",
-    """
-    SELECT user_id, event_id, event_type
-    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth
-      FROM {events})
-    WHERE nth = 1
-    """,
-)
-sql_query("checkpoint_every_n", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM {events}) WHERE nth % 10 = 0")
-sql_query("decisions_today", "SELECT event_type, count(*) AS n FROM {events} WHERE date_trunc('day', ts) = (SELECT date_trunc('day', max(ts)) FROM {events}) GROUP BY event_type")
-sql_query(
-    "should_reindex",
-    """
-    SELECT user_id, CASE WHEN isnan(most) THEN 'latency' WHEN errors * CAST(1 AS DOUBLE) / n > CAST(0.3 AS DOUBLE) THEN 'fragmentation' WHEN most > 500 THEN 'latency' ELSE 'none' END AS reason
-    FROM (SELECT user_id, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors, max(value) AS most
-      FROM {events}
-      GROUP BY user_id)
-    """,
-)
 
 
 @query("""
@@ -224,3 +126,132 @@ def metrics_ring(t):
     """The last hundred values of each metric, as a ring buffer keeps them."""
     back = position(t("events").select("event_id", "event_type", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")), ["event_type"], [-F.col("at"), -F.col("event_id")], "back")
     return back.where("back <= 100").select("event_id")
+
+
+@query("""
+SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS most
+FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00' GROUP BY event_type
+""")
+def platform_report(t):
+    e = t("events").where((F.col("ts") >= "2024-01-05 00:00:00") & (F.col("ts") < "2024-01-20 00:00:00"))
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("most"))
+
+
+def share(part, whole):
+    """part / whole, 0 of nothing."""
+    return F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(0.0))
+
+
+@query("""
+SELECT count(*) AS total, count(*) FILTER (event_type = 'purchase') AS resolved, round(count(*) FILTER (event_type = 'purchase') * 100.0::DOUBLE / greatest(count(*), 1), 6) AS automation
+FROM events WHERE ts >= (SELECT date_trunc('hour', max(ts)) FROM events)
+""")
+def realtime_stats(t):
+    """The current hour is that of the newest event."""
+    e = t("events")
+    now = e.agg(F.date_trunc("hour", F.max("ts")).alias("now"))
+    done = F.count_if(F.col("event_type") == "purchase")
+    return e.join(F.broadcast(now), F.col("ts") >= F.col("now")).agg(F.count(F.lit(1)).alias("total"), done.alias("resolved"), F.round(100 * share(done, F.count(F.lit(1))), 6).alias("automation"))
+
+
+@query("""
+SELECT user_id, count(*) FILTER (event_type = 'purchase') AS hits, count(*) FILTER (event_type = 'view') AS misses,
+  round(CASE WHEN count(*) FILTER (event_type IN ('purchase', 'view')) = 0 THEN 0 ELSE count(*) FILTER (event_type = 'purchase')::DOUBLE / count(*) FILTER (event_type IN ('purchase', 'view')) END, 6) AS hit_rate
+FROM events GROUP BY user_id
+""")
+def hit_rates(t):
+    hits, misses = F.count_if(F.col("event_type") == "purchase"), F.count_if(F.col("event_type") == "view")
+    return t("events").groupBy("user_id").agg(hits.alias("hits"), misses.alias("misses"), F.round(share(hits, hits + misses), 6).alias("hit_rate"))
+
+
+@query("""
+SELECT user_id, round(coalesce(sum(value) FILTER (event_type = 'purchase'), 0), 4) AS saved, round(coalesce(sum(value) FILTER (event_type = 'view'), 0), 4) AS incurred FROM events GROUP BY user_id
+""")
+def savings_report(t):
+    total = lambda kind: F.round(F.sum(F.when(F.col("event_type") == kind, F.col("value")).otherwise(0.0)), 4)
+    return t("events").groupBy("user_id").agg(total("purchase").alias("saved"), total("view").alias("incurred"))
+
+
+@query("""SELECT 'events_total{type="' || event_type || '"} ' || count(*) AS line FROM events GROUP BY event_type""")
+def prometheus_lines(t):
+    n = t("events").groupBy("event_type").count()
+    return n.select(F.format_string('events_total{type="%s"} %d', "event_type", "count").alias("line"))
+
+
+@query("""
+WITH e AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+g AS (SELECT user_id, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS run FROM e WHERE bad)
+SELECT user_id, max(n) AS longest FROM (SELECT user_id, run, count(*) AS n FROM g GROUP BY user_id, run) GROUP BY user_id
+""")
+def failure_streaks(t):
+    """The longest run of errors of each user who has one: errors with the same number of other events before them are one run."""
+    e = t("events").select("user_id", "ts", "event_id", (F.col("event_type") == "error").alias("bad"))
+    at = running(e, ["user_id"], ["ts", "event_id"], {"others": (~F.col("bad")).cast("long")})
+    return at.where("bad").groupBy("user_id", "others").agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg(F.max("n").alias("longest"))
+
+
+@query("""
+SELECT user_id, date_sub('second', max(ts), (SELECT max(ts) FROM events)) AS silent FROM events GROUP BY user_id HAVING date_sub('second', max(ts), (SELECT max(ts) FROM events)) > 3600
+""")
+def stale_workers(t):
+    """Users as workers, events as heartbeats; now is the newest one. Users' last ones are counted first, so events are read once."""
+    last = written(t("events").groupBy("user_id").agg(F.max("ts").alias("ts")))
+    now = last.agg(F.max("ts").alias("now"))
+    return last.join(F.broadcast(now)).select("user_id", F.expr("timestampdiff(SECOND, ts, now)").alias("silent")).where("silent > 3600")
+
+
+@query("""
+SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nth FROM events) WHERE nth = 1
+""")
+def idempotent_submit(t):
+    """Of submissions with one key the first counts: an aggregate, so a key that most rows have is no task's burden."""
+    return t("events").groupBy("user_id", "event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@query("""
+SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth = 1
+""")
+def latest_checkpoint(t):
+    return latest(t("events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events) WHERE nth % 10 = 0")
+def checkpoint_every_n(t):
+    return position(t("events").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], "nth").where("nth % 10 = 0").select("user_id", "event_id")
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) = (SELECT date_trunc('day', max(ts)) FROM events) GROUP BY event_type")
+def decisions_today(t):
+    """Today is the day of the newest event. Events are counted by day first."""
+    days = written(t("events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n")))
+    today = days.agg(F.max("day").alias("day"))
+    return days.join(F.broadcast(today), "day", "left_semi").select("event_type", "n")
+
+
+@query("""
+SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'error') / count(*)::DOUBLE > 0.3 THEN 'fragmentation' WHEN max(value) > 500 THEN 'latency' ELSE 'none' END AS reason FROM events GROUP BY user_id
+""")
+def should_reindex(t):
+    """Errors are a user's fragments, values latencies."""
+    bad = F.avg((F.col("event_type") == "error").cast("double"))
+    return t("events").groupBy("user_id").agg(F.when(bad > 0.3, "fragmentation").when(F.max("value") > 500, "latency").otherwise("none").alias("reason"))
+
+
+@query("SELECT user_id, round(avg(value * 1000) FILTER (value > 0), 4) AS mean_ms, count(*) FILTER (value <= 1) AS idle FROM events GROUP BY user_id")
+def scaling_metrics(t):
+    v = F.col("value")
+    return t("events").groupBy("user_id").agg(F.round(F.avg(F.when(v > 0, v * 1000)), 4).alias("mean_ms"), F.count_if(v <= 1).alias("idle"))
+
+
+@query(f"""
+SELECT user_id, round(greatest(0.0::DOUBLE, avg(n - before)), 6) AS rate FROM (
+  SELECT user_id, n, lag(n) OVER (PARTITION BY user_id ORDER BY hour) AS before, row_number() OVER (PARTITION BY user_id ORDER BY hour DESC) AS back
+  FROM (SELECT user_id, {HOUR} AS hour, count(*) AS n FROM events GROUP BY 1, 2)) WHERE back <= 10 GROUP BY user_id
+""")
+def incoming_rate(t):
+    """The mean change from hour to hour over a user's last ten: the sum of the changes is the last count less the one before the first."""
+    hours = t("events").groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    last = W.partitionBy("user_id").orderBy(F.desc("hour"))
+    at = hours.withColumn("back", F.row_number().over(last)).where("back <= 11")
+    newest, oldest, n = F.max_by("n", "hour"), F.min_by("n", "hour"), F.count(F.lit(1))
+    return at.groupBy("user_id").agg(F.round(F.greatest(F.lit(0.0), (newest - oldest) / F.nullif(n - 1, F.lit(0))), 6).alias("rate"))

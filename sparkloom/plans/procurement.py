@@ -16,27 +16,6 @@ RANK = "CASE {0} WHEN 'auto' THEN 0 WHEN 'manager' THEN 1 WHEN 'director' THEN 2
 ASOF = "(SELECT max(o_orderdate) FROM {orders})"
 
 sql_query("approval_level", f"SELECT o_orderkey, {LEVEL.format('o_totalprice')} AS level FROM {{orders}}")
-sql_query(
-    "request_totals",
-    """
-    SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS total, count(*) AS n_items, sum(CASE WHEN l_discount > 0 THEN 1 ELSE 0 END) AS discounted
-    FROM {lineitem}
-    GROUP BY l_orderkey
-    """,
-    """
-    SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS total, count(*) AS n_items, sum(CASE WHEN l_discount > 0 THEN 1 ELSE 0 END)::BIGINT AS discounted
-    FROM lineitem
-    GROUP BY l_orderkey
-    """,
-)
-sql_query(
-    "procurement_summary",
-    """
-    SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, count(CASE WHEN o_totalprice > 100000 THEN 1 END) AS large
-    FROM {orders}
-    GROUP BY o_orderstatus
-    """,
-)
 @query("""
 SELECT k, score, CASE WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level FROM (
   SELECT o_orderkey AS k, least(100, CASE WHEN o_totalprice > 300000 THEN 30 WHEN o_totalprice > 100000 THEN 15 ELSE 0 END
@@ -54,16 +33,6 @@ def risk_score(t):
     policy = P.RiskPolicy(high_amount=300_000.0, some_amount=100_000.0)
     score = P.risk_score(F.col("o_totalprice"), issues, F.coalesce("risky", F.lit(0).cast("long")), F.col("o_orderpriority") == "1-URGENT", policy)
     return o.select(F.col("o_orderkey").alias("k"), score.alias("score"), P.risk_level(score, policy).alias("level"))
-sql_query(
-    "auto_approval",
-    """
-    SELECT o_orderkey, o_totalprice <= 50000 AND min(CASE WHEN s_suppkey IS NULL OR s_acctbal >= 0 THEN 1 ELSE 0 END) = 1 AS automatic
-    FROM {orders}
-    JOIN {lineitem} ON o_orderkey = l_orderkey
-    LEFT JOIN {supplier} ON s_suppkey = l_suppkey
-    GROUP BY o_orderkey, o_totalprice
-    """,
-)
 APPROVERS = "(VALUES (1, 'manager', 5000), (2, 'director', 25000), (3, 'vp', 100000), (4, 'vp', 60000), (5, 'executive', 0)) AS a(reg, lvl, most)"
 sql_query("approver_candidates", f"SELECT o_orderkey, count(*) AS candidates, min(reg) AS first FROM (SELECT o_orderkey, o_totalprice, {LEVEL.format('o_totalprice')} AS level FROM {{orders}}) o JOIN {APPROVERS} ON {RANK.format('lvl')} >= {RANK.format('level')} AND (most = 0 OR o_totalprice <= most) GROUP BY o_orderkey")
 sql_query("approval_routing", f"SELECT o_orderkey, level, reg FROM (SELECT o_orderkey, level, reg, row_number() OVER (PARTITION BY o_orderkey ORDER BY CASE WHEN lvl = level THEN 0 ELSE 1 END, reg) AS nth FROM (SELECT o_orderkey, o_totalprice, {LEVEL.format('o_totalprice')} AS level FROM {{orders}}) o JOIN {APPROVERS} ON {RANK.format('lvl')} >= {RANK.format('level')} AND (most = 0 OR o_totalprice <= most)) WHERE nth = 1")
@@ -79,32 +48,6 @@ def delegations(t):
     rules = spark.createDataFrame(rows, "pos int, approver int, delegate int, until string").withColumn("until", F.col("until").cast("timestamp_ntz"))
     chain = t("orders").select("o_orderkey", F.col("o_orderdate").alias("at"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("approver"))
     return delegate(chain, rules, spark.range(1, 6).select(F.col("id").cast("int").alias("id"))).select("o_orderkey", F.col("acting").alias("approver"))
-sql_query(
-    "contract_join",
-    """
-    SELECT l_orderkey, l_linenumber, CASE WHEN p_retailprice < l_extendedprice / l_quantity THEN p_retailprice END AS contract_price
-    FROM {lineitem}
-    LEFT JOIN {part} ON l_partkey = p_partkey
-    """,
-)
-sql_query(
-    "contract_savings",
-    """
-    SELECT l_orderkey, round(sum(greatest(CAST(0 AS DOUBLE), l_extendedprice - p_retailprice * l_quantity)), 2) AS savings
-    FROM {lineitem}
-    JOIN {part} ON l_partkey = p_partkey
-    GROUP BY l_orderkey
-    """,
-)
-sql_query(
-    "customer_priority",
-    """
-    SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' AND c_acctbal > 9000 THEN 'CRITICAL' WHEN coalesce(sum(o_totalprice), 0) > 3000000 OR c_acctbal > 8000 THEN 'HIGH' WHEN count(CASE WHEN o_orderstatus = 'O' THEN 1 END) > 10 THEN 'HIGH' ELSE 'NORMAL' END AS priority
-    FROM {customer}
-    LEFT JOIN {orders} ON o_custkey = c_custkey
-    GROUP BY c_custkey, c_mktsegment, c_acctbal
-    """,
-)
 sql_query(
     "order_status_desc",
     """
@@ -114,35 +57,6 @@ sql_query(
 )
 sql_query("mask_payment", "SELECT c_custkey, CASE WHEN c_name IS NOT NULL AND c_name <> '' THEN concat('****', right(c_name, 4)) ELSE c_mktsegment END AS card FROM {customer}")
 sql_query("account_balance", "SELECT c_custkey, 10000 - c_acctbal AS credit_available, CASE WHEN c_acctbal <= 0 THEN 'current' ELSE 'due' END AS payment_status FROM {customer}")
-sql_query("return_window", f"SELECT o_orderkey, o_orderstatus = 'F' AND SECONDS(o_orderdate, {ASOF}) <= 30 * 86400 AS returnable FROM {{orders}}")
-sql_query(
-    "intake_validation",
-    """
-    SELECT o_orderkey, concat_ws('; ', CASE WHEN o_totalprice <= 0 THEN 'total must be positive' END, CASE WHEN n IS NULL THEN 'no items' END, CASE WHEN worst > 45 THEN 'quantity is large' END) AS messages
-    FROM {orders}
-    LEFT JOIN (SELECT l_orderkey, count(*) AS n, max(l_quantity) AS worst
-      FROM {lineitem}
-      GROUP BY l_orderkey) l ON l_orderkey = o_orderkey
-    """,
-)
-sql_query(
-    "authz_check",
-    """
-    SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'unknown user' WHEN c_mktsegment = 'MACHINERY' THEN 'no permission' WHEN o_totalprice > 300000 THEN 'over spending limit' ELSE 'ok' END AS reason
-    FROM {orders}
-    LEFT JOIN {customer} ON o_custkey = c_custkey
-    """,
-)
-sql_query("top_requesters", "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 5")
-sql_query("top_categories", "SELECT p_type, count(DISTINCT l_orderkey) AS n FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_type ORDER BY n DESC, p_type LIMIT 5")
-sql_query(
-    "approval_state",
-    """
-    SELECT l_orderkey, 4 * greatest(1, count(*)) AS hours, min(CASE WHEN l_linestatus = 'O' THEN l_linenumber END) AS first_pending, count(CASE WHEN l_linestatus = 'O' THEN 1 END) = 0 AS complete
-    FROM {lineitem}
-    GROUP BY l_orderkey
-    """,
-)
 sql_query(
     "purchase_orders",
     """
@@ -252,3 +166,113 @@ def refund_check(t):
     left = F.col("o_totalprice") - F.coalesce("refunded", F.lit(0.0))
     error = F.when(F.col("o_orderkey").isNull(), "order not found").when(F.col("o_totalprice") * 0.4 > left, "amount exceeds balance").when(F.coalesce(key, F.lit("")) == "", "idempotency key required")
     return r.select("c_custkey", "o_orderkey", error.alias("error"))
+
+
+@query("""
+SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS total, count(*) AS n_items, count(*) FILTER (l_discount > 0) AS discounted FROM lineitem GROUP BY l_orderkey
+""")
+def request_totals(t):
+    total = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return t("lineitem").groupBy("l_orderkey").agg(F.round(total, 4).alias("total"), F.count(F.lit(1)).alias("n_items"), F.count_if(F.col("l_discount") > 0).alias("discounted"))
+
+
+@query("""
+SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, count(*) FILTER (o_totalprice > 100000) AS large FROM orders GROUP BY o_orderstatus
+""")
+def procurement_summary(t):
+    x = F.col("o_totalprice")
+    return t("orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(x), 2).alias("total"), F.round(F.avg(x), 4).alias("mean"), F.count_if(x > 100_000).alias("large"))
+
+
+def priced(t):
+    """Lines with their part's contract price, null without one."""
+    return t("lineitem").join(t("part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"), "left")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN p_retailprice < l_extendedprice / l_quantity THEN p_retailprice END AS contract_price FROM lineitem LEFT JOIN part ON l_partkey = p_partkey
+""")
+def contract_join(t):
+    better = F.col("p_retailprice") < F.col("l_extendedprice") / F.col("l_quantity")
+    return priced(t).select("l_orderkey", "l_linenumber", F.when(better, F.col("p_retailprice")).alias("contract_price"))
+
+
+@query("""
+SELECT l_orderkey, round(sum(greatest(0.0::DOUBLE, l_extendedprice - p_retailprice * l_quantity)), 2) AS savings FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey
+""")
+def contract_savings(t):
+    saved = F.greatest(F.lit(0.0), F.col("l_extendedprice") - F.col("p_retailprice") * F.col("l_quantity"))
+    return priced(t).where("p_partkey IS NOT NULL").groupBy("l_orderkey").agg(F.round(F.sum(saved), 2).alias("savings"))
+
+
+@query("""
+SELECT o_orderkey, o_totalprice <= 50000 AND bool_and(s_suppkey IS NULL OR s_acctbal >= 0) AS automatic
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY o_orderkey, o_totalprice
+""")
+def auto_approval(t):
+    """Small requests of which no vendor is in debt. Lines meet vendors first and are summed up by order before orders are met."""
+    lines = t("lineitem").select("l_orderkey", "l_suppkey").join(t("supplier").select("s_suppkey", "s_acctbal"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    fine = lines.groupBy("l_orderkey").agg(F.bool_and(F.col("s_suppkey").isNull() | (F.col("s_acctbal") >= 0)).alias("fine"))
+    return t("orders").join(fine, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", ((F.col("o_totalprice") <= 50_000) & F.col("fine")).alias("automatic"))
+
+
+@query("""
+SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_totalprice <= 0 THEN 'total must be positive' END, CASE WHEN n IS NULL THEN 'no items' END, CASE WHEN worst > 45 THEN 'quantity is large' END], lambda x: x IS NOT NULL), '; ') AS messages
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, max(l_quantity) AS worst FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey
+""")
+def intake_validation(t):
+    items = t("lineitem").groupBy("l_orderkey").agg(F.max("l_quantity").alias("worst"))
+    o = t("orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    faults = [F.when(F.col("o_totalprice") <= 0, "total must be positive"), F.when(F.col("l_orderkey").isNull(), "no items"), F.when(F.col("worst") > 45, "quantity is large")]
+    return o.select("o_orderkey", F.concat_ws("; ", *faults).alias("messages"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'unknown user' WHEN c_mktsegment = 'MACHINERY' THEN 'no permission' WHEN o_totalprice > 300000 THEN 'over spending limit' ELSE 'ok' END AS reason
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+""")
+def authz_check(t):
+    o = t("orders").join(t("customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    reason = F.when(F.col("c_custkey").isNull(), "unknown user").when(F.col("c_mktsegment") == "MACHINERY", "no permission").when(F.col("o_totalprice") > 300_000, "over spending limit")
+    return o.select("o_orderkey", reason.otherwise("ok").alias("reason"))
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 5")
+def top_requesters(t):
+    return t("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "o_custkey").limit(5)
+
+
+@query("SELECT p_type, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type ORDER BY n DESC, p_type LIMIT 5")
+def top_categories(t):
+    """Orders of a type count once: (type, order) is made distinct first, so no task holds the orders of a type."""
+    kinds = t("lineitem").select("l_orderkey", "l_partkey").join(t("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    return kinds.select("p_type", "l_orderkey").distinct().groupBy("p_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "p_type").limit(5)
+
+
+@query("""
+SELECT l_orderkey, 4 * greatest(1, count(*)) AS hours, min(l_linenumber) FILTER (l_linestatus = 'O') AS first_pending, NOT bool_or(l_linestatus = 'O') AS complete FROM lineitem GROUP BY l_orderkey
+""")
+def approval_state(t):
+    """Lines are steps of four hours each; open ones are pending."""
+    pending = F.col("l_linestatus") == "O"
+    return t("lineitem").groupBy("l_orderkey").agg((4 * F.count(F.lit(1))).alias("hours"), F.min(F.when(pending, F.col("l_linenumber"))).alias("first_pending"), (F.count_if(pending) == 0).alias("complete"))
+
+
+@query("SELECT o_orderkey, o_orderstatus = 'F' AND date_sub('second', o_orderdate, (SELECT max(o_orderdate) FROM orders)) <= 30 * 86400 AS returnable FROM orders")
+def return_window(t):
+    """Today is the day of the newest order."""
+    now = t("orders").agg(F.max("o_orderdate").alias("now"))
+    recent = F.expr("timestampdiff(SECOND, o_orderdate, now)") <= 30 * 86_400
+    return t("orders").join(F.broadcast(now)).select("o_orderkey", ((F.col("o_orderstatus") == "F") & recent).alias("returnable"))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' AND c_acctbal > 9000 THEN 'CRITICAL' WHEN coalesce(sum(o_totalprice), 0) > 3000000 OR c_acctbal > 8000 OR count(*) FILTER (o_orderstatus = 'O') > 10 THEN 'HIGH' ELSE 'NORMAL' END AS priority
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment, c_acctbal
+""")
+def customer_priority(t):
+    spent = t("orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("spent"), F.count_if(F.col("o_orderstatus") == "O").alias("open"))
+    c = t("customer").join(spent, F.col("o_custkey") == F.col("c_custkey"), "left")
+    high = (F.coalesce("spent", F.lit(0.0)) > 3_000_000) | (F.col("c_acctbal") > 8000) | (F.coalesce("open", F.lit(0)) > 10)
+    critical = (F.col("c_mktsegment") == "BUILDING") & (F.col("c_acctbal") > 9000)
+    return c.select("c_custkey", F.when(critical, "CRITICAL").when(high, "HIGH").otherwise("NORMAL").alias("priority"))
