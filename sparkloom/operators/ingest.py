@@ -36,8 +36,8 @@ class ChunkStore:
         failed (too long). An empty or failed one has no chunks any more. Of rows with one id the last by order counts (by default
         by length, then text); rows without an id are left out and have the status empty with a null id."""
         own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.struct(F.length(text_col), F.col(text_col)) if order is None else order).alias("o"))
-        one = latest(own.where("doc_id IS NOT NULL"), ["doc_id"], ["o"]).select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
-        old = self.ledger.read().select("doc_id", F.col("hash").alias("old"), F.col("chunks").alias("had"), F.col("status").alias("was"))
+        one = written(latest(own.where("doc_id IS NOT NULL"), ["doc_id"], ["o"]).select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("hash")))
+        old = self.ledger.read_for(one).select("doc_id", F.col("hash").alias("old"), F.col("chunks").alias("had"), F.col("status").alias("was"))
         both = one.join(old, "doc_id", "left")
         same = F.col("old").eqNullSafe(F.col("hash")) & F.col("was").isin("loaded", "empty") & (F.length("text") <= max_chars)
         judged = written(both.withColumn("same", F.coalesce(same, F.lit(False))))

@@ -67,6 +67,11 @@ class KeyedTable:
         buckets = [r[0] for r in asked.select(self._bucket(F.col(self.key))).distinct().collect()]
         return self._rows(self.folder.manifest(version), buckets).where(F.col(self.key).isin(keys))
 
+    def read_for(self, keys: DataFrame) -> DataFrame:
+        """Rows of the buckets that keys (with the key's column) fall in: all rows of these keys, and others. No other bucket is read."""
+        buckets = [r[0] for r in keys.where(F.col(self.key).isNotNull()).select(self._bucket(F.col(self.key))).distinct().collect()]
+        return self._rows(self.folder.manifest(), buckets)
+
     def apply(self, changes: DataFrame, at: datetime, parent: int | None = None, writer: tuple[str, int] | None = None) -> tuple[DataFrame, dict]:
         """Applies changes (key, columns, and optionally op, seq, expected, ttl_seconds) and returns what became of each key and the manifest.
 

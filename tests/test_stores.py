@@ -142,6 +142,8 @@ def test_keyed_table(spark, tmp_path):
     assert table.read(at=later + timedelta(seconds=61)).where("id = 1").count() == 0 and table.read(at=later).where("id = 1").count() == 1
     assert sorted(r["v"] for r in table.get([1, 3, 99]).collect()) == ["b", "n"]
     assert len(table.get([1]).inputFiles()) < len(table.read().inputFiles())
+    some = spark.createDataFrame([(1,), (None,)], "id long")
+    assert table.read_for(some).where("id = 1").count() == 1 and len(table.read_for(some).inputFiles()) == len(table.get([1]).inputFiles())
     with pytest.raises(ValueError):
         table.get(list(range(5)), most=4)
     with pytest.raises(VersionConflict):
