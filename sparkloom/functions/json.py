@@ -7,14 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: An escaped surrogate that no low surrogate follows.
-LONE_SURROGATE = r"\\u[dD][89aAbB][0-9a-fA-F]{2}(?!\\u[dD][cCdDeEfF][0-9a-fA-F]{2})"
+#: An escaped surrogate: first a whole pair, which is kept as group 1, else one that stands alone, high or low.
+_HEX = "[0-9a-fA-F]{2}"
+SURROGATE = rf"(\\u[dD][89abAB]{_HEX}\\u[dD][c-fC-F]{_HEX})|\\u[dD][89a-fA-F]{_HEX}"
 
 
 def repair(text: Column) -> Column:
-    """text without lone surrogates and, unless it ends with }, with what is open closed: a string, then all brackets, then all
+    """text without escaped surrogates that have no partner and, unless it ends with }, with what is open closed: a string, then all brackets, then all
     braces. It closes by number, not by nesting, so the result need not be valid; json_valid tells."""
-    t = F.regexp_replace(text, LONE_SURROGATE, "")
+    t = F.regexp_replace(text, SURROGATE, "$1")
     count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
     quote = F.when(count('"') % 2 == 1, F.lit('"')).otherwise(F.lit(""))
     open_of = lambda a, b: F.greatest(count(a) - count(b), F.lit(0))

@@ -47,6 +47,8 @@ def namespace(key: Column) -> Column:
 
 @dataclass(frozen=True)
 class RiskPolicy:
+    """The defaults are fixed values, as scores of the platform have them."""
+
     high_amount: float = 100_000.0
     high_amount_score: int = 30
     some_amount: float = 25_000.0
@@ -87,7 +89,7 @@ def importance(text: Column, tokens: Column, tool_calls: Column, referenced: Col
 
 @dataclass(frozen=True)
 class QualityPolicy:
-    """Weights of the dimensions, and what a phrase costs."""
+    """Weights of the dimensions, and what a phrase costs. The defaults are fixed values, as scores of the platform have them."""
 
     weights: dict = field(default_factory=lambda: {"resolution": 0.30, "response": 0.25, "efficiency": 0.15, "sentiment": 0.15, "compliance": 0.15})
     prohibited: dict = field(default_factory=lambda: {"i promise": 10, "definitely": 10, "always": 10, "never fails": 10})

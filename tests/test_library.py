@@ -196,6 +196,8 @@ def test_json_repair(spark):
     assert got[0] == cases[0] + '"]}}' and got[1] == '{"content": "Test  message"}' and got[2] == cases[2]
     assert got[3:] == ['{"a": "x"}', '{"a": [1, 2]}', cases[5], '{"a": 1}']
     assert [r[0] for r in df.select(J.json_valid(J.repair(F.col("t")))).collect()][3:] == [True] * 4
+    odd = [('{"a": "\\uDC00x\\ud83d\\ude00y\\uD83D\\uD83D\\uDE00"}', '{"a": "x\\ud83d\\ude00y\\uD83D\\uDE00"}'), (None, None)]
+    assert [r[0] for r in spark.createDataFrame(odd, "t string, want string").select(J.repair(F.col("t"))).collect()] == [w for _, w in odd]
 
 
 def test_params(spark):
