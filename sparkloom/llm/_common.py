@@ -37,10 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: lineage is cut and no executor's disk is needed."""
+def durable(df: DataFrame, packed: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read back: lineage is cut and no executor's disk is needed. packed: rows are dealt out to
+    files of about the advisory partition size first, so that a narrow table of many partitions isn't many small files."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    (df.hint("rebalance") if packed else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

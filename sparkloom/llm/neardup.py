@@ -306,9 +306,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     nodes = durable(sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("id", "key"))["key"].alias("key"), *[F.first(c).alias(c) for c in ("bands", "signature", "size", "weight")]))
     rows = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
     sizes = rows.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = durable(rows.join(durable(sizes.select("band", "hash")), ["band", "hash"]))
+    buckets = durable(rows.join(durable(sizes.select("band", "hash"), packed=True), ["band", "hash"]))
 
-    needed = durable(nodes.select("node", "key").join(buckets.select("node").distinct(), "node", "left_semi"))
+    needed = durable(nodes.select("node", "key").join(buckets.select("node").distinct(), "node", "left_semi"), packed=True)
     texts = durable(keyed.select("key", "text").join(needed, "key").select("node", "text").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -319,7 +319,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     def stars(members: DataFrame) -> DataFrame:
         """(u, v): each member of a bucket with the few that come first in it."""
         firsts = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("o"), "node"))["node"] for i in range(rules.heads)]
-        heads = durable(members.groupBy("band", "hash").agg(F.array_distinct(F.array(*firsts)).alias("heads")))
+        heads = durable(members.groupBy("band", "hash").agg(F.array_distinct(F.array(*firsts)).alias("heads")), packed=True)
         return ordered(members.join(heads, ["band", "hash"]).select("node", F.explode("heads").alias("other")))
 
     def ordered(pairs: DataFrame) -> DataFrame:
@@ -328,9 +328,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     def leftovers(comps: DataFrame) -> DataFrame:
         """Rows of the buckets that still hold several components; minor are those outside the bucket's largest one."""
         rows = buckets.select("band", "hash", "node").join(comps, "node")
-        sizes = durable(rows.groupBy("band", "hash", "comp").agg(F.count(F.lit(1)).alias("n")))
+        sizes = durable(rows.groupBy("band", "hash", "comp").agg(F.count(F.lit(1)).alias("n")), packed=True)
         several = sizes.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp"))["comp"].alias("largest")).where("comps > 1")
-        rows = rows.join(durable(several.select("band", "hash", "n", "largest")), ["band", "hash"]).withColumn("minor", F.expr("comp <> largest")).drop("largest")
+        rows = rows.join(durable(several.select("band", "hash", "n", "largest"), packed=True), ["band", "hash"]).withColumn("minor", F.expr("comp <> largest")).drop("largest")
         return durable(rows.join(nodes.select("node", "bands", "signature", "size", "weight"), "node"))
 
     def sampled(rows: DataFrame) -> DataFrame:
@@ -348,11 +348,11 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     def in_blocks(rows: DataFrame) -> DataFrame:
         """Links (u, v) of the minor nodes of large buckets to all nodes of other components, block by block."""
         rows = rows.where(F.col("n") > rules.small)
-        sizes = durable(rows.select("node").distinct().join(texts.select("node", F.length("text").alias("chars")), "node"))
+        sizes = durable(rows.select("node").distinct().join(texts.select("node", F.length("text").alias("chars")), "node"), packed=True)
         blocks = lambda chars, n: F.ceil(F.greatest(F.sum(chars) / rules.block_chars, F.sum(n) / rules.block_rows)).cast("int")
         one = F.lit(1)
         counts = rows.join(sizes, "node").groupBy("band", "hash").agg(blocks(F.when(F.col("minor"), F.col("chars")), F.when(F.col("minor"), one)).alias("of_u"), blocks(F.col("chars"), one).alias("of_v"))
-        placed = rows.join(durable(counts), ["band", "hash"])
+        placed = rows.join(durable(counts, packed=True), ["band", "hash"])
         at = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         keys, rest = ["band", "hash", "part_u", "part_v"], ["node", "comp", "minor", "bands"]
@@ -367,18 +367,18 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         of = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
         links = edges.join(of("u"), "u").join(of("v"), "v").select(F.col("comp_u").alias("u"), F.col("comp_v").alias("v")).where("u <> v").distinct()
         new = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-        return durable(labels.join(new, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+        return durable(labels.join(new, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), packed=True)
 
-    comps = durable(buckets.select("node").distinct().withColumn("comp", F.col("node")))
-    tested = durable(stars(buckets))
+    comps = durable(buckets.select("node").distinct().withColumn("comp", F.col("node")), packed=True)
+    tested = durable(stars(buckets), packed=True)
     comps = joined(comps, verified(tested))
-    pairs = durable(sampled(leftovers(comps)).join(tested, ["u", "v"], "left_anti"))
+    pairs = durable(sampled(leftovers(comps)).join(tested, ["u", "v"], "left_anti"), packed=True)
     comps = joined(comps, verified(pairs))
     comps = joined(comps, in_blocks(leftovers(comps)))
 
     grouped = nodes.select("node", F.col("id").alias("least")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    ids = durable(grouped.groupBy("comp").agg(F.min("least").alias("group_id")))
-    by_node = durable(grouped.join(ids, "comp").select("node", "group_id"))
+    ids = durable(grouped.groupBy("comp").agg(F.min("least").alias("group_id")), packed=True)
+    by_node = durable(grouped.join(ids, "comp").select("node", "group_id"), packed=True)
     found = sketches.select("id", "key", "node").join(by_node, "node", "left")
     return found.withColumn("group_id", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("group_id")))
 
@@ -389,7 +389,7 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ru
     heads = found.where(F.col("id").eqNullSafe(F.col("group_id"))).groupBy("key").agg(F.count(F.lit(1)).alias(f"{TMP}n"), F.first("node").alias(f"{TMP}node"), F.first("group_id").alias(f"{TMP}group"))
     # Rows of one group with the same id but other texts: the least key stays.
     first = heads.groupBy(F.col(f"{TMP}group").alias("g"), F.when(F.col(f"{TMP}node").isNull() | F.col(f"{TMP}group").isNull(), F.col("key")).alias("alone")).agg(F.min("key").alias("key"))
-    heads = durable(heads.join(durable(first.select("key")), "key").select(F.col("key").alias(f"{TMP}key"), f"{TMP}n", f"{TMP}node"))
+    heads = durable(heads.join(durable(first.select("key"), packed=True), "key").select(F.col("key").alias(f"{TMP}key"), f"{TMP}n", f"{TMP}node"), packed=True)
     rows = docs.withColumn(f"{TMP}key", row_key(id_col, text_col)).join(heads, f"{TMP}key")
     repeated = (F.col(f"{TMP}n") > 1) & F.col(f"{TMP}node").isNotNull()
     out = rows.where(~repeated).unionByName(rows.where(repeated).dropDuplicates([f"{TMP}key"]))
