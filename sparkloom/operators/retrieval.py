@@ -71,27 +71,10 @@ def term_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def _asked_counts(words: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc, dl, term, tf) of each of terms in each document of words (doc, dl, w), and a row with a null term for each document."""
-    n = terms.count()
-    schema = T.StructType([words.schema["doc"], T.StructField("dl", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
-    if n > MAX_TERMS:
-        every = words.select("doc", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), "w")).alias("term"))
-        kept = every.join(terms.withColumn("asked", F.lit(True)), "term", "left").where("asked OR term IS NULL")
-        return kept.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select(*schema.names)
-    sent = words.sparkSession.sparkContext.broadcast({r["term"] for r in terms.collect()})  # MAX_TERMS at most
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = sent.value
-        for batch in batches:
-            at, term, tf = [], [], []
-            for i, own in enumerate(batch.column(2).to_pylist()):
-                found = Counter([w for w in own or () if w in asked])
-                at.extend([i] * (len(found) + 1))
-                term.extend([None, *found])
-                tf.extend([1, *found.values()])
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(term, pa.string()), pa.array(tf, pa.int64())], schema.names)
-
-    return words.select("doc", "dl", "w").mapInArrow(run, schema)
+    asked = terms.withColumn("asked", F.lit(True))
+    every = words.select("doc", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), "w")).alias("term"))
+    kept = every.join(F.broadcast(asked) if terms.count() <= MAX_TERMS else asked, "term", "left").where("asked OR term IS NULL")
+    return kept.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
