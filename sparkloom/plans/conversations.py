@@ -24,13 +24,20 @@ def conversation_window(t):
 @query("WITH p AS (SELECT conv_id, turn, string_split(trim(lower(text)), ' ') AS w, lower(text) AS low FROM conversations), ph AS (SELECT DISTINCT conv_id, turn, array_to_string(w[i:i + 2], ' ') AS phrase FROM p, unnest(range(1, len(w) - 1, 3)) AS u(i) WHERE len(w) >= 3) SELECT DISTINCT ph.conv_id, ph.turn FROM ph JOIN p ON p.conv_id = ph.conv_id AND p.turn > ph.turn AND contains(p.low, ph.phrase)")
 def message_references(t):
     """Messages of which a later one of the conversation holds three words in a row (every third start). The middle word of such a
-    phrase stands between blanks wherever the phrase is, so phrases and later messages meet by it, and are compared then."""
-    m = t("conversations").select("conv_id", "turn", F.split(F.trim(F.lower("text")), " ").alias("w"), F.lower("text").alias("low"))
+    phrase stands between blanks wherever the phrase is; the first one ends the word before it, the last one begins the word after it. So each different
+    run of three words is met once, by the ends that have the lengths of the phrases with its middle word, and no text goes along. The joins are
+    by shuffle: to Spark the rows of words look as small as the table's files, and it would send them to all tasks."""
+    m = t("conversations").select("conv_id", "turn", F.split(F.trim(F.lower("text")), " ").alias("w"), F.split(F.lower("text"), " ").alias("low"))
     starts = F.when(F.size("w") >= 3, F.sequence(F.lit(1), F.size("w") - 2, F.lit(3))).otherwise(F.array().cast("array<int>"))
-    phrases = F.array_distinct(F.transform(starts, lambda i: F.struct(F.element_at("w", i + 1).alias("middle"), F.array_join(F.slice("w", i, 3), " ").alias("phrase"))))
-    own = m.select("conv_id", F.col("turn").alias("said"), F.inline(phrases))
-    later = m.select("conv_id", "turn", "low", F.explode(F.array_distinct(F.split("low", " "))).alias("middle"))
-    met = own.join(later, ["conv_id", "middle"]).where((F.col("turn") > F.col("said")) & F.contains("low", F.col("phrase")))
+    inner = F.when(F.size("low") >= 3, F.sequence(F.lit(1), F.size("low") - 2)).otherwise(F.array().cast("array<int>"))
+    three = lambda words: lambda i: F.struct(F.element_at(words, i).alias("first"), F.element_at(words, i + 1).alias("middle"), F.element_at(words, i + 2).alias("last"))
+    own = m.select("conv_id", F.col("turn").alias("said"), F.inline(F.array_distinct(F.transform(starts, three("w")))))
+    heard = m.select("conv_id", "turn", F.inline(F.transform(inner, three("low")))).groupBy("conv_id", "middle", "first", "last").agg(F.max("turn").alias("turn"))
+    lengths = own.groupBy("conv_id", "middle").agg(F.collect_set(F.struct(F.length("first").alias("a"), F.length("last").alias("b"))).alias("lengths"))
+    ends = heard.join(lengths.hint("merge"), ["conv_id", "middle"]).select("*", F.inline("lengths")).where((F.length("first") >= F.col("a")) & (F.length("last") >= F.col("b")))
+    ends = ends.select("conv_id", "middle", F.right("first", F.col("a")).alias("first"), F.left("last", F.col("b")).alias("last"), "turn")
+    last_heard = ends.groupBy("conv_id", "middle", "first", "last").agg(F.max("turn").alias("turn"))
+    met = own.join(last_heard.hint("merge"), ["conv_id", "middle", "first", "last"]).where(F.col("turn") > F.col("said"))
     return met.select("conv_id", F.col("said").alias("turn")).distinct()
 
 
