@@ -92,8 +92,8 @@ SELECT c.conv_id, c.turn, round(greatest(0, least(1, 0.5::DOUBLE
 FROM conversations c LEFT JOIN referenced r ON r.conv_id = c.conv_id AND r.turn = c.turn
 """)
 def importance_score(t):
-    """The tables have no tool calls."""
-    referenced = message_references(t).withColumn("referenced", F.lit(True))
+    """The tables have no tool calls. The references meet their messages by shuffle, as there is a row for each message."""
+    referenced = message_references(t).withColumn("referenced", F.lit(True)).hint("merge")
     m = t("conversations").join(referenced, ["conv_id", "turn"], "left")
     score = importance(F.col("text"), F.floor(F.length("text") / 4), F.lit(False), F.coalesce("referenced", F.lit(False)))
     return m.select("conv_id", "turn", F.round(score, 6).alias("importance"))

@@ -32,3 +32,8 @@ def test_message_references(spark):
     want = referenced(rows)
     assert 9 < len(want) < len(rows) and {tuple(r) for r in found.collect()} == want
     assert "BroadcastExchange" not in plan_of(plans.QUERIES["message_references"](spark, DATA))
+
+
+def test_importance_score_joins(spark):
+    """Neither words nor references are sent to all tasks."""
+    assert "BroadcastExchange" not in plan_of(plans.QUERIES["importance_score"](spark, DATA))
