@@ -97,7 +97,11 @@ def rag_confidence(t):
 
 
 sql_query("lsh_bucket", "SELECT vec_id, sha2(array_join(transform(slice(embedding, 1, 64), x -> CASE WHEN x > 0 THEN '1' ELSE '0' END), ''), 256) AS bucket FROM {embeddings}", "SELECT vec_id, sha256(array_to_string(list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')) AS bucket FROM embeddings")
-sql_query("embedding_preview", "SELECT vec_id, size(embedding) AS dim, transform(slice(embedding, 1, 8), x -> round(CAST(x AS DOUBLE), 4)) AS head FROM {embeddings}", "SELECT vec_id, len(embedding)::INT AS dim, list_transform(embedding[1:8], lambda x: round(x::DOUBLE, 4)) AS head FROM embeddings")
+@query("SELECT vec_id, len(embedding)::INT AS dim, list_transform(embedding[1:8], lambda x: round(x::DOUBLE, 4)) AS head FROM embeddings")
+def embedding_preview(t):
+    """A small negative value is rounded to -0.0, as in DuckDB; Spark's round knows one zero only."""
+    rounded = lambda x: F.signum(x) * F.round(F.abs(x), 4)
+    return t("embeddings").select("vec_id", F.size("embedding").alias("dim"), F.transform(F.slice(R.doubles(F.col("embedding")), 1, 8), rounded).alias("head"))
 
 
 def ann_search_of(t):

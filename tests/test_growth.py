@@ -3,7 +3,7 @@
 import random
 
 from sparkloom import plans
-from sparkloom.plans import conversations
+from sparkloom.plans import conversations, vectors
 from tests.conftest import DATA
 
 
@@ -37,3 +37,10 @@ def test_message_references(spark):
 def test_importance_score_joins(spark):
     """Neither words nor references are sent to all tasks."""
     assert "BroadcastExchange" not in plan_of(plans.QUERIES["importance_score"](spark, DATA))
+
+
+def test_embedding_preview_zeros(spark):
+    """Small negative values are rounded to -0.0, as in the SQL."""
+    df = spark.createDataFrame([(1, [-0.00001, 0.00001, -0.0, 0.03125, -0.03125, 1.5]), (2, None)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["head"] for r in vectors.embedding_preview({"embeddings": df}.get).collect()}
+    assert repr(got[1]) == "[-0.0, 0.0, -0.0, 0.0313, -0.0313, 1.5]" and got[2] is None
