@@ -19,10 +19,10 @@ Only the heads' sums by (query, range) are shuffled, and postings of the ranges
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -37,6 +37,8 @@ from sparkloom.sources.versions import VersionedFolder
 BUCKETS, RANGE_DOCS = 64, 1024
 #: Distinct terms of one call's queries that go to all tasks; more are met by a join.
 MAX_TERMS = 100_000
+#: Words of a batch of documents that are counted at once; a longer document is counted by itself.
+HELD_WORDS = 500_000
 HEAD = ["bucket", "term", "range", "n", "impacts"]
 
 
@@ -61,26 +63,33 @@ def _grouped(own: DataFrame) -> DataFrame:
 
 
 def _parts(words: DataFrame) -> DataFrame:
-    """Parts of blocks from (doc, length, range, words). A task's own documents of a term and range are one row, for each batch of documents."""
+    """Parts of blocks from (doc, length, range, words). A task's own documents of a term and range are one row, for each HELD_WORDS words of a batch of
+    documents; words are counted as numbers of the batch's own dictionary, so memory doesn't grow with the batch."""
     doc = words.schema["doc"].dataType
     arrays = T.ArrayType(T.StructType([T.StructField("doc", doc), T.StructField("tf", T.IntegerType()), T.StructField("length", T.IntegerType())]))
     schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("range", T.IntegerType()), T.StructField("docs", arrays)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[tuple, list] = {}
-            length, place = batch.column("length").to_pylist(), batch.column("range").to_pylist()
-            for i, own in enumerate(batch.column("words").to_pylist()):
-                for term, tf in Counter(own).items():
-                    held.setdefault((term, place[i]), []).append((i, tf))
-            flat = [x for rows in held.values() for x in rows]
-            at = pa.array([i for i, _ in flat], pa.int64())
-            found = pa.StructArray.from_arrays([batch.column("doc").take(at), pa.array([tf for _, tf in flat], pa.int32()), pa.array([length[i] for i, _ in flat], pa.int32())], ["doc", "tf", "length"])
-            ends = [0]
-            for rows in held.values():
-                ends.append(ends[-1] + len(rows))
-            keys = list(held)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], schema.names)
+            ends = batch.column("words").offsets.to_numpy().astype(np.int64)
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + HELD_WORDS, "right")) - 1)
+                own = batch.slice(first, last - first)
+                n, sizes = own.num_rows, np.diff(ends[first : last + 1])
+                first = last
+                coded = own.column("words").flatten().dictionary_encode()
+                row = np.repeat(np.arange(n), sizes)
+                pairs, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + row, return_counts=True)
+                code, row = pairs // n, pairs % n
+                place = own.column("range").to_numpy()[row]
+                order = np.lexsort((row, place, code))
+                code, row, place, tf = code[order], row[order], place[order], tf[order]
+                new = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
+                at = pa.array(row)
+                found = pa.StructArray.from_arrays([own.column("doc").take(at), pa.array(tf, pa.int32()), own.column("length").take(at)], ["doc", "tf", "length"])
+                docs = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)), pa.int32()), found)
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[new])), pa.array(place[new], pa.int32()), docs], schema.names)
 
     return words.select("doc", "length", "range", "words").mapInArrow(run, schema)
 

@@ -3,6 +3,7 @@
 import random
 
 from sparkloom import plans
+from sparkloom.operators import postings
 from sparkloom.plans import conversations, vectors
 from tests.conftest import DATA
 
@@ -44,3 +45,13 @@ def test_embedding_preview_zeros(spark):
     df = spark.createDataFrame([(1, [-0.00001, 0.00001, -0.0, 0.03125, -0.03125, 1.5]), (2, None)], "vec_id long, embedding array<float>")
     got = {r["vec_id"]: r["head"] for r in vectors.embedding_preview({"embeddings": df}.get).collect()}
     assert repr(got[1]) == "[-0.0, 0.0, -0.0, 0.0313, -0.0313, 1.5]" and got[2] is None
+
+
+def test_posting_parts_are_bounded(spark, monkeypatch):
+    """Words are counted so many at a time, whatever a batch holds; the postings stay the same."""
+    monkeypatch.setattr(postings, "HELD_WORDS", 5)
+    docs = [(7, ["a", "b", "a"]), (8, []), (9, ["b"] * 9), (10, ["é", "a"]), (11, ["b"]), (12, [])]
+    df = spark.createDataFrame([(i, len(w), i % 2, w) for i, w in docs], "doc long, length int, range int, words array<string>").coalesce(1)
+    parts = postings._parts(df).collect()
+    assert sorted((p["term"], p["range"], tuple(d)) for p in parts for d in p["docs"]) == sorted((x, i % 2, (i, w.count(x), len(w))) for i, w in docs for x in set(w))
+    assert len([p for p in parts if p["term"] == "b" and p["range"] == 1]) == 3
