@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from sparkloom import plans
-from sparkloom.operators import postings
+from sparkloom.operators import postings, retrieval, routing
 from sparkloom.plans import conversations, vectors
 from tests.conftest import DATA
 
@@ -55,3 +57,24 @@ def test_posting_parts_are_bounded(spark, monkeypatch):
     parts = postings._parts(df).collect()
     assert sorted((p["term"], p["range"], tuple(d)) for p in parts for d in p["docs"]) == sorted((x, i % 2, (i, w.count(x), len(w))) for i, w in docs for x in set(w))
     assert len([p for p in parts if p["term"] == "b" and p["range"] == 1]) == 3
+
+
+def test_delivery_counts(spark):
+    """As many as there are deliveries, without making them: no join has more rows than subscriptions."""
+    news = spark.createDataFrame([("a.b",)] * 50 + [("a",), ("a.b.c",), ("c",), (None,), ("",)], "topic string")
+    subs = spark.createDataFrame([(1, "a.*"), (1, "a.*"), (1, "a.b"), (2, "a.b.*"), (3, "x"), (4, "*"), (5, ".*"), (6, None)], "who int, pattern string")
+    want = {tuple(r) for r in routing.deliveries(news, subs).groupBy("who", "kind").count().collect()}
+    assert {tuple(r) for r in routing.delivery_counts(news, subs, ["who", "kind"]).collect()} == want and (1, "wildcard", 104) in want
+
+
+def test_mean_scores(spark):
+    """The mean of rounded scores by label, null labels and vectors without a direction among them, from few rows a task."""
+    rows = [(i, [float(i % 7 - 3), float(i % 5), 1.0], i % 3 if i % 10 else None) for i in range(200)] + [(900, None, 1), (901, [1.0], 1), (902, [0.0] * 3, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    queries = df.where("vec_id in (3, 50, 902)").select(F.col("vec_id").alias("query"), F.col("embedding").cast("array<double>").alias("q"))
+    fits = retrieval.nearest(df.where("size(embedding) = 3"), queries).select("query", "label", "score").unionAll(df.where("vec_id IN (900, 901)").crossJoin(queries).select("query", "label", F.lit(0.0)))
+    want = {r[:2]: r[2] for r in fits.groupBy("query", "label").agg(F.avg("score")).collect()}
+    found = retrieval.mean_scores(df, queries, "label")
+    got = {r[:2]: r[2] for r in found.collect()}
+    assert got.keys() == want.keys() and len(got) == 12 and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert "NestedLoop" not in plan_of(plans.QUERIES["rag_confidence"](spark, DATA))
