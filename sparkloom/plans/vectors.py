@@ -93,7 +93,8 @@ def vector_centroid(t):
 
 @query(f"WITH {NEAR} SELECT query, label, round(least(avg(score), 1.0), 5) AS confidence FROM near GROUP BY query, label")
 def rag_confidence(t):
-    return R.nearest(t("embeddings"), asked(t)).groupBy("query", "label").agg(F.round(F.least(F.avg("score"), F.lit(1.0)), 5).alias("confidence"))
+    mean = R.mean_scores(t("embeddings"), asked(t), "label")
+    return mean.select("query", "label", F.round(F.least("score", F.lit(1.0)), 5).alias("confidence"))
 
 
 sql_query("lsh_bucket", "SELECT vec_id, sha2(array_join(transform(slice(embedding, 1, 64), x -> CASE WHEN x > 0 THEN '1' ELSE '0' END), ''), 256) AS bucket FROM {embeddings}", "SELECT vec_id, sha256(array_to_string(list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')) AS bucket FROM embeddings")
