@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from sparkloom import plans
-from sparkloom.operators import postings, retrieval, routing
+from sparkloom.operators import graph, postings, retrieval, routing
 from sparkloom.plans import conversations, vectors
 from tests.conftest import DATA
 
@@ -78,3 +78,25 @@ def test_mean_scores(spark):
     got = {r[:2]: r[2] for r in found.collect()}
     assert got.keys() == want.keys() and len(got) == 12 and all(abs(got[k] - want[k]) < 1e-9 for k in got)
     assert "NestedLoop" not in plan_of(plans.QUERIES["rag_confidence"](spark, DATA))
+
+
+def test_cascade_layers(spark, monkeypatch):
+    """Random graphs with cycles, loops, chains and other roots than keys, against plain search; keys that nothing leads to are met once."""
+    rng = random.Random(3)
+    calls = []
+    rounds = graph._rounds
+    monkeypatch.setattr(graph, "_rounds", lambda e, r: calls.append(r.count()) or rounds(e, r))
+    for pairs, roots in (([(i, i // 2) for i in range(1, 60)] + [(i, i // 3) for i in range(60)] + [(0, 5)], [*range(60), 99]), ([(rng.randrange(25), rng.randrange(30)) for _ in range(30)], range(28)), ([(i, i + 1) for i in range(5)], [0])):
+        edges = spark.createDataFrame(pairs, "key long, dependent long")
+        got = [tuple(r) for r in graph.cascade(edges, spark.createDataFrame([(r,) for r in roots], "key long")).collect()]
+        want = set()
+        for r in roots:
+            seen, todo = {r}, [r]
+            while todo:
+                k = todo.pop()
+                for b in {b for a, b in pairs if a == k} - seen:
+                    seen.add(b)
+                    todo.append(b)
+            want |= {(r, n) for n in seen}
+        assert len(got) == len(want) and set(got) == want
+    assert calls[0] < 15 and calls[2] == 1
