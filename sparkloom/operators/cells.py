@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.operators.retrieval import _best, _units, in_blocks, nearest_k, top_k
+from sparkloom.operators.retrieval import Kept, _units, in_blocks, nearest_k, top_k
 from sparkloom.sources.folders import written
 from sparkloom.sources.tables import spread
 from sparkloom.sources.versions import VersionedFolder
@@ -48,6 +48,8 @@ class CellIndex:
         norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
         unit = fit.where(norm > 1e-12).select(array_to_vector(F.transform("v", lambda x: x / norm)).alias("features"))
         known = dim and unit.limit(1).count()
+        # limit leaves all of the sample in one partition.
+        unit = unit.repartition(self.spark.sparkContext.defaultParallelism)
         centres = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(unit).clusterCenters() if known else np.zeros((1, max(dim, 1))))
         centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
         placed = self._placed(spread(vectors), centres, vec_col)
@@ -124,16 +126,16 @@ class CellIndex:
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names, q, mask = sent.value
+                kept = Kept(k, len(names))
                 for batch in batches:
                     cell = batch.column(2).to_numpy()
                     for c in np.unique(cell).tolist():
                         some = batch.filter(pa.array(cell == c))
                         asked = np.arange(len(names)) if c == NOWHERE else np.flatnonzero(mask[:, c])
-                        ids = some.column(0).to_numpy(zero_copy_only=False)
-                        score = np.round(_units(some.column(1), dim) @ q[:, asked], 6)
-                        best = _best(score, ids, k)
-                        row, column = best.ravel("F"), np.repeat(np.arange(len(asked)), len(best))
-                        yield pa.RecordBatch.from_arrays([pa.array(names[asked[column]]), some.column(0).take(pa.array(row)), pa.array(score[row, column])], schema.names)
+                        kept.add(np.round(_units(some.column(1), dim) @ q[:, asked], 6), asked, some.select([0]))
+                if found := kept.best():
+                    column, score, ids = found
+                    yield from pa.table([pa.array(names[column]), ids.column(0), pa.array(score)], names=schema.names).to_batches(100_000)
 
             pruned = rows.where(F.col("cell").isin(wanted)).select(content["id"], content["vector"], "cell")
             return pruned.mapInArrow(run, schema)
