@@ -6,7 +6,6 @@ import json
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,16 +96,43 @@ def merge_replicas(replicas: DataFrame, key: str = "key", replica: str = "replic
             return {}
         return value if isinstance(value, dict) else {}
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        left = maximal([(r, json.loads(c), s) for r, c, s in zip(group["replica"], group["clock"], group["state"])])
+    def merge(versions: list[tuple]) -> tuple[str, str, bool, int]:
+        left = maximal(versions)
         total, joined = loaded(left[0][2]), dict(left[0][1])
         for _, c, s in left[1:]:
             total = additive(total, loaded(s))
             joined = {k: max(joined.get(k, 0), c.get(k, 0)) for k in [*joined, *(k for k in c if k not in joined)]}
-        return pd.DataFrame({"key": [group["key"].iloc[0]], "clock": [json.dumps(joined, sort_keys=True)], "state": [json.dumps(total, sort_keys=True)], "conflict": [len(left) > 1], "merged": [len(left)]})
+        return json.dumps(joined, sort_keys=True), json.dumps(total, sort_keys=True), len(left) > 1, len(left)
+
+    def merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key: a key's versions are merged when the next key begins."""
+        now, held, done, kind = None, [], [], None
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*done)) if done else [()] * 5
+            types = [kind, pa.string(), pa.string(), pa.bool_(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["key", "clock", "state", "conflict", "merged"])
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for k, r, c, s in zip(*(col.to_pylist() for col in batch.columns)):
+                if held and k != now:
+                    done.append((now, *merge(held)))
+                    held = []
+                now = k
+                held.append((r, json.loads(c), s))
+                if len(held) > 64 and len(held) & (len(held) - 1) == 0:
+                    held = maximal(held)
+            if len(done) >= 10_000:
+                yield out()
+                done.clear()
+        if held:
+            done.append((now, *merge(held)))
+            yield out()
 
     once = rows.mapInArrow(reduce, schema)
     # A key that most rows have: its tasks' leftovers are reduced once more in as many parts before one task merges them.
     again = once.repartition(F.col("key"), F.pmod(F.xxhash64("replica"), F.lit(16))).mapInArrow(reduce, schema)
-    done = again.groupBy("key").applyInPandas(merge, f"key {id_type}, clock string, state string, conflict boolean, merged int")
+    placed = again.repartition("key").sortWithinPartitions("key")
+    done = placed.mapInArrow(merge_sorted, f"key {id_type}, clock string, state string, conflict boolean, merged int")
     return done.select(F.col("key").alias(key), F.from_json("clock", "map<string,bigint>").alias("clock"), "state", "conflict", "merged")

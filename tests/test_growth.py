@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkloom import plans
@@ -100,3 +102,22 @@ def test_cascade_layers(spark, monkeypatch):
             want |= {(r, n) for n in seen}
         assert len(got) == len(want) and set(got) == want
     assert calls[0] < 15 and calls[2] == 1
+
+
+def test_kept_best(spark):
+    """A task hands on k rows a query over all its batches, ties by id, as a sort of all scores has them."""
+    rng = np.random.default_rng(2)
+    kept, every = retrieval.Kept(3, 4), []
+    for b in range(40):
+        ids, asked = rng.permutation(20) + 20 * (39 - b), np.flatnonzero(rng.random(4) < 0.8)
+        score = np.round(rng.random((20, len(asked))), 1)
+        kept.add(score, asked, pa.RecordBatch.from_arrays([pa.array(ids)], ["id"]))
+        every += [(q, -score[i, j], ids[i]) for i in range(20) for j, q in enumerate(asked)]
+    column, score, rows = kept.best()
+    assert [(c, -x, i) for c, x, i in zip(column, score, rows.column(0).to_pylist())] == [r for q in range(4) for r in sorted(e for e in every if e[0] == q)[:3]]
+    assert retrieval.Kept(3, 4).best() is None
+
+
+def test_replicas_as_stream(spark):
+    """Keys follow one another in a task, without a call or a data frame for each."""
+    assert "FlatMapGroupsInPandas" not in plan_of(plans.QUERIES["replica_merge"](spark, DATA))
