@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.sources.folders import written
+
 
 def fingerprints(items: DataFrame, key: str, parts: list[str]) -> DataFrame:
     """(key, n, low, high) of each key's set of parts (rows of items): the number of different ones and 128 bits that don't depend on their order.
@@ -26,18 +28,21 @@ def duplicate_requests(requests: DataFrame, items: DataFrame, parts: list[str],
     units = round(float(within) * 10_000)
     own = requests.join(fingerprints(items, "id", parts), "id", "left")
     own = own.select("id", "requester", "place", F.round(F.col("total").cast("decimal(38,6)") * 10_000).cast("long").alias("total"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "low", "high")])
+    own = written(own)  # the steps below read it four times, and firsts and met as often
     group = ["requester", "n", "low", "high"]
     entry = F.struct("place", "id")
     firsts = own.where("requester IS NOT NULL AND total IS NOT NULL").groupBy(*group, "total").agg(F.min(entry).alias("a"), F.count(F.lit(1)).alias("k"))
     second = own.join(firsts.where("k > 1"), [*group, "total"]).where(F.struct("place", "id") != F.col("a")).groupBy(*group, "total").agg(F.min(entry).alias("b"))
     firsts = firsts.join(second, [*group, "total"], "left").withColumn("step", F.floor(F.col("total") / units))
+    firsts = written(firsts)
     other = firsts.select(*group, F.col("total").alias("near"), F.explode(F.array(*[F.col("step") + i for i in (-1, 0, 1)])).alias("step"), F.col("a").alias("c"), F.col("b").alias("d"))
     met = firsts.join(other, [*group, "step"]).where(F.abs(F.col("total") - F.col("near")) < units)
-    best = met.select(*group, "total", F.explode(F.array("c", "d")).alias("e")).where("e IS NOT NULL").groupBy(*group, "total")
-    two = best.agg(F.min("e").alias("a"))
-    rest = met.select(*group, "total", F.explode(F.array("c", "d")).alias("e")).where("e IS NOT NULL").join(two, [*group, "total"]).where("e <> a").groupBy(*group, "total").agg(F.min("e").alias("b"))
+    entries = written(met.select(*group, "total", F.explode(F.array("c", "d")).alias("e")).where("e IS NOT NULL"))
+    two = entries.groupBy(*group, "total").agg(F.min("e").alias("a"))
+    rest = entries.join(two, [*group, "total"]).where("e <> a").groupBy(*group, "total").agg(F.min("e").alias("b"))
     two = two.join(rest, [*group, "total"], "left")
     found = own.join(two, [*group, "total"]).select("id", F.when(F.col("a.id") == F.col("id"), F.col("b.id")).otherwise(F.col("a.id")).alias("duplicate_of"), "n").where("duplicate_of IS NOT NULL")
+    found = written(found)
     sets = items.select("id", *parts).distinct()
     same = [F.col(f"l.{p}").eqNullSafe(F.col(f"r.{p}")) for p in parts]
     left = found.join(sets.alias("l"), "id").select("id", "duplicate_of", *[f"l.{p}" for p in parts]).alias("l")

@@ -121,3 +121,8 @@ def test_kept_best(spark):
 def test_replicas_as_stream(spark):
     """Keys follow one another in a task, without a call or a data frame for each."""
     assert "FlatMapGroupsInPandas" not in plan_of(plans.QUERIES["replica_merge"](spark, DATA))
+
+
+def test_duplicate_requests_reads(spark):
+    """Steps that are used again are made once: only the last comparison of items reads the lines' three parts, for both sides."""
+    assert plan_of(plans.QUERIES["duplicate_requests"](spark, DATA)).count("FileScan parquet [l_orderkey") <= 6
