@@ -295,6 +295,24 @@ def _verify_block(common, rules: NearDupRules):
     return run
 
 
+def _meetings(rows: DataFrame, rules: NearDupRules) -> DataFrame:
+    """(node, other): minor nodes of rows with all nodes of other components of their bucket that can be similar; in large buckets,
+    of which in_blocks sees all pairs, with about share nodes that seem so.
+
+    A pair meets once, in the first band that it shares, and of two minor nodes one meets the other. A pair that a large bucket has first
+    and small ones later is left to the blocks, which take it by the same rule."""
+    small = F.col("n") <= rules.small
+    place = (F.xxhash64("node", F.lit(rules.seed)) / F.lit(float(1 << 63)) + 1) / 2
+    others = rows.where(small | (place * F.col("n") < rules.share))
+    others = others.select("band", "hash", *[F.col(c).alias(f"other_{c}" if c != "node" else "other") for c in ("node", "comp", "minor", "bands", "signature", "size", "weight")])
+    met = rows.where("minor").select("band", "hash", "n", "node", "comp", "bands", "signature", "size", "weight").join(others, ["band", "hash"])
+    possible = _possible("size", "other_size", rules) | _possible("weight", "other_weight", rules)
+    seem = small | (_agreeing(F.col("signature"), F.col("other_signature"), rules) >= rules.agreeing)
+    first = F.array_position(F.zip_with("bands", "other_bands", lambda a, b: a == b), F.lit(True)) == F.col("band") + 1
+    one = ~small | ~F.col("other_minor") | (F.col("node") < F.col("other"))  # a large bucket's others are a part of it
+    return met.where((F.col("comp") != F.col("other_comp")) & one & possible & seem & first).select("node", "other")
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rules: NearDupRules = NearDupRules()) -> DataFrame:
     """(id, key, node, group_id) for each row of docs: key identifies id and text, node the text, group_id the group."""
     spark = docs.sparkSession
@@ -333,18 +351,6 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         rows = rows.join(durable(several.select("band", "hash", "n", "largest"), packed=True), ["band", "hash"]).withColumn("minor", F.expr("comp <> largest")).drop("largest")
         return durable(rows.join(nodes.select("node", "bands", "signature", "size", "weight"), "node"))
 
-    def sampled(rows: DataFrame) -> DataFrame:
-        """(u, v): minor nodes with all nodes of other components of their bucket that can be similar; in large buckets, of
-        which in_blocks sees all pairs, with about share nodes that seem so."""
-        place = (F.xxhash64("node", F.lit(rules.seed)) / F.lit(float(1 << 63)) + 1) / 2
-        others = rows.where((F.col("n") <= rules.small) | (place * F.col("n") < rules.share))
-        others = others.select("band", "hash", *[F.col(c).alias(f"other_{c}" if c != "node" else "other") for c in ("node", "comp", "signature", "size", "weight")])
-        met = rows.where("minor").select("band", "hash", "n", "node", "comp", "signature", "size", "weight").join(others, ["band", "hash"])
-        possible = _possible("size", "other_size", rules) | _possible("weight", "other_weight", rules)
-        seem = (F.col("n") <= rules.small) | (_agreeing(F.col("signature"), F.col("other_signature"), rules) >= rules.agreeing)
-        met = met.where((F.col("comp") != F.col("other_comp")) & possible & seem)
-        return ordered(met.select("node", "other"))
-
     def in_blocks(rows: DataFrame) -> DataFrame:
         """Links (u, v) of the minor nodes of large buckets to all nodes of other components, block by block."""
         rows = rows.where(F.col("n") > rules.small)
@@ -372,7 +378,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     comps = durable(buckets.select("node").distinct().withColumn("comp", F.col("node")), packed=True)
     tested = durable(stars(buckets), packed=True)
     comps = joined(comps, verified(tested))
-    pairs = durable(sampled(leftovers(comps)).join(tested, ["u", "v"], "left_anti"), packed=True)
+    pairs = durable(ordered(_meetings(leftovers(comps), rules)).join(tested, ["u", "v"], "left_anti"), packed=True)
     comps = joined(comps, verified(pairs))
     comps = joined(comps, in_blocks(leftovers(comps)))
 

@@ -1,12 +1,14 @@
 """Steps whose memory or time must not grow faster than their tables, and odd inputs of the same steps."""
 
 import random
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkloom import plans
+from sparkloom.llm import neardup
 from sparkloom.operators import graph, postings, retrieval, routing
 from sparkloom.plans import conversations, vectors
 from tests.conftest import DATA
@@ -126,3 +128,42 @@ def test_replicas_as_stream(spark):
 def test_duplicate_requests_reads(spark):
     """Steps that are used again are made once: only the last comparison of items reads the lines' three parts, for both sides."""
     assert plan_of(plans.QUERIES["duplicate_requests"](spark, DATA)).count("FileScan parquet [l_orderkey") <= 6
+
+
+def test_nodes_meet_once(spark):
+    """However many bands a pair shares it is one row; no pair of two components whose first common bucket is small is left out, and the
+    others, which the blocks take, meet in a large bucket only."""
+    rng = random.Random(8)
+    nodes = [(f"n{i:02}", f"c{i // 2}" if i < 20 else f"n{i:02}", [7 if i < 14 and b < 4 else rng.randrange(4) for b in range(6)]) for i in range(40)]
+    held = {}
+    for node, comp, bands in nodes:
+        for b, h in enumerate(bands):
+            held.setdefault((b, h), []).append((node, comp, bands))
+    rows = []
+    for (b, h), members in held.items():
+        comps = [c for _, c, _ in members]
+        largest = max(comps, key=lambda c: (comps.count(c), c))
+        rows += [(b, h, node, comp, len(members), comp != largest, bands, [0, 0, 0], 10, 10.0) for node, comp, bands in members]
+    df = spark.createDataFrame(rows, "band int, hash long, node string, comp string, n long, minor boolean, bands array<long>, signature array<long>, size long, weight double")
+    for small in (64, 9):
+        met = [tuple(sorted(r)) for r in neardup._meetings(df, neardup.NearDupRules(small=small, share=4)).collect()]
+        first = {}
+        for (u, cu, bu), (v, cv, bv) in combinations(nodes, 2):
+            common = [b for b in range(6) if bu[b] == bv[b]]
+            if cu != cv and common:
+                first[u, v] = len(held[common[0], bu[common[0]]])
+        assert {p for p, n in first.items() if n <= small} <= set(met) <= set(first)
+        in_small = [p for p in met if first[p] <= small]
+        assert len(in_small) == len(set(in_small)) > 100 and max(met.count(p) for p in met) <= 2
+
+
+def test_near_duplicates_over_small_and_large_buckets(spark):
+    """Pairs are linked whether the first bucket that they share is one of the small ones, a large one, or sampled."""
+    base = [f"w{i * 7919 % 1009}" for i in range(200)]
+    texts = [" ".join(base)] + [" ".join("x" if i // 5 % 8 == 0 and i % 5 == 0 and i // 40 == k % 5 or i in (3 * k + 7, 3 * k + 60) else w for i, w in enumerate(base)) for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in texts]
+    linked = [(i, j) for (i, x), (j, y) in combinations(enumerate(sets), 2) if len(x & y) >= 0.8 * len(x | y)]
+    for rules in (neardup.NearDupRules(heads=1, share=0, small=8, block_rows=7), neardup.NearDupRules(heads=1, share=3, small=8, block_rows=7, agreeing=0)):
+        found = {r.id: r.group_id for r in neardup.near_duplicates(df, rules=rules).collect()}
+        assert linked and all(found[i] == found[j] for i, j in linked)
