@@ -17,21 +17,25 @@ def word_codes(text: Column) -> Column:
     return F.transform(words, lambda w: F.crc32(w.cast("binary")))
 
 
+def code_vectors(lists: pa.ListArray, dim: int = 64) -> np.ndarray:
+    """The vector of each list of codes: codes signed by their top bit are added up at the code modulo dim, and scaled to length 1."""
+    ends = lists.offsets.to_numpy()
+    values = lists.values.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), np.diff(ends))
+    sums = np.bincount(row * dim + values % dim, np.where(values >> 31, 1.0, -1.0), len(lists) * dim).reshape(-1, dim)
+    size = np.linalg.norm(sums, axis=1, keepdims=True)
+    return sums / np.where(size == 0, 1, size)
+
+
 def hash_embed(df: DataFrame, dim: int = 64, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
-    """df with out_col: words signed by their code's top bit are added up at the code modulo dim, and scaled to length 1. Words are cut and
-    coded in the JVM; a batch of arrays is added up at once. A text without words is the zero vector."""
+    """df with out_col, the code_vectors of its words. Words are cut and coded in the JVM; a batch of arrays is added up at once. A text
+    without words is the zero vector."""
     codes = "__codes"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(codes)
-            lists = batch.column(at)
-            ends = lists.offsets.to_numpy()
-            values = lists.values.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            sums = np.bincount(row * dim + values % dim, np.where(values >> 31, 1.0, -1.0), batch.num_rows * dim).reshape(-1, dim)
-            size = np.linalg.norm(sums, axis=1, keepdims=True)
-            flat = (sums / np.where(size == 0, 1, size)).ravel()
+            flat = code_vectors(batch.column(at), dim).ravel()
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim), pa.int32()), pa.array(flat))
             rest = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), vectors], [*(batch.schema.names[i] for i in rest), out_col])

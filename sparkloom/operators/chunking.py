@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z])|(?<=\n)\n+"
 ANY_SENTENCE_END = r"(?<=[.!?])\s+"
 EDGE = r"^(?U:\s)+|(?U:\s)+$"
+#: Semantic chunks are handed on when so many characters have come together.
+HELD_CHARS = 4_000_000
 
 
 def sentences(text: Column, pattern: str = SENTENCE_END) -> Column:
@@ -89,25 +92,32 @@ def sentence_chunks(docs: DataFrame, most: int = 1500, overlap: int = 1, id_col:
     return found.select(id_col, F.col("chunk").cast("long").alias("chunk"), F.col("c.a").cast("long").alias("first_sentence"), n.cast("long").alias("n_sentences"), F.array_join(F.slice("s", F.col("c.a") + 1, n), " ").alias("content"))
 
 
-def semantic_chunks(docs: DataFrame, threshold: float = 0.75, least: int = 200, most: int = 2000, id_col: str = "doc_id", sentence_col: str = "sentences", vector_col: str = "vectors") -> DataFrame:
+def _as_matrix(vectors: pa.ListArray) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+
+
+def semantic_chunks(docs: DataFrame, threshold: float = 0.75, least: int = 200, most: int = 2000, id_col: str = "doc_id", sentence_col: str = "sentences", vector_col: str = "vectors", embed: Callable[[pa.ListArray], np.ndarray] = _as_matrix) -> DataFrame:
     """(id, chunk, first_sentence, n_sentences, content) from sentences and their vectors (arrays of one length).
 
     A chunk ends before a sentence whose cosine to the mean of its vectors is below threshold, if it has least characters,
-    and before one that would bring it over most. The cosine of a zero vector is 0.
+    and before one that would bring it over most. The cosine of a zero vector is 0. embed makes a document's vectors, as rows, of its
+    value of vector_col in the task: vectors that can be made of something smaller, like codes of words, needn't be rows or columns.
     """
     if not 0 <= threshold <= 1 or not 1 <= least <= most:
         raise ValueError("threshold is from 0 to 1, and least from 1 to most")
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, chunk long, first_sentence long, n_sentences long, content string"
 
+    def apart(mean: np.ndarray, v: np.ndarray) -> bool:
+        norm = math.sqrt(mean @ mean) * math.sqrt(v @ v)
+        return (float(mean @ v) / norm if norm >= np.finfo(float).eps else 0.0) < threshold
+
     def bounds(sizes: list[int], vectors: np.ndarray) -> list[int]:
         """Where chunks begin, and the number of sentences."""
         out, total, mean, n = [0], sizes[0], vectors[0], 1
         for i in range(1, len(sizes)):
             v = vectors[i]
-            norm = float(np.linalg.norm(mean) * np.linalg.norm(v))
-            alike = float(mean @ v) / norm if norm >= np.finfo(float).eps else 0.0
-            if (alike < threshold and total >= least) or total + sizes[i] > most:
+            if total + sizes[i] > most or (total >= least and apart(mean, v)):
                 out.append(i)
                 total, mean, n = sizes[i], v, 1
             else:
@@ -116,14 +126,25 @@ def semantic_chunks(docs: DataFrame, threshold: float = 0.75, least: int = 200,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kind, held, rows = batch.column(0).type, 0, []
+
+            def made() -> pa.RecordBatch:
+                types = [kind, pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], [id_col, "chunk", "first_sentence", "n_sentences", "content"])
+
             for i in range(batch.num_rows):
                 s = batch.column(1)[i].as_py()
                 if not s:
                     continue
-                cut = bounds(list(map(len, s)), np.array(batch.column(2)[i].as_py(), float))
-                pairs = list(zip(cut[:-1], cut[1:]))
-                columns = [pa.array([batch.column(0)[i].as_py()] * len(pairs), batch.column(0).type), *(pa.array(x, pa.int64()) for x in (range(len(pairs)), cut[:-1], [b - a for a, b in pairs])), pa.array([" ".join(s[a:b]) for a, b in pairs], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, [id_col, "chunk", "first_sentence", "n_sentences", "content"])
+                sizes, own = list(map(len, s)), batch.column(0)[i].as_py()
+                cut = bounds(sizes, embed(batch.column(2)[i].values))
+                rows += [(own, k, a, b - a, " ".join(s[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:]))]
+                held += sum(sizes)
+                if held > HELD_CHARS:
+                    yield made()
+                    held, rows = 0, []
+            if rows:
+                yield made()
 
     return docs.select(id_col, sentence_col, vector_col).mapInArrow(run, schema)
 

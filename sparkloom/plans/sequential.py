@@ -6,13 +6,14 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions.embedding import code_vectors, word_codes
 from sparkloom.functions.embedding import hash_embed as embed
 from sparkloom.operators import chunking as C
 from sparkloom.operators import sequential as S
 from sparkloom.operators.ingest import ChunkStore
 from sparkloom.plans._registry import ORACLE_SQL, QUERIES, query
 from sparkloom.sources.folders import new_folder
-from sparkloom.sources.tables import tables
+from sparkloom.sources.tables import spread, tables
 from sparkloom.streaming.counters import hourly_counters
 from sparkloom.streaming.lifecycle import life_cycle_stream
 
@@ -48,12 +49,10 @@ def chunk_sentence(t):
 
 @query()
 def chunk_semantic(t):
-    """Sentences are embedded by hashing; a document's sentences and vectors are one row. Rows are told apart by their place, so documents
-    without an id, or with the same one, stay apart."""
-    rows = t("documents").withColumn("row", F.monotonically_increasing_id())
-    s = rows.select("row", "doc_id", F.posexplode(C.sentences(F.col("text"), C.ANY_SENTENCE_END)).alias("pos", "text"))
-    vectors = embed(s).groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "text", "embedding"))).alias("s"))
-    return C.semantic_chunks(vectors.select("doc_id", F.col("s.text").alias("sentences"), F.col("s.embedding").alias("vectors")))
+    """Sentences are embedded by hashing. A document is a row throughout, so those without an id, or with the same one, stay apart; its
+    vectors are made in the task that cuts it, of the codes of its words."""
+    s = spread(t("documents").select("doc_id", "text")).select("doc_id", C.sentences(F.col("text"), C.ANY_SENTENCE_END).alias("sentences"))
+    return C.semantic_chunks(s.withColumn("codes", F.transform("sentences", word_codes)), vector_col="codes", embed=code_vectors)
 
 
 @query()

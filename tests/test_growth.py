@@ -8,9 +8,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkloom import plans
+from sparkloom.functions.embedding import hash_embed
 from sparkloom.llm import neardup
-from sparkloom.operators import graph, postings, retrieval, routing
-from sparkloom.plans import conversations, vectors
+from sparkloom.operators import chunking, graph, postings, retrieval, routing
+from sparkloom.plans import conversations, sequential, vectors
 from tests.conftest import DATA
 
 
@@ -167,3 +168,16 @@ def test_near_duplicates_over_small_and_large_buckets(spark):
     for rules in (neardup.NearDupRules(heads=1, share=0, small=8, block_rows=7), neardup.NearDupRules(heads=1, share=3, small=8, block_rows=7, agreeing=0)):
         found = {r.id: r.group_id for r in neardup.near_duplicates(df, rules=rules).collect()}
         assert linked and all(found[i] == found[j] for i, j in linked)
+
+
+def test_chunk_semantic_vectors_stay_in_tasks(spark):
+    """Vectors made in the task give the chunks that vectors as rows give, and nothing is gathered by document."""
+    texts = ["One two. Two three! One  two?", None, "", "x", "A b. " * 300, "É à ö. " + "Word " * 30 + "end. Tail"]
+    df = spark.createDataFrame([(i // 2, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    s = df.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.posexplode(chunking.sentences(F.col("text"), chunking.ANY_SENTENCE_END)).alias("pos", "text"))
+    rows = hash_embed(s).groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "text", "embedding"))).alias("s"))
+    want = chunking.semantic_chunks(rows.select("doc_id", F.col("s.text").alias("sentences"), F.col("s.embedding").alias("vectors"))).collect()
+    got = sequential.chunk_semantic({"documents": df}.get).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 3
+    plan = plan_of(plans.QUERIES["chunk_semantic"](spark, DATA))
+    assert "Aggregate" not in plan and "hashpartitioning" not in plan
