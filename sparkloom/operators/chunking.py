@@ -73,21 +73,22 @@ def sentence_chunks(docs: DataFrame, most: int = 1500, overlap: int = 1, id_col:
     if most < 1 or overlap < 0:
         raise ValueError("most must be at least 1 and overlap at least 0")
     s = docs.select(F.col(id_col), sentences(F.col(text_col)).alias("s"))
-    sizes = F.transform("s", F.length)
     state = "struct<done:array<struct<a:int,b:int>>,a:int,size:int>"
     start = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("done"), F.lit(0).alias("a"), F.lit(0).alias("size")).cast(state)
-    numbered = F.transform(sizes, lambda n, i: F.struct(n.alias("n"), i.alias("i")))
+    numbered = F.transform("s", lambda x, i: F.struct(F.length(x).alias("n"), i.alias("i")))
 
     def add(acc: Column, x: Column) -> Column:
         full = (acc["size"] + x["n"] > most) & (x["i"] > acc["a"])
         first = F.greatest(acc["a"], x["i"] - overlap)
-        kept = F.aggregate(F.slice(sizes, first + 1, x["i"] - first), F.lit(0), lambda t, n: t + n)
+        kept = F.aggregate(F.slice("s", first + 1, x["i"] - first), F.lit(0), lambda t, n: t + F.length(n))
         cut = F.struct(F.concat(acc["done"], F.array(F.struct(acc["a"].alias("a"), x["i"].alias("b")))).alias("done"), first.alias("a"), (kept + x["n"]).alias("size"))
         more = F.struct(acc["done"].alias("done"), acc["a"].alias("a"), (acc["size"] + x["n"]).alias("size"))
         return F.when(full, cut).otherwise(more).cast(state)
 
     last = lambda acc: F.concat(acc["done"], F.array(F.struct(acc["a"].alias("a"), F.size("s").alias("b"))))
-    found = s.where(F.size("s") > 0).select(id_col, "s", F.posexplode(F.aggregate(numbered, start, add, last)).alias("chunk", "c"))
+    # A filter on s, or one that Spark infers from an inner generator, would cut and fold the texts once more.
+    cuts = F.when(F.size("s") > 0, F.aggregate(numbered, start, add, last))
+    found = s.select(id_col, "s", F.posexplode_outer(cuts).alias("chunk", "c")).where("chunk IS NOT NULL")
     n = F.col("c.b") - F.col("c.a")
     return found.select(id_col, F.col("chunk").cast("long").alias("chunk"), F.col("c.a").cast("long").alias("first_sentence"), n.cast("long").alias("n_sentences"), F.array_join(F.slice("s", F.col("c.a") + 1, n), " ").alias("content"))
 

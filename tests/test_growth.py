@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from sparkloom import plans
 from sparkloom.functions.embedding import hash_embed
 from sparkloom.llm import neardup
-from sparkloom.operators import chunking, graph, postings, retrieval, routing
-from sparkloom.plans import conversations, sequential, vectors
+from sparkloom.operators import chunking, graph, ingest, postings, retrieval, routing
+from sparkloom.plans import conversations, sequential, stored, vectors
 from tests.conftest import DATA
 
 
@@ -181,3 +181,26 @@ def test_chunk_semantic_vectors_stay_in_tasks(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 3
     plan = plan_of(plans.QUERIES["chunk_semantic"](spark, DATA))
     assert "Aggregate" not in plan and "hashpartitioning" not in plan
+
+
+def test_sentences_are_cut_and_folded_once(spark):
+    """No filter, said or inferred, cuts a text or folds its sentences again; texts without sentences have no chunk."""
+    df = spark.createDataFrame([(1, "A b. C d. E"), (2, ""), (3, None), (4, " \n ")], "doc_id long, text string")
+    chunks = chunking.sentence_chunks(df, 6, 1)
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("array_remove(") == 1 and "Filter (size" not in plan and "size(aggregate" not in plan
+    assert sorted(map(tuple, chunks.collect())) == [(1, 0, 0, 1, "A b."), (1, 1, 0, 2, "A b. C d."), (1, 2, 1, 2, "C d. E")]
+
+
+def test_load_keeps_one_copy_of_texts(spark, tmp_path, monkeypatch):
+    """Of rows with one id the longest text counts, then the greatest; the step that finds it holds a text once and joins the ledger by the same key."""
+    plans_seen = []
+    keep = ingest.written
+    monkeypatch.setattr(ingest, "written", lambda df: plans_seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    store = ingest.ChunkStore(spark, str(tmp_path / "kb"), buckets=2)
+    df = spark.createDataFrame([(1, "A b."), (1, "A c."), (1, None), (2, None), (3, ""), (None, "x")], "doc_id long, text string")
+    first = {tuple(r) for r in store.load(df, stored.NOW).collect()}
+    assert first == {(1, "loaded", 1), (2, "empty", 0), (3, "empty", 0), (None, "empty", 0)}
+    assert [r.content for r in store.chunks().collect()] == ["A c."]
+    assert {tuple(r) for r in store.load(df, stored.NOW).collect()} == {(1, "unchanged", 1), (2, "unchanged", 0), (3, "unchanged", 0), (None, "empty", 0)}
+    assert "max_by" not in plans_seen[0] and plans_seen[0].count("max(struct(") >= 1
