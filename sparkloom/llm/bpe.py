@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm._common import TMP, durable, text_or_empty
+from sparkloom.llm._common import TMP, durable, lean, text_or_empty
 
 CHUNK_BYTES = 32 << 20
 BUCKET_BYTES = 16 << 20
@@ -117,6 +117,7 @@ def _listed(words: list[bytes], counts: np.ndarray, buckets: int) -> tuple[np.nd
 def _pre_tokens(pattern: str, buckets: int, chunk_bytes: int, schema: pa.Schema):
     """Rows of the own columns and chunk, part, bucket, at, size, packed: the documents, numbers and lists of each chunk."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex  # only where texts are cut
 
@@ -175,6 +176,7 @@ def _pre_tokens(pattern: str, buckets: int, chunk_bytes: int, schema: pa.Schema)
 
 
 def _encode_words(ranks, pattern: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
@@ -245,6 +247,7 @@ def _chunk(rows: list[pa.RecordBatch], own: list[str]) -> Iterator[pa.RecordBatc
 def _reassemble(own: list[str]):
     """Takes the rows of whole chunks, one chunk after another, a chunk's documents in order."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         now = None
@@ -288,6 +291,7 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None = Non
 
 
 def _decode(tokens, ids_col: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(tokens.value, pa.binary())
         for batch in batches:

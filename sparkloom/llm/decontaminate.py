@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm._common import TMP, drop_tmp, durable, row_key, text_or_empty
+from sparkloom.llm._common import TMP, drop_tmp, durable, lean, row_key, text_or_empty
 
 #: Bytes of words: letters in lower case, digits, and all that is not ASCII; every other byte becomes a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -186,6 +186,7 @@ def _shard(texts: list[bytes], phrases: Phrases) -> tuple[list, list, list]:
 
 
 def _scan(block, rules: ContaminationRules):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(block.value, rules.window)
         for batch in batches:
@@ -215,6 +216,7 @@ def _merged(spans: list) -> list:
     return out
 
 
+@lean
 def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         key, spans, items = (c.to_pylist() for c in batch.columns)

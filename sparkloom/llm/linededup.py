@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm._common import TMP, drop_tmp, durable, row_key, text_or_empty
+from sparkloom.llm._common import TMP, drop_tmp, durable, give_back, lean, row_key, text_or_empty
 
 SPACE = b" \t\n\x0b\f\r"
 SEGMENT_BITS = 1 << 23
@@ -81,6 +81,7 @@ def _add(bits: np.ndarray, h: np.ndarray) -> None:
 
 
 def _local_hashes(segments: int, min_chars: int, limit: int = 1 << 20):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, bool] = {}
 
@@ -123,11 +124,13 @@ def _twice_seen(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
             _add(twice, again)
             _add(once, again)
     yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([twice.tobytes()], pa.binary())], ["segment", "bits"])
+    give_back()
 
 
 def _suspected(filter_bits, segments: int, min_chars: int):
     """Adds to each batch the digests of its documents' suspected lines."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(filter_bits.value, np.uint8)
         for batch in batches:
@@ -146,6 +149,7 @@ def _cleaned(filter_bits, segments: int, repeated, min_chars: int):
     """Adds what is left of each text, its number of lines and how many were dropped. repeated: the digests of lines to drop in
     order, as two halves, and the document that keeps each."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(filter_bits.value, np.uint8)
         high, low, keep = repeated.value
@@ -175,6 +179,7 @@ def _cleaned(filter_bits, segments: int, repeated, min_chars: int):
 
 
 def _rebuild(min_chars: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import TMP, durable, row_key, text_or_empty
+from sparkloom.llm._common import TMP, durable, give_back, lean, row_key, text_or_empty
 from sparkloom.llm._graph import components
 
 WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b == 95 or b >= 128 else 32 for b in range(256))
@@ -152,6 +152,7 @@ class Sampler:
         return out, least_hash
 
 
+@lean
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count: Counter = Counter()
 
@@ -215,6 +216,7 @@ def _banded(samples: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _sketch(common, rules: NearDupRules):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, weights = _Words(), Weights(common.value, rules.shingle)
         sampler = Sampler(rules.bands * rules.rows, rules.set_bands * rules.rows, rules.seed)
@@ -246,6 +248,7 @@ def _similar(a: tuple, b: tuple) -> tuple[float, float]:
 
 
 def _verify(common, rules: NearDupRules):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, weights = _Words(), Weights(common.value, rules.shingle)
         last: tuple = (None, None)
@@ -263,7 +266,7 @@ def _verify(common, rules: NearDupRules):
 
 
 def _verify_block(common, rules: NearDupRules):
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def links(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         cache, weights = _Words(), Weights(common.value, rules.shingle)
         if not len(left) or not len(right):
             return pd.DataFrame({"u": [], "v": []}, dtype=object)
@@ -292,6 +295,11 @@ def _verify_block(common, rules: NearDupRules):
             found += [(node, nodes[j]) for j in np.flatnonzero(once & (np.maximum(by_weight, by_set) >= rules.similarity))]
         return pd.DataFrame(found, columns=["u", "v"], dtype=object)
 
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = links(key, left, right)
+        give_back()
+        return found
+
     return run
 
 

@@ -3,15 +3,18 @@
 import collections
 import hashlib
 import math
+import os
 import re
 import unicodedata
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 
 import corpus_pipeline
 from sparkloom.llm import bpe, quality
-from sparkloom.llm._common import table
+from sparkloom.llm._common import lean, table
 from tests.conftest import DATA
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -207,3 +210,37 @@ def test_scratch_of_two_threads(spark):
     second.set()
     t.join()
     assert seen == [3]
+
+
+def test_a_task_gives_back_what_it_took(spark):
+    """A Python worker serves many tasks: what one took must not stay with it."""
+
+    def resident():
+        return int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) // 1024
+
+    def takes(batches):
+        for b in batches:
+            blocks = [np.ones(64 * 1024, np.uint8) for _ in range(4000)]  # 250 MB in blocks that malloc keeps
+            np.kept = blocks[-1]  # and one at the end that stays
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([resident()])], ["pid", "mb"])
+
+    def looks(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([resident()])], ["pid", "mb"])
+
+    one = spark.range(1).coalesce(1)
+    (full,), seen = one.mapInArrow(lean(takes), "pid long, mb long").collect(), {}
+    for _ in range(8):  # workers take turns
+        for r in one.mapInArrow(looks, "pid long, mb long").collect():
+            seen[r.pid] = r.mb
+    assert seen.get(full.pid, 0) < full.mb - 150
+
+
+def test_all_stages_give_back_what_their_tasks_took(spark, monkeypatch):
+    docs, used = table(spark, DATA, "documents").limit(40), []
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, func, *a, **k: used.append(func) or plain(self, func, *a, **k))
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        n = len(used)
+        stage(spark, docs, DATA)
+        assert len(used) > n and all(getattr(f, "lean", False) for f in used[n:])
